@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.llm import store, warc
+from tidemark.llm import bpe_frames, store, token_count, tokenbin, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,27 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back."""
     manifest = warc.write_archives(load(spark, sf_dir, "pages"), store.shared_dir(spark, "warc"))
     return warc.read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_BPE_SIZE, END_ID = 49408, 2
+
+
+@query("op2_token_files")
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to bit-packed files and read back."""
+    docs = load(spark, sf_dir, "documents")
+    manifest = tokenbin.write_tokens(docs, store.shared_dir(spark, "tokens"), public_tokenizers.path(WORD_BPE), END_ID, WORD_BPE_SIZE)
+    return tokenbin.read_tokens(spark, manifest)
+
+
+@query("op3_bpe")
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded by the transducers."""
+    return bpe_frames.round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return token_count.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
