@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_frames, store, token_count, tokenbin, warc
+from tidemark.llm import bpe_frames, jaccard, store, token_count, tokenbin, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,9 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     return token_count.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents by three-word shingles and a similarity of 0.9."""
+    return jaccard.join_classes(load(spark, sf_dir, "documents"), k=3, num=90, den=100)
