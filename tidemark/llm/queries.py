@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_frames, jaccard, store, token_count, tokenbin, warc
+from tidemark.llm import bpe_frames, jaccard, piecewise, store, token_count, tokenbin, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents by three-word shingles and a similarity of 0.9."""
     return jaccard.join_classes(load(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+@query("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piecewise fingerprints of all documents, their edits and their neighbours."""
+    return piecewise.neighbours(load(spark, sf_dir, "documents"))
