@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_frames, jaccard, piecewise, store, token_count, tokenbin, toxicity, warc
+from tidemark.llm import bpe_frames, jaccard, licenses, piecewise, quality, store, token_count, tokenbin, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(toxicity.labelled(docs, load(spark, sf_dir, "labels")))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents from weak labels."""
+    docs = load(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs))
+
+
+@query("op8_licenses")
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of all documents: a row for each document, with a list of what was found."""
+    docs = load(spark, sf_dir, "documents")
+    return licenses.scan(docs)
