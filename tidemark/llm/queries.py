@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_frames, jaccard, licenses, piecewise, quality, store, token_count, tokenbin, toxicity, warc
+from tidemark.llm import bpe_frames, decontaminate, jaccard, licenses, piecewise, quality, store, token_count, tokenbin, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,9 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence families of all documents: a row for each document, with a list of what was found."""
     docs = load(spark, sf_dir, "documents")
     return licenses.scan(docs)
+
+
+@query("op5_decontamination")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that leaked into documents."""
+    return decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))

@@ -14,6 +14,7 @@ import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_DEFAULT = "file:///tmp/checkpoints"
 
@@ -33,6 +34,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of at most 40 bytes or so that a join side may have to be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, which is a written table, marked for broadcast if it has at most ``limit`` rows; else a shuffle join takes over."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def open_out(uri: str):
     """A binary output stream at a URI, on any file system pyarrow knows."""
     where, path = fs.FileSystem.from_uri(uri)
