@@ -8,7 +8,7 @@ Most labellers look for one sort of junk and don't vote where it is absent.
 There are at most 3^8 patterns, so the counts that reach the driver are bounded.
 
 A linear scorer is then trained on the posteriors of at most ``TRAIN_ROWS`` documents
-(those with the smallest hash of their text): its features are hashed five-grams of
+(by a hash of id and text): its features are hashed five-grams of
 byte classes, as shares of the text, and bins of the labellers' measures. It scores
 every whole text.
 
@@ -196,7 +196,7 @@ def train(docs: DataFrame, limit: int = TRAIN_ROWS) -> Model:
 
     got = docs.select("text").mapInArrow(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     posterior, _ = posteriors({tuple("-0+".index(c) - 1 for c in r[0]): r[1] for r in got})
-    sample = docs.where("text is not null").select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(limit)
+    sample = store.bounded_sample(docs.where("text is not null").select("doc_id", "text"), sum(r[1] for r in got), limit, "doc_id", "text")
     sample = store.table(sample.select("text"), "quality-train").repartition(16)
 
     def describe(batches):

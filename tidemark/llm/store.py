@@ -43,6 +43,16 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def bounded_sample(df: DataFrame, rows: int, limit: int, *key: str) -> DataFrame:
+    """About ``limit`` of the ``rows`` rows of df, never more, by a hash of the key columns.
+
+    The share is a filter on the scan, so no task gathers more than the sample itself.
+    """
+    if rows <= limit:
+        return df.limit(limit)
+    return df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < int((1 << 40) * (limit / rows) * 0.97)).limit(limit)
+
+
 def open_out(uri: str):
     """A binary output stream at a URI, on any file system pyarrow knows."""
     where, path = fs.FileSystem.from_uri(uri)

@@ -12,8 +12,8 @@ machine; its output for a clause is a list of matches such as ``insult+target``
 ``insult-negated``. A document's features are the log of the summed weights for each
 kind of match; a logistic model fitted on the training rows turns them into the score.
 
-Only rows given as training rows are learned from, at most ``TRAIN_ROWS`` of them (those
-with the smallest hash of the id). Labels, language, source and id are no inputs of a
+Only rows given as training rows are learned from, at most ``TRAIN_ROWS`` of them (by a
+hash of the id). Labels, language, source and id are no inputs of a
 score. Defined cases: null and empty texts match nothing and get the score of the
 intercept; with no training row of either label a fixed weight for each match is used;
 repeated rows get equal scores; other columns are ignored.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import vocab
+from tidemark.llm import store, vocab
 
 TRAIN_ROWS = 20_000
 STEM_SIZES = (4, 5, 6)
@@ -223,9 +223,7 @@ class Model:
 
 def train(rows: DataFrame, limit: int = TRAIN_ROWS) -> Model:
     """A model from rows (doc_id, text, toxic 0/1); rows with a null label are left out."""
-    rows = rows.where("toxic is not null").select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    from tidemark.llm import store
-
+    rows = rows.where("toxic is not null").select("text", "toxic").limit(limit)
     rows = store.table(rows, "toxicity-train").repartition(max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     whole, stems = mine(rows)
 
@@ -283,7 +281,8 @@ def held_out(doc_id: str = "doc_id"):
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic) of the labelled rows that may be learned from. Labels are thinned to a bounded number before texts join."""
-    few = labels.where("toxic is not null").where(~held_out()).select("doc_id", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    few = labels.where("toxic is not null and doc_id is not null").where(~held_out()).select("doc_id", "toxic")
+    few = store.table(store.bounded_sample(few, few.count(), TRAIN_ROWS, "doc_id").dropDuplicates(["doc_id"]), "toxicity-labels")
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
 
