@@ -18,3 +18,7 @@ def query(name: str, sql: str | None = None):
         return function
 
     return add
+
+
+# the modules below register themselves
+from tidemark.plans import cohort, market  # noqa: E402, F401
