@@ -48,10 +48,12 @@ def grouped_parts(df: DataFrame, group: str, size: str, limit: int, buckets: int
     each = df.groupBy(group).agg(F.sum(size).alias("_bytes")).withColumn("_bucket", F.pmod(F.xxhash64(group), F.lit(buckets)))
     over = F.raise_error(F.concat(F.lit("group larger than the limit: "), F.col(group).cast("string")))
     each = each.withColumn("_bytes", F.when(F.col("_bytes") > limit, over.cast("long")).otherwise(F.col("_bytes")))
+    # a group of more than half the limit is a part of its own; the others are cut where the running sum passes multiples of half the limit
+    each = each.withColumn("_small", F.when(F.col("_bytes") * 2 <= limit, F.col("_bytes")).otherwise(0))
     w = W.partitionBy("_bucket").orderBy(group).rowsBetween(W.unboundedPreceding, 0)
-    # a part ends before the running sum passes a multiple of half the limit, so no part has more than the limit
-    each = each.withColumn("_cut", F.floor((F.sum("_bytes").over(w) - 1) / (limit / 2)))
-    each = each.select(group, F.concat_ws("-", F.lpad(F.col("_bucket").cast("string"), 4, "0"), F.col("_cut").cast("string")).alias("part"))
+    each = each.withColumn("_cut", F.floor((F.sum("_small").over(w) - 1) / (limit / 2)))
+    own = F.when(F.col("_bytes") * 2 > limit, F.concat(F.lit("own-"), F.col(group).cast("string")))
+    each = each.select(group, F.coalesce(own, F.concat_ws("-", F.lpad(F.col("_bucket").cast("string"), 4, "0"), F.col("_cut").cast("string"))).alias("part"))
     return df.join(each, group)
 
 
