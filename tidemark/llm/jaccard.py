@@ -11,11 +11,12 @@ Set relations decide what need not be computed:
    the shingle hashes modulo the number of blocks, into more blocks than linked sets can
    differ in shingles, so linked sets agree on a whole block. A list holds the sets
    that agree on one block; all blocks on which sets differ are skipped together.
-4. Answers are derived from a similar set's answers: in each list the set with the
-   largest share of common shingles leads. First each set is compared with one leader.
+4. Answers are derived from a similar set's answers: in each list the set that
+   meets most others, over all its lists, leads. First each set is compared with one leader.
    Sets linked to one leader are one class; then only pairs of a list that are not yet
    in one class are compared, and of those a pair is skipped if its distances to a
-   common leader differ by more than 1 - t (the Jaccard distance is a metric).
+   common leader differ by more than 1 - t (the Jaccard distance is a metric), or if what
+   each shares with that leader, and with anyone, keeps it below t.
 
 No group is collected anywhere: lists are joined, hot lists meet as rows in joins that
 AQE may split, and classes are found by label propagation over written tables.
@@ -111,7 +112,7 @@ def set_table(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _shared(docs: DataFrame, k: int, total: int) -> DataFrame:
-    """doc_id, shared: how many of its shingles occur in other rows (at least; never too few).
+    """doc_id, shared: how many of its shingles occur in other rows of docs (never too few).
 
     Each chunk of texts sends a hash once, in blobs by hash range: 32 bits of it and the
     row it stands for. Hashes that several rows of the chunk have are known to be shared
@@ -174,14 +175,18 @@ def _shared(docs: DataFrame, k: int, total: int) -> DataFrame:
 
 
 def _live_sets(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """cls, n, centre, tokens of one row of each class that can have a partner."""
+    """cls, n, shared, tokens of one row of each class that can have a partner."""
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     least = F.expr(f"(n_shingles * {num} + {den - 1}) div {den}")
-    known = sets.where("cls is not null").join(_shared(docs, k, total), "doc_id").where(F.col("shared") >= least)
-    live = known.groupBy("cls").agg(F.min("doc_id").alias("live_id"), F.max(F.least(F.lit(1.0), F.col("shared") / F.col("n_shingles"))).alias("centre"))
+    # a copy would make all shingles of its class look shared: one row of each class is counted
+    head = store.table(sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("head")), "jaccard-heads")
+    copies = sets.join(head, "cls").groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("head")).alias("copy")).where("copy").select("doc_id")
+    once = docs.select("doc_id", "text").join(store.checked_broadcast(store.table(copies, "jaccard-copies")), "doc_id", "left_anti")
+    known = sets.where("cls is not null").join(_shared(once, k, total), "doc_id").where(F.col("shared") >= least)
+    live = known.groupBy("cls").agg(F.min("doc_id").alias("live_id"), F.max(F.least("shared", "n_shingles")).alias("shared"))
     live = store.table(live, "jaccard-live")
-    texts = docs.select("doc_id", "text").join(live, F.col("doc_id") == F.col("live_id")).select("cls", "centre", "text")
-    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("centre", pa.float64()), ("tokens", pa.binary()), ("seen", pa.int64())])
+    texts = docs.select("doc_id", "text").join(store.checked_broadcast(live), F.col("doc_id") == F.col("live_id")).select("cls", "shared", "text")
+    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("tokens", pa.binary()), ("seen", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -192,32 +197,32 @@ def _live_sets(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) ->
                     n.append(len(own))
                     seen.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True))
                     blob.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(n, pa.int64()), batch.column("centre"), pa.array(blob, pa.binary()), pa.array(seen, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(n, pa.int64()), batch.column("shared"), pa.array(blob, pa.binary()), pa.array(seen, pa.int64())], schema=schema)
 
-    found = texts.mapInArrow(run, "cls long, n long, centre double, tokens binary, seen long").where("cls = seen").drop("seen")
+    found = texts.mapInArrow(run, "cls long, n long, shared long, tokens binary, seen long").where("cls = seen").drop("seen")
     return store.table(found, "jaccard-tokens")
 
 
 def _lists(live: DataFrame, num: int, den: int) -> DataFrame:
-    """sig, cls, n, centre: a row for each block of a set, under its own size class and the next."""
-    schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("centre", pa.float32())])
+    """sig, cls, n, shared: a row for each block of a set, under its own size class and the next."""
+    schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("shared", pa.int32())])
 
     def run(batches):
         sizes = SizeClasses(num, den)
         for batch in batches:
-            sig, cls, n, centre = [], [], [], []
-            for key, size, share, tokens in zip(*(batch.column(c).to_pylist() for c in ("cls", "n", "centre", "tokens")), strict=True):
+            sig, cls, n, shared = [], [], [], []
+            for key, size, common, tokens in zip(*(batch.column(c).to_pylist() for c in ("cls", "n", "shared", "tokens")), strict=True):
                 own, c = np.frombuffer(tokens, np.uint64), sizes.of(size)
                 for at in (c, c + 1):
                     found = np.unique(block_keys(own, at, *sizes.blocks(at)))
                     sig.append(found.view(np.int64))
                     cls.append(np.full(len(found), key))
                     n.append(np.full(len(found), size))
-                    centre.append(np.full(len(found), share))
+                    shared.append(np.full(len(found), common))
             if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(t)) for v, t in ((sig, np.int64), (cls, np.int64), (n, np.int32), (centre, np.float32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(t)) for v, t in ((sig, np.int64), (cls, np.int64), (n, np.int32), (shared, np.int32))], schema=schema)
 
-    return live.mapInArrow(run, "sig long, cls long, n int, centre float")
+    return live.mapInArrow(run, "sig long, cls long, n int, shared int")
 
 
 def _compare(pairs: DataFrame, live: DataFrame) -> DataFrame:
@@ -262,16 +267,18 @@ def components(links: DataFrame) -> DataFrame:
 def _links(live: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between classes that connect all classes that links connect."""
     lists = _lists(live, num, den)
-    lead = lists.groupBy("sig").agg(F.max(F.struct("centre", "cls")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    lead = store.table(lead.select("sig", F.col("lead.cls").alias("leader"), F.col("lead.centre").alias("leader_centre")), "jaccard-leaders")
-    members = store.table(lists.join(lead, "sig"), "jaccard-members")
-    first = members.where("cls <> leader").groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("leader_centre", "leader")).getField("leader").alias("b"))
+    many = lists.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
+    members = store.table(lists.join(store.table(many, "jaccard-many"), "sig"), "jaccard-members")
+    met = members.groupBy("cls").agg(F.sum("size").alias("met"))
+    lead = members.select("sig", "cls").join(met, "cls").groupBy("sig").agg(F.max(F.struct("met", "cls")).alias("lead"))
+    lead = store.table(lead.select("sig", F.col("lead.cls").alias("leader"), F.col("lead.met").alias("leader_met")), "jaccard-leaders")
+    first = members.select("sig", "cls").join(lead, "sig").where("cls <> leader").groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("leader_met", "leader")).getField("leader").alias("b"))
     near = store.table(_compare(first, live), "jaccard-near")
     linked = near.where(f"common * {den} >= either * {num}")
     comp = components(linked.select("a", "b"))
 
-    own = members.select("sig", "cls", "n").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    own = own.join(near.select(F.col("a").alias("cls"), F.col("b").alias("of"), (1 - F.col("common") / F.col("either")).alias("far")), "cls", "left")
+    own = members.select("sig", "cls", "n", "shared").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    own = own.join(near.select(F.col("a").alias("cls"), F.col("b").alias("of"), F.col("common").alias("held"), (1 - F.col("common") / F.col("either")).alias("far")), "cls", "left")
     split = own.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("sig")
     open_ = store.table(own.join(split, "sig"), "jaccard-open")
     x, y = open_.alias("x"), open_.alias("y")
@@ -279,6 +286,11 @@ def _links(live: DataFrame, num: int, den: int) -> DataFrame:
     apart = F.coalesce((F.col("x.of") == F.col("y.of")) & (F.abs(F.col("x.far") - F.col("y.far")) > slack), F.lit(False))
     known = F.coalesce((F.col("x.of") == F.col("y.cls")) | (F.col("y.of") == F.col("x.cls")), F.lit(False))
     fits = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
+    # shingles that occur nowhere else are in no intersection
+    fits = fits & (F.least("x.shared", "y.shared") * (num + den) >= (F.col("x.n") + F.col("y.n")) * num)
+    # of two sets compared with one leader: what they share lies in what both have of it, or in what both have besides
+    most = F.least("x.held", "y.held") + F.greatest(F.lit(0), F.least(F.col("x.shared") - F.col("x.held"), F.col("y.shared") - F.col("y.held")))
+    fits = fits & F.coalesce((F.col("x.of") != F.col("y.of")) | (most * (num + den) >= (F.col("x.n") + F.col("y.n")) * num), F.lit(True))
     rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & fits & ~apart & ~known)
     rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     more = store.table(_compare(rest, live).where(f"common * {den} >= either * {num}"), "jaccard-more")
