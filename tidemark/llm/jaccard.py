@@ -311,11 +311,18 @@ def join_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The document of each class with the smallest id, all of documents' columns; of repeated rows one stays.
+    """The document of each class with the smallest id, all of documents' columns.
 
-    Documents without words are not linked with anything and stay.
+    Rows that share an id are one document: the smallest of them by all columns stays.
+    Documents without words are not linked with anything and stay, as do all rows
+    without an id.
     """
     named = join_classes(docs, k, num, den)
-    heads = store.table(named.where("doc_id is null or doc_id = component_id").select("doc_id").distinct(), "jaccard-heads")
-    once = docs.join(heads, docs.doc_id.eqNullSafe(heads.doc_id), "left_semi")
-    return once
+    heads = store.table(named.where("doc_id is null or doc_id = component_id").select("doc_id").distinct(), "jaccard-stay")
+    kept = docs.join(heads, docs.doc_id.eqNullSafe(heads.doc_id), "left_semi")
+    again = store.table(named.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "jaccard-again")
+    if not again.count():
+        return kept
+    again = store.checked_broadcast(again)
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(one.select(docs.columns))
