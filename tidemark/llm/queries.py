@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_frames, decontaminate, jaccard, licenses, piecewise, quality, store, token_count, tokenbin, toxicity, warc
+from tidemark.llm import bpe_frames, decontaminate, jaccard, licenses, oracles, piecewise, quality, store, token_count, tokenbin, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,17 +28,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(
-    "op1_warc",
-    """
-    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-         f AS (SELECT payload_digest AS d, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
-    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-           CASE WHEN first_id IS NOT NULL AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-           CASE WHEN first_id <> page_id THEN first_id END AS refers_to
-    FROM p LEFT JOIN f ON p.payload_digest = f.d
-    """,
-)
+@query("op1_warc", oracles.WARC)
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back."""
     manifest = warc.write_archives(load(spark, sf_dir, "pages"), store.shared_dir(spark, "warc"))
@@ -69,7 +59,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-@query("op9_jaccard_join")
+@query("op9_jaccard_join", oracles.JACCARD)
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents by three-word shingles and a similarity of 0.9."""
     return jaccard.join_classes(load(spark, sf_dir, "documents"), k=3, num=90, den=100)
@@ -104,7 +94,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs)
 
 
-@query("op5_decontamination")
+@query("op5_decontamination", oracles.LEAKS)
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that leaked into documents."""
     return decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
