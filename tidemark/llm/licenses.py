@@ -8,9 +8,9 @@ strange paragraphs come out as unknown. A prediction counts only if the paragrap
 resembles one of its family's templates (Jaccard of word bigrams, or containment of the
 template, at least ``CONFIRM``).
 
-Every word of every paragraph is looked up vectorised: a paragraph without at least two
-words that speak for a family more than for the unknown class cannot be predicted as a
-licence, and only the others are scored one by one.
+Every pair of words of every paragraph is looked up vectorised: a paragraph that holds
+less than ``CONFIRM`` of every template cannot be confirmed, whatever the classifier says,
+and only the others are scored one by one.
 
 Defined cases: null and empty texts have no licence; a document with several families
 gives a row for each, with its first paragraph and their number; repeated rows give
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm import vocab, words
 
 BITS = 16
+PAIR_BITS = 20
 CONFIRM = 0.5
 UNKNOWN = "unknown"
 
@@ -103,6 +104,11 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([one, two]).astype(np.int64)
 
 
+def _pairs(hashes: np.ndarray) -> np.ndarray:
+    """Slots of adjacent word pairs."""
+    return (words.mix(hashes[:-1] * np.uint64(5) + hashes[1:] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
 def _similar(a: set, b: set) -> float:
     """The larger of Jaccard and containment of the template b."""
     same = len(a & b)
@@ -153,8 +159,11 @@ class Classifier:
         self.scale, self.bias = scale, b
         self.weights = np.zeros((1 << BITS, len(FAMILIES)), np.float32)
         self.weights[used] = w
-        #: Words that speak for a family: a paragraph needs two.
-        self.speaks = self.weights[:, :-1].max(1) > self.weights[:, -1] + 0.2
+        #: For each word pair, the largest share of a template that it is; sums bound what a paragraph holds of any template.
+        self.shares = np.zeros(1 << PAIR_BITS, np.float32)
+        for t in map(_tokens, (t for ts in TEMPLATES.values() for t in ts)):
+            h = _pairs(_hash_words(t))
+            np.maximum.at(self.shares, np.unique(h), np.float32(1 / len(set(zip(t, t[1:], strict=False)))))
         self.grams = {f: [(set(zip(t, t[1:], strict=False))) for t in map(_tokens, ts)] for f, ts in TEMPLATES.items()}
 
     def predict(self, paragraph: str) -> tuple[str, float, float]:
@@ -174,7 +183,7 @@ class Classifier:
             return UNKNOWN, float(p[-1]), max(near.values())
         return family, confidence, near[family]
 
-    def scan(self, text: str, hits: int = 2) -> dict[str, tuple[int, float, int, float]]:
+    def scan(self, text: str) -> dict[str, tuple[int, float, int, float]]:
         """family -> (first character of its first paragraph, highest confidence, paragraphs, similarity)."""
         found: dict = {}
         at = 0
@@ -199,16 +208,22 @@ _BLANK[[x for x in range(33, 127) if not (chr(x).isalnum() or chr(x) in ".-")]]
 
 
 def _candidates(model: Classifier, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-    """(row, first byte, end) of the lines with at least two words that speak for a family."""
+    """(row, first byte, end) of the lines that may hold enough of a template."""
     clean = _BLANK[data]
-    edge = np.concatenate([clean[1:], [np.uint8(32)]])
-    clean = np.where(((clean == 46) | (clean == 45)) & (edge <= 32), np.uint8(32), clean)
+    joint = (clean == 46) | (clean == 45)
+    bare = np.concatenate([clean[1:], [np.uint8(32)]]) <= 32
+    bare |= np.concatenate([[np.uint8(32)], clean[:-1]]) <= 32
+    clean = np.where(joint & bare, np.uint8(32), clean)
     _, h, starts, _ = words.words(clean, offsets)
-    speaking = starts[model.speaks[(h >> np.uint64(64 - BITS)).astype(np.int64)]]
+    if len(h) < 2:
+        return []
     ends = np.unique(np.concatenate([np.flatnonzero(data == 10), offsets[1:]]))
-    line, count = np.unique(np.searchsorted(ends, speaking, "left"), return_counts=True)
+    hit = np.flatnonzero(share := model.shares[_pairs(h)])
+    one, two = (np.searchsorted(ends, starts[hit + k], "left") for k in (0, 1))
+    line = one[one == two]
+    held = np.bincount(line, share[hit][one == two], minlength=len(ends))
     out = []
-    for k in line[count >= 2]:
+    for k in np.flatnonzero(held >= CONFIRM - 1e-4):
         end = int(ends[k])
         row = int(np.searchsorted(offsets, end, "left")) - 1
         begin = max(int(ends[k - 1]) if k else 0, int(offsets[row]))
