@@ -12,11 +12,11 @@ Set relations decide what need not be computed:
    differ in shingles, so linked sets agree on a whole block. A list holds the sets
    that agree on one block; all blocks on which sets differ are skipped together.
 4. Answers are derived from a similar set's answers: in each list the set that
-   meets most others, over all its lists, leads. First each set is compared with one leader.
-   Sets linked to one leader are one class; then only pairs of a list that are not yet
-   in one class are compared, and of those a pair is skipped if its distances to a
-   common leader differ by more than 1 - t (the Jaccard distance is a metric), or if what
-   each shares with that leader, and with anyone, keeps it below t.
+   meets most others, over all its lists, leads. First each set is compared with one
+   leader. Sets linked to one leader are one class; then only pairs of a list that are
+   not yet in one class are open. Two sets of one leader are looked up by their few
+   differences from it, rarest first (``_within``); only sets of different leaders are
+   taken from the lists themselves (``_across``).
 
 No group is collected anywhere: lists are joined, hot lists meet as rows in joins that
 AQE may split, and classes are found by label propagation over written tables.
@@ -33,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import store, vocab, words
@@ -278,25 +278,76 @@ def _links(live: DataFrame, num: int, den: int) -> DataFrame:
     comp = components(linked.select("a", "b"))
 
     own = members.select("sig", "cls", "n", "shared").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    own = own.join(near.select(F.col("a").alias("cls"), F.col("b").alias("of"), F.col("common").alias("held"), (1 - F.col("common") / F.col("either")).alias("far")), "cls", "left")
+    own = own.join(near.select(F.col("a").alias("cls"), F.col("b").alias("of"), F.col("common").alias("held")), "cls", "left")
     split = own.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("sig")
-    open_ = store.table(own.join(split, "sig"), "jaccard-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    slack = (den - num) / den + 1e-9
-    apart = F.coalesce((F.col("x.of") == F.col("y.of")) & (F.abs(F.col("x.far") - F.col("y.far")) > slack), F.lit(False))
-    known = F.coalesce((F.col("x.of") == F.col("y.cls")) | (F.col("y.of") == F.col("x.cls")), F.lit(False))
-    fits = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
-    # shingles that occur nowhere else are in no intersection
-    fits = fits & (F.least("x.shared", "y.shared") * (num + den) >= (F.col("x.n") + F.col("y.n")) * num)
-    # of two sets compared with one leader: what they share lies in what both have of it, or in what both have besides
-    most = F.least("x.held", "y.held") + F.greatest(F.lit(0), F.least(F.col("x.shared") - F.col("x.held"), F.col("y.shared") - F.col("y.held")))
-    fits = fits & F.coalesce((F.col("x.of") != F.col("y.of")) | (most * (num + den) >= (F.col("x.n") + F.col("y.n")) * num), F.lit(True))
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & fits & ~apart & ~known)
-    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    open_ = store.table(own.join(split, "sig").withColumn("family", F.coalesce("of", "cls")), "jaccard-open")
+    rest = _across(open_, num, den).union(_within(open_, live, num, den)).distinct()
     more = store.table(_compare(rest, live).where(f"common * {den} >= either * {num}"), "jaccard-more")
     return linked.select("a", "b").union(more.select("a", "b"))
 
 
+def _fits(num: int, den: int):
+    """Whether sets x and y can be linked by their sizes and by how many of their shingles occur elsewhere."""
+    both = F.col("x.n") + F.col("y.n")
+    sizes = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
+    return (F.col("x.comp") != F.col("y.comp")) & sizes & (F.least("x.shared", "y.shared") * (num + den) >= both * num)
+
+
+def _across(open_: DataFrame, num: int, den: int) -> DataFrame:
+    """Open pairs (a, b) of a list whose sets are of different families: members of one family do not meet here."""
+    families = open_.groupBy("sig", "family").agg(F.count("*").alias("size"))
+    x, y = families.alias("x"), families.alias("y")
+    facing = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.family") < F.col("y.family"))).select("x.sig", F.col("x.family").alias("one"), F.col("y.family").alias("other"))
+    facing = store.table(facing, "jaccard-facing").alias("f")
+    x, y = open_.alias("x"), open_.alias("y")
+    met = facing.join(x, (F.col("f.sig") == F.col("x.sig")) & (F.col("f.one") == F.col("x.family"))).join(y, (F.col("f.sig") == F.col("y.sig")) & (F.col("f.other") == F.col("y.family")) & _fits(num, den))
+    known = F.coalesce((F.col("x.of") == F.col("y.cls")) | (F.col("y.of") == F.col("x.cls")), F.lit(False))
+    return met.where(~known).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+
+
+def _differences(sets: DataFrame, live: DataFrame) -> DataFrame:
+    """of, cls, n, d, token: a row for each of the d shingles that a set and its leader do not both have."""
+    tokens = live.select("cls", "tokens")
+    both = sets.select("cls", "of", "n").join(tokens.withColumnRenamed("tokens", "x"), "cls").join(tokens.withColumnsRenamed({"cls": "of", "tokens": "y"}), "of")
+    schema = pa.schema([("of", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("d", pa.int32()), ("token", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                own = np.setxor1d(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), assume_unique=True)
+                same = [np.full(len(own), batch.column(c)[i].as_py()) for c in ("of", "cls", "n")]
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(t.type.to_pandas_dtype())) for v, t in zip([*same, np.full(len(own), len(own)), own.view(np.int64)], schema, strict=True)], schema=schema)
+
+    return both.select("of", "cls", "n", "x", "y").mapInArrow(run, "of long, cls long, n int, d int, token long")
+
+
+def _within(open_: DataFrame, live: DataFrame, num: int, den: int) -> DataFrame:
+    """Open pairs (a, b) of one family, from how each of its sets differs from their leader.
+
+    With D(x) the symmetric difference of x and the leader, |x ^ y| = |D(x)| + |D(y)| -
+    2 |D(x) & D(y)|, and linked sets have |x ^ y| <= r (|x| + |y|) with r = (1 - t) / (1 + t).
+    So D(x) and D(y) share at least (|D(x)| + |D(y)| - r (|x| + |y|)) / 2 shingles, which is
+    more than none unless both are linked to the leader and thus in one class. As the
+    sizes of D(x) and D(y) differ by |x ^ y| at most, the first shared shingle, rarest in the
+    family first, is among the first |x| (1 - t) / t + 1 of each; only those are
+    indexed, and two sets meet where as many shingles are left in both as they must share.
+    """
+    sets = open_.where("of is not null").select("cls", "of", "n", "shared", "comp").distinct()
+    sets = store.table(sets, "jaccard-family")
+    rows = store.table(_differences(sets, live), "jaccard-differences")
+    often = rows.groupBy("of", "token").agg(F.count("*").alias("often")).where("often > 1")
+    at = F.row_number().over(Window.partitionBy("cls").orderBy("often", "token")) - 1
+    # shingles that one set alone has come first in its order; they only count
+    once = rows.join(often, ["of", "token"], "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("at", at)
+    index = once.where(f"often > 1 and at <= n * {den - num} div {num}").select("token", "cls", "d", "at")
+    index = store.table(index.join(sets, "cls"), "jaccard-index")
+    x, y = index.alias("x"), index.alias("y")
+    need = (F.col("x.d") + F.col("y.d")) * (num + den) - (F.col("x.n") + F.col("y.n")) * (den - num)
+    left = F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at"))
+    met = x.join(y, (F.col("x.of") == F.col("y.of")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & _fits(num, den) & (left * (2 * (num + den)) >= need))
+    return met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+
+
 def join_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: sets are linked when den * |x & y| >= num * |x | y|."""
     sets = set_table(docs, k)
