@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import store, vocab, words
 
 #: Shingles that a task of the shared-shingle pass holds, about.
-SHINGLES_PER_BUCKET = 4_000_000
+SHINGLES_PER_BUCKET = 2_000_000
 RESOLVED = 0xFFFF
 
 

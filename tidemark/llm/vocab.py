@@ -17,11 +17,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: composition are the same for Python and for the tokenizers library here.
 PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 #: Entries of a worker's cache before it starts anew, and the longest piece kept.
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 500_000
 CACHE_LENGTH = 48
 
-#: Batches of at most this many rows go to Python, so long texts don't pile up.
-ARROW_ROWS = "512"
+#: Batches of at most this many rows and bytes go to Python, so long texts and sets don't pile up.
+ARROW_ROWS, ARROW_BYTES = "512", "4m"
 
 _WORKER: dict = {}
 
@@ -35,6 +35,7 @@ def worker_value(key, make):
 
 def small_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def library_tokenizer(path: str):
