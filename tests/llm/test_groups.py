@@ -116,6 +116,17 @@ def test_leaks_equal_all_windows(spark, sf):
     assert kept.columns == df.columns and 500 not in {r.doc_id for r in kept.collect()}
 
 
+def test_leaks_of_exchanged_parts(spark):
+    word = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    items = [(1, word(0, 45)), (2, word(100, 160)), (3, word(200, 280)), (4, word(300, 330))]
+    around = "some other text stands before and after it here"
+    docs = [(1, f"{around} {word(22, 45)} {word(0, 22)} {around}"), (2, f"{around} {word(130, 160)} {word(100, 130)} {around}"), (3, f"{word(253, 280)} {word(226, 253)} {word(200, 226)}"), (4, f"{around} {word(240, 280)} {word(200, 240)}"), (5, f"{word(315, 330)} {word(300, 315)} {around}"), (6, word(2, 44))]
+    found = decontaminate.leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = leaks(docs, items)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in found} == expected
+    assert {(1, 1), (2, 2), (4, 3), (6, 1)} <= set(expected)
+
+
 def test_no_items_or_documents(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e f")], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(docs, items).count() == 0 and decontaminate.keep_clean(docs, items).count() == 1

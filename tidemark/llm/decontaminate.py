@@ -4,11 +4,13 @@ A document leaks an item if a window of as many words as the item has a weighted
 shingle similarity to it of at least the threshold: sum of the smaller over sum of the
 larger counts of each five-word shingle, both taken as multisets.
 
-1. Alignment. A window that similar shares shingles with the item, and sliding it along
-   lets its overlap change by one shingle a step, so the best window starts where some
-   shared shingle lines up with the item. Each shared shingle (a join on its hash, done
-   for every shingle of every document) proposes that start, held inside the document.
-   This loses no window that reaches the threshold by itself.
+1. Starts. Sliding a window right to its first shingle that the item has drops none that
+   counts, so some best window starts at a shared shingle, or is the document's last.
+   Each shared shingle (a join on its hash, done for every shingle of every document)
+   proposes that start, held inside the document. A window at the threshold holds at
+   least t / (1 + t) of both sizes in places with a shingle of the item; starts whose
+   window has fewer with a shingle of any item of the size leave. Both steps lose no
+   window that reaches the threshold, in whatever order the item's parts stand.
 2. Fingerprints. Distinct windows of each size get a 128-bit SimHash of their shingles,
    and so do the items.
 3. Multi-index. With ``RADIUS`` bits allowed to differ, fingerprints are cut into
@@ -89,24 +91,33 @@ def _similarity(a: Column, b: Column) -> Column:
     return same / (F.size(a) + F.size(b) - same)
 
 
+def _starts(at: Column, size: Column, n: Column, threshold: float) -> Column:
+    """Starts of the windows of n words that can reach the threshold, from the ascending places of shingles of items of n words."""
+    whole = F.least(size, n) - (SHINGLE - 1)
+    need = F.greatest(F.lit(1), F.ceil((whole + n - (SHINGLE - 1)) * (threshold / (1 + threshold)) - 1e-6).cast("int"))
+    start = lambda p: F.greatest(F.lit(0), F.least(p, size - n))
+    full = F.filter(at, lambda p, k: F.get(at, k + need - 1) < start(p) + whole)
+    return F.array_distinct(F.transform(full, start))
+
+
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, similarity, start (word) of the best window, for each leaked item of each document."""
     known = items.where("item_id is not null").select("item_id", words_of(F.col("text")).alias("w"))
     known = known.select("item_id", F.size("w").alias("n"), shingles_of(F.col("w")).alias("own")).where("n >= 5")
     known = store.table(known.select("item_id", "n", "own", *(c.alias(x) for c, x in zip(simhash(F.col("own")), ("g0", "g1"), strict=True))), "items")
-    parts = store.table(known.select("item_id", "n", F.posexplode("own").alias("offset", "h")).distinct(), "item-shingles")
+    parts = store.table(known.select("n", F.explode("own").alias("h")).distinct(), "item-shingles")
 
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", words_of(F.col("text")).alias("w"))
     shingled = texts.select("doc_id", F.size("w").alias("size"), shingles_of(F.col("w")).alias("all"))
     # the outer form: the optimiser would push a filter on a plain one's array below the projections and compute the words anew for each shingle
     every = shingled.select("doc_id", "size", F.posexplode_outer("all").alias("pos", "h"))
     hits = every.join(store.checked_broadcast(parts), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("size") - F.col("n")))
-    starts = store.table(hits.select("doc_id", "n", start.alias("start")).distinct(), "windows")
+    places = hits.groupBy("doc_id", "size", "n").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    starts = store.table(places.select("doc_id", "size", "n", F.explode(_starts(F.col("at"), F.col("size"), F.col("n"), threshold)).alias("start")), "windows")
 
     ids = store.table(starts.select("doc_id").distinct(), "window-docs")
-    again = shingled.join(store.checked_broadcast(ids), "doc_id", "left_semi").select("doc_id", "all")
-    cut = starts.join(again, "doc_id").select("doc_id", "n", "start", F.slice("all", F.col("start") + 1, F.col("n") - (SHINGLE - 1)).alias("part"))
+    again = shingled.join(store.checked_broadcast(ids), "doc_id", "left_semi").select("doc_id", "size", "all")
+    cut = starts.join(again, ["doc_id", "size"]).select("doc_id", "n", "start", F.slice("all", F.col("start") + 1, F.col("n") - (SHINGLE - 1)).alias("part"))
     cut = store.table(cut.withColumn("key", F.xxhash64("n", "part")), "window-shingles")
 
     once = cut.groupBy("key", "n").agg(F.any_value("part").alias("part"))
