@@ -37,3 +37,25 @@ def test_likeness():
     a, b, c = piecewise.fingerprints([text.encode(), (text[:1500] + "XY" + text[1500:]).encode(), text[::-1].encode()])
     assert piecewise.likeness(a, a) == 1 and piecewise.likeness(a, b) > 0.85 and piecewise.likeness(a, c) == 0
     assert piecewise._lcs("kitten", "sitting") == 4
+
+
+def test_long_repeated_lines_with_other_endings():
+    for width in range(30, 50):
+        line = hashlib.sha512(str(width).encode()).hexdigest()[: width - 1] + "\n"
+        ends = ["".join(hashlib.sha512(f"{width} {e} {i}".encode()).hexdigest() for i in range(100)) for e in "ab"]
+        a, b = piecewise.fingerprints([(line * 2000 + e).encode() for e in ends])
+        assert a.split(":")[1] != b.split(":")[1] and piecewise.likeness(a, b) < 1
+
+
+def test_common_subsequence_of_alike_strings():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for a, b in [("", ""), ("aaa", "aa"), ("abcab", "abxab"), ("aXbXc", "abc"), ("abab", "ababab"), ("xay", "yax")]:
+        assert piecewise._lcs(a, b) == plain(a, b)

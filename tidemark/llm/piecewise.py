@@ -4,7 +4,8 @@ A rolling hash over the last ``WINDOW`` bytes ends a chunk wherever it is -1 mod
 block size, so boundaries depend on the text around them only and come back after an
 insertion or deletion. Each chunk gives one of 64 characters. The block size is
 ``LEAST_BLOCK`` times a power of two such that a signature has at most ``LENGTH``
-characters or so, halved while fewer than half of that come out; the fingerprint
+characters or so, halved while fewer than half of that come out. Signatures are whole,
+also those of texts of one repeated period, where every repetition is a chunk. The fingerprint
 ``block:signature:signature at twice the block`` can be compared with any of the same
 block size, or half or twice that. All sizes are tested on whole texts, vectorised over
 a batch of them.
@@ -22,6 +23,7 @@ single document by itself; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,6 @@ from pyspark.sql import functions as F
 from tidemark.llm import store, vocab, words
 
 WINDOW, LEAST_BLOCK, LENGTH, RUN = 7, 3, 64, 5
-#: Signatures are cut at this length: with boundaries at random it is far out of reach; only texts of one repeated period meet it.
-LONGEST = 4 * LENGTH
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 TEXT_PER_PART = 16 << 20
 
@@ -75,7 +75,7 @@ class _Batch:
             ends = np.append(ends, a + n)
         begins = np.concatenate([[a], ends[:-1]])
         h = words.mix((self.sums[ends] - self.sums[begins]) * self.down[begins])
-        return ALPHABET[(h >> np.uint64(58)).astype(np.int64)].tobytes()[:LONGEST]
+        return ALPHABET[(h >> np.uint64(58)).astype(np.int64)].tobytes()
 
     def fingerprint(self, i: int) -> str:
         n = int(self.sizes[i])
@@ -104,7 +104,11 @@ def fingerprints(texts: list[bytes]) -> list[str]:
 
 
 def _lcs(a: str, b: str) -> int:
-    """Longest common subsequence, bit-parallel over a."""
+    """Longest common subsequence, bit-parallel over a without what both begin and end with."""
+    same = len(os.path.commonprefix([a, b]))
+    a, b = a[same:], b[same:]
+    tail = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
@@ -113,7 +117,7 @@ def _lcs(a: str, b: str) -> int:
     for c in b:
         hit = row & where.get(c, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return same + tail + len(a) - row.bit_count()
 
 
 def _signature_likeness(a: str, b: str) -> float:
