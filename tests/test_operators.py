@@ -196,3 +196,13 @@ def test_stream_rollup_equals_batch(spark, sf, tmp_path):
     assert stateful.sessions(ev, ["user_id"]).agg(F.sum("n")).first()[0] == ev.count()
 
 
+
+
+def test_greedy_match_has_all_customers_as_events(spark, sf):
+    from tidemark.plans import cohort
+
+    c = cohort.customers(spark, sf)
+    pairs = matching.caliper_pairs(c, c, "grp", cohort.CONFIG).withColumn("symbol", F.col("control") % 50)
+    got = {tuple(r) for r in cohort.t01(spark, sf).collect()}
+    assert got == {tuple(r) for r in matching.greedy_global(pairs, "grp", cohort.CONFIG).collect()}
+    assert any(r[0] % 10 for r in got)
