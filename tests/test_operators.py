@@ -206,3 +206,12 @@ def test_greedy_match_has_all_customers_as_events(spark, sf):
     got = {tuple(r) for r in cohort.t01(spark, sf).collect()}
     assert got == {tuple(r) for r in matching.greedy_global(pairs, "grp", cohort.CONFIG).collect()}
     assert any(r[0] % 10 for r in got)
+
+
+def test_bootstrap_and_randomisation_draw_as_often_as_the_reference(spark, sf):
+    from tidemark.plans import cohort
+
+    boot = evaluate.cluster_bootstrap(cohort.groups(spark, sf), "symbol", reps=10_000).first()
+    assert cohort.a20(spark, sf).first() == boot
+    drawn = evaluate.randomisation(cohort.grouped(spark, sf), "grp", F.col("is_event"), F.col("rule"), reps=50_000).first()
+    assert cohort.a21(spark, sf).first() == drawn

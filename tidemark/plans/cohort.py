@@ -114,12 +114,12 @@ def a19(spark, sf):
 
 @query("a20_cluster_bootstrap")
 def a20(spark, sf):
-    return evaluate.cluster_bootstrap(groups(spark, sf), "symbol", reps=2000)
+    return evaluate.cluster_bootstrap(groups(spark, sf), "symbol")
 
 
 @query("a21_randomisation")
 def a21(spark, sf):
-    return evaluate.randomisation(grouped(spark, sf), "grp", F.col("is_event"), F.col("rule"), reps=5000)
+    return evaluate.randomisation(grouped(spark, sf), "grp", F.col("is_event"), F.col("rule"))
 
 
 @query(
