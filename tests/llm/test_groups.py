@@ -63,6 +63,20 @@ def test_classes_equal_all_pairs(spark, sf, k, num):
     assert got == classes(rows, k, num, 100)
 
 
+def test_classes_of_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for d in range(40):
+        own = list(base)
+        for i in rng.choice(24, 6, replace=False):
+            own[8 * int(i) + 3] = f"x{rng.integers(0, 2)}"
+        rows.append((d, " ".join(own)))
+    for rows_ in (rows, near_copies()):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_classes(spark.createDataFrame(rows_ * 2, SCHEMA), 5, 80, 100).collect()}
+        assert got == classes(rows_, 5, 80, 100)
+
+
 def test_keep_one_and_empty(spark):
     rows = [(3, "a b c d e f g h"), (1, "A b c d e f g h"), (1, "A b c d e f g h"), (7, ""), (8, None), (None, "z"), (9, "other words in a text of its own")]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("extra", F.lit("x"))

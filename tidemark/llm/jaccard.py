@@ -199,7 +199,7 @@ def _live_sets(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) ->
                     blob.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(n, pa.int64()), batch.column("shared"), pa.array(blob, pa.binary()), pa.array(seen, pa.int64())], schema=schema)
 
-    found = texts.mapInArrow(run, "cls long, n long, shared long, tokens binary, seen long").where("cls = seen").drop("seen")
+    found = texts.mapInArrow(run, "cls long, n long, shared long, tokens binary, seen long").where("cls = seen").drop("seen").dropDuplicates(["cls"])
     return store.table(found, "jaccard-tokens")
 
 
