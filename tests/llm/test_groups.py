@@ -141,6 +141,18 @@ def test_leaks_of_exchanged_parts(spark):
     assert {(1, 1), (2, 2), (4, 3), (6, 1)} <= set(expected)
 
 
+def test_marks_of_repeated_shingles_stay_near(spark):
+    rng = np.random.default_rng(4)
+    pairs = []
+    for _ in range(20):
+        own = [int(x) for x in rng.integers(-(2**62), 2**62, 100)]
+        pairs.append((own, own[:90] + [own[0] ^ 12345] * 10))
+    df = spark.createDataFrame(pairs, "a array<long>, b array<long>")
+    df = df.select(*(c.alias(f"{x}{i}") for x in "ab" for i, c in enumerate(decontaminate.simhash(F.col(x)))))
+    apart = [((r.a0 ^ r.b0) % 2**64).bit_count() + ((r.a1 ^ r.b1) % 2**64).bit_count() for r in df.collect()]
+    assert max(apart) <= decontaminate.RADIUS
+
+
 def test_no_items_or_documents(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e f")], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(docs, items).count() == 0 and decontaminate.keep_clean(docs, items).count() == 1

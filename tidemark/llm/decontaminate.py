@@ -57,7 +57,7 @@ def shingles_of(words: Column, k: int = SHINGLE) -> Column:
 
 
 def simhash(shingles: Column) -> list[Column]:
-    """Two 64-bit halves: bit b is set if most shingles, each as often as it occurs, have it set."""
+    """Two 64-bit halves: bit b is set if most shingles have it set, where the k-th occurrence of one votes as a feature of its own."""
 
     def half(values: Column) -> Column:
         def bit(b):
@@ -66,7 +66,14 @@ def simhash(shingles: Column) -> list[Column]:
 
         return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x))
 
-    return [half(shingles), half(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(1))))]
+    def numbered(values: Column) -> Column:
+        again = lambda x, i: F.size(F.filter(F.slice(values, 1, i), lambda y: y == x))
+        each = F.transform(values, lambda x, i: F.when(again(x, i) > 0, F.xxhash64(x, again(x, i), F.lit(2))).otherwise(x))
+        return F.when(F.size(F.array_distinct(values)) < F.size(values), each).otherwise(values)
+
+    # bound by a lambda, so that the features are made once and not for each bit
+    bound = lambda values: F.get(F.transform(F.array(values), half), F.lit(0))
+    return [bound(numbered(shingles)), bound(F.transform(numbered(shingles), lambda x: F.xxhash64(x, F.lit(1))))]
 
 
 def block_bounds(radius: int = RADIUS) -> list[tuple[int, int, int]]:
