@@ -77,6 +77,16 @@ def test_classes_of_repeated_rows(spark):
         assert got == classes(rows_, 5, 80, 100)
 
 
+def test_rows_without_an_id_link_others(spark):
+    base = [f"w{i}" for i in range(120)]
+    text = lambda n: " ".join([*base[:-n], *(f"x{i}" for i in range(n))] if n else base)
+    rows = [(1, text(0)), (None, text(8)), (None, text(8)), (3, text(16)), (None, "a text that nobody else has at all")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard.join_classes(df, 3, 90, 100).collect())
+    assert got == [(0, 0), (0, 1), (0, 1), (1, 1), (3, 1)]
+    assert classes([(1, text(0)), (3, text(16))], 3, 90, 100)[3][1] == 3
+
+
 def test_keep_one_and_empty(spark):
     rows = [(3, "a b c d e f g h"), (1, "A b c d e f g h"), (1, "A b c d e f g h"), (7, ""), (8, None), (None, "z"), (9, "other words in a text of its own")]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("extra", F.lit("x"))

@@ -3,28 +3,31 @@
 Set relations decide what need not be computed:
 
 1. Equal sets share their answers: each class of equal sets has one representative.
-2. A set with more than its share of unique shingles has no partner: if J(x, y) >= t,
-   at least t of x's shingles also occur in y. One pass finds, for each document, how
-   many of its shingles occur elsewhere (``_shared``); the others leave at once. In the
-   order of document frequency this is the prefix whose index lists hold one entry.
-3. Index lists are blocked by position: sets of a size class are cut, in the order of
-   the shingle hashes modulo the number of blocks, into more blocks than linked sets can
-   differ in shingles, so linked sets agree on a whole block. A list holds the sets
-   that agree on one block; all blocks on which sets differ are skipped together.
+2. Index lists are blocked by position: sets of a size class are cut, in the order of
+   their shingle hashes, into more position blocks than linked sets can differ in
+   shingles, so linked sets agree on several whole blocks. A list holds the sets that
+   agree on one block; all blocks on which sets differ are skipped together. A set
+   writes a row for each block, so the lists grow in proportion to the texts.
+3. A set that does not find company in as many lists as linked sets must share leaves,
+   and so does one with more than its share of shingles that no other remaining set has
+   (if J(x, y) >= t, at least t of x's shingles are y's too).
 4. Answers are derived from a similar set's answers: in each list the set that
    meets most others, over all its lists, leads. First each set is compared with one
    leader. Sets linked to one leader are one class; then only pairs of a list that are
    not yet in one class are open. Two sets of one leader are looked up by their few
-   differences from it, rarest first (``_within``); only sets of different leaders are
-   taken from the lists themselves (``_across``).
+   differences from it, rarest first (``_within``), and their similarity follows from
+   those differences alone (``_derived``); only sets of different leaders are taken from
+   the lists themselves (``_across``) and compared in full.
 
 No group is collected anywhere: lists are joined, hot lists meet as rows in joins that
 AQE may split, and classes are found by label propagation over written tables.
 
 Defined cases: null, empty and white-space texts have an empty set, size 0, and are
 their own class (component_id is their own id); repeated rows are rows of one class;
-a null doc_id is ignored when the smallest id of a class is taken; an empty table gives
-an empty result; other columns are ignored.
+rows with a null doc_id link others like any row, but are ignored when the smallest id
+of a class is taken (their component_id is null only if the whole class has no id); an
+empty table gives an empty result; other columns are ignored. Sets count as equal when
+their 64-bit digests are.
 """
 
 from __future__ import annotations
@@ -38,53 +41,66 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import store, vocab, words
 
-#: Shingles that a task of the shared-shingle pass holds, about.
-SHINGLES_PER_BUCKET = 2_000_000
-RESOLVED = 0xFFFF
 
+def _differ(n, num: int, den: int):
+    """The most shingles that a set of n and a larger linked set don't share: |x ^ y| = |x | y| - |x & y| <= n (1 - t) / t."""
+    return n * (den - num) // num
 
-def _least_common(n, num: int, den: int):
-    """Shingles of a set of n that a linked set must share at least."""
-    return -(-n * num // den)
+
+def _spare(n, num: int, den: int):
+    """Blocks that a set of n writes beyond the number at which a linked set must agree on one."""
+    return np.maximum(3, _differ(n, num, den) // 5)
 
 
 class SizeClasses:
-    """Size classes such that linked sets are in one or in neighbouring classes; blocks of a class."""
+    """Size classes such that linked sets are in one or in neighbouring classes, and the position blocks of each."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.low = num, den, [1]
+        low = [1]
+        while low[-1] < 1 << 40:
+            low.append(low[-1] * den // num + 1)
+        self.num, self.den, self.low = num, den, np.array(low)
 
-    def high(self, c: int) -> int:
-        while len(self.low) <= c + 1:
-            self.low.append(self.low[-1] * self.den // self.num + 1)
-        return self.low[c + 1] - 1
+    def of(self, n):
+        """The class of a set of n shingles."""
+        return np.searchsorted(self.low, n, "right") - 1
 
-    def of(self, n: int) -> int:
-        c = 0
-        while self.high(c) < n:
-            c += 1
-        return c
+    def written(self, n):
+        """Blocks that a set of n writes: the first so many of its class."""
+        return _differ(n, self.num, self.den) + 1 + _spare(n, self.num, self.den)
 
-    def blocks(self, c: int) -> tuple[int, int]:
-        """(blocks of the class, the most that |x| + |y| - 2|x & y| can be for linked sets of at most high(c) shingles)."""
-        differ = 2 * self.high(c) * (self.den - self.num) // (self.den + self.num)
-        return differ + 1 + max(2, differ // 8), differ
+    def blocks(self, c):
+        """Blocks of class c: as many as its largest sets write."""
+        return self.written(self.low[np.asarray(c) + 1] - 1)
 
 
-def block_keys(tokens: np.ndarray, c: int, blocks: int, differ: int) -> np.ndarray:
-    """A key for each block of a set: equal keys mean equal blocks.
+def block_keys(rows: np.ndarray, tokens: np.ndarray, n: np.ndarray, c: np.ndarray, sizes: SizeClasses) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, need of each row) for the blocks that rows write in classes c: equal keys mean equal blocks.
 
-    Linked sets differ in at most ``differ`` blocks, so they agree on blocks - differ of
-    them. A set with fewer empty blocks than that agrees with each linked set on a block
-    that is not empty, and leaves its empty blocks out; only a set with more keeps them.
+    Of the blocks that both of two linked sets write they differ in at most ``_differ`` of
+    the smaller one, so they agree on 1 + ``_spare`` or more. A set with at most so many
+    empty blocks, less one, agrees with each linked set on a block that is not empty, and
+    leaves its empty ones out; only a set with more writes them too. ``need`` is the number
+    of written blocks on which a linked set agrees at least.
     """
-    part = (tokens % np.uint64(blocks)).astype(np.int64)
-    count = np.bincount(part, minlength=blocks)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(words.mix(tokens[np.argsort(part, kind="stable")] + np.uint64(7)))])
-    ends = np.cumsum(count)
-    total = sums[ends] - sums[ends - count]
-    used = np.flatnonzero(count) if np.count_nonzero(count == 0) < blocks - differ else np.arange(blocks)
-    return words.mix(words.mix(total[used] + np.uint64(c * 2 + 1)) + used.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + count[used].astype(np.uint64))
+    count, most = sizes.blocks(c), sizes.written(n)
+    part = ((tokens >> np.uint64(32)) * count[rows].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (part[1:] != part[:-1])]))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(words.mix(tokens + np.uint64(7)))])
+    total = np.diff(np.concatenate([sums[first], sums[-1:]]))
+    held = np.diff(np.concatenate([first, [len(tokens)]])).astype(np.uint64)
+    row, part = rows[first], part[first]
+    own = part < most[row]
+    row, part, total, held = row[own], part[own], total[own], held[own]
+    empty = most - np.bincount(row, minlength=len(n))
+    agreed = 1 + _spare(-(-n * sizes.num // sizes.den), sizes.num, sizes.den)
+    extra = [(np.full(len(gap), r), gap) for r in np.flatnonzero(empty >= agreed) for gap in [np.setdiff1d(np.arange(most[r]), part[row == r])]]
+    if extra:
+        at, gap = (np.concatenate(x) for x in zip(*extra, strict=True))
+        row, part = np.concatenate([row, at]), np.concatenate([part, gap])
+        total, held = (np.concatenate([x, np.zeros(len(gap), np.uint64)]) for x in (total, held))
+    key = words.mix(words.mix(total + c[row].astype(np.uint64) * np.uint64(2) + np.uint64(1)) + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + held)
+    return row, key, np.where(empty >= agreed, agreed, agreed - empty)
 
 
 def _sets(column: pa.Array, k: int):
@@ -95,6 +111,10 @@ def _sets(column: pa.Array, k: int):
         yield a, b, np.searchsorted(r, np.arange(b - a + 1)), h, r
 
 
+def _digest(own: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def set_table(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, cls (equal for equal sets; null for empty ones)."""
     vocab.small_batches(docs.sparkSession)
@@ -105,88 +125,50 @@ def set_table(docs: DataFrame, k: int) -> DataFrame:
             n, cls = [], []
             for a, b, bounds, h, _ in _sets(batch.column("text"), k):
                 n += np.diff(bounds).tolist()
-                cls += [int.from_bytes(hashlib.blake2b(h[bounds[i] : bounds[i + 1]].tobytes(), digest_size=8).digest(), "little", signed=True) if bounds[i] < bounds[i + 1] else None for i in range(b - a)]
+                cls += [_digest(h[bounds[i] : bounds[i + 1]]) if bounds[i] < bounds[i + 1] else None for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], schema=schema)
 
     return store.table(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long"), "jaccard-sets")
 
 
-def _shared(docs: DataFrame, k: int, total: int) -> DataFrame:
-    """doc_id, shared: how many of its shingles occur in other rows of docs (never too few).
+def _heads(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """text of one row of each class; rows without an id, and other texts of a head's id, may come too."""
+    head = store.table(sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("head")), "jaccard-heads")
+    copies = sets.join(head, "cls").groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("head")).alias("copy")).where("copy").select("doc_id")
+    return docs.select("doc_id", "text").join(store.checked_broadcast(store.table(copies, "jaccard-copies")), "doc_id", "left_anti").select("text")
+
 
-    Each chunk of texts sends a hash once, in blobs by hash range: 32 bits of it and the
-    row it stands for. Hashes that several rows of the chunk have are known to be shared
-    and stand for no row. A range's task sees which hashes two chunks sent.
-    """
-    bits = max(4, int(np.ceil(np.log2(max(1, total / SHINGLES_PER_BUCKET)))))
-    edges = (np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.uint64)
-    schema = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("local", pa.binary()), ("idx", pa.binary()), ("tok", pa.binary())])
+def _lists(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """sig, cls, c, n, need: a row for each block that a set writes, in its own size class c and, if it has linked sets there, in the next."""
+    schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("c", pa.int32()), ("n", pa.int32()), ("need", pa.int32())])
 
-    def send(batches):
+    def run(batches):
+        sizes = SizeClasses(num, den)
         for batch in batches:
-            ids = np.array([0 if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
-            for a, _, _, h, r in _sets(batch.column("text"), k):
-                if not len(h):
-                    continue
-                order = np.argsort(h, kind="stable")
-                h, r = h[order], r[order]
-                new = np.concatenate([[True], h[1:] != h[:-1]])
-                start = np.flatnonzero(new)
-                many = np.diff(np.concatenate([start, [len(h)]])) > 1
-                in_many = many[np.cumsum(new) - 1]
-                cut = np.concatenate([np.searchsorted(h, edges), [len(h)]])
-                cut_once = np.concatenate([np.searchsorted(h[start], edges), [len(start)]])
-                idx = np.where(many, RESOLVED, r[start]).astype(np.uint16)
-                tok = (h[start] >> np.uint64(32 - bits)).astype(np.uint32)
-                out = {x: [] for x in schema.names}
-                for j in range(len(edges)):
-                    rows, known = r[cut[j] : cut[j + 1]], in_many[cut[j] : cut[j + 1]]
-                    if not len(rows):
+            for a, b, bounds, h, r in _sets(batch.column("text"), k):
+                n = np.diff(bounds)
+                cls = np.array([_digest(h[bounds[i] : bounds[i + 1]]) for i in range(b - a)], np.int64)
+                c = sizes.of(np.maximum(n, 1))
+                for at, here in ((c, _differ(n, num, den) > 0), (c + 1, n * den // num >= sizes.low[c + 1])):
+                    # sets that cannot differ from a linked one are equal to it: they have no lists
+                    here &= _differ(n, num, den) > 0
+                    keep = here[r]
+                    if not keep.any():
                         continue
-                    there = np.unique(rows)
-                    local = np.bincount(np.searchsorted(there, rows[known]), minlength=len(there)).astype(np.uint16 if len(rows) < 65536 else np.uint32)
-                    own = idx[cut_once[j] : cut_once[j + 1]]
-                    short = np.where(own == RESOLVED, RESOLVED, np.searchsorted(there, own)).astype(np.uint16)
-                    for name, value in zip(schema.names, (j, ids[a + there].tobytes(), local.astype(np.uint32).tobytes(), short.tobytes(), tok[cut_once[j] : cut_once[j + 1]].tobytes()), strict=True):
-                        out[name].append(value)
-                yield pa.RecordBatch.from_pydict(out, schema)
-
-    def meet(pdf):
-        import pandas as pd
-
-        tok = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf.tok])
-        order = np.argsort(tok, kind="stable")
-        same = np.concatenate([[False], tok[order][1:] == tok[order][:-1]])
-        again = np.zeros(len(tok), bool)
-        again[order] = same | np.concatenate([same[1:], [False]])
-        ids, counts, at = [], [], 0
-        for docs_, local, idx in zip(pdf.docs, pdf.local, pdf.idx, strict=True):
-            idx = np.frombuffer(idx, np.uint16)
-            n = np.frombuffer(local, np.uint32).astype(np.int64)
-            hit = idx[again[at : at + len(idx)] & (idx != RESOLVED)]
-            n = n + np.bincount(hit, minlength=len(n))
-            at += len(idx)
-            ids.append(np.frombuffer(docs_, np.int64)[n > 0])
-            counts.append(n[n > 0])
-        return pd.DataFrame({"doc_id": np.concatenate(ids), "shared": np.concatenate(counts)})
-
-    sent = docs.select("doc_id", "text").mapInArrow(send, "bucket int, docs binary, local binary, idx binary, tok binary")
-    return sent.groupBy("bucket").applyInPandas(meet, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
-
-
-def _live_sets(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """cls, n, shared, tokens of one row of each class that can have a partner."""
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    least = F.expr(f"(n_shingles * {num} + {den - 1}) div {den}")
-    # a copy would make all shingles of its class look shared: one row of each class is counted
-    head = store.table(sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("head")), "jaccard-heads")
-    copies = sets.join(head, "cls").groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("head")).alias("copy")).where("copy").select("doc_id")
-    once = docs.select("doc_id", "text").join(store.checked_broadcast(store.table(copies, "jaccard-copies")), "doc_id", "left_anti")
-    known = sets.where("cls is not null").join(_shared(once, k, total), "doc_id").where(F.col("shared") >= least)
-    live = known.groupBy("cls").agg(F.min("doc_id").alias("live_id"), F.max(F.least("shared", "n_shingles")).alias("shared"))
-    live = store.table(live, "jaccard-live")
-    texts = docs.select("doc_id", "text").join(store.checked_broadcast(live), F.col("doc_id") == F.col("live_id")).select("cls", "shared", "text")
-    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("tokens", pa.binary()), ("seen", pa.int64())])
+                    row, key, need = block_keys(r[keep], h[keep], n, at, sizes)
+                    row, key = row[here[row]], key[here[row]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key.view(np.int64), cls[row], at[row].astype(np.int32), n[row].astype(np.int32), need[row].astype(np.int32))], schema=schema)
+
+    return texts.mapInArrow(run, "sig long, cls long, c int, n int, need int")
+
+
+def _tokens(docs: DataFrame, sets: DataFrame, live: DataFrame, k: int) -> DataFrame:
+    """cls, n, tokens (sorted hashes) of each class of live."""
+    heads = sets.join(store.checked_broadcast(live), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("live_id"))
+    heads = store.table(heads, "jaccard-live-heads")
+    texts = docs.select("doc_id", "text").join(store.checked_broadcast(heads), F.col("doc_id") == F.col("live_id")).select("cls", "text")
+    unnamed = store.table(heads.where("live_id is null").select(F.col("cls").alias("seen")), "jaccard-unnamed")
+    schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("seen", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -195,34 +177,32 @@ def _live_sets(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) ->
                 for i in range(b - a):
                     own = h[bounds[i] : bounds[i + 1]]
                     n.append(len(own))
-                    seen.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True))
+                    seen.append(_digest(own))
                     blob.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(n, pa.int64()), batch.column("shared"), pa.array(blob, pa.binary()), pa.array(seen, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("cls").cast(pa.int64()), pa.array(n, pa.int32()), pa.array(blob, pa.binary()), pa.array(seen, pa.int64())], schema=schema)
 
-    found = texts.mapInArrow(run, "cls long, n long, shared long, tokens binary, seen long").where("cls = seen").drop("seen").dropDuplicates(["cls"])
-    return store.table(found, "jaccard-tokens")
+    kind = "cls long, n int, tokens binary, seen long"
+    found = texts.mapInArrow(run, kind).where("cls = seen").select("cls", "n", "tokens")
+    if unnamed.count():
+        bare = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("cls"), "text").mapInArrow(run, kind)
+        found = found.union(bare.join(unnamed, "seen", "left_semi").select(F.col("seen").alias("cls"), "n", "tokens"))
+    return store.table(found.dropDuplicates(["cls"]), "jaccard-tokens")
 
 
-def _lists(live: DataFrame, num: int, den: int) -> DataFrame:
-    """sig, cls, n, shared: a row for each block of a set, under its own size class and the next."""
-    schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("shared", pa.int32())])
+def _shared(tokens: DataFrame) -> DataFrame:
+    """cls, own: how many of its shingles no other set has; only sets that have some."""
+    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64())])
 
     def run(batches):
-        sizes = SizeClasses(num, den)
         for batch in batches:
-            sig, cls, n, shared = [], [], [], []
-            for key, size, common, tokens in zip(*(batch.column(c).to_pylist() for c in ("cls", "n", "shared", "tokens")), strict=True):
-                own, c = np.frombuffer(tokens, np.uint64), sizes.of(size)
-                for at in (c, c + 1):
-                    found = np.unique(block_keys(own, at, *sizes.blocks(at)))
-                    sig.append(found.view(np.int64))
-                    cls.append(np.full(len(found), key))
-                    n.append(np.full(len(found), size))
-                    shared.append(np.full(len(found), common))
-            if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(t)) for v, t in ((sig, np.int64), (cls, np.int64), (n, np.int32), (shared, np.int32))], schema=schema)
+            own = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("tokens")]
+            if own:
+                cls = np.repeat(batch.column("cls").to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(cls)], schema=schema)
 
-    return live.mapInArrow(run, "sig long, cls long, n int, shared int")
+    each = tokens.select("cls", "tokens").mapInArrow(run, "token long, cls long")
+    once = each.groupBy("token").agg(F.count("*").alias("sets"), F.min("cls").alias("cls")).where("sets = 1")
+    return once.groupBy("cls").agg(F.count("*").alias("own"))
 
 
 def _compare(pairs: DataFrame, live: DataFrame) -> DataFrame:
@@ -264,11 +244,23 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(live: DataFrame, num: int, den: int) -> DataFrame:
+def _members(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Index lists (sig, cls, n, shared) and token sets (cls, n, tokens) of the classes that can have a linked class."""
+    lists = store.table(_lists(_heads(docs, sets), k, num, den), "jaccard-lists")
+    many = store.table(lists.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1").select("sig"), "jaccard-many")
+    met = store.table(lists.join(store.checked_broadcast(many), "sig", "left_semi").dropDuplicates(["sig", "cls"]), "jaccard-met")
+    live = met.groupBy("cls", "c").agg(F.count("*").alias("lists"), F.max("need").alias("need")).where("lists >= need")
+    live = store.table(live.select("cls").distinct(), "jaccard-live")
+    tokens = _tokens(docs, sets, live, k)
+    least = tokens.select("cls", "n").join(_shared(tokens), "cls", "left").select("cls", (F.col("n") - F.coalesce("own", F.lit(0))).cast("int").alias("shared"), "n")
+    least = store.table(least.where(f"shared * {den}L >= n * {num}L").select("cls", "shared"), "jaccard-shared")
+    return store.table(met.select("sig", "cls", "n").join(store.checked_broadcast(least), "cls"), "jaccard-members"), tokens
+
+
+def _links(members: DataFrame, live: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between classes that connect all classes that links connect."""
-    lists = _lists(live, num, den)
-    many = lists.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
-    members = store.table(lists.join(store.table(many, "jaccard-many"), "sig"), "jaccard-members")
+    size = members.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
+    members = store.table(members.join(size, "sig"), "jaccard-sized")
     met = members.groupBy("cls").agg(F.sum("size").alias("met"))
     lead = members.select("sig", "cls").join(met, "cls").groupBy("sig").agg(F.max(F.struct("met", "cls")).alias("lead"))
     lead = store.table(lead.select("sig", F.col("lead.cls").alias("leader"), F.col("lead.met").alias("leader_met")), "jaccard-leaders")
@@ -278,11 +270,11 @@ def _links(live: DataFrame, num: int, den: int) -> DataFrame:
     comp = components(linked.select("a", "b"))
 
     own = members.select("sig", "cls", "n", "shared").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    own = own.join(near.select(F.col("a").alias("cls"), F.col("b").alias("of"), F.col("common").alias("held")), "cls", "left")
+    own = own.join(near.select(F.col("a").alias("cls"), F.col("b").alias("of")), "cls", "left")
     split = own.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("sig")
     open_ = store.table(own.join(split, "sig").withColumn("family", F.coalesce("of", "cls")), "jaccard-open")
-    rest = _across(open_, num, den).union(_within(open_, live, num, den)).distinct()
-    more = store.table(_compare(rest, live).where(f"common * {den} >= either * {num}"), "jaccard-more")
+    rest = _compare(_across(open_, num, den).distinct(), live).union(_within(open_, live, num, den))
+    more = store.table(rest.where(f"common * {den} >= either * {num}"), "jaccard-more")
     return linked.select("a", "b").union(more.select("a", "b"))
 
 
@@ -306,23 +298,54 @@ def _across(open_: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _differences(sets: DataFrame, live: DataFrame) -> DataFrame:
-    """of, cls, n, d, token: a row for each of the d shingles that a set and its leader do not both have."""
+    """of, cls, n, apart: the sorted shingles that a set of n and its leader do not both have."""
     tokens = live.select("cls", "tokens")
     both = sets.select("cls", "of", "n").join(tokens.withColumnRenamed("tokens", "x"), "cls").join(tokens.withColumnsRenamed({"cls": "of", "tokens": "y"}), "of")
+    schema = pa.schema([("of", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("apart", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            apart = [np.setxor1d(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair), assume_unique=True).tobytes() for pair in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("of", "cls", "n")), pa.array(apart, pa.binary())], schema=schema)
+
+    return both.select("of", "cls", "n", "x", "y").mapInArrow(run, "of long, cls long, n int, apart binary")
+
+
+def _each(apart: DataFrame) -> DataFrame:
+    """of, cls, n, d, token: a row for each of the d differences of a set."""
     schema = pa.schema([("of", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("d", pa.int32()), ("token", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                own = np.setxor1d(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), assume_unique=True)
-                same = [np.full(len(own), batch.column(c)[i].as_py()) for c in ("of", "cls", "n")]
-                yield pa.RecordBatch.from_arrays([pa.array(v.astype(t.type.to_pandas_dtype())) for v, t in zip([*same, np.full(len(own), len(own)), own.view(np.int64)], schema, strict=True)], schema=schema)
+            own = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("apart")]
+            d = np.array([len(x) for x in own], np.int32)
+            if d.sum():
+                same = [np.repeat(batch.column(c).to_numpy(), d) for c in ("of", "cls", "n")]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*same, np.repeat(d, d), np.concatenate(own))], schema=schema)
+
+    return apart.mapInArrow(run, "of long, cls long, n int, d int, token long")
+
+
+def _derived(pairs: DataFrame, apart: DataFrame) -> DataFrame:
+    """a, b, common, either of pairs of one family, from their differences from the leader only: |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|."""
+    one = apart.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("apart").alias("x"))
+    other = apart.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("apart").alias("y"))
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", "x", "y")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("either", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            held = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in pair] for pair in zip(batch.column("x"), batch.column("y"), strict=True)]
+            differ = np.array([len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets], np.int64)
+            common = (held - differ) // 2
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common), pa.array(held - common)], schema=schema)
 
-    return both.select("of", "cls", "n", "x", "y").mapInArrow(run, "of long, cls long, n int, d int, token long")
+    return both.mapInArrow(run, "a long, b long, common long, either long")
 
 
 def _within(open_: DataFrame, live: DataFrame, num: int, den: int) -> DataFrame:
-    """Open pairs (a, b) of one family, from how each of its sets differs from their leader.
+    """a, b, common, either of open pairs of one family, from how each of its sets differs from their leader.
 
     With D(x) the symmetric difference of x and the leader, |x ^ y| = |D(x)| + |D(y)| -
     2 |D(x) & D(y)|, and linked sets have |x ^ y| <= r (|x| + |y|) with r = (1 - t) / (1 + t).
@@ -334,7 +357,8 @@ def _within(open_: DataFrame, live: DataFrame, num: int, den: int) -> DataFrame:
     """
     sets = open_.where("of is not null").select("cls", "of", "n", "shared", "comp").distinct()
     sets = store.table(sets, "jaccard-family")
-    rows = store.table(_differences(sets, live), "jaccard-differences")
+    apart = store.table(_differences(sets, live), "jaccard-differences")
+    rows = _each(apart)
     often = rows.groupBy("of", "token").agg(F.count("*").alias("often")).where("often > 1")
     at = F.row_number().over(Window.partitionBy("cls").orderBy("often", "token")) - 1
     # shingles that one set alone has come first in its order; they only count
@@ -345,14 +369,13 @@ def _within(open_: DataFrame, live: DataFrame, num: int, den: int) -> DataFrame:
     need = (F.col("x.d") + F.col("y.d")) * (num + den) - (F.col("x.n") + F.col("y.n")) * (den - num)
     left = F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at"))
     met = x.join(y, (F.col("x.of") == F.col("y.of")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & _fits(num, den) & (left * (2 * (num + den)) >= need))
-    return met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    return _derived(met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), apart)
 
 
 def join_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: sets are linked when den * |x & y| >= num * |x | y|."""
     sets = set_table(docs, k)
-    live = _live_sets(docs, sets, k, num, den)
-    comp = components(_links(live, num, den))
+    comp = components(_links(*_members(docs, sets, k, num, den), num, den))
     of = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     of = of.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     of = store.table(of, "jaccard-classes")
