@@ -29,7 +29,7 @@ def test_scalars(spark):
     assert one(spark, scalar.safe_ratio(F.lit(1.0), F.lit(0.0))) is None
     assert one(spark, scalar.number_or(F.lit("x"), 0.0)) == 0 and one(spark, scalar.number_or(F.lit("NaN"))) is None
     assert one(spark, scalar.epoch_millis(F.lit(1_735_689_600_000_000))) == 1_735_689_600_000 == one(spark, scalar.epoch_millis(F.lit(1_735_689_600_000)))
-    assert [one(spark, scalar.price_band(F.lit(p))) for p in (0.4, 0.5, 7.0, 99.0)] == [0, 1, 4, 7]
+    assert [one(spark, scalar.price_band_index(F.lit(p))) for p in (0.4, 0.5, 7.0, 99.0)] == [0, 1, 4, 7]
     assert one(spark, scalar.symbol_like(F.lit("BRK.B"))) and not one(spark, scalar.symbol_like(F.lit("12345678X")))
     assert one(spark, scalar.session_label(F.lit("2026-07-15 13:30:00").cast("timestamp"))) == "regular"
     summer = one(spark, F.date_format(scalar.local_clock_utc(F.lit("2026-07-15").cast("date"), 14, 0, "Europe/London"), "HH:mm"))

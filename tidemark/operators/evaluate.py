@@ -35,16 +35,19 @@ def matched_groups(rows: DataFrame, group: str, is_event: Column, rule: Column,
 
 
 def rule_stats(groups: DataFrame) -> DataFrame:
-    """One row: groups, hit rate, control rate, raw control rate, lift (infinite without control passes), difference."""
-    x = groups.agg(F.count("*").alias("groups"), F.avg("event_pass").alias("hit"), F.avg("control_rate").alias("control_pass"), (F.sum("control_passes") / F.sum("controls")).alias("raw_control_pass"), F.avg("difference").alias("difference"))
+    """One row: groups, hit rate, control rate, raw control rate, lift (infinite without control passes), difference; distinct symbols and dates if the groups have them."""
+    seen = [F.count_distinct(c).alias(f"{c}s") for c in ("symbol", "event_date") if c in groups.columns]
+    x = groups.agg(*seen, F.count("*").alias("groups"), F.avg("event_pass").alias("hit"), F.avg("control_rate").alias("control_pass"), (F.sum("control_passes") / F.sum("controls")).alias("raw_control_pass"), F.avg("difference").alias("difference"))
     lift = F.when(F.col("control_pass") > 0, F.col("hit") / F.col("control_pass")).when(F.col("hit") > 0, F.lit(float("inf")))
     return x.withColumn("lift", lift)
 
 
 def concentration(groups: DataFrame, key: str) -> DataFrame:
-    """One row: the key with the largest share of the summed positive differences."""
+    """One row: the key with the largest share of the summed positive differences (the smallest of equals); nulls if nothing is positive."""
     x = groups.groupBy(key).agg(F.sum(F.greatest(F.col("difference"), F.lit(0.0))).alias("gain"))
-    return x.agg(F.max_by(key, F.struct("gain", -F.col(key))).alias("top_key"), F.try_divide(F.max("gain"), F.sum("gain")).alias("top_share"), F.count(F.when(F.col("gain") > 0, 1)).alias("keys"))
+    # min_by on the negated gain takes the smallest key of equals, whatever its type
+    top = F.when(F.max("gain") > 0, F.min_by(key, F.struct(-F.col("gain"), key)))
+    return x.agg(top.alias("top_key"), F.try_divide(F.max("gain"), F.sum("gain")).alias("top_share"), F.count(F.when(F.col("gain") > 0, 1)).alias("keys"))
 
 
 def cluster_bootstrap(groups: DataFrame, cluster: str, reps: int = 10_000, seed: int = SEED) -> DataFrame:
@@ -58,6 +61,7 @@ def cluster_bootstrap(groups: DataFrame, cluster: str, reps: int = 10_000, seed:
         pdf = pdf.sort_values("c")
         s, n, rng = pdf.s.to_numpy(), pdf.n.to_numpy(), np.random.default_rng(seed)
         out = np.empty(reps)
+        # Spark calls this for no group at all if there are no clusters
         for k in range(reps):
             pick = rng.integers(0, len(s), len(s))
             out[k] = s[pick].sum() / n[pick].sum()
@@ -101,3 +105,161 @@ def strategy_summary(trades: DataFrame, by: list[str], pnl: str, filled: Column,
     best = top_k(done, by, [F.desc(pnl), *order], 3).groupBy(*by).agg(F.sum(pnl).alias("best3"))
     x = base.join(stats, by, "left").join(best, by, "left")
     return x.withColumn("fill_rate", F.col("filled") / F.col("trades")).withColumn("total_without_best3", F.col("total") - F.col("best3")).drop("best3")
+
+
+def daily_lower_bound(trades: DataFrame, by: list[str], day: str, pnl: str, reps: int = 10_000, seeds: dict | None = None, seed: int = 1702) -> DataFrame:
+    """by, days, lower: the 2.5 % point of the mean daily profit when days are drawn again; null below ten days.
+
+    Profits are summed by day in Spark; a key's days, bounded by the calendar, are drawn
+    with Python's own generator in order of the days, so the draws are reproducible.
+    ``seeds`` gives seeds for single keys (by the first column of by).
+    """
+    import random
+
+    seeds = seeds or {}
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf.sort_values("_day")["_pnl"].tolist()
+        n, low = len(values), None
+        if n >= 10:
+            rng = random.Random(seeds.get(key[0], seed))
+            means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(reps))
+            low = means[max(0, int(0.025 * reps) - 1)]
+        return pd.DataFrame([(*key, n, low)], columns=[*by, "days", "lower"])
+
+    days = trades.where(F.col(pnl).isNotNull()).groupBy(*by, F.col(day).alias("_day")).agg(F.sum(pnl).alias("_pnl"))
+    kinds = ", ".join(f"{c} {trades.schema[c].dataType.simpleString()}" for c in by)
+    return days.groupBy(*by).applyInPandas(draw, f"{kinds}, days long, lower double")
+
+
+# Names and limits of the ten gates of a strategy.
+GATES = {
+    "minimum_30_resolved_trades": "resolved_trade_count >= 30",
+    "minimum_15_trading_days": "market_days_with_resolved_trades >= 15",
+    "positive_primary_pnl": "total_pnl_usd > 0",
+    "profit_factor_at_least_1_25": "profit_factor >= 1.25",
+    "positive_at_10bps_each_side": "total_pnl_10bps_each_side > 0",
+    "positive_without_top3_winners": "pnl_without_top3_winners_usd > 0",
+    "bootstrap_lower_daily_mean_positive": "bootstrap_95pct_lower_mean_daily_pnl_usd > 0",
+    "drawdown_within_5000": "max_drawdown_usd >= -5000",
+    "maximum_10_consecutive_losses": "max_consecutive_losses <= 10",
+    "unresolved_exit_rate_at_most_1pct": "unresolved_exit_rate <= 0.01",
+}
+
+
+def gates(summary: DataFrame) -> DataFrame:
+    """Adds a boolean for each gate (null inputs fail it) and window_gate_passed."""
+    x = summary.withColumns({k: F.coalesce(F.expr(v), F.lit(False)) for k, v in GATES.items()})
+    every = F.lit(True)
+    for k in GATES:
+        every = every & F.col(k)
+    return x.withColumn("window_gate_passed", every)
+
+
+def backtest_summary(triggers: DataFrame, trades: DataFrame, by: str = "strategy", reps: int = 10_000, seeds: dict | None = None) -> DataFrame:
+    """A row for each strategy with triggers: counts, fills, exits, returns, streaks, drawdown, robustness and its gates.
+
+    triggers has the strategy and selected; trades has strategy, trade_date, rank, filled,
+    pnl_usd, return_pct, exit_reason, and pnl_0bps and pnl_10bps of the friction scenarios.
+    A filled trade without a profit has an unresolved exit.
+    """
+    from tidemark.operators.ordered import equity_drawdown, longest_streak, top_k
+
+    entered = trades.where("filled")
+    done = entered.where("pnl_usd is not null")
+    t = triggers.groupBy(by).agg(F.count("*").alias("trigger_count"), F.count_if(F.coalesce("selected", F.lit(False))).alias("selected_count"))
+    a = trades.groupBy(by).agg(F.count("*").alias("_trades"), F.count_if(F.col("filled")).alias("entry_fill_count"))
+    gain, loss = F.sum(F.when(F.col("pnl_usd") > 0, F.col("pnl_usd")).otherwise(0.0)), F.sum(F.when(F.col("pnl_usd") < 0, F.col("pnl_usd")).otherwise(0.0))
+    wins, losses = F.count_if(F.col("pnl_usd") > 0), F.count_if(F.col("pnl_usd") < 0)
+    d = done.groupBy(by).agg(
+        F.count("*").alias("resolved_trade_count"),
+        *(F.count_if(F.col("exit_reason") == k).alias(n) for k, n in (("target", "target_count"), ("stop", "stop_count"), ("time", "time_exit_count"))),
+        (wins / F.count("*")).alias("win_rate"),
+        F.avg("return_pct").alias("mean_return_pct"),
+        F.median("return_pct").alias("median_return_pct"),
+        F.sum("pnl_usd").alias("total_pnl_usd"),
+        F.when(losses > 0, gain / F.abs(loss)).when(wins > 0, 999.0).alias("profit_factor"),
+        F.count_distinct("trade_date").alias("market_days_with_resolved_trades"),
+    )
+    s = entered.groupBy(by).agg(*(e for k in ("0bps", "10bps") for e in (F.sum(f"pnl_{k}").alias(f"total_pnl_{k}_each_side"), F.count(f"pnl_{k}").alias(f"resolved_trades_{k}_each_side"))))
+    days = done.groupBy(by, "trade_date").agg(F.sum("pnl_usd").alias("pnl"))
+    fall = equity_drawdown(days, [by], ["trade_date"], "pnl").select(by, (-F.col("drawdown")).alias("max_drawdown_usd"))
+    bad = longest_streak(done, [by], ["trade_date", "rank"], F.col("pnl_usd") < 0).withColumnRenamed("streak", "max_consecutive_losses")
+    bad_days = longest_streak(days, [by], ["trade_date"], F.col("pnl") < 0).withColumnRenamed("streak", "max_consecutive_losing_days")
+    best = top_k(done, [by], [F.desc("pnl_usd"), "trade_date", "rank"], 3, "_k").groupBy(by).agg(F.sum("pnl_usd").alias("_best3"))
+    low = daily_lower_bound(done, [by], "trade_date", "pnl_usd", reps, seeds).select(by, F.col("lower").alias("bootstrap_95pct_lower_mean_daily_pnl_usd"))
+    x = t
+    for part in (a, d, s, fall, bad, bad_days, best, low):
+        x = x.join(part, by, "left")
+    zero = ["entry_fill_count", "resolved_trade_count", "target_count", "stop_count", "time_exit_count", "market_days_with_resolved_trades", "max_consecutive_losses", "max_consecutive_losing_days", "resolved_trades_0bps_each_side", "resolved_trades_10bps_each_side"]
+    x = x.na.fill(0, zero).na.fill(0.0, ["total_pnl_usd", "max_drawdown_usd"])
+    x = x.withColumns({"fill_rate": F.try_divide(F.col("entry_fill_count"), F.col("_trades")), "unresolved_exit_count": F.col("entry_fill_count") - F.col("resolved_trade_count"), "pnl_without_top3_winners_usd": F.when(F.col("resolved_trade_count") > 3, F.col("total_pnl_usd") - F.col("_best3"))})
+    return gates(x.withColumn("unresolved_exit_rate", F.coalesce(F.try_divide(F.col("unresolved_exit_count"), F.col("entry_fill_count")), F.lit(0.0)))).drop("_trades", "_best3")
+
+
+# What a rule must reach in an external validation.
+CRITERIA = {
+    "minimum_usable_matched_groups": 200,
+    "minimum_event_dates": 30,
+    "minimum_symbols": 50,
+    "minimum_matched_lift": 1.5,
+    "maximum_single_symbol_share_of_positive_advantage": 0.10,
+    "minimum_eligible_months": 4,
+    "minimum_groups_per_eligible_month": 20,
+    "minimum_fraction_of_eligible_months_with_positive_effect": 0.75,
+    "minimum_median_eligible_month_lift": 1.25,
+}
+
+
+def monthly(groups: DataFrame, month: str = "month") -> DataFrame:
+    """month, groups, hit, control_pass, difference, lift (infinite without control passes)."""
+    x = groups.groupBy(month).agg(F.count("*").alias("groups"), F.avg("event_pass").alias("hit"), F.avg("control_rate").alias("control_pass"), F.avg("difference").alias("difference"))
+    return x.withColumn("lift", F.when(F.col("control_pass") > 0, F.col("hit") / F.col("control_pass")).when(F.col("hit") > 0, F.lit(float("inf"))))
+
+
+def validate_rule(rows: DataFrame, rule: Column, name: str, criteria: dict = CRITERIA, reps: int = 10_000, draws: int = 50_000) -> DataFrame:
+    """One row: the statistics of a rule on matched groups, its intervals, p-value, concentration, months, criteria and status.
+
+    rows are eligible samples: match_group_id, label (1 event, 0 control), symbol,
+    event_date (text). Without usable groups the status is insufficient_data.
+    """
+    is_event = F.col("label") == 1
+    g = matched_groups(rows, "match_group_id", is_event, rule, ["symbol", "event_date"]).withColumn("month", F.substring("event_date", 1, 7))
+    raw = rows.agg(F.avg(F.when(F.col("label") == 0, F.when(F.coalesce(rule, F.lit(False)), 1.0).otherwise(0.0))).alias("raw_control_pass_rate"))
+    m = monthly(g).where(F.col("groups") >= criteria["minimum_groups_per_eligible_month"])
+    months = m.agg(F.count("*").alias("eligible_months"), F.avg(F.when(F.col("difference") > 0, 1.0).otherwise(0.0)).alias("positive_month_fraction"), F.median(F.when(F.col("lift") < float("inf"), F.col("lift"))).alias("median_month_lift"))
+    by_date = cluster_bootstrap(g, "event_date", reps).select(F.col("lo").alias("date_lo"), F.col("hi").alias("date_hi"))
+    by_symbol = cluster_bootstrap(g, "symbol", reps).select(F.col("lo").alias("symbol_lo"), F.col("hi").alias("symbol_hi"))
+    x = rule_stats(g).drop("raw_control_pass").withColumn("rule", F.lit(name))
+    # each part is one row
+    for part in (raw, concentration(g, "symbol").drop("keys"), months, by_date, by_symbol, randomisation(rows, "match_group_id", is_event, rule, draws).select("p")):
+        x = x.join(F.broadcast(part), how="left")
+    c = F.col
+    checks = {
+        "usable_groups": c("groups") >= criteria["minimum_usable_matched_groups"],
+        "event_dates": c("event_dates") >= criteria["minimum_event_dates"],
+        "symbols": c("symbols") >= criteria["minimum_symbols"],
+        "matched_lift": c("lift") >= criteria["minimum_matched_lift"],
+        "date_cluster_ci": c("date_lo") > 0,
+        "symbol_cluster_ci": c("symbol_lo") > 0,
+        "symbol_concentration": c("top_share") <= criteria["maximum_single_symbol_share_of_positive_advantage"],
+        "eligible_month_count": c("eligible_months") >= criteria["minimum_eligible_months"],
+        "monthly_positive_fraction": c("positive_month_fraction") >= criteria["minimum_fraction_of_eligible_months_with_positive_effect"],
+        "median_month_lift": c("median_month_lift") >= criteria["minimum_median_eligible_month_lift"],
+    }
+    every = F.lit(True)
+    for v in checks.values():
+        every = every & F.coalesce(v, F.lit(False))
+    status = F.when(c("groups") == 0, "insufficient_data").when(every, "pass").otherwise("fail")
+    return x.withColumns({f"meets_{k}": F.coalesce(v, F.lit(False)) for k, v in checks.items()} | {"status": status})
+
+
+def external_validation(rows: DataFrame, rules: RuleRegistry | None = None, criteria: dict = CRITERIA, reps: int = 10_000, draws: int = 50_000) -> DataFrame:
+    """A row for each frozen rule over the eligible samples of rows, each judged on its own."""
+    from functools import reduce
+
+    from tidemark.operators.universe import eligible_samples
+
+    rules = rules if rules is not None else default_rules()
+    eligible = eligible_samples(rows)
+    return reduce(DataFrame.unionByName, [validate_rule(eligible, rule, name, criteria, reps, draws) for name, rule in rules.items()])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import adjusted_skew
+from tidemark.functions.scalar import adjusted_skew, price_band
 
 
 def window_metrics(samples: DataFrame, b: DataFrame, by: str, at: str, windows: list[int], span: int) -> DataFrame:
@@ -75,7 +75,7 @@ def log_trend(rows: DataFrame, by: list[str], order: list[str], price: str, most
 def distribution(x: str, prefix: str = "") -> list[Column]:
     """Mean, deviation, adjusted skew, exact percentiles and positive share of a column."""
     c = F.col(x)
-    qs = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+    qs = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
     return [F.avg(c).alias(f"{prefix}mean"), F.stddev_samp(c).alias(f"{prefix}std"), adjusted_skew(c).alias(f"{prefix}skew"), F.min(c).alias(f"{prefix}min"), *(F.percentile(c, q).alias(f"{prefix}{n}") for n, q in qs.items()), F.max(c).alias(f"{prefix}max"), F.avg(F.when(c > 0, 1.0).otherwise(0.0)).alias(f"{prefix}positive")]
 
 
@@ -99,14 +99,29 @@ def outcomes(samples: DataFrame, b: DataFrame, by: str, at: str, horizon: int) -
     return x.groupBy("sample_id").agg((F.max(F.try_divide(F.col("high"), F.col("price"))) - 1).alias("max_gain"), (F.min(F.try_divide(F.col("low"), F.col("price"))) - 1).alias("max_fall"))
 
 
+def window_median(value: Column, window) -> Column:
+    """Exact median of a column over an ordered frame of a few rows (the aggregate has no such form)."""
+    own = F.sort_array(F.collect_list(value).over(window))
+    n = F.size(own)
+    return F.when(n > 0, (F.get(own, F.floor((n - 1) / 2).cast("int")) + F.get(own, F.floor(n / 2).cast("int"))) / 2)
+
+
 def daily_features(daily: DataFrame, by: list[str], day: str, n: int = 10) -> DataFrame:
-    """Features of each day from the n days before it only: median volume, momentum, prior return, deviation of log returns."""
+    """Features of each day from the n days before it only: median volume and dollar volume, momentum, prior return, deviation of log returns, ATR, band, logs.
+
+    Returns are those between the n days; a day with fewer days before it goes, and so
+    does one with a price that isn't positive.
+    """
     w = W.partitionBy(*by).orderBy(day)
     past = w.rowsBetween(-n, -1)
     x = daily.withColumn("_lr", F.log(F.col("close") / F.lag("close").over(w)))
     x = x.withColumn("history", F.count("close").over(past)).withColumn("prior_close", F.lag("close").over(w))
-    x = x.withColumn("mean_volume", F.avg("n").over(past))
+    x = x.withColumn("median_volume", window_median(F.col("n"), past)).withColumn("median_dollar_volume", window_median(F.col("close") * F.col("n"), past))
+    prev = F.lag("close").over(w)
+    x = x.withColumn("_tr", F.when(prev > 0, F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)) / prev))
+    x = x.withColumn("atr_pct", window_median(F.col("_tr"), past)).withColumn("listing_sessions", F.row_number().over(w) - 1).withColumn("_least", F.min("close").over(past))
     inner = w.rowsBetween(-(n - 1), -1)
     x = x.withColumn("realized_vol", F.stddev_samp("_lr").over(inner)).withColumn("prior_return", F.lag("close").over(w) / F.lag("close", 2).over(w) - 1)
     x = x.withColumn("momentum", F.lag("close").over(w) / F.lag("close", n).over(w) - 1).withColumn("no_hit", F.col("high") < F.col("prior_close") * 1.25)
-    return x.where(F.col("history") == n).drop("_lr")
+    x = x.withColumns({"price_band": price_band(F.col("prior_close")), "log_prior_close": F.log(F.greatest("prior_close", F.lit(1e-9))), "log_median_dollar_volume": F.log(F.greatest("median_dollar_volume", F.lit(1.0))), "log_listing_sessions": F.log(F.greatest("listing_sessions", F.lit(1)))})
+    return x.where((F.col("history") == n) & (F.col("_least") > 0) & (F.col("high") > 0)).drop("_lr", "_tr", "_least")

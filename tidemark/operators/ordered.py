@@ -104,10 +104,13 @@ def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return top_k(rows, keys, order, 1, "_rank").drop("_rank")
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """existing with new's rows in place of those with equal keys; of new rows with one key, one stays.
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
+    """existing with new's rows in place of those with equal keys; of new rows with one key, the last in ``order`` stays.
 
-    new wins by an anti join, so existing rows are never sorted; nulls in keys are distinct as in SQL.
+    Without an order the largest row by all its columns stays, so the result does not
+    depend on partitions. new wins by an anti join, so existing rows are never sorted;
+    nulls in keys are distinct as in SQL.
     """
-    once = new.dropDuplicates(keys)
+    last = [F.desc(c) for c in (order or [c for c in new.columns if c not in keys])]
+    once = latest(new, keys, last or [F.lit(1)])
     return existing.join(once.select(*keys), keys, "left_anti").unionByName(once, allowMissingColumns=True)

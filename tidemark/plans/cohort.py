@@ -96,7 +96,7 @@ def a16(spark, sf):
 
 @query(
     "a17_rule_stats",
-    f"WITH x AS (SELECT count(*) AS groups, avg(event_pass) AS hit, avg(control_rate) AS control_pass, sum(control_passes) / sum(controls) AS raw, avg(event_pass - control_rate) AS d FROM ({GROUPS})) SELECT groups, round(hit, 6) AS hit, round(control_pass, 6) AS control_pass, round(raw, 6) AS raw_control_pass, round(d, 6) AS difference, round(hit / control_pass, 6) AS lift FROM x",
+    f"WITH x AS (SELECT count(DISTINCT symbol) AS symbols, count(*) AS groups, avg(event_pass) AS hit, avg(control_rate) AS control_pass, sum(control_passes) / sum(controls) AS raw, avg(event_pass - control_rate) AS d FROM ({GROUPS})) SELECT symbols, groups, round(hit, 6) AS hit, round(control_pass, 6) AS control_pass, round(raw, 6) AS raw_control_pass, round(d, 6) AS difference, round(hit / control_pass, 6) AS lift FROM x",
 )
 def a17(spark, sf):
     return rounded(evaluate.rule_stats(groups(spark, sf)))
@@ -252,7 +252,7 @@ def p23(spark, sf):
     return load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(",", flags).alias("flags"))
 
 
-@query("f07_price_band", "SELECT l_orderkey AS id, l_linenumber AS line, (l_discount * 1000 >= 0.5)::INT + (l_discount * 1000 >= 1)::INT + (l_discount * 1000 >= 2)::INT + (l_discount * 1000 >= 5)::INT + (l_discount * 1000 >= 10)::INT + (l_discount * 1000 >= 20)::INT + (l_discount * 1000 >= 50)::INT AS band FROM lineitem")
+@query("f07_price_band", "SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN d < 0.5 THEN 'lt_0_5' WHEN d < 1 THEN '0_5_1' WHEN d < 2 THEN '1_2' WHEN d < 5 THEN '2_5' WHEN d < 10 THEN '5_10' WHEN d < 20 THEN '10_20' WHEN d < 50 THEN '20_50' ELSE 'gte_50' END AS band FROM (SELECT *, l_discount * 1000 AS d FROM lineitem)")
 def f07(spark, sf):
     return load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), scalar.price_band(F.col("l_discount") * 1000).alias("band"))
 

@@ -280,7 +280,7 @@ def w18(spark, sf):
 @query(
     "w19_temporal_split",
     """WITH c AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), x AS (SELECT *, sum(n) OVER (ORDER BY day) - n AS before_, row_number() OVER (ORDER BY day DESC) AS left_, sum(n) OVER () AS total FROM c)
-    SELECT CAST(day AS VARCHAR) AS day, n, CASE WHEN before_ < total * 0.70 AND left_ > 2 THEN 'discovery' WHEN before_ < total * 0.85 AND left_ > 1 THEN 'validation' ELSE 'confirmation' END AS split FROM x""",
+    SELECT CAST(day AS VARCHAR) AS day, n, CASE WHEN before_ < total * 0.70 AND left_ > 2 THEN 'discovery' WHEN before_ < total * 0.85 AND left_ > 1 THEN 'validation' ELSE 'sealed_test' END AS split FROM x""",
 )
 def w19(spark, sf):
     counts = load(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
@@ -342,7 +342,7 @@ def a08(spark, sf):
 @query(
     "a09_distribution",
     f"SELECT kind, round(avg(price), 6) AS mean, round(stddev_samp(price), 6) AS std, round(skewness(price), 6) AS skew, min(price) AS min, "
-    + ", ".join(f"round(quantile_cont(price, {q}), 6) AS {n}" for n, q in (("p05", 0.05), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95)))
+    + ", ".join(f"round(quantile_cont(price, {q}), 6) AS {n}" for n, q in (("p01", 0.01), ("p05", 0.05), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95), ("p99", 0.99)))
     + f", max(price) AS max, round(avg(CASE WHEN price > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive FROM ({TICKS}) GROUP BY 1",
 )
 def a09(spark, sf):
@@ -374,12 +374,12 @@ def a13(spark, sf):
 @query(
     "a14_daily_features",
     f"""WITH d AS ({DAILY}), l AS (SELECT *, ln(close / lag(close) OVER w) AS lr FROM d WINDOW w AS (PARTITION BY symbol ORDER BY day)),
-    x AS (SELECT symbol, day, count(close) OVER p AS history, lag(close) OVER w AS prior_close, avg(n) OVER p AS mean_volume, stddev_samp(lr) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS realized_vol, lag(close) OVER w / lag(close, 2) OVER w - 1 AS prior_return, lag(close) OVER w / lag(close, 10) OVER w - 1 AS momentum, high FROM l
+    x AS (SELECT symbol, day, count(close) OVER p AS history, lag(close) OVER w AS prior_close, median(n) OVER p AS median_volume, stddev_samp(lr) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS realized_vol, lag(close) OVER w / lag(close, 2) OVER w - 1 AS prior_return, lag(close) OVER w / lag(close, 10) OVER w - 1 AS momentum, high FROM l
     WINDOW w AS (PARTITION BY symbol ORDER BY day), p AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
-    SELECT symbol, CAST(day AS VARCHAR) AS day, prior_close, round(mean_volume, 6) AS mean_volume, round(realized_vol, 6) AS realized_vol, round(prior_return, 6) AS prior_return, round(momentum, 6) AS momentum, high < prior_close * 1.25 AS no_hit FROM x WHERE history = 10""",
+    SELECT symbol, CAST(day AS VARCHAR) AS day, prior_close, round(median_volume, 6) AS median_volume, round(realized_vol, 6) AS realized_vol, round(prior_return, 6) AS prior_return, round(momentum, 6) AS momentum, high < prior_close * 1.25 AS no_hit FROM x WHERE history = 10""",
 )
 def a14(spark, sf):
-    return rounded(features.daily_features(daily_orders(spark, sf), ["symbol"], "day").select("symbol", F.col("day").cast("string").alias("day"), "prior_close", "mean_volume", "realized_vol", "prior_return", "momentum", "no_hit"))
+    return rounded(features.daily_features(daily_orders(spark, sf), ["symbol"], "day").select("symbol", F.col("day").cast("string").alias("day"), "prior_close", "median_volume", "realized_vol", "prior_return", "momentum", "no_hit"))
 
 
 @query(
@@ -394,7 +394,7 @@ def a33(spark, sf):
 
 @query(
     "a24_session_summary",
-    f"""WITH x AS (SELECT symbol, us, price, CASE WHEN m BETWEEN 240 AND 569 THEN 'pre_market' WHEN m BETWEEN 570 AND 959 THEN 'regular' WHEN m BETWEEN 960 AND 1199 THEN 'after_hours' ELSE 'closed' END AS session FROM
+    f"""WITH x AS (SELECT symbol, us, price, CASE WHEN m BETWEEN 240 AND 569 THEN 'premarket' WHEN m BETWEEN 570 AND 959 THEN 'regular' WHEN m BETWEEN 960 AND 1199 THEN 'afterhours' ELSE 'overnight' END AS session FROM
     (SELECT *, hour(timezone('America/New_York', to_timestamp(sec))) * 60 + minute(timezone('America/New_York', to_timestamp(sec))) AS m FROM ({TICKS})))
     SELECT session, count(*) AS n, round(sum(price), 4) AS volume, count(DISTINCT symbol) AS symbols FROM x GROUP BY 1""",
 )

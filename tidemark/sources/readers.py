@@ -14,7 +14,7 @@ from tidemark.functions.scalar import epoch_millis
 from tidemark.operators.ordered import latest
 
 #: Columns of a kline archive, in file order.
-KLINE_COLUMNS = ["open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trade_count", "taker_buy_base_volume", "taker_buy_quote_volume", "ignored"]
+KLINE_COLUMNS = ["open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trade_count", "taker_buy_base_volume", "taker_buy_quote_volume", "ignore"]
 KLINE_DDL = "open_time long, open double, high double, low double, close double, volume double, close_time long, quote_volume double, trade_count long, taker_buy_base_volume double, taker_buy_quote_volume double"
 
 
