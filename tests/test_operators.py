@@ -149,8 +149,8 @@ def test_statistics_are_reproducible(spark):
 
 def test_splits(spark):
     days = lambda counts: [r.split[0] for r in sorted(splits.chronological(spark.createDataFrame(list(enumerate(counts)), "day long, n long"), "day", "n").collect())]
-    assert "".join(days([10] * 20)) == "d" * 14 + "v" * 3 + "c" * 3
-    assert days([100, 1, 1]) == ["d", "v", "c"] and days([5, 5]) == ["d", "v"] and days([5]) == ["d"]
+    assert "".join(days([10] * 20)) == "d" * 14 + "v" * 3 + "s" * 3
+    assert days([100, 1, 1]) == ["d", "v", "s"] and days([5, 5]) == ["d", "v"] and days([5]) == ["d"]
 
 
 def test_archives_and_checksums(spark, tmp_path):
@@ -177,9 +177,16 @@ def test_sinks(spark, tmp_path):
         writers.grouped_parts(df, "grp", "size", 100).collect()
     writers.write_parquet(df, f"{tmp_path}/t", "overwrite")
     new = spark.createDataFrame([(5, 99, 1), (777, 1, 1)], df.schema)
-    for _ in range(2):  # a replay leaves the same table
-        writers.write_upsert(new, f"{tmp_path}/t", ["id"], f"{tmp_path}/staging")
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 201
+    writers.write_upsert(df, f"{tmp_path}/u", ["id"])
+    for _ in range(2):  # a replay leaves the same rows
+        writers.write_upsert(new, f"{tmp_path}/u", ["id"])
+    assert writers.read_versioned(spark, f"{tmp_path}/u").count() == 201
+    # a version whose write did not commit is never read
+    new.write.parquet(f"{tmp_path}/u/v=9")
+    (tmp_path / "u" / "v=9" / "_SUCCESS").unlink()
+    assert writers.current_version(spark, f"{tmp_path}/u") == 3
+    twice = spark.createDataFrame([(5, 1, 1), (5, 2, 2)], df.schema)
+    assert ordered.upsert(df, twice, ["id"], ["size"]).where("id = 5").first().grp == 2
     writers.write_csv(df.withColumn("m", F.struct("id")), f"{tmp_path}/c", single=True)
     assert spark.read.option("header", True).csv(f"{tmp_path}/c").where("m = '{\"id\":5}'").count() == 1
     assert writers.pending(df, df.where("id < 150"), ["id"]).count() == 50

@@ -1,8 +1,8 @@
-"""Sinks: Parquet, CSV, JSON, upserts, size-bounded grouped parts and their manifest."""
+"""Sinks: Parquet, CSV, JSON, versioned upserts, size-bounded and grouped parts, manifests, resume guards."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,11 +32,88 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_upsert(df: DataFrame, path: str, keys: list[str], staging: str) -> None:
-    """Merges df into the Parquet table at path: the merged rows are staged first, so a failure leaves the table as it was."""
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """The newest complete version below a table's folder: the largest v=<n> whose write has committed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(f"{path.rstrip('/')}/v=*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    versions = [int(f.getPath().getParent().getName()[2:]) for f in found or []]
+    return max(versions, default=None)
+
+
+def read_versioned(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of a table."""
+    version = current_version(spark, path)
+    if version is None:
+        raise ValueError(f"no complete version below {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/v={version}")
+
+
+def write_upsert(df: DataFrame, path: str, keys: list[str], order: list | None = None) -> int:
+    """Merges df into the table at path as a new version, and returns its number.
+
+    Readers take the newest version whose write has committed (Spark's _SUCCESS mark, set
+    last), so a failure at any point leaves the table as it was; a replay merges the same
+    rows again. Of new rows with one key the last in ``order`` stays.
+    """
     spark = df.sparkSession
-    upsert(spark.read.parquet(path), df, keys).write.mode("overwrite").parquet(staging)
-    spark.read.parquet(staging).write.mode("overwrite").parquet(path)
+    version = current_version(spark, path)
+    merged = df if version is None else upsert(read_versioned(spark, path), df, keys, order)
+    if version is None:
+        merged = upsert(df.limit(0), df, keys, order)
+    merged.write.mode("overwrite").option("compression", "zstd").parquet(f"{path.rstrip('/')}/v={(version or 0) + 1}")
+    return (version or 0) + 1
+
+
+def write_fixed(df: DataFrame, path: str, schema: T.StructType | str, mode: str = "append") -> None:
+    """Parquet under a declared schema: its columns in its order and types; a missing column or a value that does not fit is an error."""
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    out = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
+    out.write.mode(mode).option("compression", "zstd").parquet(path)
+
+
+def write_export(df: DataFrame, path: str) -> None:
+    """Parquet for export: nested values as JSON text; an empty table is written as one with a single column ``empty`` and no row."""
+    out = flat(df)
+    if df.isEmpty():
+        out = df.sparkSession.createDataFrame([], "empty boolean")
+    out.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def union_of_keys(frames: list[DataFrame]) -> DataFrame:
+    """Rows of frames with different columns under all their columns, in order of appearance; missing values are null."""
+    names = list(dict.fromkeys(c for f in frames for c in f.columns))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out.select(*names)
+
+
+def bounded_parts(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Adds part: rows packed so that a part's rows stay within ``limit`` bytes of JSON; a larger row is an error.
+
+    Rows are dealt to buckets by a hash of the keys, enough of them for half the limit
+    each, and cut by the running sum inside a bucket, so no task holds more than a few
+    parts and a retry deals the same.
+    """
+    size = F.octet_length(F.to_json(F.struct(*df.columns))).cast("long")
+    x = df.withColumn("_bytes", size)
+    total = x.agg(F.sum("_bytes")).first()[0] or 0
+    over = F.raise_error(F.lit("row larger than the limit")).cast("long")
+    x = x.withColumn("_bytes", F.when(F.col("_bytes") > limit, over).otherwise(F.col("_bytes")))
+    x = x.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(int(max(1, -(-2 * total // limit))))))
+    w = W.partitionBy("_bucket").orderBy(*keys, *[c for c in df.columns if c not in keys]).rowsBetween(W.unboundedPreceding, 0)
+    run = F.sum("_bytes").over(w)
+    # a row of more than half the limit is a part of its own
+    small = F.sum(F.when(F.col("_bytes") * 2 <= limit, F.col("_bytes")).otherwise(0)).over(w)
+    own = F.when(F.col("_bytes") * 2 > limit, F.concat_ws("-", F.lit("own"), "_bucket", run))
+    return x.withColumn("part", F.coalesce(own, F.concat_ws("-", "_bucket", F.floor((small - 1) / (limit / 2))))).drop("_bytes", "_bucket")
+
+
+def file_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes, sha256 of the files below a folder, read in the tasks."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return raw.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def grouped_parts(df: DataFrame, group: str, size: str, limit: int, buckets: int = 64) -> DataFrame:
@@ -65,3 +142,20 @@ def manifest(df: DataFrame, part: str, size: str) -> DataFrame:
 def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Units of work that no completed run has recorded: resuming is an anti join on a table of finished keys."""
     return work.join(done.select(*keys), keys, "left_anti")
+
+
+def guard_frozen(spark: SparkSession, path: str, name: str, digest: str) -> None:
+    """Records the digest of a frozen input under a name, or raises if a run recorded another: a resumed study must see the same universe."""
+    version = current_version(spark, path)
+    if version is not None:
+        seen = [r.digest for r in read_versioned(spark, path).where(F.col("name") == name).select("digest").collect()]
+        if seen:
+            if seen != [digest]:
+                raise ValueError(f"{name} changed since the study began")
+            return
+    write_upsert(spark.createDataFrame([(name, digest)], "name string, digest string"), path, ["name"])
+
+
+def without_partial(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of completed units only: what a broken run left of others goes before the resume."""
+    return rows.join(done.select(*keys).distinct(), keys, "left_semi")

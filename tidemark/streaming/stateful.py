@@ -54,6 +54,48 @@ def surges(bars: DataFrame, by: str = "symbol", window: int = 480, rise: float =
     return bars.select(by, "minute", "high", "low").groupBy(by).applyInPandasWithState(step, f"{by} long, day long, minute long, high double, base_low double, base_minute long", "minutes array<long>, lows array<double>, day long", "append", GroupStateTimeout.NoTimeout)
 
 
+def surges_by_event_time(bars: DataFrame, by: str = "symbol", ts: str = "ts", window: int = 480, rise: float = 1.25) -> DataFrame:
+    """First rolling surge of each key and day on a stream with a watermark, whatever the order in which bars arrive.
+
+    bars has ts (the minute as a timestamp, under a watermark), high and low. A bar waits in
+    the state until the watermark has passed it, so late bars within the delay take their
+    place; later ones are dropped as the stream's own rule does. A key that has been quiet
+    for a window beyond the watermark leaves the state.
+    """
+
+    def step(key: tuple, frames, state: GroupState):
+        minutes, lows, day, at, highs_, lows_ = state.get if state.exists else ([], [], -1, [], [], [])
+        held = list(zip(minutes, lows, strict=True))
+        wait = list(zip(at, highs_, lows_, strict=True))
+        for pdf in frames:
+            wait += [(int(m), float(h), float(lo)) for m, h, lo in zip(pdf["minute"], pdf["high"], pdf["low"], strict=True)]
+        mark = state.getCurrentWatermarkMs() // 60_000
+        out, later = [], []
+        for minute, high, low in sorted(wait):
+            if minute >= mark:
+                later.append((minute, high, low))
+                continue
+            held = [x for x in held if x[0] >= minute - (window - 1)]
+            if held and minute // 1440 > day and high + 1e-15 >= held[0][1] * rise:
+                day = minute // 1440
+                out.append((key[0], day, minute, high, held[0][1], held[0][0]))
+            while held and held[-1][1] >= low:
+                held.pop()
+            held.append((minute, low))
+        newest = max([m for m, *_ in later] + [m for m, _ in held], default=None)
+        if newest is None or (not later and newest + window < mark):
+            state.remove()
+        else:
+            state.update(([m for m, _ in held], [v for _, v in held], int(day), [m for m, *_ in later], [h for _, h, _ in later], [v for *_, v in later]))
+            # wake when the watermark passes the first waiting bar, or the window after the last one
+            wake = (min(m for m, *_ in later) + 1 if later else newest + window + 1) * 60_000
+            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["symbol", "day", "minute", "high", "base_low", "base_minute"])
+
+    x = bars.select(by, ts, F.expr(f"unix_seconds({ts}) div 60").alias("minute"), "high", "low")
+    return x.groupBy(by).applyInPandasWithState(step, f"{by} long, day long, minute long, high double, base_low double, base_minute long", "minutes array<long>, lows array<double>, day long, at array<long>, highs array<double>, waiting array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def idempotent_sink(path: str, keys: list[str]):
     """A foreachBatch function: each epoch overwrites its own folder, so a replayed epoch leaves the same rows."""
 
@@ -61,3 +103,13 @@ def idempotent_sink(path: str, keys: list[str]):
         df.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
+
+
+def upsert_sink(path: str, keys: list[str], order: list[str]):
+    """A foreachBatch function that merges each epoch into a versioned table by deterministic keys: replays and rows repeated in later epochs leave one row."""
+    from tidemark.sources.writers import write_upsert
+
+    def write(df: DataFrame, epoch: int) -> None:
+        write_upsert(df, path, keys, order)
+
+    return write
