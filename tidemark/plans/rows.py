@@ -331,3 +331,12 @@ def a35(spark, sf):
 @query("w20_fixed_split", "SELECT o_orderkey AS id, CASE WHEN d <= DATE '1996-06-09' THEN 'discovery' WHEN d <= DATE '1997-06-24' THEN 'validation' ELSE 'sealed_test' END AS split FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)")
 def w20(spark, sf):
     return load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), splits.fixed(F.col("o_orderdate").cast("date"), "1996-06-09", "1997-06-24").alias("split"))
+
+
+@query("o04_result_route", "SELECT o_orderkey AS id, o_totalprice AS gain, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS event_date FROM orders WHERE o_totalprice >= 250000 AND o_orderstatus = 'O' AND contains(lower(o_orderpriority), 'urgent') ORDER BY CAST(o_orderdate AS DATE) DESC, o_totalprice DESC LIMIT 40")
+def o04_route(spark, sf):
+    from tidemark.plans import routes
+
+    o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("high_vs_prior_close_pct"), F.col("o_orderdate").cast("date").alias("event_date"), F.col("o_orderstatus").alias("scan_id"), F.lit(True).alias("currently_tradable"), F.lit(None).cast("string").alias("company"), F.col("o_orderpriority").alias("symbol"))
+    x = routes.select(o, routes.ROUTES["results"], search="URGENT", limit=40, scan_id="O", minimum_gain=250000.0)
+    return x.select("id", F.col("high_vs_prior_close_pct").alias("gain"), F.col("event_date").cast("string").alias("event_date"))

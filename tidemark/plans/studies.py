@@ -220,3 +220,115 @@ def x06(spark, sf):
     x = surge.session_scan(b.withColumn("volume", F.col("n")), ["symbol"], "day", "at", F.col("day") * 86400 + 34200, F.col("day") * 86400 + 57600)
     r = lambda c: F.round(c, 6).alias(c)
     return x.where("qualifies").select("symbol", "day", r("threshold_price"), "session_high", "session_low", "session_close", "session_trade_count", r("opening_gap_pct"), r("high_vs_prior_close_pct"), "minutes_from_open_to_cross", "minutes_from_open_to_peak")
+
+
+# --- cohorts of surges ------------------------------------------------------------------
+
+
+@query(
+    "x01_surge_scan",
+    f"""WITH t AS (SELECT symbol % 10 AS symbol, us // 1000 AS ms, seq, price, (seq % 7 + 1)::DOUBLE AS size, seq % 2 = 0 AS seller FROM ({TICKS}) WHERE price > 0), b AS (SELECT symbol, ms // 60000 AS minute, max(price) AS high, min(price) AS low FROM t GROUP BY 1, 2),
+    x AS (SELECT *, min({{{{'l': low, 'm': -minute}}}}) OVER (PARTITION BY symbol ORDER BY minute RANGE BETWEEN 479 PRECEDING AND 1 PRECEDING) AS base FROM b),
+    e AS (SELECT symbol, minute // 1440 AS day, minute, base.l AS base_low, -base.m AS base_minute, base.l * 1.25 AS threshold FROM x WHERE base IS NOT NULL AND high + 1e-15 >= base.l * 1.25 QUALIFY row_number() OVER (PARTITION BY symbol, minute // 1440 ORDER BY minute) = 1),
+    a AS (SELECT e.symbol, e.day, max(t.ms) AS baseline_ms FROM e JOIN t ON t.symbol = e.symbol AND t.ms // 60000 = e.base_minute AND abs(t.price - base_low) <= 1e-12 * base_low GROUP BY 1, 2),
+    c AS (SELECT e.symbol, e.day, min(t.ms) AS cross_ms, arg_min(t.price, (t.ms, t.seq)) AS crossing_trade_price FROM e JOIN t ON t.symbol = e.symbol AND t.ms // 60000 = e.minute AND t.price + 1e-12 * base_low >= threshold GROUP BY 1, 2),
+    s AS (SELECT c.symbol, c.day, sum(t.price * t.size) FILTER (t.seller) AS sold, min(t.ms) FILTER (t.seller) AS first_at FROM c JOIN t ON t.symbol = c.symbol AND t.ms >= c.cross_ms AND t.ms <= c.cross_ms + 86400000 GROUP BY 1, 2)
+    SELECT e.symbol, e.day, e.minute, e.base_minute, e.base_low, a.baseline_ms, c.cross_ms, c.crossing_trade_price, round(coalesce(sold, 0), 4) AS seller_notional_any_price, first_at AS first_seller_exit_at, coalesce((cross_ms - baseline_ms) / 1000 > 0 AND (cross_ms - baseline_ms) / 1000 <= 28800, FALSE) AS exact_window_pass, coalesce((cross_ms - baseline_ms) / 1000 > 0 AND (cross_ms - baseline_ms) / 1000 <= 28800, FALSE) AND coalesce(sold, 0) >= 100 AS sellability_pass
+    FROM e LEFT JOIN a USING (symbol, day) LEFT JOIN c USING (symbol, day) LEFT JOIN s USING (symbol, day)""".replace("{{", "{").replace("}}", "}"),
+)
+def x01(spark, sf):
+    from tidemark.operators import cohorts
+
+    t = ticks(spark, sf).where("price > 0").select((F.col("symbol") % 10).alias("symbol"), F.expr("us div 1000").alias("ms"), "seq", "price", (F.col("seq") % 7 + 1).cast("double").alias("size"), (F.col("seq") % 2 == 0).alias("seller"))
+    b = t.groupBy("symbol", F.expr("ms div 60000").alias("minute")).agg(F.max("price").alias("high"), F.min("price").alias("low"))
+    x = cohorts.surge_scan(b, t, "symbol", "scan", confirm_s=86400, target=100.0)
+    return x.select("symbol", "day", "minute", "base_minute", "base_low", "baseline_ms", "cross_ms", "crossing_trade_price", F.round("seller_notional_any_price", 4).alias("seller_notional_any_price"), "first_seller_exit_at", "exact_window_pass", "sellability_pass")
+
+
+def _hour_grid(spark, sf):
+    from tidemark.operators import ordered, surge
+    from tidemark.plans.features import bars
+
+    grid = ordered.dense_grid(bars(spark, sf), ["symbol"], "step", 1)
+    return surge.crossing_mask(grid, ["symbol"], "step", 3, 30.0)
+
+
+@query(
+    "j10_candidate_quality",
+    f"""WITH b AS (SELECT symbol % 8 AS symbol, sec // 3600 AS step, max(price) AS high, min(price) AS low, sum(price) AS q FROM ({TICKS}) WHERE price > 0 GROUP BY 1, 2), r AS (SELECT symbol, min(step) AS a, max(step) AS z FROM b GROUP BY 1), g AS (SELECT r.symbol, s.step FROM r, LATERAL (SELECT unnest(generate_series(r.a, r.z)) AS step) s),
+    d AS (SELECT g.symbol, g.step, b.high, b.low, b.q, b.low IS NOT NULL AS seen FROM g LEFT JOIN b USING (symbol, step)), m AS (SELECT *, coalesce(sum(seen::INT) OVER w = 2 AND high >= min(low) OVER w * 30, FALSE) AS crossing FROM d WINDOW w AS (PARTITION BY symbol ORDER BY step ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING)),
+    n AS (SELECT seq AS event, symbol % 8 AS symbol, sec // 3600 AS step FROM ({TICKS}) WHERE kind = 'signup'),
+    k AS (SELECT n.event, r.a, r.z, n.step, count(*) FILTER (m.step BETWEEN n.step - 2 AND n.step + 1 AND seen) AS lo, count(*) FILTER (m.step BETWEEN n.step - 2 AND n.step + 1 AND crossing) AS lc, count(*) FILTER (m.step BETWEEN n.step - 26 AND n.step - 3 AND seen) AS ho, count(*) FILTER (m.step BETWEEN n.step - 4 AND n.step - 3 AND seen) AS e1, count(*) FILTER (m.step BETWEEN n.step - 3 AND n.step - 2 AND seen) AS e0, sum(m.q) FILTER (m.step BETWEEN n.step - 4 AND n.step - 3) AS q1, sum(m.q) FILTER (m.step BETWEEN n.step - 3 AND n.step - 2) AS q0 FROM n JOIN r ON r.symbol = n.symbol LEFT JOIN m ON m.symbol = n.symbol AND m.step BETWEEN n.step - 26 AND n.step + 1 GROUP BY 1, 2, 3, 4),
+    c AS (SELECT event, CASE WHEN step - 2 < a OR step + 1 > z THEN 'outside_loaded_range' WHEN lo < 4 THEN 'missing_local_minutes' WHEN lc > 0 THEN 'near_25pct_crossing' WHEN step - 26 < a OR ho / 24 < 0.6 THEN 'insufficient_prior_history' WHEN e0 < 2 OR e1 < 2 THEN 'missing_entry_liquidity' WHEN least(q0, q1) < 100 THEN 'below_entry_liquidity_floor' ELSE 'pass' END AS reason, ho / 24 AS share, least(q0, q1) AS low FROM k)
+    SELECT event, reason, CASE WHEN reason IN ('pass', 'below_entry_liquidity_floor') THEN round(share, 6) END AS observed_fraction, CASE WHEN reason IN ('pass', 'below_entry_liquidity_floor') THEN round(low, 4) END AS minimum_liquidity FROM c""",
+)
+def j10(spark, sf):
+    from tidemark.operators import cohorts
+    from tidemark.plans.features import samples
+
+    x = cohorts.candidate_quality(samples(spark, sf).withColumnRenamed("sample_id", "event"), _hour_grid(spark, sf), "symbol", "step", "step", (1, 2), 24, 1, 1, 100.0, 2, 0.6)
+    return x.select("event", "reason", F.round("observed_fraction", 6).alias("observed_fraction"), F.round("minimum_liquidity", 4).alias("minimum_liquidity"))
+
+
+@query("x02_matched_controls")
+def x02(spark, sf):
+    from tidemark.operators import cohorts
+
+    # the first sign-up of each group in ten days is an event
+    e = ticks(spark, sf, "signup").groupBy((F.col("symbol") % 8).alias("symbol"), F.expr("sec div 864000").alias("_w")).agg(F.min("seq").alias("event"), F.min_by("sec", "seq").alias("sec")).drop("_w")
+    picks, _ = cohorts.matched_controls(e, _hour_grid(spark, sf), "symbol", "step", (1, 2), 24, 1, 1, 0.0, 5, 3600)
+    return picks
+
+
+@query(
+    "a33_window_audit",
+    f"""WITH b AS (SELECT symbol % 8 AS symbol, sec // 3600 AS step, max(price) AS high, min(price) AS low FROM ({TICKS}) WHERE price > 0 GROUP BY 1, 2), s AS (SELECT seq AS sample_id, symbol % 8 AS symbol, sec // 3600 - 12 AS a, sec // 3600 AS z, seq % 2 = 0 AS control FROM ({TICKS}) WHERE kind = 'signup'),
+    x AS (SELECT s.*, b.high, min(b.low) OVER (PARTITION BY sample_id ORDER BY b.step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM s JOIN b ON b.symbol = s.symbol AND b.step BETWEEN s.a AND s.z), y AS (SELECT sample_id, count(*) AS n, max((high / base - 1) * 100) AS g FROM x GROUP BY 1)
+    SELECT sample_id, round(coalesce(n, 0) / 13, 6) AS observed, CASE WHEN n > 0 THEN coalesce(g >= 25, FALSE) END AS crossed, round(g, 4) AS gain, control AND (coalesce(coalesce(g >= 25, FALSE), TRUE) OR coalesce(n, 0) / 13 < 0.99) AS contaminated FROM s LEFT JOIN y USING (sample_id)""",
+)
+def a33(spark, sf):
+    from tidemark.operators import cohorts
+    from tidemark.plans.features import bars, samples
+
+    s = samples(spark, sf).withColumns({"a": F.col("step") - 12, "sample_type": F.when(F.col("sample_id") % 2 == 0, "control").otherwise("event")})
+    x = cohorts.pseudo_window_audit(s, bars(spark, sf), "symbol", "step", "a", "step", longest=13)
+    return x.select("sample_id", F.round("pseudo_window_observed_fraction", 6).alias("observed"), F.col("pseudo_window_crossing_detected").alias("crossed"), F.round("pseudo_window_max_sequential_gain_pct", 4).alias("gain"), F.col("pseudo_window_contaminated_control").alias("contaminated"))
+
+
+@query("x04_baseline_context")
+def x04(spark, sf):
+    from tidemark.operators import cohorts
+    from tidemark.plans.features import COARSE, DAY, bars, samples
+
+    s = samples(spark, sf).select("sample_id", "symbol", (F.col("step") - 6).alias("baseline"), F.col("step").alias("cross"), F.when(F.col("sample_id") % 2 == 0, "control").otherwise("event").alias("sample_type"))
+    x = cohorts.baseline_context(s, bars(spark, sf), "symbol", "step", (24, 0), windows=(24, 72), day=DAY, hour=COARSE, same=(2, 4), horizon=8, liquidity=1)
+    return rounded(x.select("sample_id", "offset", "decision_stage", "feature_quality_status", "entry_price", "ret_24m_pct", "quote_volume_72m", "pseudo_window_contaminated_control"), 5)
+
+
+@query(
+    "x07_sellability_study",
+    f"""WITH e AS (SELECT seq AS event, symbol % 40 AS symbol, us * 1000 AS t0, us * 1000 + 172800000000000 AS t1, 30.0 AS thr FROM ({TICKS}) WHERE kind = 'signup'), q AS (SELECT symbol % 40 AS symbol, us * 1000 AS t, seq, price - seq % 3 AS bid, seq % 90 + 1 AS size FROM ({TICKS}) WHERE kind = 'view'), p AS (SELECT symbol % 40 AS symbol, us * 1000 AS t, seq, price, seq % 9 AS size FROM ({TICKS}) WHERE kind = 'purchase'),
+    a AS (SELECT e.event, t0, t1, thr, t0 AS start, -1 AS seq, arg_max(q.bid, (q.t, q.seq)) AS bid, arg_max(q.size, (q.t, q.seq)) AS size FROM e JOIN q ON q.symbol = e.symbol AND q.t <= e.t0 GROUP BY 1, 2, 3, 4), l AS (SELECT e.event, t0, t1, thr, q.t AS start, q.seq, q.bid, q.size FROM e JOIN q ON q.symbol = e.symbol AND q.t > e.t0 AND q.t <= e.t1),
+    s AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY event ORDER BY start, seq), t1) AS stop FROM (SELECT * FROM a UNION ALL SELECT * FROM l)),
+    n AS (SELECT e.event, p.* FROM e JOIN p ON p.symbol = e.symbol AND p.t >= e.t0 AND p.t <= e.t1), c AS (SELECT s.*, EXISTS (SELECT 1 FROM n WHERE n.event = s.event AND n.price >= thr AND n.t > s.start AND n.t <= s.stop) AS sure FROM s),
+    g AS (SELECT event, max(bid) AS max_bid, bool_or(bid >= thr AND bid * size >= 500) AS shown, min(start) FILTER (bid >= thr AND bid * size >= 500 AND sure) AS first_at, arg_min(bid, start) FILTER (bid >= thr AND bid * size >= 500 AND sure) AS first_bid, sum(stop - start) FILTER (bid >= thr) / 1e9 AS displayed FROM c GROUP BY 1), h AS (SELECT event, count(*) FILTER (price >= 30) AS hits, CAST(coalesce(sum(size) FILTER (price >= 30), 0) AS BIGINT) AS volume FROM n GROUP BY 1)
+    SELECT e.event, e.symbol, CASE WHEN first_at IS NOT NULL THEN 'confirmed_sellable' WHEN coalesce(shown, FALSE) THEN 'displayed_bid_only' WHEN coalesce(hits, 0) > 0 THEN 'trade_only' ELSE 'not_confirmed' END AS status, first_at AS first_confirmed_exit_at, first_bid AS first_confirmed_exit_bid, round(coalesce(displayed, 0), 3) AS displayed_seconds, coalesce(max_bid, 0) AS max_bid_price, coalesce(hits, 0) AS trade_count_at_or_above_threshold, coalesce(volume, 0) AS trade_volume_at_or_above_threshold FROM e LEFT JOIN g USING (event) LEFT JOIN h USING (event)""",
+)
+def x07(spark, sf):
+    from tidemark.operators import cohorts
+
+    e = ticks(spark, sf, "signup").select(F.col("seq").alias("event"), (F.col("symbol") % 40).alias("symbol"), (F.col("us") * 1000).alias("cross"), F.lit(30.0).alias("threshold"))
+    q = quotes(spark, sf, 1000).select("symbol", "at", "seq", "bid_price", "bid_size_shares")
+    t = ticks(spark, sf, "purchase").select((F.col("symbol") % 40).alias("symbol"), (F.col("us") * 1000).alias("at"), "seq", "price", (F.col("seq") % 9).alias("size"))
+    x = cohorts.sellability_study(e, q, t, "symbol", 172800)
+    return x.select("event", "symbol", "status", "first_confirmed_exit_at", "first_confirmed_exit_bid", F.round("displayed_seconds", 3).alias("displayed_seconds"), "max_bid_price", "trade_count_at_or_above_threshold", "trade_volume_at_or_above_threshold")
+
+
+@query("j24_midday_candidates", "WITH d AS (SELECT o_custkey % 50 AS symbol, CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS high, arg_max(o_totalprice, o_orderkey) AS close FROM orders GROUP BY 1, 2), p AS (SELECT symbol, arg_min(close, day) AS close FROM d GROUP BY 1), t AS (SELECT symbol, arg_max(high, day) AS high, arg_max(close, day) AS price FROM d GROUP BY 1), x AS (SELECT symbol, price AS decision_price, p.close AS prior_close, (price / p.close - 1) * 100 AS signal_value FROM p JOIN t USING (symbol) WHERE t.high >= p.close * (1 + 13.776879223878035 / 100)) SELECT symbol, decision_price, prior_close, round(signal_value, 6) AS signal_value, CAST(row_number() OVER (ORDER BY signal_value DESC, symbol) AS INTEGER) AS rank FROM x WHERE signal_value > 13.776879223878035")
+def j24(spark, sf):
+    from tidemark.operators import cohorts
+
+    d = load(spark, sf, "orders").groupBy((F.col("o_custkey") % 50).alias("symbol"), F.col("o_orderdate").cast("date").alias("day")).agg(F.max("o_totalprice").alias("high"), F.max_by("o_totalprice", "o_orderkey").alias("close"))
+    prior, today = d.groupBy("symbol").agg(F.min_by("close", "day").alias("close")), d.groupBy("symbol").agg(F.max_by("high", "day").alias("high"), F.max_by("close", "day").alias("price"))
+    x = cohorts.day_candidates(prior, today, prior, today.select("symbol", "price"))
+    return x.withColumn("signal_value", F.round("signal_value", 6))
