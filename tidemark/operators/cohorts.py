@@ -85,7 +85,7 @@ def candidate_quality(anchors: DataFrame, grid: DataFrame, by: str, at: str, anc
     return x.drop("_id", *points)
 
 
-def matched_controls(events: DataFrame, grid: DataFrame, by: str, at: str, horizons: tuple[int, ...], prior: int, before: int, after: int, least: float, controls: int = 5, step_s: int = 60, offsets: tuple[int, ...] = (0, -15, 15, -30, 30, -45, 45, -60, 60)) -> tuple[DataFrame, DataFrame]:
+def matched_controls(events: DataFrame, grid: DataFrame, by: str, at: str, horizons: tuple[int, ...], prior: int, before: int, after: int, least: float, controls: int = 5, step_s: int = 60, liquidity: int = 5, observed: float = 0.98, offsets: tuple[int, ...] = (0, -15, 15, -30, 30, -45, 45, -60, 60)) -> tuple[DataFrame, DataFrame]:
     """(picks, rejections) of crypto-style controls: each event's clock on the days of its split, clear of known events, of good quality, reuse last.
 
     events has by, event, at in epoch seconds; grid steps are ``step_s`` seconds. rejections
@@ -99,7 +99,7 @@ def matched_controls(events: DataFrame, grid: DataFrame, by: str, at: str, horiz
     a = matching.anchors(e.select(by, "event", "sec"), by, "sec", dates.select("date_start"), list(offsets), events.select(by, "sec"), 86400)
     a = a.join(e.select("event", "sec", "split"), "event").withColumn("_d", floor_div(F.col("anchor"), 86400)).join(F.broadcast(of.withColumnRenamed("split", "date_split")), "_d").where("split = date_split").drop("_d", "date_split")
     a = a.withColumn("offset", ((F.pmod(F.col("anchor") - F.col("sec") + 43200, F.lit(86400)) - 43200) / 60).cast("int")).withColumn("step", floor_div(F.col("anchor"), step_s))
-    q = candidate_quality(a, grid, by, at, "step", horizons, prior, before, after, least)
+    q = candidate_quality(a, grid, by, at, "step", horizons, prior, before, after, least, liquidity, observed)
     rejected = q.where("reason <> 'pass'").groupBy("event", "reason").agg(F.count("*").alias("n"))
     x = matching.anchor_candidates(q.where("reason = 'pass'"), "sec", "anchor", F.col("offset"))
     x = x.select(by, "event", F.col("sec").alias("event_order"), F.col("step").alias("control"), "day", "tier_rank", "weekday_rank", "distance", tie_break(F.col("event"), F.col("anchor")).alias("tie"))

@@ -82,7 +82,7 @@ def a08(spark, sf):
 
 def _dist(source: str, prefix: str) -> str:
     qs = ", ".join(f"round(quantile_cont(v, {q}), 5) AS {prefix}_{n}" for n, q in context.QUANTILES.items())
-    return f"SELECT sample_id, round(avg(v), 5) AS {prefix}_mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(v) ELSE 0 END, 5) AS {prefix}_std, round(CASE WHEN count(*) > 2 THEN CASE WHEN max(v) = min(v) THEN 0 ELSE skewness(v) END END, 5) AS {prefix}_skew, round(min(v), 5) AS {prefix}_min, {qs}, round(max(v), 5) AS {prefix}_max, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END), 5) AS {prefix}_positive_fraction FROM {source} WHERE v IS NOT NULL GROUP BY 1"
+    return f"SELECT sample_id, round(avg(v), 5) AS {prefix}_mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(v) ELSE 0 END, 5) AS {prefix}_std, round(CASE WHEN count(*) > 2 THEN CASE WHEN max(v) = min(v) THEN 0 ELSE skewness(v) END END, 5) + 0.0 AS {prefix}_skew, round(min(v), 5) AS {prefix}_min, {qs}, round(max(v), 5) AS {prefix}_max, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END), 5) AS {prefix}_positive_fraction FROM {source} WHERE v IS NOT NULL GROUP BY 1"
 
 
 #: Four steps make a coarse bar here, and six coarse bars the prior high (at least four of them there).

@@ -274,9 +274,9 @@ def j10(spark, sf):
 def x02(spark, sf):
     from tidemark.operators import cohorts
 
-    # the first sign-up of each group in ten days is an event
-    e = ticks(spark, sf, "signup").groupBy((F.col("symbol") % 8).alias("symbol"), F.expr("sec div 864000").alias("_w")).agg(F.min("seq").alias("event"), F.min_by("sec", "seq").alias("sec")).drop("_w")
-    picks, _ = cohorts.matched_controls(e, _hour_grid(spark, sf), "symbol", "step", (1, 2), 24, 1, 1, 0.0, 5, 3600)
+    # the first sign-up of each group in eight days, counted from another day for each, is an event
+    e = ticks(spark, sf, "signup").groupBy((F.col("symbol") % 8).alias("symbol"), F.expr("(sec div 86400 + symbol % 8) div 8").alias("_w")).agg(F.min("seq").alias("event"), F.min_by("sec", "seq").alias("sec")).drop("_w")
+    picks, _ = cohorts.matched_controls(e, _hour_grid(spark, sf), "symbol", "step", (1, 2), 24, 1, 1, 0.0, 5, 3600, 2, 0.5)
     return picks
 
 

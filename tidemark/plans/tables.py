@@ -35,5 +35,5 @@ DAILY = "SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS day, arg
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so engines that sum in another order agree."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Doubles rounded, so engines that sum in another order agree; a negative zero becomes zero."""
+    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
