@@ -99,6 +99,13 @@ def top_k(rows: DataFrame, by: list[str], order: list, k: int, name: str = "rank
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
+def prior_sessions(rows: DataFrame, by: list[str], day: str, n: int) -> DataFrame:
+    """by, day, prior_day, k: the n sessions of the key before each of its sessions, the nearest first; one window, no join."""
+    w = W.partitionBy(*by).orderBy(day)
+    each = F.array(*(F.struct(F.lag(day, k).over(w).alias("prior_day"), F.lit(k).alias("k")) for k in range(1, n + 1)))
+    return rows.withColumn("_p", each).select(*by, day, F.inline("_p")).where("prior_day is not null")
+
+
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row for each key: the last in an order (dedupe keep-last)."""
     return top_k(rows, keys, order, 1, "_rank").drop("_rank")

@@ -148,9 +148,10 @@ def j17(spark, sf):
     return daily_orders(spark, sf).select("symbol", F.col("day").cast("string").alias("day"), F.when(near, F.lag("day").over(w)).cast("string").alias("prior_day"), F.when(near, F.lag("close").over(w)).alias("prior_close"))
 
 
-@query("j18_prior_sessions", f"WITH d AS ({DAILY}) SELECT symbol, CAST(day AS VARCHAR) AS day, k FROM (SELECT symbol, day, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS k FROM d WHERE day < DATE '1997-01-01') WHERE k <= 5")
+@query("j18_prior_sessions", f"WITH d AS (SELECT symbol, day, row_number() OVER (PARTITION BY symbol ORDER BY day) AS i FROM ({DAILY})) SELECT a.symbol, CAST(a.day AS VARCHAR) AS day, CAST(b.day AS VARCHAR) AS prior_day, CAST(a.i - b.i AS INTEGER) AS k FROM d a JOIN d b ON a.symbol = b.symbol AND b.i < a.i AND b.i >= a.i - 5")
 def j18(spark, sf):
-    return ordered.top_k(daily_orders(spark, sf).where("day < date '1997-01-01'").select("symbol", "day"), ["symbol"], [F.desc("day")], 5, "k").withColumn("day", F.col("day").cast("string"))
+    x = ordered.prior_sessions(daily_orders(spark, sf).select("symbol", "day"), ["symbol"], "day", 5)
+    return x.select("symbol", F.col("day").cast("string").alias("day"), F.col("prior_day").cast("string").alias("prior_day"), "k")
 
 
 @query(
@@ -261,11 +262,11 @@ def w15(spark, sf):
 @query(
     "w17_log_trend",
     f"""WITH x AS (SELECT symbol, price, row_number() OVER (PARTITION BY symbol ORDER BY us, seq) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ({TICKS}) WHERE price > 0),
-    y AS (SELECT symbol, CAST(i AS DOUBLE) AS x, ln(price) AS y FROM x WHERE i % CAST(greatest(1, ceil(n / 20.0)) AS BIGINT) = 0)
+    y AS (SELECT symbol, CAST(i AS DOUBLE) AS x, ln(price) AS y FROM x WHERE i % CAST(greatest(1, ceil(n / 600.0)) AS BIGINT) = 0)
     SELECT symbol, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(CASE WHEN max(y) > min(y) THEN regr_r2(y, x) END, 6) AS r2 FROM y GROUP BY 1""",
 )
 def w17(spark, sf):
-    return rounded(features.log_trend(ticks(spark, sf), ["symbol"], ["us", "seq"], "price", 20))
+    return rounded(features.log_trend(ticks(spark, sf), ["symbol"], ["us", "seq"], "price"))
 
 
 @query(
