@@ -102,7 +102,7 @@ def trades(spark, sf):
 
 @query("a22_daily_lower_bound")
 def a22(spark, sf):
-    return rounded(evaluate.daily_lower_bound(trades(spark, sf), ["strategy"], "trade_date", "pnl_usd", 200, {"preopen": 1701}))
+    return rounded(evaluate.daily_lower_bound(trades(spark, sf), ["strategy"], "trade_date", "pnl_usd", seeds={"preopen": 1701}))
 
 
 TRADES = "SELECT CASE WHEN o_custkey % 2 = 0 THEN 'preopen' ELSE 'midday' END AS strategy, CAST(o_orderdate AS DATE) AS trade_date, o_orderkey AS rank, o_orderkey % 7 <> 0 AS filled, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 350 <> 1 THEN round(o_totalprice % 1000 - 450, 2) END AS pnl, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 350 <> 1 THEN round((o_totalprice % 1000 - 450) / 5, 3) END AS ret, ['target', 'stop', 'time'][o_orderkey % 3 + 1] AS why, round(o_totalprice % 1000 - 449, 2) AS p0, CASE WHEN o_orderkey % 11 <> 0 THEN round(o_totalprice % 1000 - 451, 2) END AS p10, o_orderkey % 4 = 0 AS selected FROM orders"
@@ -134,7 +134,7 @@ def x10(spark, sf):
     one = s.where("slip_bps = 10").select(F.lit("midday").alias("strategy"), F.date_format(F.timestamp_seconds("entry_at"), "yyyy-MM-dd").alias("trade_date"), F.col("symbol").alias("rank"), "filled", "pnl_usd", "return_pct", "exit_reason", F.col("pnl_usd").alias("pnl_10bps"), "symbol")
     none = s.where("slip_bps = 0").select("symbol", F.col("pnl_usd").alias("pnl_0bps"))
     t = one.join(none, "symbol")
-    return rounded(evaluate.backtest_summary(t.select("strategy", F.lit(True).alias("selected")), t, reps=500))
+    return rounded(evaluate.backtest_summary(t.select("strategy", F.lit(True).alias("selected")), t))
 
 
 # --- matched cohorts ------------------------------------------------------------------
@@ -181,11 +181,11 @@ def t02(spark, sf):
 
 @query("x05_external_validation")
 def x05(spark, sf):
-    """Both frozen rules over groups of orders, with smaller criteria and fewer draws than the defaults."""
+    """Both frozen rules over groups of orders, with the frozen criteria and draws."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     first = F.min(k).over(W.partitionBy("o_custkey"))
     rows = load(spark, sf, "orders").select(c.alias("match_group_id"), F.when(k == first, 1).otherwise(0).alias("label"), F.concat(F.lit("S"), c % 60).alias("symbol"), F.col("o_orderdate").cast("date").cast("string").alias("event_date"), F.lit("pass").alias("feature_quality_status"), F.lit(None).cast("boolean").alias("pseudo_window_contaminated_control"), (F.col("o_totalprice") / 30000).alias("close_vs_1440m_low_pct"), (F.col("o_totalprice") / 50000).alias("quote_volume_60m_vs_prior_7d_same_time"), (F.col("o_totalprice") / 20000).alias("max_runup_720m_pct"), (k % 10 / 10).alias("volatility_1d_to_7d_ratio"))
-    return rounded(evaluate.external_validation(rows, reps=500, draws=500))
+    return rounded(evaluate.external_validation(rows))
 
 
 @query(
