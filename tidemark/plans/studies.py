@@ -102,7 +102,9 @@ def trades(spark, sf):
 
 @query("a22_daily_lower_bound")
 def a22(spark, sf):
-    return rounded(evaluate.daily_lower_bound(trades(spark, sf), ["strategy"], "trade_date", "pnl_usd", seeds={"preopen": 1701}))
+    # orders of a month stand for a market day
+    t = trades(spark, sf).withColumn("trade_date", F.substring("trade_date", 1, 7))
+    return rounded(evaluate.daily_lower_bound(t, ["strategy"], "trade_date", "pnl_usd", seeds={"preopen": 1701}))
 
 
 TRADES = "SELECT CASE WHEN o_custkey % 2 = 0 THEN 'preopen' ELSE 'midday' END AS strategy, CAST(o_orderdate AS DATE) AS trade_date, o_orderkey AS rank, o_orderkey % 7 <> 0 AS filled, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 350 <> 1 THEN round(o_totalprice % 1000 - 450, 2) END AS pnl, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 350 <> 1 THEN round((o_totalprice % 1000 - 450) / 5, 3) END AS ret, ['target', 'stop', 'time'][o_orderkey % 3 + 1] AS why, round(o_totalprice % 1000 - 449, 2) AS p0, CASE WHEN o_orderkey % 11 <> 0 THEN round(o_totalprice % 1000 - 451, 2) END AS p10, o_orderkey % 4 = 0 AS selected FROM orders"
