@@ -1,6 +1,7 @@
 """Jaccard classes, decontamination and the filtering stages against plain versions."""
 
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD, SCHEMA, documents
-from tidemark.llm import decontaminate, jaccard, words
+from tidemark.llm import decontaminate, jaccard, store, words
 
 
 def classes(rows, k, num, den):
@@ -79,12 +80,12 @@ def test_classes_of_repeated_rows(spark):
 
 def test_rows_without_an_id_link_others(spark):
     base = [f"w{i}" for i in range(120)]
-    text = lambda n: " ".join([*base[:-n], *(f"x{i}" for i in range(n))] if n else base)
-    rows = [(1, text(0)), (None, text(8)), (None, text(8)), (3, text(16)), (None, "a text that nobody else has at all")]
+    text = lambda n: " ".join("x" if i in (10, 40, 70, 100)[:n] else w for i, w in enumerate(base))
+    rows = [(1, text(0)), (None, text(2)), (None, text(2)), (3, text(4)), (None, "a text that nobody else has at all")]
     df = spark.createDataFrame(rows, SCHEMA)
     got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard.join_classes(df, 3, 90, 100).collect())
     assert got == [(0, 0), (0, 1), (0, 1), (1, 1), (3, 1)]
-    assert classes([(1, text(0)), (3, text(16))], 3, 90, 100)[3][1] == 3
+    assert classes([(1, text(0)), (3, text(4))], 3, 90, 100)[3][1] == 3
 
 
 def test_keep_one_and_empty(spark):
@@ -173,3 +174,37 @@ def test_blocks_cover_all_bits():
     bounds = decontaminate.block_bounds()
     assert len(bounds) == decontaminate.RADIUS + 1
     assert sorted((h, a + i) for h, a, n in bounds for i in range(n)) == [(h, i) for h in (0, 1) for i in range(64)]
+
+
+def test_prefixes_lose_no_linked_set(spark):
+    """Sets of many sizes at the very threshold, and sets that share a passage only."""
+    rng = np.random.default_rng(11)
+    rows, d = [], 0
+    passage = [f"p{i}" for i in range(40)]
+    for size in (9, 12, 20, 33, 60, 150, 400):
+        for t in range(4):
+            base = [f"{size}-{t}-{i}" for i in range(size)]
+            for change in range(0, max(2, size // 18)):
+                own = list(base)
+                for i in rng.integers(0, size, change):
+                    own[i] = f"y{rng.integers(0, 10**6)}"
+                rows.append((d, " ".join(own)))
+                d += 1
+            rows.append((d, " ".join([*base[: size // 3], *passage])))
+            d += 1
+    for k, num in ((3, 90), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_classes(spark.createDataFrame(rows, SCHEMA), k, num, 100).collect()}
+        assert got == classes(rows, k, num, 100)
+    empty = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], SCHEMA)
+    assert sorted(r.component_id for r in jaccard.join_classes(empty, 3, 90, 100).collect()) == [1, 1, 2]
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_dir", lambda _, name: f"file://{tmp_path}/{name}-{uuid.uuid4().hex}")
+    rows = near_copies(12)
+    found = jaccard.join_classes(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(x.name.partition("-")[2].rpartition("-")[0] for x in tmp_path.iterdir()) == ["names", "sets"]
+    assert found.count() == len(rows)
+    with store.scope():
+        store.table(spark.range(3), "gone")
+    assert len(list(tmp_path.iterdir())) == 2

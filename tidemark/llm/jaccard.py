@@ -3,15 +3,18 @@
 Set relations decide what need not be computed:
 
 1. Equal sets share their answers: each class of equal sets has one representative.
-2. Index lists are blocked by position: sets of a size class are cut, in the order of
+2. A set needs company to have a linked set: of the first n (1 - t) + k shingles of linked
+   sets, by their hashes, at least k are the same (``_company``). One grouping of these
+   prefixes tells how many of a set's are its alone; sets with too many leave.
+3. Index lists are blocked by position: sets of a size class are cut, in the order of
    their shingle hashes, into more position blocks than linked sets can differ in
    shingles, so linked sets agree on several whole blocks. A list holds the sets that
    agree on one block; all blocks on which sets differ are skipped together. A set
    writes a row for each block, so the lists grow in proportion to the texts.
-3. A set that does not find company in as many lists as linked sets must share leaves,
+4. A set that does not find company in as many lists as linked sets must share leaves,
    and so does one with more than its share of shingles that no other remaining set has
    (if J(x, y) >= t, at least t of x's shingles are y's too).
-4. Answers are derived from a similar set's answers: in each list the set that
+5. Answers are derived from a similar set's answers: in each list the set that
    meets most others, over all its lists, leads. First each set is compared with one
    leader. Sets linked to one leader are one class; then only pairs of a list that are
    not yet in one class are open. Two sets of one leader are looked up by their few
@@ -132,10 +135,53 @@ def set_table(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _heads(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """text of one row of each class; rows without an id, and other texts of a head's id, may come too."""
+    """doc_id and text of one row of each class; rows without an id, and other texts of a head's id, may come too."""
     head = store.table(sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("head")), "jaccard-heads")
     copies = sets.join(head, "cls").groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("head")).alias("copy")).where("copy").select("doc_id")
-    return docs.select("doc_id", "text").join(store.checked_broadcast(store.table(copies, "jaccard-copies")), "doc_id", "left_anti").select("text")
+    return docs.select("doc_id", "text").join(store.checked_broadcast(store.table(copies, "jaccard-copies")), "doc_id", "left_anti")
+
+
+def _texts_of(heads: DataFrame, sets: DataFrame, leave: DataFrame) -> DataFrame:
+    """text of the heads with a class that does not leave; rows without an id stay."""
+    rest = sets.where("cls is not null and doc_id is not null").join(leave, "cls", "left_anti").select("doc_id").distinct()
+    rest = store.checked_broadcast(store.table(rest, "jaccard-rest"))
+    return heads.where("doc_id is not null").join(rest, "doc_id", "left_semi").union(heads.where("doc_id is null")).select("text")
+
+
+def _company(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """cls of the sets of which enough of the first shingles occur in other sets' first shingles too.
+
+    With x's shingles in order of their hashes, x and a linked y share at least t |x|; of
+    these, the k-th in order is among the first |x| - t |x| + k of x, and so for y. Hence the
+    prefixes of that length share k. k grows with the size, and a linked set may be smaller
+    by t. A shingle of one prefix only is counted for its set when prefixes are grouped by
+    shingle, so nothing goes back to the sets but those counts.
+    """
+    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("most", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            for a, b, bounds, h, r in _sets(batch.column("text"), k):
+                n = np.diff(bounds)
+                cls = np.array([_digest(h[bounds[i] : bounds[i + 1]]) for i in range(b - a)], np.int64)
+                length = np.minimum(n, n - -(-n * num // den) + _common(n))
+                # how many of its prefix a set may have alone; sets that cannot differ from a linked one are equal to it and leave
+                most = np.where(_differ(n, num, den) > 0, length - np.minimum(_common(-(-n * num // den)), length), -1)
+                first = (np.arange(len(h)) - bounds[r] < length[r]) & (most[r] >= 0)
+                if first.any():
+                    at = r[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(cls[at]), pa.array(most[at].astype(np.int32))], schema=schema)
+
+    each = texts.mapInArrow(run, "token long, cls long, most int")
+    # where there is one row, the least values are its own
+    met = each.groupBy("token").agg(F.count("*").alias("sets"), F.min("cls").alias("cls"), F.min("most").alias("most"))
+    alone = met.where("sets = 1").groupBy("cls").agg((F.count("*") > F.max("most")).alias("leaves"))
+    return alone.where("leaves").select("cls")
+
+
+def _common(n):
+    """Shingles that the prefixes of linked sets share at least, if the smaller has n."""
+    return np.maximum(2, n // 10)
 
 
 def _lists(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -246,7 +292,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def _members(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Index lists (sig, cls, n, shared) and token sets (cls, n, tokens) of the classes that can have a linked class."""
-    lists = store.table(_lists(_heads(docs, sets), k, num, den), "jaccard-lists")
+    heads = _heads(docs, sets)
+    leave = store.table(_company(heads.select("text"), k, num, den), "jaccard-alone")
+    lists = store.table(_lists(_texts_of(heads, sets, leave), k, num, den), "jaccard-lists")
     many = store.table(lists.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1").select("sig"), "jaccard-many")
     met = store.table(lists.join(store.checked_broadcast(many), "sig", "left_semi").dropDuplicates(["sig", "cls"]), "jaccard-met")
     live = met.groupBy("cls", "c").agg(F.count("*").alias("lists"), F.max("need").alias("need")).where("lists >= need")
@@ -375,12 +423,18 @@ def _within(open_: DataFrame, live: DataFrame, num: int, den: int) -> DataFrame:
 def join_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: sets are linked when den * |x & y| >= num * |x | y|."""
     sets = set_table(docs, k)
-    comp = components(_links(*_members(docs, sets, k, num, den), num, den))
-    of = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    of = of.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    of = store.table(of, "jaccard-classes")
-    small = of.groupBy("comp").agg(F.min("least").alias("component"))
-    name = store.table(of.join(small, "comp").select("cls", "component"), "jaccard-names")
+    with store.scope():
+        with store.scope():
+            members, live = _members(docs, sets, k, num, den)
+            store.keep(members, live)
+        comp = components(_links(members, live, num, den))
+        of = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
+        # only linked classes need a name other than their own least id
+        linked = store.table(of.join(comp.withColumnRenamed("node", "cls"), "cls"), "jaccard-linked")
+        small = store.checked_broadcast(store.table(linked.groupBy("comp").agg(F.min("least").alias("component")), "jaccard-components"))
+        other = linked.join(small, "comp").select("cls", "component")
+        name = store.table(of.join(other, "cls", "left").select("cls", F.coalesce("component", "least").alias("component")), "jaccard-names")
+        store.keep(name)
     return sets.join(name, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -391,10 +445,12 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     Documents without words are not linked with anything and stay, as do all rows
     without an id.
     """
-    named = join_classes(docs, k, num, den)
-    heads = store.table(named.where("doc_id is null or doc_id = component_id").select("doc_id").distinct(), "jaccard-stay")
+    with store.scope():
+        named = join_classes(docs, k, num, den)
+        heads = store.table(named.where("doc_id is null or doc_id = component_id").select("doc_id").distinct(), "jaccard-stay")
+        again = store.table(named.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "jaccard-again")
+        store.keep(heads, again)
     kept = docs.join(heads, docs.doc_id.eqNullSafe(heads.doc_id), "left_semi")
-    again = store.table(named.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "jaccard-again")
     if not again.count():
         return kept
     again = store.checked_broadcast(again)

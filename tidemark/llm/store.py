@@ -10,7 +10,9 @@ an unlisted file, never a wrong result.
 
 from __future__ import annotations
 
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -21,17 +23,66 @@ LOCAL_DEFAULT = "file:///tmp/checkpoints"
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI in the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or LOCAL_DEFAULT
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        # a machine's own folder is shared only where there is one machine
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        base = LOCAL_DEFAULT
     if "://" not in base and not base.startswith("file:"):
         base = f"file://{base}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_OPEN = threading.local()
+
+
+def _scopes() -> list[dict[str, SparkSession]]:
+    """This thread's open scopes, the innermost last: path -> session of the tables written in each."""
+    if not hasattr(_OPEN, "scopes"):
+        _OPEN.scopes = []
+    return _OPEN.scopes
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df in the shared folder and reads it back: cuts lineage, survives lost executors, and gives joins a real size."""
     path = f"{shared_dir(df.sparkSession, name)}.parquet"
+    if scopes := _scopes():
+        scopes[-1][path] = df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def keep(*tables: DataFrame) -> None:
+    """Hands tables of the present scope to the one around it, or to the caller for good."""
+    *_, outer, inner = [{}, *_scopes()]
+    for df in tables:
+        spark = inner.pop(df.table_path, None)
+        if spark is not None:
+            outer[df.table_path] = spark
+
+
+def drop(path: str, spark: SparkSession) -> None:
+    """Deletes a table's folder; nothing may read it any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scope():
+    """Tables written inside are deleted at the end, but for those handed out by ``keep``.
+
+    A written table cuts the lineage, so once the tables that are kept are there, those
+    they were made from are never read again.
+    """
+    _scopes().append({})
+    try:
+        yield
+    finally:
+        for path, spark in _scopes().pop().items():
+            drop(path, spark)
 
 
 #: Rows of at most 40 bytes or so that a join side may have to be broadcast.
