@@ -54,8 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder; what a stage read and wrote on its way goes once the next table is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = store.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        with store.scope():
+            docs = store.table(stage(spark, docs, sf_dir), f"stage-{name}")
+            store.keep(docs)
+        if before:
+            store.drop(before, spark)
+        before = docs.table_path
     return docs
