@@ -1,20 +1,23 @@
 """Licence scan: a trained paragraph classifier with a calibrated unknown class and template comparison.
 
-Paragraphs are lines. Features are hashed word unigrams and bigrams. A multinomial
-logistic regression is fitted at start-up, from the short notices below with random
-edits as licence families, and from ordinary sentences as the unknown class; its
-temperature and the least confidence are calibrated on edits not trained on, so that
-strange paragraphs come out as unknown. A prediction counts only if the paragraph also
-resembles one of its family's templates (Jaccard of word bigrams, or containment of the
-template, at least ``CONFIRM``).
-
-Every pair of words of every paragraph is looked up vectorised: a paragraph that holds
-less than ``CONFIRM`` of every template cannot be confirmed, whatever the classifier says,
-and only the others are scored one by one.
+Units of a text are its lines and, as notices are wrapped and put into comments, also
+windows of ``WINDOW`` words across lines; comment marks and other punctuation are no part
+of words. A multinomial logistic regression over hashed word unigrams and bigrams is
+fitted at start-up, from the notices below with random edits as licence families, and from
+ordinary sentences as the unknown class; its temperature and the least confidence are
+calibrated on edits not trained on, so that strange units come out as unknown.
+
+The classifier scores every unit of every text, from running sums of its weights over the
+words. Where it finds a licence its families are taken in the order of their probability,
+and the first that a template confirms counts: the unit and one of the family's templates
+share at least ``CONFIRM`` of the template's word bigrams, of the bigrams of both, or, for a
+unit that lies inside a long template, of the unit's; and no family's template resembles the
+unit clearly more.
 
 Defined cases: null and empty texts have no licence; a document with several families
-gives a row for each, with its first paragraph and their number; repeated rows give
-repeated results; other columns are ignored.
+gives a row for each, with its first unit and their number; a window counts only where no
+line or earlier window was found; repeated rows give repeated results, a null doc_id stays null;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,11 @@ from pyspark.sql import DataFrame
 from tidemark.llm import vocab, words
 
 BITS = 16
-PAIR_BITS = 20
-CONFIRM = 0.5
+CONFIRM, CLEARLY = 0.5, 0.15
+#: Words of a window and its step; words that a unit needs to count as lying inside a template.
+WINDOW, STEP, INSIDE = 48, 16, 10
+#: Rounds and step of the fit (Nesterov's gradient method).
+ROUNDS, RATE = 120, np.float32(4.0)
 UNKNOWN = "unknown"
 
 # Customary short notices by family (public licence texts and their usual headers).
@@ -43,25 +49,57 @@ TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
         "This project is licensed under the MIT License.",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.',
-        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.',
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions.',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
     ],
-    "BSD": [
+    "LGPL": [
+        "Licensed under the GNU Lesser General Public License.",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    ],
+    "AGPL-3.0": [
+        "Licensed under the GNU Affero General Public License.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "This project is licensed under the Simplified BSD License.", "Use of this source code is governed by the BSD 2-Clause License."],
+    "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ],
+    "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."],
+    "EPL-2.0": ["Licensed under the Eclipse Public License 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."],
+    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY-SA 4.0."],
-    "CC0": ["Released into the public domain under CC0 1.0.", "This is free and unencumbered software released into the public domain."],
+    "CC-BY-ND": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC0": ["Released into the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
+for _family in TEMPLATES:
+    if _family not in ("BSD", "proprietary"):
+        TEMPLATES[_family].append(f"SPDX-License-Identifier: {_family}")
 FAMILIES = [*TEMPLATES, UNKNOWN]
 # Ordinary sentences, some with words that licences use too.
 ORDINARY = [
@@ -97,22 +135,22 @@ def _hash_words(tokens: list[str]) -> np.ndarray:
     return words.words(data, np.array([0, len(data)]))[1]
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    """Feature slots of a paragraph's unigrams and bigrams."""
+def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature slots of each word and of each pair of adjacent words."""
     one = hashes >> np.uint64(64 - BITS)
     two = words.mix(hashes[:-1] * np.uint64(3) + hashes[1:] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS) if len(hashes) > 1 else hashes[:0]
-    return np.concatenate([one, two]).astype(np.int64)
+    return one.astype(np.int64), two.astype(np.int64)
 
 
-def _pairs(hashes: np.ndarray) -> np.ndarray:
-    """Slots of adjacent word pairs."""
-    return (words.mix(hashes[:-1] * np.uint64(5) + hashes[1:] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def _pairs(tokens: list[str]) -> set:
+    return set(zip(tokens, tokens[1:], strict=False))
 
 
-def _similar(a: set, b: set) -> float:
-    """The larger of Jaccard and containment of the template b."""
-    same = len(a & b)
-    return max(same / max(1, len(a | b)), same / max(1, len(b)))
+def _similar(own: set, template: set) -> float:
+    """The largest of Jaccard, containment of the template, and for a unit of some length containment in the template."""
+    same = len(own & template)
+    inside = same / len(own) if len(own) >= INSIDE else 0.0
+    return max(same / max(1, len(own | template)), same / max(1, len(template)), inside)
 
 
 class Classifier:
@@ -122,79 +160,79 @@ class Classifier:
         rng = np.random.default_rng(seed)
         spare = [t for s in ORDINARY for t in _tokens(s)]
         texts, kinds = [], []
+        draw = lambda n: [spare[i] for i in rng.integers(0, len(spare), n)]
         for k, family in enumerate(FAMILIES):
             base = TEMPLATES.get(family, ORDINARY)
             for tokens in map(_tokens, base):
                 for c in range(copies if family != UNKNOWN else copies // 2):
-                    edited = [t for t in tokens if c == 0 or rng.random() > 0.1]
-                    if c and rng.random() < 0.3:
-                        edited += [spare[i] for i in rng.integers(0, len(spare), rng.integers(1, 12))]
+                    edited = [t for t in tokens if c == 0 or rng.random() > 0.08]
+                    if c and len(edited) > 2 * INSIDE and rng.random() < 0.4:
+                        # what a window or one line of a wrapped notice shows
+                        a = int(rng.integers(0, len(edited) - INSIDE))
+                        edited = edited[a : a + int(rng.integers(INSIDE, WINDOW))]
+                    if c and rng.random() < 0.4:
+                        edited = draw(rng.integers(0, 12)) + edited + draw(rng.integers(0, 12))
                     texts.append(edited or tokens)
                     kinds.append(k)
         noise = "".join(chr(97 + i) for i in range(26))
-        for _ in range(copies * 6):
-            made = ["".join(noise[i] for i in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(rng.integers(1, 20))]
+        for _ in range(copies * 12):
+            made = ["".join(noise[i] for i in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(rng.integers(1, WINDOW))]
             texts.append([spare[i] if rng.random() < 0.4 else w for w, i in zip(made, rng.integers(0, len(spare), len(made)), strict=True)])
             kinds.append(len(FAMILIES) - 1)
         held = rng.random(len(texts)) < 0.2
-        slots = [np.unique(_slots(_hash_words(t))) for t in texts]
+        slots = [np.concatenate(_slots(_hash_words(t))) for t in texts]
         # a slot that no notice uses tells nothing about families
-        used = np.unique(np.concatenate([s for s, k in zip(slots, kinds, strict=True) if k < len(FAMILIES) - 1] + [_slots(_hash_words(_tokens(t))) for t in ORDINARY]))
-        place = {int(s): i for i, s in enumerate(used)}
+        own = [_slots(_hash_words(_tokens(t))) for ts in TEMPLATES.values() for t in ts]
+        used = np.unique(np.concatenate([s for pair in own for s in pair] + [_slots(_hash_words(_tokens(t)))[0] for t in ORDINARY]))
+        place = np.full(1 << BITS, -1)
+        place[used] = np.arange(len(used))
         x = np.zeros((len(texts), len(used)), np.float32)
         for i, s in enumerate(slots):
-            x[i, [place[int(j)] for j in s if int(j) in place]] = 1 / np.sqrt(len(s))
+            np.add.at(x[i], place[s[place[s] >= 0]], np.float32(1 / np.sqrt(len(s))))
         y = np.eye(len(FAMILIES), dtype=np.float32)[kinds]
         w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
-        for _ in range(150):
-            d = (_softmax(x[~held] @ w + b) - y[~held]) / (~held).sum()
-            w -= 8.0 * (x[~held].T @ d + 1e-5 * w)
-            b -= 2.0 * d.sum(0)
+        seen, want, vw, vb = x[~held], y[~held], w.copy(), b.copy()
+        for k in range(ROUNDS):
+            d = (_softmax(seen @ vw + vb) - want) / len(seen)
+            nw, nb = vw - RATE * (seen.T @ d + 1e-5 * vw), vb - RATE / 4 * d.sum(0)
+            vw, vb = nw + k / (k + 3) * (nw - w), nb + k / (k + 3) * (nb - b)
+            w, b = nw.astype(np.float32), nb.astype(np.float32)
         logits, truth = x[held] @ w + b, np.array(kinds)[held]
         scale = min((0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=lambda t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-9).mean())
-        best = _softmax(logits / scale)
-        strange = best[truth == len(FAMILIES) - 1][:, :-1].max(1)
-        #: Least confidence: the 99.5 % point of what unknown paragraphs reach, at least a half.
-        self.least = float(max(0.5, np.quantile(strange, 0.995)))
-        self.scale, self.bias = scale, b
+        strange = 1 - _softmax(logits / scale)[truth == len(FAMILIES) - 1][:, -1]
+        #: Least probability that a unit is some licence: the 99 % point of what unknown units reach, within bounds.
+        self.least = float(np.clip(np.quantile(strange, 0.99), 0.3, 0.7))
+        self.scale, self.bias = scale, b.astype(np.float64)
         self.weights = np.zeros((1 << BITS, len(FAMILIES)), np.float32)
         self.weights[used] = w
-        #: For each word pair, the largest share of a template that it is; sums bound what a paragraph holds of any template.
-        self.shares = np.zeros(1 << PAIR_BITS, np.float32)
-        for t in map(_tokens, (t for ts in TEMPLATES.values() for t in ts)):
-            h = _pairs(_hash_words(t))
-            np.maximum.at(self.shares, np.unique(h), np.float32(1 / len(set(zip(t, t[1:], strict=False)))))
-        self.grams = {f: [(set(zip(t, t[1:], strict=False))) for t in map(_tokens, ts)] for f, ts in TEMPLATES.items()}
-
-    def predict(self, paragraph: str) -> tuple[str, float, float]:
-        """(family or unknown, confidence, similarity to the family's nearest template)."""
-        tokens = _tokens(paragraph)
-        slots = np.unique(_slots(_hash_words(tokens)))
-        if not len(slots):
-            return UNKNOWN, 1.0, 0.0
-        p = _softmax((self.weights[slots].sum(0) / np.sqrt(len(slots)) + self.bias)[None] / self.scale)[0]
-        own = set(zip(tokens, tokens[1:], strict=False))
+        self.used = place >= 0
+        self.grams = {f: [_pairs(t) for t in map(_tokens, ts)] for f, ts in TEMPLATES.items()}
+
+    def probabilities(self, sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of each family, from the summed weights of units of n features."""
+        return _softmax((sums / np.sqrt(np.maximum(n, 1))[:, None] + self.bias) / self.scale)
+
+    def confirm(self, p: np.ndarray, tokens: list[str]) -> tuple[str, float, float]:
+        """(family or unknown, confidence, similarity): the most probable family that a template confirms."""
+        own = _pairs(tokens)
         near = {f: max(_similar(own, g) for g in gs) for f, gs in self.grams.items()}
-        k = int(p[:-1].argmax())
-        # template comparison confirms the prediction, or tells between families whose notices share most words
-        family = FAMILIES[k] if near[FAMILIES[k]] >= CONFIRM else max(near, key=near.get)
-        confidence = float(p[FAMILIES.index(family)])
-        if 1 - p[-1] < self.least or near[family] < CONFIRM or (family != FAMILIES[k] and confidence < 0.05):
-            return UNKNOWN, float(p[-1]), max(near.values())
-        return family, confidence, near[family]
-
-    def scan(self, text: str) -> dict[str, tuple[int, float, int, float]]:
-        """family -> (first character of its first paragraph, highest confidence, paragraphs, similarity)."""
-        found: dict = {}
-        at = 0
-        for line in text.split("\n"):
-            if line.strip():
-                family, p, near = self.predict(line)
-                if family != UNKNOWN:
-                    first, best, n, sim = found.get(family, (at, 0.0, 0, 0.0))
-                    found[family] = first, max(best, p), n + 1, max(sim, near)
-            at += len(line) + 1
-        return found
+        best = max(near.values())
+        for k in np.argsort(-p):
+            family = FAMILIES[k]
+            if p[k] < 0.02:
+                break
+            if family != UNKNOWN and near[family] >= CONFIRM and near[family] >= best - CLEARLY:
+                return family, float(p[k]), near[family]
+        return UNKNOWN, float(p[-1]), best
+
+    def predict(self, unit: str) -> tuple[str, float, float]:
+        """(family or unknown, confidence, similarity to the family's nearest template) of one unit."""
+        tokens = _tokens(unit)
+        if len(tokens) < 2:
+            return UNKNOWN, 1.0, 0.0
+        slots = np.concatenate(_slots(_hash_words(tokens)))
+        p = self.probabilities(self.weights[slots].astype(np.float64).sum(0)[None], np.array([len(slots)]))[0]
+        return self.confirm(p, tokens) if 1 - p[-1] >= self.least else (UNKNOWN, float(p[-1]), 0.0)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -202,32 +240,62 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-# Words as licences write them keep punctuation at their ends; these bytes become blanks for the look-up.
-_BLANK = np.arange(256, dtype=np.uint8)
-_BLANK[[x for x in range(33, 127) if not (chr(x).isalnum() or chr(x) in ".-")]] = 32
-
-
-def _candidates(model: Classifier, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-    """(row, first byte, end) of the lines that may hold enough of a template."""
-    clean = _BLANK[data]
-    joint = (clean == 46) | (clean == 45)
-    bare = np.concatenate([clean[1:], [np.uint8(32)]]) <= 32
-    bare |= np.concatenate([[np.uint8(32)], clean[:-1]]) <= 32
-    clean = np.where(joint & bare, np.uint8(32), clean)
-    _, h, starts, _ = words.words(clean, offsets)
-    if len(h) < 2:
-        return []
-    ends = np.unique(np.concatenate([np.flatnonzero(data == 10), offsets[1:]]))
-    hit = np.flatnonzero(share := model.shares[_pairs(h)])
-    one, two = (np.searchsorted(ends, starts[hit + k], "left") for k in (0, 1))
-    line = one[one == two]
-    held = np.bincount(line, share[hit][one == two], minlength=len(ends))
-    out = []
-    for k in np.flatnonzero(held >= CONFIRM - 1e-4):
-        end = int(ends[k])
-        row = int(np.searchsorted(offsets, end, "left")) - 1
-        begin = max(int(ends[k - 1]) if k else 0, int(offsets[row]))
-        out.append((row, begin + (1 if begin < len(data) and data[begin] == 10 else 0), end))
+_ALNUM = np.array([x < 128 and chr(x).isalnum() for x in range(256)])
+_JOINT = np.isin(np.arange(256), [45, 46])
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts and ends of all words, then row, first word and end word, and kind (0 line, 1 window) of each unit) of a chunk of texts."""
+    alnum = _ALNUM[data]
+    beside = np.zeros(len(data), bool)
+    beside[1:-1] = alnum[:-2] & alnum[2:]
+    clean = np.where(alnum | (_JOINT[data] & beside), data, np.uint8(32))
+    rows, h, starts, ends = words.words(clean, offsets)
+    if not len(h):
+        none = np.empty(0, np.int64)
+        return h, starts, ends, none, none, none, none
+    line = np.searchsorted(np.flatnonzero(data == 10), starts)
+    new = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (rows[1:] != rows[:-1])]))
+    stop = np.concatenate([new[1:], [len(h)]])
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    last = np.concatenate([first[1:], [len(h)]])
+    # windows of a row start every STEP words; the last one ends with the row
+    count = np.maximum(1, -(-(last - first - WINDOW) // STEP) + 1)
+    at = np.repeat(first, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * STEP
+    end = np.minimum(at + WINDOW, np.repeat(last, count))
+    across = line[at] != line[end - 1]
+    at, end = at[across], end[across]
+    a, b = np.concatenate([new, at]), np.concatenate([stop, end])
+    kind = np.concatenate([np.zeros(len(new), np.int64), np.ones(len(at), np.int64)])
+    long = b - a >= 2
+    return h, starts, ends, rows[a[long]], a[long], b[long], kind[long]
+
+
+def find(model: Classifier, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, str], tuple[int, float, float, int]]:
+    """(row, family) -> (first byte in the text, highest confidence, similarity, number of units) of a chunk of texts."""
+    h, starts, ends, row, a, b, kind = units(data, offsets)
+    if not len(row):
+        return {}
+    sums = np.zeros((len(row), len(FAMILIES)))
+    for slots, end in zip(_slots(h), (b, b - 1), strict=True):
+        at = np.flatnonzero(model.used[slots])
+        total = np.concatenate([np.zeros((1, len(FAMILIES))), np.cumsum(model.weights[slots[at]], 0, np.float64)])
+        sums += total[np.searchsorted(at, end)] - total[np.searchsorted(at, a)]
+    p = model.probabilities(sums, 2 * (b - a) - 1)
+    out: dict = {}
+    taken: dict = {}
+    for i in np.flatnonzero(1 - p[:, -1] >= model.least):
+        begin, end = int(starts[a[i]]), int(ends[b[i] - 1])
+        family, sure, near = model.confirm(p[i], _tokens(data[begin:end].tobytes().decode("utf-8", "replace")))
+        if family == UNKNOWN:
+            continue
+        key = (int(row[i]), family)
+        # lines come first; a window counts where nothing was found yet
+        if kind[i] and any(x < end and begin < y for x, y in taken.get(key[0], ())):
+            continue
+        taken.setdefault(key[0], []).append((begin, end))
+        first, best, sim, n = out.get(key, (begin - int(offsets[row[i]]), 0.0, 0.0, 0))
+        out[key] = min(first, begin - int(offsets[row[i]])), max(best, sure), max(sim, near), n + 1
     return out
 
 
@@ -242,12 +310,7 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids, rows = batch.column("doc_id").to_pylist(), []
             for a, _, data, offsets in words.chunks(batch.column("text")):
-                found: dict = {}
-                for row, begin, end in _candidates(model, data, offsets):
-                    family, p, near = model.predict(data[begin:end].tobytes().decode("utf-8", "replace"))
-                    if family != UNKNOWN:
-                        first, best, sim, n = found.get((row, family), (begin - int(offsets[row]), 0.0, 0.0, 0))
-                        found[row, family] = first, max(best, p), max(sim, near), n + 1
+                found = find(model, data, offsets)
                 rows += [(ids[a + row], family, best, sim, n, first) for (row, family), (first, best, sim, n) in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 

@@ -114,7 +114,8 @@ def posteriors(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tupl
             table = np.stack([[(n * p)[v[:, j] == k].sum() + 0.1 for k in range(3)] for j in range(v.shape[1])])
             table /= table.sum(1, keepdims=True)
             if p is good:
-                table[:, 0] = np.minimum(table[:, 0], FALSE_ALARMS)
+                junk = np.minimum(table[:, :1], FALSE_ALARMS)
+                table = np.concatenate([junk, table[:, 1:] * ((1 - junk) / table[:, 1:].sum(1, keepdims=True))], 1)
             logs.append(np.log(prior) + sum(np.log(table[j, v[:, j]]) for j in range(v.shape[1])))
         good = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -40, 40)))
     return {p: float(g) for p, g in zip(patterns, good, strict=True)}, {"good": share}

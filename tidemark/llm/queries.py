@@ -89,7 +89,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_licenses")
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence families of all documents: a row for each document, with a list of what was found."""
+    """Licence families of all documents: a row for each family found in a document."""
     docs = load(spark, sf_dir, "documents")
     return licenses.scan(docs)
 
