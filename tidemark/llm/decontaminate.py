@@ -109,35 +109,39 @@ def _starts(at: Column, size: Column, n: Column, threshold: float) -> Column:
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, similarity, start (word) of the best window, for each leaked item of each document."""
-    known = items.where("item_id is not null").select("item_id", words_of(F.col("text")).alias("w"))
-    known = known.select("item_id", F.size("w").alias("n"), shingles_of(F.col("w")).alias("own")).where("n >= 5")
-    known = store.table(known.select("item_id", "n", "own", *(c.alias(x) for c, x in zip(simhash(F.col("own")), ("g0", "g1"), strict=True))), "items")
-    parts = store.table(known.select("n", F.explode("own").alias("h")).distinct(), "item-shingles")
-
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", words_of(F.col("text")).alias("w"))
-    shingled = texts.select("doc_id", F.size("w").alias("size"), shingles_of(F.col("w")).alias("all"))
-    # the outer form: the optimiser would push a filter on a plain one's array below the projections and compute the words anew for each shingle
-    every = shingled.select("doc_id", "size", F.posexplode_outer("all").alias("pos", "h"))
-    hits = every.join(store.checked_broadcast(parts), "h")
-    places = hits.groupBy("doc_id", "size", "n").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    starts = store.table(places.select("doc_id", "size", "n", F.explode(_starts(F.col("at"), F.col("size"), F.col("n"), threshold)).alias("start")), "windows")
-
-    ids = store.table(starts.select("doc_id").distinct(), "window-docs")
-    again = shingled.join(store.checked_broadcast(ids), "doc_id", "left_semi").select("doc_id", "size", "all")
-    cut = starts.join(again, ["doc_id", "size"]).select("doc_id", "n", "start", F.slice("all", F.col("start") + 1, F.col("n") - (SHINGLE - 1)).alias("part"))
-    cut = store.table(cut.withColumn("key", F.xxhash64("n", "part")), "window-shingles")
-
-    once = cut.groupBy("key", "n").agg(F.any_value("part").alias("part"))
-    marked = once.select("key", "n", "part", *(c.alias(x) for c, x in zip(simhash(F.col("part")), ("f0", "f1"), strict=True)))
-    marked = store.table(marked, "window-marks")
-    probe = marked.select("key", "n", "f0", "f1", F.inline(_blocks([F.col("f0"), F.col("f1")])))
-    index = known.select("item_id", "n", "g0", "g1", F.inline(_blocks([F.col("g0"), F.col("g1")])))
-    near = probe.join(index, ["n", "block", "bits"])
-    distance = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1")))
-    near = near.where(distance <= RADIUS).select("key", "n", "item_id").distinct()
-    found = near.join(marked.select("key", "n", "part"), ["key", "n"]).join(known.select("item_id", "own"), "item_id")
-    found = found.withColumn("similarity", _similarity(F.col("part"), F.col("own"))).where(F.col("similarity") >= threshold)
-    found = store.table(found.select("key", "n", "item_id", "similarity"), "window-leaks")
+    with store.scope():
+        known = items.where("item_id is not null").select("item_id", words_of(F.col("text")).alias("w"))
+        known = known.select("item_id", F.size("w").alias("n"), shingles_of(F.col("w")).alias("own")).where("n >= 5")
+        known = store.table(known.select("item_id", "n", "own", *(c.alias(x) for c, x in zip(simhash(F.col("own")), ("g0", "g1"), strict=True))), "items")
+        parts = store.table(known.select("n", F.explode("own").alias("h")).distinct(), "item-shingles")
+
+        texts = docs.where("doc_id is not null and text is not null").select("doc_id", words_of(F.col("text")).alias("w"))
+        shingled = texts.select("doc_id", F.size("w").alias("size"), shingles_of(F.col("w")).alias("all"))
+        # the outer form: the optimiser would push a filter on a plain one's array below the projections and compute the words anew for each shingle
+        every = shingled.select("doc_id", "size", F.posexplode_outer("all").alias("pos", "h"))
+        hits = every.join(store.checked_broadcast(parts), "h")
+        places = hits.groupBy("doc_id", "size", "n").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+        starts = store.table(places.select("doc_id", "size", "n", F.explode(_starts(F.col("at"), F.col("size"), F.col("n"), threshold)).alias("start")), "windows")
+
+        ids = store.table(starts.select("doc_id").distinct(), "window-docs")
+        # only the documents with windows are cut into words again
+        held = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(store.checked_broadcast(ids), "doc_id", "left_semi")
+        again = held.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("size"), shingles_of(F.col("w")).alias("all"))
+        cut = starts.join(again, ["doc_id", "size"]).select("doc_id", "n", "start", F.slice("all", F.col("start") + 1, F.col("n") - (SHINGLE - 1)).alias("part"))
+        cut = store.table(cut.withColumn("key", F.xxhash64("n", "part")), "window-shingles")
+
+        once = cut.groupBy("key", "n").agg(F.any_value("part").alias("part"))
+        marked = once.select("key", "n", "part", *(c.alias(x) for c, x in zip(simhash(F.col("part")), ("f0", "f1"), strict=True)))
+        marked = store.table(marked, "window-marks")
+        probe = marked.select("key", "n", "f0", "f1", F.inline(_blocks([F.col("f0"), F.col("f1")])))
+        index = known.select("item_id", "n", "g0", "g1", F.inline(_blocks([F.col("g0"), F.col("g1")])))
+        near = probe.join(index, ["n", "block", "bits"])
+        distance = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1")))
+        near = near.where(distance <= RADIUS).select("key", "n", "item_id").distinct()
+        found = near.join(marked.select("key", "n", "part"), ["key", "n"]).join(known.select("item_id", "own"), "item_id")
+        found = found.withColumn("similarity", _similarity(F.col("part"), F.col("own"))).where(F.col("similarity") >= threshold)
+        found = store.table(found.select("key", "n", "item_id", "similarity"), "window-leaks")
+        store.keep(cut, found)
 
     told = cut.select("doc_id", "n", "start", "key").join(found, ["key", "n"])
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "start"))
@@ -147,5 +151,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
 
 def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that leak no item."""
-    bad = store.table(leaks(docs, items, threshold).select("doc_id").distinct(), "leaky")
+    with store.scope():
+        bad = store.table(leaks(docs, items, threshold).select("doc_id").distinct(), "leaky")
+        store.keep(bad)
     return docs.join(store.checked_broadcast(bad), "doc_id", "left_anti").select(docs.columns)

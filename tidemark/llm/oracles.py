@@ -21,7 +21,7 @@ r AS (SELECT a AS node, b AS other FROM d UNION SELECT r.node, d.b FROM r JOIN d
 SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(m.other, s.doc_id)) AS component_id FROM s LEFT JOIN (SELECT node, min(other) AS other FROM r GROUP BY 1) m ON m.node = s.doc_id
 """
 
-#: Every window that a shared shingle lines up with an item, compared exactly.
+#: Every window that starts at a shared shingle (or is the document's last), compared exactly.
 LEAKS = r"""
 WITH i AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 g AS (SELECT item_id, len(w) AS n, list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) AS g FROM i WHERE len(w) >= 5),
@@ -29,7 +29,7 @@ gs AS (SELECT item_id, n, unnest(g) AS h, unnest(range(0, len(g))) AS o FROM g),
 t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, len(w) AS size, list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) AS s FROM t WHERE len(w) >= 5),
 x AS (SELECT doc_id, size, unnest(s) AS h, unnest(range(0, len(s))) AS p FROM s),
-c AS (SELECT DISTINCT x.doc_id, gs.item_id, gs.n, greatest(0, least(p - o, size - gs.n)) AS start FROM x JOIN gs ON x.h = gs.h),
+c AS (SELECT DISTINCT x.doc_id, gs.item_id, gs.n, greatest(0, least(p, size - gs.n)) AS start FROM x JOIN gs ON x.h = gs.h),
 v AS (SELECT c.doc_id, c.item_id, c.start, s.s[c.start + 1:c.start + c.n - 4] AS a, g.g AS b FROM c JOIN s USING (doc_id) JOIN g USING (item_id)),
 k AS (SELECT doc_id, item_id, start, len(a) + len(b) AS both_, list_sum(list_transform(list_distinct(b), lambda y: least(len(list_filter(a, lambda z: z = y)), len(list_filter(b, lambda z: z = y))))) AS same FROM v),
 m AS (SELECT doc_id, item_id, start, same / (both_ - same) AS similarity FROM k)
