@@ -1,11 +1,11 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a table of the corpus's frequent pre-tokens and their token counts, built
-from all documents and broadcast; it has at most ``TABLE_ENTRIES`` entries of at most
-``vocab.CACHE_LENGTH`` characters, so its size is bounded. Tier two is each worker's
-bounded cache, filled by encoding what the table misses with the tokenizer itself. No
-pre-token is ever shuffled: for the table each task counts its pre-tokens and reports
-only those that are at least 1 / ``REPORT`` of its own, at most REPORT rows.
+Tier one is a table of frequent pre-tokens and their token counts, counted in a bounded
+sample of documents (``SAMPLE_ROWS``) and broadcast; it has at most ``TABLE_ENTRIES`` entries
+of at most ``vocab.CACHE_LENGTH`` characters, so its size is bounded. Tier two is each
+worker's bounded cache, filled by encoding what the table misses with the tokenizer itself.
+The table only saves work: whatever is or isn't in it, every count is the tokenizer's own.
+No pre-token is ever shuffled: the sample's few tasks each report their most frequent ones.
 
 A pre-token here is a blank and the run up to the next blank: a lone blank between two
 other characters always starts a pre-token of the byte-level pattern, so such runs are
@@ -18,20 +18,19 @@ strings inside a text count as one token, the library's default.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.llm import vocab
+from tidemark.llm import store, vocab
 
 TABLE_ENTRIES = 32768
-REPORT = 10_000
-#: A task's running counts are cut back to those above average when there are more than this.
-COUNTED = 400_000
+#: Documents that the table is counted in, tasks that count them, and entries that a task keeps and reports.
+SAMPLE_ROWS, TASKS, REPORT = 20_000, 8, 65_536
 
 #: The byte-level pattern over PLAIN characters.
 _WORDS = re.compile("'(?:[sdmt]|ll|ve|re)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\\s+(?!\\S)|\\s+")
@@ -47,37 +46,45 @@ def pre_tokens(text: str) -> list[str] | None:
     return [head, *(" " + x for x in rest)] if head else []
 
 
-def frequent(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) -> dict[str, int]:
-    """The table of tier one, from all documents."""
+def frequent(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES, rows: int = SAMPLE_ROWS) -> dict[str, int]:
+    """The table of tier one: token counts of the most frequent pre-tokens in a sample of documents, by a hash of id and text."""
+    sample = store.bounded_sample(docs.where("text is not null").select("doc_id", "text"), docs.count(), rows, "doc_id", "text")
+    sample = store.table(sample.select("text"), "count-sample").repartition(TASKS)
 
     def count(batches):
         seen: Counter = Counter()
-        total, dropped = 0, 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found = pre_tokens(text) if text else None
-                if found:
-                    seen.update(found)
-                    total += len(found)
-            if len(seen) > COUNTED:
-                floor = sum(seen.values()) // len(seen) + 1
-                seen = Counter({k: v for k, v in seen.items() if v > floor})
-                dropped += floor
-        rows = [(k, v) for k, v in seen.items() if v * REPORT >= total and len(k) <= vocab.CACHE_LENGTH]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([v for _, v in rows], pa.int64())], names=["piece", "n"])
-
-    told = docs.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    pieces = [r[0] for r in told.orderBy(F.desc("n"), "piece").limit(entries).collect()]
+                seen.update(k for k in pre_tokens(text) or () if len(k) <= vocab.CACHE_LENGTH)
+            if len(seen) > 4 * REPORT:
+                seen = Counter(dict(seen.most_common(REPORT)))
+        top = seen.most_common(REPORT)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], names=["piece", "n"])
+
+    total: Counter = Counter()
+    for piece, n in sample.mapInArrow(count, "piece string, n long").collect():
+        total[piece] += n
+    pieces = sorted(total, key=lambda k: (-total[k], k))[:entries]
     tok = vocab.library_tokenizer(path)
     return {p: len(e.ids) for p, e in zip(pieces, tok.encode_batch(pieces, add_special_tokens=False), strict=True)}
 
 
+def shaped_as_expected(path: str) -> bool:
+    """Whether the file is byte-level BPE without normalizer or prefix blank, whose special strings hold "<|": only then are texts cut here."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    added = [t["content"] for t in spec.get("added_tokens") or []]
+    plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    return plain and model.get("type") == "BPE" and not model.get("end_of_word_suffix") and all("<|" in a for a in added)
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of every whole text."""
+    """doc_id, n_bytes, n_tokens and over_limit of every whole text; a file of another shape than this module's cuts goes through the library whole."""
     spark = docs.sparkSession
     vocab.small_batches(spark)
-    table, key = spark.sparkContext.broadcast(frequent(docs, path)), uuid.uuid4().hex
+    shaped = shaped_as_expected(path)
+    table, key = spark.sparkContext.broadcast(frequent(docs, path) if shaped else {}), uuid.uuid4().hex
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches):
@@ -94,7 +101,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
             texts, n, size = batch.column("text").to_pylist(), [], []
             for text in texts:
                 text = text or ""
-                found = pre_tokens(text)
+                found = pre_tokens(text) if shaped else None
                 n.append(sum(map(look, found)) if found is not None else len(tok.encode(text, add_special_tokens=False).ids))
                 size.append(len(text.encode("utf-8")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], schema=schema)
