@@ -24,6 +24,49 @@ def test_neighbours_of_all_documents(spark, sf):
     assert sum(r.near_edited > r.near_next for r in long) > 0.85 * len(long)
 
 
+def plain_fingerprint(data: bytes) -> str:
+    """The same fingerprint byte by byte, with Python integers only."""
+    step, table = int(piecewise._STEP), [int(x) for x in piecewise._TABLE]
+    up = [int(x) for x in piecewise.words._powers(len(data) + 1)[0]] if data else []
+
+    def mix(x):
+        for _ in range(2):
+            x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) % 2**64
+        return x ^ (x >> 32)
+
+    def roll(i):
+        h = 0
+        for k in range(piecewise.WINDOW):
+            h = (h + table[data[i - k] if i >= k else 0] * pow(step, k, 2**32)) % 2**32
+        h ^= h >> 15
+        h = (h * 0x2C1B3C6D) % 2**32
+        return h ^ (h >> 13)
+
+    rolls = [roll(i) for i in range(len(data))]
+
+    def signature(block):
+        out, chunk = "", []
+        for i, b in enumerate(data):
+            chunk.append(b)
+            if rolls[i] % block == block - 1 or i == len(data) - 1:
+                h = mix(sum((x + 1) * up[j] for j, x in enumerate(chunk)) % 2**64)
+                out += chr(piecewise.ALPHABET[h >> 58])
+                chunk = []
+        return out
+
+    block = piecewise.LEAST_BLOCK
+    while block * piecewise.LENGTH < len(data):
+        block *= 2
+    while block > piecewise.LEAST_BLOCK and len(signature(block)) < piecewise.LENGTH // 2:
+        block //= 2
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def test_fingerprints_equal_a_loop_over_bytes(spark, sf):
+    texts = [(t or "").encode() for _, t in ODD] + [r.text[:1500].encode() for r in documents(spark, sf).limit(25).collect()] + [b"ab" * 900, bytes([0, 1, 2, 255]) * 40]
+    assert piecewise.fingerprints(texts) == [plain_fingerprint(t) for t in texts]
+
+
 def test_small_tables(spark):
     one = spark.createDataFrame([(1, "abc")], SCHEMA)
     assert [tuple(r)[:2] for r in piecewise.neighbours(one).collect()] == [(1, 3)]

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import ODD, SCHEMA, documents
@@ -48,6 +49,44 @@ def test_bpe_round_trip_equals_the_library(spark, sf):
     assert texts[7] == tok.decode(tok.encode("one two three").ids, skip_special_tokens=False) and texts[3] == ""
 
 
+def long_texts():
+    """Texts of megabytes: with blanks, one word, special strings, letters that the normalizer changes, cuts in every place."""
+    rnd = random.Random(8)
+    words = [rnd.choice(["the", "Idea", "naïve", "İΣ", "x1y", "don't", "--", "日本", "e\u0301"]) for _ in range(60_000)]
+    return [" ".join(w for w in words if w.isascii()), " ".join(words), "".join(rnd.choice("abcdefgh") for _ in range(120_000)), "ab " * 70_000 + "<|endoftext|>" + "cd\n" * 40_000, "é" * 90_000 + " tail"]
+
+
+def test_bpe_of_very_long_texts(spark):
+    tok = Tokenizer.from_file(WORD)
+    rows = list(enumerate(long_texts()))
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("ids", F.lit("clash"))
+    got = {r.doc_id: r for r in bpe_frames.round_trip(df, WORD).collect()}
+    for d, t in rows:
+        ids = tok.encode(t, add_special_tokens=False).ids
+        assert (got[d].n_tokens, got[d].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()), d
+        assert got[d].decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe_frames.round_trip(df.where("doc_id < 0"), WORD).count() == 0
+    assert bpe_frames.decode(bpe_frames.encode(df.where("doc_id < 0"), WORD), WORD).count() == 0
+
+
+def test_long_merges_equal_short_ones():
+    model = bpe.Encoder(WORD).model
+    rnd = random.Random(2)
+    for n in (65, 200, 700):
+        word = "".join(rnd.choice(["a", "b", "th", "e", "in", "an", "er", "aa", "ha", "é"]) for _ in range(n)).encode()
+        ids = model.symbols(word, True)
+        pairs, plain = True, ids[:]
+        while pairs:
+            pairs = sorted((model.merge[p], i) for i, p in enumerate(zip(plain, plain[1:], strict=False)) if p in model.merge)
+            if pairs:
+                (_, made), i = pairs[0]
+                plain[i : i + 2] = [made]
+        assert model.merge_all(ids[:]) == plain
+    one = "q" * 50_000 + "z"
+    parts = list(bpe.Encoder(WORD).transducer.stream(one.encode()))
+    assert len(parts) > 2 and sum(parts, []) == Tokenizer.from_file(WORD).encode(one, add_special_tokens=False).ids
+
+
 def test_byte_decoder_keeps_unfinished_characters():
     model = bpe.Encoder(WORD).model
     d = bpe.Decoder(model, "ByteLevel")
@@ -75,6 +114,17 @@ def test_token_file_random_access(tmp_path):
     assert (f.tokens(70, 1066) == np.concatenate(docs)[70:1066]).all()
 
 
+def test_token_files_refuse_what_does_not_fit(tmp_path):
+    w = tokenbin.TokenWriter(store.open_out(f"file://{tmp_path}/b.tok"), 4)
+    w.add(1, np.array([15], np.uint32))
+    with pytest.raises(ValueError, match="more than 4 bits"):
+        w.add(2, np.array([16], np.uint32))
+    for path in (WORD, BYTE):
+        encode, tok = tokenbin.text_encoder(path), Tokenizer.from_file(path)
+        for t in ("plain words, it's The End", "  x\ty ", "é <|endoftext|> z"):
+            assert encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_token_files_hold_the_librarys_ids(spark, sf, tmp_path):
     tok = Tokenizer.from_file(WORD)
     rows = ODD + [(r.doc_id + 10, r.text) for r in documents(spark, sf).limit(100).collect()]
@@ -101,6 +151,20 @@ def test_token_counts_equal_the_library(spark, sf):
     assert got == sorted(want)
 
 
+def test_token_counts_of_odd_tables(spark):
+    tok = Tokenizer.from_file(BYTE)
+    rows = list(enumerate(long_texts())) + [(7, "twice"), (7, "twice"), (None, "no id")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("n_tokens", F.lit("clash"))
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens) for r in token_count.count_tokens(df, BYTE).collect())
+    assert got == sorted((-1 if d is None else d, len(tok.encode(t, add_special_tokens=False).ids)) for d, t in rows)
+    assert token_count.count_tokens(df.where("doc_id < 0"), BYTE).count() == 0
+    # a file of another shape goes through the library whole
+    assert token_count.shaped_as_expected(BYTE) and not token_count.shaped_as_expected(WORD)
+    other = Tokenizer.from_file(WORD)
+    few = spark.createDataFrame(ODD, SCHEMA)
+    assert sorted((r.doc_id, r.n_tokens) for r in token_count.count_tokens(few, WORD).collect()) == sorted((d, len(other.encode(t or "", add_special_tokens=False).ids)) for d, t in ODD)
+
+
 def test_warc_round_trip(spark, tmp_path):
     page = "<html>" + "x" * 200
     rows = [(5, "u5", page), (3, "u3", page), (9, None, page), (1, "a\r\nb", None), (2, "", "short"), (4, "", "short"), (None, "n", page), (6, "6", "é" * 60)]

@@ -24,15 +24,19 @@ strings inside a text become their ids, as the library's default does.
 from __future__ import annotations
 
 import codecs
+import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import regex
 
 from tidemark.llm import vocab
 
 STEP = 256
+#: Symbols of a long word taken at once, bytes of a word fed at once, and characters of a text encoded before their ids go on.
+LONG_STEP, FEED, SEGMENT = 4096, 16384, 65536
 
 
 class BpeModel:
@@ -81,6 +85,8 @@ class BpeModel:
 
     def merge_all(self, ids: list[int]) -> list[int]:
         """All merges by rank, the leftmost of equals first."""
+        if len(ids) > 64:
+            return self._merge_long(ids)
         merge, none = self.merge, (1 << 60, 0)
         pairs = [merge.get(p, none) for p in zip(ids, ids[1:], strict=False)]
         while pairs:
@@ -97,12 +103,45 @@ class BpeModel:
         return ids
 
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same for long runs: a heap of pairs over a linked list, so time grows with n log n."""
+        merge, n = self.merge, len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merge.get((ids[i], ids[i + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, made = heapq.heappop(heap)
+            j = after[i]
+            # an entry counts only while its two tokens still stand there
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue
+            ids[i], ids[j] = made, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if m := merge.get((made, ids[k])):
+                    heapq.heappush(heap, (m[0], i, made, ids[k], m[1]))
+            h = before[i]
+            if h >= 0 and (m := merge.get((ids[h], made))):
+                heapq.heappush(heap, (m[0], h, ids[h], made, m[1]))
+        return [t for t in ids if t >= 0]
+
+
 class Transducer:
     """Takes a word's bytes piece by piece and gives its token ids as soon as they are final."""
 
     def __init__(self, model: BpeModel, step: int = STEP):
         self.model, self.step, self.held = model, step, []
 
+    def stream(self, data: bytes) -> Iterator[list[int]]:
+        """Ids of a long word in parts, each as soon as it is final."""
+        self.step, was = LONG_STEP, self.step
+        for i in range(0, len(data) - FEED, FEED):
+            yield self.feed(data[i : i + FEED])
+        i = max(0, -(-(len(data) - FEED) // FEED) * FEED)
+        yield self.finish(data[i:])
+        self.step = was
+
     def feed(self, data: bytes) -> list[int]:
         """Bytes that don't end the word."""
         out, model = [], self.model
@@ -151,33 +190,70 @@ class Encoder:
         self.transducer = Transducer(self.model)
         self.pieces = vocab.PieceCache(self._piece)
 
-    def _words(self, text: str) -> Iterator[int]:
-        """Ids of a text without special strings."""
+    def _words(self, text: str) -> Iterator[list[int]]:
+        """Ids of a text without special strings, a word or a part of a long one at a time."""
         for word in self.pattern.finditer(text):
-            yield from self.transducer.word(word[0].encode("utf-8"))
-
-    def _parts(self, text: str, normalize) -> list[int]:
-        if self.special is None or "<" not in text:
-            return list(self._words(normalize(text)))
-        ids = []
+            data = word[0].encode("utf-8")
+            if len(data) > FEED:
+                yield from self.transducer.stream(data)
+            else:
+                yield self.transducer.word(data)
+
+    def _parts(self, text: str, normalize) -> Iterator[list[int]]:
+        if self.special is None or not any(s in text for s in self.model.special):
+            yield from self._words(normalize(text))
+            return
         for k, part in enumerate(self.special.split(text)):
-            ids += [self.model.special[part]] if k % 2 else self._words(normalize(part)) if part else []
-        return ids
+            if k % 2:
+                yield [self.model.special[part]]
+            elif part:
+                yield from self._words(normalize(part))
 
     def _piece(self, piece: str) -> bytes:
-        import numpy as np
+        return b"".join(np.array(ids, "<u4").tobytes() for ids in self._parts(piece, str.lower))
 
-        return np.array(self._parts(piece, str.lower), "<u4").tobytes()
+    def stream(self, text: str | None) -> Iterator[bytes]:
+        """The text's ids as little-endian uint32, part by part as they are final."""
+        if not text:
+            return
+        plain = vocab.PLAIN.fullmatch(text)
+        for part in _segments(text):
+            if plain:
+                if len(part) <= 2 * SEGMENT:
+                    yield b"".join(map(self.pieces.__getitem__, part.split()))
+                else:
+                    # no cut was found: some word is very long
+                    yield from self._long(part, str.lower)
+            else:
+                yield from self._long(part, self.normalizer.normalize_str)
+
+    def _long(self, part: str, normalize) -> Iterator[bytes]:
+        held: list[int] = []
+        for ids in self._parts(part, normalize):
+            held += ids
+            if len(held) >= SEGMENT // 4:
+                yield np.array(held, "<u4").tobytes()
+                held = []
+        yield np.array(held, "<u4").tobytes()
 
     def encode_bytes(self, text: str | None) -> bytes:
         """The text's ids as little-endian uint32."""
-        import numpy as np
+        return b"".join(self.stream(text))
 
-        if not text:
-            return b""
-        if vocab.PLAIN.fullmatch(text):
-            return b"".join(map(self.pieces.__getitem__, text.split()))
-        return np.array(self._parts(text, self.normalizer.normalize_str), "<u4").tobytes()
+
+def _segments(text: str, size: int = SEGMENT) -> Iterator[str]:
+    """Parts of about ``size`` characters, cut at a blank between two ASCII letters or digits, where no rule looks across."""
+    at = 0
+    while len(text) - at > size:
+        cut = _CUT.search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start() + 1]
+        at = cut.end() - 1
+    yield text[at:] if at else text
+
+
+_CUT = re.compile(r"[A-Za-z0-9] [A-Za-z0-9]")
 
 
 class Decoder:

@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame
 from tidemark.llm import vocab
 from tidemark.llm.bpe import Decoder, Encoder
 
-DECODE_STEP = 65536
-
 
 def _tools(path: str):
     encoder = vocab.worker_value(("encoder", path), lambda: Encoder(path))
@@ -20,7 +18,12 @@ def _tools(path: str):
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, the SHA-256 of the ids and of the decoded text of every whole text (null: empty)."""
+    """doc_id, n_tokens, the SHA-256 of the ids and of the decoded text of every whole text.
+
+    Ids go to both digests and to the decoder part by part as they are final, so a very
+    long text or word never lies in memory as ids. A null text is empty; a null doc_id
+    stays null; repeated rows get a row each; other columns are ignored.
+    """
     vocab.small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -29,21 +32,22 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             n, ids_hash, text_hash = [], [], []
             for text in batch.column("text").to_pylist():
-                data = encoder.encode_bytes(text)
-                ids, digest = np.frombuffer(data, "<u4").tolist(), hashlib.sha256()
-                for k in range(0, len(ids), DECODE_STEP):
-                    digest.update(decoder.feed(ids[k : k + DECODE_STEP]))
-                digest.update(decoder.finish())
-                n.append(len(ids))
-                ids_hash.append(hashlib.sha256(data).hexdigest())
-                text_hash.append(digest.hexdigest())
+                count, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+                for data in encoder.stream(text):
+                    count += len(data) // 4
+                    of_ids.update(data)
+                    of_text.update(decoder.feed(np.frombuffer(data, "<u4").tolist()))
+                of_text.update(decoder.finish())
+                n.append(count)
+                ids_hash.append(of_ids.hexdigest())
+                text_hash.append(of_text.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and the ids themselves (array of int; a null text has none)."""
+    """doc_id and the ids themselves (array of int; a null text has none; repeated rows get a row each)."""
     vocab.small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -57,7 +61,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode(ids: DataFrame, path: str) -> DataFrame:
-    """doc_id and the text that the library's decode gives for the ids."""
+    """doc_id and the text that the library's decode gives for the ids (null ids: empty text)."""
     schema = pa.schema([("doc_id", pa.int64()), ("decoded", pa.string())])
 
     def run(batches):
