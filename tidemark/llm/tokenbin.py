@@ -85,6 +85,8 @@ class TokenWriter:
         self.held, self.n_held = [], 0
 
     def add(self, doc_id, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> self.width:
+            raise ValueError(f"an id of document {doc_id} needs more than {self.width} bits")
         self.docs.append(doc_id)
         self.firsts.append(self.tokens)
         self.tokens += len(ids)
@@ -161,8 +163,16 @@ class TokenFile:
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 
 
+#: Texts on which the pieces' ids are compared with the library's before a file's pieces are used at all.
+PROBES = ("It's a test of The-x1 y2z, don't!", "naïve CAFÉ über ß 12 345 ... -- '' 'S", "a<|endoftext|>b <|startoftext|> c", "\tx\n\r\x0b\x0c y  z ")
+
+
 def text_encoder(path: str):
-    """text -> uint32 ids by the tokenizers library, with the library's model run once for each distinct piece of a worker's texts."""
+    """text -> uint32 ids by the tokenizers library, with the library's model run once for each distinct piece of a worker's texts.
+
+    Pieces are used only for files whose ids for PROBES are the sums of their pieces';
+    any other goes through the library whole.
+    """
     tok = vocab.library_tokenizer(path)
     model, shown = tok.model, vocab.byte_symbols()
 
@@ -179,8 +189,19 @@ def text_encoder(path: str):
     cache = vocab.worker_value(("pieces", path), lambda: vocab.PieceCache(piece))
     look, plain = cache.__getitem__, vocab.PLAIN.fullmatch
 
+    def by_pieces(text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(piece, text.split())), "<u4")
+
+    def fits() -> bool:
+        try:
+            return all(by_pieces(t).tolist() == tok.encode(t, add_special_tokens=False).ids for t in PROBES)
+        except Exception:  # a vocabulary without byte symbols cannot tokenize pieces at all
+            return False
+
+    usable = vocab.worker_value(("pieces fit", path), fits)
+
     def encode(text: str) -> np.ndarray:
-        if plain(text):
+        if usable and plain(text):
             return np.frombuffer(b"".join(map(look, text.split())), "<u4")
         return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4")
 
