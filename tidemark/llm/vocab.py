@@ -17,7 +17,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: composition are the same for Python and for the tokenizers library here.
 PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 #: Entries of a worker's cache before it starts anew, and the longest piece kept.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 CACHE_LENGTH = 48
 
 #: Batches of at most this many rows and bytes go to Python, so long texts and sets don't pile up.
