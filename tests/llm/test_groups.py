@@ -208,3 +208,14 @@ def test_scratch_tables_are_deleted(spark, tmp_path, monkeypatch):
     with store.scope():
         store.table(spark.range(3), "gone")
     assert len(list(tmp_path.iterdir())) == 2
+
+
+def test_leaks_in_repeated_long_and_clashing_rows(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    long = " ".join(f"z{i % 977}" for i in range(150_000))
+    rows = [(1, f"{long} {item} {long}"), (2, item), (2, item), (None, item), (3, "x" * 500_000), (4, "")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("similarity", F.lit("clash")).withColumn("h", F.lit(1))
+    items = spark.createDataFrame([(7, item), (8, item)], "item_id long, text string").withColumn("n", F.lit("clash"))
+    got = sorted((r.doc_id, r.item_id, r.similarity) for r in decontaminate.leaks(df, items).collect())
+    assert got == [(d, i, 1.0) for d in (1, 2) for i in (7, 8)]
+    assert sorted(r.doc_id or 0 for r in decontaminate.keep_clean(df, items).collect()) == [0, 3, 4]

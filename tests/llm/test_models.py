@@ -191,3 +191,49 @@ def test_pipeline_stages(spark, sf):
     assert kept <= {r.doc_id for r in docs.collect()} and len(kept) > 80
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     assert out.join(labels.where("quality = 0"), "doc_id").count() <= 0.3 * labels.where("quality = 0").count()
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline here")
+def test_pipeline_equals_plain_stages(spark, sf):
+    """Every stage again on Python lists: scores one by one, all pairs, all windows, the library's ids."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_groups import classes, leaks
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs)
+    kept = [r for r in docs.collect() if model.score(r.text) >= 0.5]
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    tox = toxicity.train(toxicity.labelled(spark.createDataFrame(kept, docs.schema), labels))
+    lexicon, w = tox.lexicon(), tox.weights
+
+    def civil(text):
+        found = plain_walk(lexicon, text)
+        x = [math.log1p(found.get(k, 0.0)) for k in toxicity.KINDS] + [math.log1p(sum(found.values()))]
+        return sum(a * b for a, b in zip(x, w[:-1], strict=True)) + w[-1] < 0
+
+    kept = [r for r in kept if civil(r.text)]
+    comp = classes([(r.doc_id, r.text) for r in kept], 5, 80, 100)
+    kept = [r for r in kept if comp[r.doc_id][1] == r.doc_id]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    grams = lambda t: {tuple(x) for v in [[x for x in re.split(r"[\W_]+", (t or "").lower()) if x]] for x in zip(v, v[1:], v[2:], v[3:], v[4:], strict=False)}
+    known = set().union(*(grams(t) for _, t in items))
+    bad = {d for d, _ in leaks([(r.doc_id, r.text) for r in kept if grams(r.text) & known], items)}
+    tok = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    want = {r.doc_id: len(tok.encode(r.text or "", add_special_tokens=False).ids) for r in kept if r.doc_id not in bad}
+    got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == want
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline here")
+def test_stages_take_odd_rows(spark, sf):
+    """Nulls, empty and repeated rows, a clashing column: every stage gives a row or none for each, and keeps the columns."""
+    import corpus_pipeline
+
+    odd = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in [*ODD, (None, None), (None, "some plain words here")]], "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf)
+        assert out.count() <= odd.count() and (name == "bpe" or out.columns == odd.columns), name
+        assert stage(spark, odd.where("doc_id = -5"), sf).count() == 0, name

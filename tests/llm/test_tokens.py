@@ -179,6 +179,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, warc.write_archives(empty, f"file://{tmp_path}")).count() == 0
 
 
+def test_warc_of_repeated_long_and_clashing_rows(spark, tmp_path):
+    big = "<p>" + "long " * 400_000
+    rows = [(1, "a", big), (1, "a", big), (2, "b", big)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    got = sorted((r.page_id, r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.read_archives(spark, warc.write_archives(df, f"file://{tmp_path}")).collect())
+    assert got == [(1, "response", 0, len(big)), (1, "response", 0, len(big)), (2, "revisit", 1, len(big))]
+
+
 def test_warc_reader_finds_damage():
     payload = b"y" * 500
     a = warc.record_bytes(1, "u", payload, hashlib.sha256(payload).hexdigest())
