@@ -277,3 +277,32 @@ def simulate_scenarios(quotes: DataFrame, by: list[str], at: str, seq: str, entr
         *keys, filled.alias("filled"), F.when(~filled, "no_executable_subthreshold_ask").when(exit_bid.isNull(), "no_executable_close_exit").alias("reason"), F.col(f"i.k.{at}").alias("entry_at"), F.col("i.ask").alias("entry_ask"), F.col("i.price").alias("entry_price"), F.col("i.shares").alias("shares"), (F.col("i.shares") * F.col("i.price")).alias("invested_notional"), F.when(filled, F.col("target_price")).alias("target_price"), (F.col("i.price") * (1 - stop_pct / 100)).alias("stop_price"),
         exit_at.alias("exit_at"), exit_bid.alias("exit_bid"), price.alias("exit_price"), F.when(F.col("o").isNotNull(), F.col("o.why")).when(fresh, "time").alias("exit_reason"), ((price / F.col("i.price") - 1) * 100).alias("return_pct"), (F.col("i.shares") * (price - F.col("i.price"))).alias("pnl_usd"), "max_bid_after_entry", "min_bid_after_entry", "max_quote_gap_seconds", F.coalesce(F.col("_short") | (filled & F.col("l").isNull()), F.lit(False)).alias("capacity_shortfall"),
     )
+
+
+def minute_summary(bars: DataFrame, by: list[str], at: str) -> DataFrame:
+    """by and the shape of its minute bars: counts, first open, last close, extremes, return, volatility, and bars and volume by session.
+
+    Bars have open, high, low, close, volume, trade_count and session; prices that aren't
+    positive don't count.
+    """
+    good = lambda c: F.when(F.col(c) > 0, F.col(c))
+    w = W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    x = bars.withColumn("_r", F.log(good("close") / F.last(good("close"), ignorenulls=True).over(w)))
+    label = F.coalesce("session", F.lit("unknown"))
+    each = bars.groupBy(*by, label.alias("_s")).agg(F.count("*").alias("n"), F.sum("volume").alias("v")).groupBy(*by)
+    maps = each.agg(*(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_s", c)))).alias(n) for c, n in (("n", "session_bar_counts"), ("v", "session_volume"))))
+    out = x.groupBy(*by).agg(
+        F.count("*").alias("bar_count"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.min_by("open", F.when(F.col("open") > 0, F.col(at))).alias("first_open"), F.max_by("close", F.when(F.col("close") > 0, F.col(at))).alias("last_close"), F.max(good("high")).alias("high"), F.min(good("low")).alias("low"),
+        F.when(F.count("_r") >= 2, F.stddev_samp("_r")).otherwise(0.0).alias("realized_vol"), F.coalesce(F.max(F.abs("_r")), F.lit(0.0)).alias("max_abs_one_min_log_return"), F.sum("volume").alias("volume"), F.sum("trade_count").alias("trade_count"),
+    )
+    return out.withColumn("return_pct", (F.try_divide(F.col("last_close"), F.col("first_open")) - 1) * 100).join(maps, by)
+
+
+def microstructure(seconds: DataFrame, by: list[str]) -> DataFrame:
+    """by and the shape of its second rows (as ``second_summary`` makes them): active seconds, totals, busiest second, spreads and depth."""
+    spread = F.when(F.col("min_spread") >= 0, F.col("min_spread"))
+    n = lambda c: F.count(F.when(F.col(c) > 0, 1))
+    return seconds.groupBy(*by).agg(
+        F.count("*").alias("active_seconds"), n("trade_count").alias("trade_seconds"), n("quote_updates").alias("quote_seconds"), *(F.sum(c).alias(c) for c in ("trade_count", "trade_volume", "quote_updates")), F.max("trade_count").alias("max_trades_per_second"), F.max("trade_volume").alias("max_volume_per_second"),
+        F.median(spread).alias("median_spread"), F.percentile(spread, 0.9).alias("p90_spread"), F.median("bid_size_shares").alias("median_bid_depth_shares"), F.median("ask_size_shares").alias("median_ask_depth_shares"),
+    )

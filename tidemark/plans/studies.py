@@ -334,3 +334,35 @@ def j24(spark, sf):
     prior, today = d.groupBy("symbol").agg(F.min_by("close", "day").alias("close")), d.groupBy("symbol").agg(F.max_by("high", "day").alias("high"), F.max_by("close", "day").alias("price"))
     x = cohorts.day_candidates(prior, today, prior, today.select("symbol", "price"))
     return x.withColumn("signal_value", F.round("signal_value", 6))
+
+
+@query(
+    "a24_minute_summary",
+    f"""WITH b AS (SELECT symbol % 20 AS symbol, sec // 60 AS t_, arg_min(price, (us, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (us, seq)) AS close, sum(seq % 5) AS volume, count(*) AS n FROM ({TICKS}) GROUP BY 1, 2), x AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY t_)) AS r, CASE WHEN t_ % 1440 < 720 THEN 'premarket' ELSE 'regular' END AS s FROM b WHERE close > 0),
+    m AS (SELECT symbol, string_agg(s || '=' || n || '/' || v, ',' ORDER BY s) AS sessions FROM (SELECT symbol, s, count(*) AS n, CAST(sum(volume) AS BIGINT) AS v FROM x GROUP BY 1, 2) GROUP BY 1)
+    SELECT symbol, count(*) AS bar_count, arg_min(open, t_) AS first_open, arg_max(close, t_) AS last_close, max(high) AS high, min(low) AS low, round(CASE WHEN count(r) >= 2 THEN stddev_samp(r) ELSE 0 END, 6) AS realized_vol, round(max(abs(r)), 6) AS max_abs, CAST(sum(volume) AS BIGINT) AS volume, any_value(sessions) AS sessions FROM x JOIN m USING (symbol) GROUP BY 1""",
+)
+def a24(spark, sf):
+    from tidemark.operators import surge
+
+    t = ticks(spark, sf).withColumn("symbol", F.col("symbol") % 20)
+    b = surge.bars(t, ["symbol"], F.expr("sec div 60"), "price", ["us", "seq"], "at").withColumnRenamed("n", "trade_count")
+    v = t.groupBy("symbol", F.expr("sec div 60").alias("at")).agg(F.sum(F.col("seq") % 5).alias("volume"))
+    b = b.join(v, ["symbol", "at"]).where("close > 0").withColumn("session", F.when(F.col("at") % 1440 < 720, "premarket").otherwise("regular"))
+    x = tape.minute_summary(b, ["symbol"], "at")
+    each = F.transform(F.map_entries("session_bar_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"], F.lit("/"), F.element_at("session_volume", e["key"])))
+    return x.select("symbol", "bar_count", "first_open", "last_close", "high", "low", F.round("realized_vol", 6).alias("realized_vol"), F.round("max_abs_one_min_log_return", 6).alias("max_abs"), "volume", F.concat_ws(",", each).alias("sessions"))
+
+
+@query(
+    "a25_second_microstructure",
+    f"""WITH q AS (SELECT symbol % 20 AS symbol, us // 1000000 AS s, min(CASE WHEN seq % 9 = 0 THEN NULL ELSE seq % 4 END)::DOUBLE AS spread, arg_max(seq % 30, (us, seq)) AS bs, count(*) AS u FROM ({TICKS}) WHERE kind = 'view' GROUP BY 1, 2), t AS (SELECT symbol % 20 AS symbol, us // 1000000 AS s, sum(seq % 50) AS v, count(*) AS n FROM ({TICKS}) WHERE kind = 'purchase' GROUP BY 1, 2),
+    x AS (SELECT coalesce(t.symbol, q.symbol) AS symbol, coalesce(n, 0) AS n, coalesce(v, 0) AS v, coalesce(u, 0) AS u, spread, bs FROM t FULL JOIN q ON t.symbol = q.symbol AND t.s = q.s)
+    SELECT symbol, count(*) AS active_seconds, count(*) FILTER (n > 0) AS trade_seconds, count(*) FILTER (u > 0) AS quote_seconds, CAST(sum(n) AS BIGINT) AS trade_count, CAST(sum(v) AS BIGINT) AS trade_volume, max(n) AS max_trades_per_second, CAST(max(v) AS BIGINT) AS max_volume_per_second, median(spread) AS median_spread, round(quantile_cont(spread, 0.9), 6) AS p90_spread, median(bs) AS median_bid_depth_shares FROM x GROUP BY 1""",
+)
+def a25(spark, sf):
+    x = ticks(spark, sf).withColumns({"symbol": F.col("symbol") % 20, "at": F.col("us") * 1000})
+    t = x.where("kind = 'purchase'").select("symbol", "at", "seq", "price", (F.col("seq") % 50).alias("size"))
+    q = x.where("kind = 'view'").select("symbol", "at", "seq", F.col("price").alias("bid_price"), (F.col("seq") % 30).alias("bid_size_shares"), F.col("price").alias("ask_price"), F.lit(1).cast("long").alias("ask_size_shares"), F.when(F.col("seq") % 9 != 0, (F.col("seq") % 4).cast("double")).alias("spread"))
+    y = tape.microstructure(tape.second_summary(t, q, ["symbol"], "at", "seq"), ["symbol"])
+    return y.select("symbol", "active_seconds", "trade_seconds", "quote_seconds", "trade_count", "trade_volume", "max_trades_per_second", "max_volume_per_second", "median_spread", F.round("p90_spread", 6).alias("p90_spread"), "median_bid_depth_shares")
