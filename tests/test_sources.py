@@ -93,6 +93,20 @@ def test_sinks_of_exports(spark, tmp_path):
     assert {r.sha256 for r in writers.file_manifest(spark, f"{tmp_path}/e").collect()} and writers.file_manifest(spark, f"{tmp_path}/e").where("bytes > 0").count() >= 1
 
 
+def test_updates_and_deletes_make_versions(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, s string")
+    path = f"{tmp_path}/t"
+    assert writers.write_upsert(df, path, ["id"]) == 1
+    assert writers.update_where(spark, path, F.col("s") == "a", {"s": F.lit("z")}) == 2
+    assert writers.delete_where(spark, path, F.col("s") == "b") == 3
+    assert sorted((r.id, r.s) for r in writers.read_versioned(spark, path).collect()) == [(1, "z"), (3, None)]
+    with pytest.raises(ValueError, match="no complete version"):
+        writers.read_versioned(spark, f"{tmp_path}/none")
+    writers.insert(df, f"{tmp_path}/i")
+    writers.insert(df, f"{tmp_path}/i")
+    assert spark.read.parquet(f"{tmp_path}/i").count() == 6
+
+
 def test_resume_guards(spark, tmp_path):
     writers.guard_frozen(spark, f"{tmp_path}/g", "universe", "abc")
     writers.guard_frozen(spark, f"{tmp_path}/g", "universe", "abc")

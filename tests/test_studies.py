@@ -146,6 +146,10 @@ def test_balanced_match_equals_a_loop(spark):
         assert sorted((r.event, r.control, r["rank"], round(r.score, 9)) for r in picks.collect()) == sorted(want)
         got = few.collect()
         assert {r.event: (r.selected, r.accepted) for r in got} == short
+        report = matching.balance_report(df.where("is_event").drop("is_event", "no_threshold_hit"), df.where("not is_event").drop("is_event"), cfg).first()
+        assert report.matched_pair_count == len(want) and report.positive_events_with_shortfall == len(short)
+        assert report.gate_status == ("passed" if want else "failed") and all(report[f"max_abs_z_{f}"] <= most + 1e-9 for f, (_, most) in matching.FEATURES.items())
+        assert not want or report.maximum_match_score == pytest.approx(max(p[3] for p in want))
         assert all((r.reason == "no_strong_control") == (r.selected == 0) for r in got) and all(len(r.nearest or []) <= 5 for r in got)
 
 

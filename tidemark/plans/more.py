@@ -152,14 +152,15 @@ def r04(spark, sf):
     return sessions(e, ["symbol"], "2 hours").groupBy("symbol").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
 
 
-@query("k09_group_parts", "SELECT count(DISTINCT o_custkey) AS groups, TRUE AS within_limit FROM orders")
+@query("k09_group_parts", "SELECT count(DISTINCT o_custkey) AS groups, 0 AS split_groups, CAST(count(*) * 100 AS BIGINT) AS bytes, 0 AS parts_over_limit, count(*) AS rows FROM orders")
 def k09(spark, sf):
     from tidemark.sources.writers import grouped_parts, manifest
 
     o = load(spark, sf, "orders").select(F.col("o_custkey").alias("grp"), F.lit(100).cast("long").alias("size"))
     parts = grouped_parts(o, "grp", "size", 20000)
-    worst = manifest(parts, "part", "size").agg(F.max("bytes").alias("b"))
-    return parts.agg(F.count_distinct("grp").alias("groups")).join(F.broadcast(worst)).select("groups", (F.col("b") <= 20000).alias("within_limit"))
+    split = parts.groupBy("grp").agg(F.count_distinct("part").alias("n")).agg(F.count("*").alias("groups"), F.count_if(F.col("n") > 1).cast("int").alias("split_groups"))
+    m = manifest(parts, "part", "size").agg(F.sum("bytes").alias("bytes"), F.count_if(F.col("bytes") > 20000).cast("int").alias("parts_over_limit"), F.sum("rows").alias("rows"))
+    return split.join(F.broadcast(m))
 
 
 @query("w16_control_rank", f"SELECT symbol, seq, row_number() OVER (PARTITION BY symbol ORDER BY price DESC, sha256(CAST(seq AS VARCHAR))) AS rank FROM ({TICKS}) WHERE kind = 'error'")

@@ -162,6 +162,12 @@ def t01(spark, sf):
     return rounded(picks)
 
 
+@query("a30_balance_gates")
+def a30(spark, sf):
+    x = matching.balance_report(*cohort(spark, sf), LOOSE)
+    return rounded(x.withColumns({"gate_violations": F.concat_ws(",", "gate_violations"), "rejection_reason_totals": F.to_json("rejection_reason_totals")}))
+
+
 @query("t01_shortfalls")
 def t01_shortfalls(spark, sf):
     _, few = matching.balanced_match(*cohort(spark, sf), LOOSE)

@@ -65,6 +65,29 @@ def write_upsert(df: DataFrame, path: str, keys: list[str], order: list | None =
     return (version or 0) + 1
 
 
+def rewrite(spark: SparkSession, path: str, change) -> int:
+    """A new version of the table at path, made by ``change`` (rows to rows), and its number; the old version stays for its readers."""
+    version = current_version(spark, path)
+    change(read_versioned(spark, path)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path.rstrip('/')}/v={version + 1}")
+    return version + 1
+
+
+def update_where(spark: SparkSession, path: str, where, values: dict) -> int:
+    """Sets columns of the rows that a predicate holds for (null counts as false)."""
+    hit = F.coalesce(where, F.lit(False))
+    return rewrite(spark, path, lambda df: df.withColumns({c: F.when(hit, v).otherwise(F.col(c)).cast(df.schema[c].dataType) for c, v in values.items()}))
+
+
+def delete_where(spark: SparkSession, path: str, where) -> int:
+    """Leaves out the rows that a predicate holds for (null counts as false)."""
+    return rewrite(spark, path, lambda df: df.where(~F.coalesce(where, F.lit(False))))
+
+
+def insert(df: DataFrame, path: str) -> None:
+    """Appends rows; never replayed by the writer itself, as a replay would repeat them."""
+    df.write.mode("append").option("compression", "zstd").parquet(path)
+
+
 def write_fixed(df: DataFrame, path: str, schema: T.StructType | str, mode: str = "append") -> None:
     """Parquet under a declared schema: its columns in its order and types; a missing column or a value that does not fit is an error."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
