@@ -27,6 +27,7 @@ import codecs
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -210,7 +211,13 @@ class Encoder:
                 yield from self._words(normalize(part))
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join(np.array(ids, "<u4").tobytes() for ids in self._parts(piece, str.lower))
+        if len(piece) > STEP or (self.special is not None and any(s in piece for s in self.model.special)):
+            return b"".join(np.array(ids, "<u4").tobytes() for ids in self._parts(piece, str.lower))
+        # short pieces come by the million: no generators here
+        ids, model = [], self.model
+        for word in self.pattern.findall(piece.lower()):
+            ids += model.merge_all(model.symbols(word.encode(), True))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def stream(self, text: str | None) -> Iterator[bytes]:
         """The text's ids as little-endian uint32, part by part as they are final."""

@@ -16,8 +16,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: ASCII without control characters, and the Latin-1 letters: white space, case and
 #: composition are the same for Python and for the tokenizers library here.
 PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-#: Entries of a worker's cache before it starts anew, and the longest piece kept.
-CACHE_ENTRIES = 250_000
+#: Entries of a worker's cache, and the longest piece kept.
+CACHE_ENTRIES = 400_000
 CACHE_LENGTH = 48
 
 #: Batches of at most this many rows and bytes go to Python, so long texts and sets don't pile up.
@@ -60,16 +60,23 @@ def byte_symbols() -> list[str]:
 
 
 class PieceCache(dict):
-    """piece -> result of ``encode(piece)``; starts anew from ``frequent`` when full."""
+    """piece -> result of ``encode(piece)``, in two generations: when the younger is full it becomes the older, whose pieces come back as they are met.
+
+    So the pieces in use stay, and at most ``limit`` results are held beside ``frequent``.
+    """
 
     def __init__(self, encode, frequent: dict | None = None, limit: int = CACHE_ENTRIES, longest: int = CACHE_LENGTH):
         super().__init__(frequent or {})
-        self.encode, self.frequent, self.limit, self.longest = encode, frequent or {}, limit, longest
+        self.encode, self.frequent, self.longest = encode, frequent or {}, longest
+        self.young, self.older = len(self.frequent) + limit // 2, {}
 
     def __missing__(self, piece):
-        value = self.encode(piece)
+        value = self.older.pop(piece, None)
+        if value is None:
+            value = self.encode(piece)
         if len(piece) <= self.longest:
-            if len(self) >= self.limit:
+            if len(self) >= self.young:
+                self.older = dict(self)
                 self.clear()
                 self.update(self.frequent)
             self[piece] = value
