@@ -305,23 +305,29 @@ def _members(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> tu
     return store.table(met.select("sig", "cls", "n").join(store.checked_broadcast(least), "cls"), "jaccard-members"), tokens
 
 
-def _links(members: DataFrame, live: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between classes that connect all classes that links connect."""
+def _links(members: DataFrame, live: DataFrame, num: int, den: int, screen=None) -> DataFrame:
+    """Links (a, b) between classes that connect all classes that links connect.
+
+    ``screen(pairs, live)`` may leave out pairs (a, b) that it knows not to be linked.
+    """
     size = members.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
     members = store.table(members.join(size, "sig"), "jaccard-sized")
     met = members.groupBy("cls").agg(F.sum("size").alias("met"))
     lead = members.select("sig", "cls").join(met, "cls").groupBy("sig").agg(F.max(F.struct("met", "cls")).alias("lead"))
     lead = store.table(lead.select("sig", F.col("lead.cls").alias("leader"), F.col("lead.met").alias("leader_met")), "jaccard-leaders")
     first = members.select("sig", "cls").join(lead, "sig").where("cls <> leader").groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("leader_met", "leader")).getField("leader").alias("b"))
-    near = store.table(_compare(first, live), "jaccard-near")
+    if screen:
+        first = store.table(first, "jaccard-first")
+    near = store.table(_compare(screen(first, live) if screen else first, live), "jaccard-near")
     linked = near.where(f"common * {den} >= either * {num}")
     comp = components(linked.select("a", "b"))
 
     own = members.select("sig", "cls", "n", "shared").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    own = own.join(near.select(F.col("a").alias("cls"), F.col("b").alias("of")), "cls", "left")
+    own = own.join((first if screen else near).select(F.col("a").alias("cls"), F.col("b").alias("of")), "cls", "left")
     split = own.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("sig")
     open_ = store.table(own.join(split, "sig").withColumn("family", F.coalesce("of", "cls")), "jaccard-open")
-    rest = _compare(_across(open_, num, den).distinct(), live).union(_within(open_, live, num, den))
+    across = _across(open_, num, den).distinct()
+    rest = _compare(screen(across, live) if screen else across, live).union(_within(open_, live, num, den))
     more = store.table(rest.where(f"common * {den} >= either * {num}"), "jaccard-more")
     return linked.select("a", "b").union(more.select("a", "b"))
 
@@ -420,14 +426,17 @@ def _within(open_: DataFrame, live: DataFrame, num: int, den: int) -> DataFrame:
     return _derived(met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), apart)
 
 
-def join_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row: sets are linked when den * |x & y| >= num * |x | y|."""
+def join_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, members=_members, screen=None) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row: sets are linked when den * |x & y| >= num * |x | y|.
+
+    ``members`` makes the lists in which sets meet, ``screen`` may rule pairs of them out.
+    """
     sets = set_table(docs, k)
     with store.scope():
         with store.scope():
-            members, live = _members(docs, sets, k, num, den)
-            store.keep(members, live)
-        comp = components(_links(members, live, num, den))
+            met, live = members(docs, sets, k, num, den)
+            store.keep(met, live)
+        comp = components(_links(met, live, num, den, screen))
         of = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
         # only linked classes need a name other than their own least id
         linked = store.table(of.join(comp.withColumnRenamed("node", "cls"), "cls"), "jaccard-linked")

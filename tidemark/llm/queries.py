@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_frames, decontaminate, jaccard, licenses, oracles, piecewise, quality, store, token_count, tokenbin, toxicity, warc
+from tidemark.llm import align, bpe_frames, decontaminate, jaccard, licenses, oracles, piecewise, quality, setsketch, spelling, store, token_count, tokenbin, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +35,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 WORD_BPE_SIZE, END_ID = 49408, 2
 
 
@@ -98,3 +98,21 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that leaked into documents."""
     return decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers over all documents."""
+    return align.align(load(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
+@query("op12_near_duplicates", oracles.NEAR)
+def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents by five-word shingles and a similarity of 0.85, found by sketches."""
+    return setsketch.near_duplicates(load(spark, sf_dir, "documents"), k=5, num=85, den=100)
+
+
+@query("op13_spelling", oracles.SPELLING)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.variants(load(spark, sf_dir, "documents"))
