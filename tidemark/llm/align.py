@@ -25,21 +25,33 @@ Other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import store, token_count, vocab
 
+#: Runs that are encoded at once.
+ENCODED = 4096
+#: White space that is not a single blank between two other characters.
+_BESIDE = re.compile("^ | $|  |[\t\r\x0b\x0c]| \n|\n ")
 #: A pair of ids is broadcast if it holds at least one in so many of all links.
 HOT_PAIRS = 250_000
 
 
 class Sides:
-    """Both tokenizers with the bytes of each id: A a byte-level file of the tokenizers library, B a sentencepiece model."""
+    """Both tokenizers with the bytes of each id: A a byte-level file of the tokenizers library, B a sentencepiece model.
+
+    Neither goes on over a single blank between two other characters, so the texts of a batch
+    are cut there, each different run is encoded once, and nothing is held from batch to
+    batch. Texts with other white space beside blanks, or with characters beyond
+    ``vocab.PLAIN``, are encoded whole.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -55,40 +67,74 @@ class Sides:
         self.a_bytes = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in entries]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
-        #: No entry goes on beyond a blank, so texts without double blanks are encoded run by run.
-        self.b_runs = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.a_runs = token_count.shaped_as_expected(a_path)
-        shown, model = vocab.byte_symbols(), self.a.model
-        self.a_look = vocab.PieceCache(lambda w: tuple(t.id for t in model.tokenize("".join([shown[x] for x in w.encode()])))).__getitem__
-        self.b_look = vocab.PieceCache(self._b_run).__getitem__
-
-    def _b_run(self, run: str):
-        """The ids of a blank and a run, or None if their bytes are not the run's."""
-        ids = self.b.encode(run)
-        return tuple(ids) if self._joined(ids, self.b_bytes, run) else None
+        # no entry of B may go on beyond a blank, and A must have the pattern that starts a pre-token there
+        self.runs = token_count.shaped_as_expected(a_path) and not any("▁" in p.lstrip("▁") for p in pieces)
+
+        self.ranked = self._ranked(a_path) if self.runs else None
+
+    def _ranked(self, path: str):
+        """A's own entries and merges as the faster encoder by ranks, where ids after the single bytes follow the merges' order; else None."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        if [model["vocab"].get(m) for m in merged] != list(range(256, 256 + len(merged))):
+            return None
+        ranks = {self.a_bytes[i]: i for i in range(256 + len(merged))}
+        return tiktoken.Encoding("a", pat_str=token_count._WORDS.pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def _runs(self, runs: list[str]) -> list[tuple | None]:
+        """(A's ids of blank + run, B's ids of run) of each run of plain characters, or None where B's bytes are others."""
+        a = map(self.ranked.encode_ordinary, [f" {r}" for r in runs]) if self.ranked else (e.ids for e in self.a.encode_batch_fast([f" {r}" for r in runs], add_special_tokens=False))
+        return [(x, y) if self._joined(y, self.b_bytes, r) else None for r, x, y in zip(runs, a, self.b.encode(runs, num_threads=1), strict=True)]
+
+    def _whole(self, text: str) -> tuple | None:
+        a, b = self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text)
+        return (a, b) if self._joined(a, self.a_bytes, text) and self._joined(b, self.b_bytes, text) else None
 
     @staticmethod
     def _joined(ids, of: list[bytes], text: str) -> bool:
         return b"".join([of[i] for i in ids]) == f" {text}".encode()
 
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
-        """(A's ids of blank + text, B's ids of text); nothing where either's bytes are not those of blank + text."""
-        if not text:
-            return [], []
-        plain = vocab.PLAIN.fullmatch(text) is not None
-        if plain and self.b_runs and "  " not in text and text[0] != " " and text[-1] != " ":
-            runs = list(map(self.b_look, text.split(" ")))
-            if None in runs:
-                return [], []
-            b = list(chain.from_iterable(runs))
-        else:
-            b = self.b.encode(text)
-            if not self._joined(b, self.b_bytes, text):
-                return [], []
-        if plain and self.a_runs:
-            return list(chain.from_iterable(map(self.a_look, token_count._WORDS.findall(f" {text}")))), b
-        a = self.a.encode(f" {text}", add_special_tokens=False).ids
-        return (a, b) if self._joined(a, self.a_bytes, text) else ([], [])
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, ids): A's ids of blank + text, then B's ids of text, counted on from A's, of each text in turn.
+
+        A text has no ids where either's bytes are not those of blank + text, or there is no text.
+        """
+        cut = [t.split(" ") if t and self.runs and vocab.PLAIN.fullmatch(t) and not _BESIDE.search(t) else None for t in texts]
+        index: dict = {r: i for i, r in enumerate({r for runs in cut if runs for r in runs})}
+        names, units = list(index), []
+        for i in range(0, len(names), ENCODED):
+            units += self._runs(names[i : i + ENCODED])
+        parts = []
+        for text, runs in zip(texts, cut, strict=True):
+            if runs is not None:
+                parts.append([index[r] for r in runs])
+            elif text:
+                parts.append([len(units)])
+                units.append(self._whole(text))
+            else:
+                parts.append([])
+        parts = [[] if any(units[i] is None for i in own) else own for own in parts]
+        unit = np.fromiter(chain.from_iterable(parts), np.int64)
+        doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        sides = [_gathered([u[k] if u else () for u in units], unit, doc, len(parts)) for k in (0, 1)]
+        (n_a, a), (n_b, b) = sides
+        ends = np.concatenate([[0], np.cumsum(n_a + n_b)])
+        ids = np.empty(ends[-1], np.int32)
+        at = np.arange(len(ids)) - np.repeat(ends[:-1], n_a + n_b) < np.repeat(n_a, n_a + n_b)
+        ids[at], ids[~at] = a, b + len(self.a_bytes)
+        return ends, ids
+
+
+def _gathered(lists: list, unit: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(length of each document, all ids): the lists of the units one after the other."""
+    size = np.array([len(x) for x in lists], np.int64)
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
+    start, own = np.cumsum(size) - size, size[unit]
+    at = np.repeat(start[unit] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+    return np.bincount(doc, own, docs).astype(np.int64), flat[at]
 
 
 def entry_lengths(spark: SparkSession, a_path: str, b_path: str) -> DataFrame:
@@ -106,13 +152,9 @@ def token_table(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches):
         sides = vocab.worker_value(("sides", a_path, b_path), lambda: Sides(a_path, b_path))
-        beyond = len(sides.a_bytes)
         for batch in batches:
-            toks = []
-            for text in batch.column("text").to_pylist():
-                a, b = sides.encode(text)
-                toks.append(a + [x + beyond for x in b])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(toks, schema.field("toks").type)], schema=schema)
+            ends, ids = sides.encode(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], schema=schema)
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return store.table(numbered.mapInArrow(run, "row long, doc_id long, toks array<int>"), "align-tokens")
