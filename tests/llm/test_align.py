@@ -89,9 +89,12 @@ def test_alignment_equals_a_loop(spark, sf, hot):
 
 def test_links_are_numbered_groups_of_neighbours(spark):
     df = spark.createDataFrame([(1, "internationalization of words")], SCHEMA)
-    tokens = align.token_table(df, A, B)
+    tokens, name = align.token_table(df, A, B)
     got = align.links(tokens, align.entry_lengths(spark, A, B)).orderBy("end").collect()
     assert got[-1].cut and got[-1].end == len(" internationalization of words") and all(r.a is not None and r.b is not None for r in got)
+    plan = align.links(tokens, align.entry_lengths(spark, A, B))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    align.drop_tokens(spark, name)
     groups = [r.group for r in got]
     assert groups == sorted(groups, reverse=True) and groups[-1] == 1 and groups[0] == sum(r.cut for r in got)
     assert all((r.cut, r.a_end is not None, r.b_end is not None) in {(True, True, True), (False, True, False), (False, False, True)} for r in got)

@@ -8,8 +8,8 @@ so the links are those rows, each with the next token of either side that ends t
 later: a document of a and b tokens has fewer than a + b of them, even where one group
 spans all of it, and no group is multiplied out.
 
-One exchange by document of rows that hold arrays comes first; explode, windows and the
-meeting of ends all keep that partitioning. Meeting is a grouping by (document, end) of the
+The texts are dealt by document once, and the table of their tokens is bucketed so; explode,
+windows and the meeting of ends all keep that partitioning, and no token row is exchanged. Meeting is a grouping by (document, end) of the
 rows of both sides, which is the full equi-join on these keys without exchanges of its own.
 
 Corpus-wide counts of linked id pairs are grouped with partial sums. Pairs that hold at least
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from itertools import chain
 
 import numpy as np
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import store, token_count, vocab
 
+#: Documents of a bucket of tokens, and most buckets.
+BUCKET_ROWS, MOST_BUCKETS = 1000, 100_000
 #: Runs that are encoded at once.
 ENCODED = 4096
 #: White space that is not a single blank between two other characters.
@@ -145,8 +148,8 @@ def entry_lengths(spark: SparkSession, a_path: str, b_path: str) -> DataFrame:
     return spark.createDataFrame(rows, "tok int, side int, id int, bytes int")
 
 
-def token_table(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """row, doc_id, toks (ids of A, then those of B, counted on from A's vocabulary) of each row of docs: a written table, so row numbers are fixed."""
+def token_table(docs: DataFrame, a_path: str, b_path: str) -> tuple[DataFrame, str]:
+    """(row, doc_id, toks (ids of A, then those of B, counted on from A's vocabulary) of each row of docs, the table's name): written, so row numbers are fixed, and bucketed by row."""
     vocab.small_batches(docs.sparkSession)
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("toks", pa.list_(pa.int32()))])
 
@@ -157,7 +160,13 @@ def token_table(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], schema=schema)
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return store.table(numbered.mapInArrow(run, "row long, doc_id long, toks array<int>"), "align-tokens")
+    spark, rows = docs.sparkSession, docs.count()
+    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // BUCKET_ROWS))
+    name = f"align_{uuid.uuid4().hex}"
+    # dealt as the buckets are, so each task writes one file
+    made = numbered.repartition(buckets, "row").mapInArrow(run, "row long, doc_id long, toks array<int>")
+    made.write.bucketBy(buckets, "row").option("path", f"{store.shared_dir(spark, 'align-tokens')}").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name), name
 
 
 def links(tokens: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -166,7 +175,7 @@ def links(tokens: DataFrame, lengths: DataFrame) -> DataFrame:
     a_end and b_end hold the id if the token itself ends there, else null; cut is true where
     both do. Groups are counted from the last one of a document.
     """
-    each = tokens.repartition("row").select("row", F.posexplode("toks").alias("pos", "tok"))
+    each = tokens.select("row", F.posexplode("toks").alias("pos", "tok"))
     # both vocabularies' entries, so bounded by the files
     each = each.join(F.broadcast(lengths), "tok")
     upto = Window.partitionBy("row", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -190,7 +199,7 @@ def pair_counts(linked: DataFrame) -> DataFrame:
 def align(docs: DataFrame, a_path: str, b_path: str, hot: int = HOT_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row of docs."""
     with store.scope():
-        tokens = token_table(docs, a_path, b_path)
+        tokens, name = token_table(docs, a_path, b_path)
         lengths = store.table(entry_lengths(docs.sparkSession, a_path, b_path), "align-entries")
         linked = links(tokens, lengths)
         counts = pair_counts(linked)
@@ -213,4 +222,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, hot: int = HOT_PAIRS) -> Da
         )
         out = store.table(out, "align-documents")
         store.keep(out)
+    drop_tokens(docs.sparkSession, name)
     return out
+
+
+def drop_tokens(spark: SparkSession, name: str) -> None:
+    """Deletes a table of tokens with its files."""
+    path = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
+    spark.sql(f"DROP TABLE {name}")
+    store.drop(path, spark)
