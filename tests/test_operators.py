@@ -131,7 +131,78 @@ def test_greedy_match_equals_a_loop(spark):
                 used.add(c)
                 uses[s] = uses.get(s, 0) + 1
                 want.append((e[1], c, n, score))
-    assert got == want
+    assert sorted(got) == sorted(want)
+
+
+def plain_greedy(pairs, controls, symbol_uses):
+    used, uses, want = set(), {}, set()
+    events = {}
+    for p in pairs:
+        events.setdefault(p[:2], []).append(p)
+    for key in sorted(events):
+        n = 0
+        for _, e, c, s, score in sorted(events[key], key=lambda p: (p[4], p[2])):
+            if n < controls and c not in used and uses.get(s, 0) < symbol_uses:
+                n += 1
+                used.add(c)
+                uses[s] = uses.get(s, 0) + 1
+                want.add((e, c, n, score))
+    return want
+
+
+@pytest.mark.parametrize(("seed", "controls", "symbol_uses"), [(1, 3, 4), (2, 1, 1), (3, 5, 10**6), (4, 2, 2)])
+def test_greedy_rounds_equal_a_loop_under_contention(spark, seed, controls, symbol_uses):
+    # many events want the same few controls and symbols, days share symbols, scores tie
+    rnd = random.Random(seed)
+    pairs = [(d, 100 * d + e, 1000 * d + c, c % 7, rnd.randint(0, 6) / 2) for d in range(5) for e in range(20) for c in rnd.sample(range(30), 12)]
+    df = spark.createDataFrame(pairs, "day long, event long, control long, symbol long, score double").repartition(5)
+    config = matching.MatchConfig(weights={}, controls=controls, symbol_uses=symbol_uses)
+    picks = matching.greedy_global(df, "day", config)
+    assert {tuple(r) for r in picks.collect()} == plain_greedy(pairs, controls, symbol_uses)
+    assert matching.greedy_global(df.where("day > 9"), "day", config).count() == 0
+
+
+def test_greedy_rounds_leave_no_scratch_tables(spark, tmp_path, monkeypatch):
+    from tidemark.sources import shared
+
+    monkeypatch.setattr(shared, "folder", lambda spark: f"file://{tmp_path}")
+    df = spark.createDataFrame([(1, e, c, 0, 0.5 + c) for e in range(4) for c in range(4)], "day long, event long, control long, symbol long, score double")
+    picks = matching.greedy_global(df, "day", matching.MatchConfig(weights={}, controls=1, symbol_uses=3))
+    assert {(r.event, r.control) for r in picks.collect()} == {(0, 0), (1, 1), (2, 2)}
+    assert len(list(tmp_path.glob("*.parquet"))) == 1
+
+
+def test_candidate_quality_does_not_depend_on_how_anchors_lie(spark, sf):
+    from tidemark.operators import cohorts
+    from tidemark.plans import studies
+    from tidemark.plans.features import samples
+
+    grid = studies._hour_grid(spark, sf)
+    plain = samples(spark, sf).select("symbol", "step", F.col("sample_id").alias("event"), F.lit("x").alias("other"))
+    # anchors straight out of a join and an exchange, some of them repeated
+    anchors = plain.union(plain.where("event % 3 = 0")).repartition(5).join(plain.select("event").distinct(), "event").repartition(7, "other")
+    key = ("symbol", "step", "event", "reason", "observed_fraction", "minimum_liquidity")
+    args = (grid, "symbol", "step", "step", (1, 2), 24, 1, 1, 100.0, 2, 0.6)
+    once = {tuple(r[k] for k in key) for r in cohorts.candidate_quality(plain, *args).collect()}
+    many = cohorts.candidate_quality(anchors, *args).collect()
+    assert {tuple(r[k] for k in key) for r in many} == once and len(many) == anchors.count()
+    rows = {(r.symbol, r.step): r for r in grid.collect()}
+    for symbol, step, _, reason, _, _ in once:
+        at = lambda a, z: [rows.get((symbol, s)) for s in range(step + a, step + z + 1)]  # noqa: B023, E731
+        near, past = at(-2, 1), at(-26, -3)
+        if None in near:
+            want = "outside_loaded_range"
+        elif not all(r.observed for r in near):
+            want = "missing_local_minutes"
+        elif any(r.crossing for r in near):
+            want = "near_25pct_crossing"
+        elif None in past or sum(r.observed for r in past) / 24 < 0.6:
+            want = "insufficient_prior_history"
+        elif not all(r.observed for r in at(-4, -3) + at(-3, -2)):
+            want = "missing_entry_liquidity"
+        else:
+            want = "below_entry_liquidity_floor" if min(sum(r.quote_volume for r in at(-4, -3)), sum(r.quote_volume for r in at(-3, -2))) < 100 else "pass"
+        assert reason == want
 
 
 def test_rules_treat_null_as_false(spark):

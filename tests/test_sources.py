@@ -135,3 +135,16 @@ def test_event_time_surges_equal_batch_whatever_the_order(spark, tmp_path):
     q.stop()
     got = {tuple(r) for r in writers.read_versioned(spark, f"{tmp_path}/out").collect()}
     assert got == want
+
+
+def test_a_day_has_one_first_surge_even_after_a_quiet_window(spark, tmp_path):
+    # surges at minutes 10 and 710 of one day, the watermark a window past the first before the second comes
+    steps = [[(1, 0, 10.0, 10.0), (1, 10, 20.0, 20.0)], [(2, 600, 1.0, 1.0)], [(2, 601, 1.0, 1.0)], [(1, 700, 10.0, 10.0), (1, 710, 20.0, 20.0)], [(1, 1441, 10.0, 10.0), (1, 1442, 30.0, 30.0)], [(2, 9000, 1.0, 1.0)], [(2, 9001, 1.0, 1.0)]]
+    df = lambda rows: spark.createDataFrame(rows, "symbol long, minute long, high double, low double").select("symbol", F.timestamp_seconds((F.col("minute") + 144_000) * 60).alias("ts"), "high", "low")
+    for i, rows in enumerate(steps):
+        df(rows).coalesce(1).write.parquet(f"{tmp_path}/in/{i:03d}")
+    stream = spark.readStream.schema(df(steps[0]).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*").withWatermark("ts", "1 minute")
+    q = stateful.surges_by_event_time(stream).writeStream.format("memory").queryName("one_a_day").option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.symbol, r.day, r.minute) for r in spark.table("one_a_day").collect()) == [(1, 100, 144_010), (1, 101, 145_442)]

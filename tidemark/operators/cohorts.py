@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import floor_div, pct_change, tie_break, uuid5
-from tidemark.operators import context, matching, ordered, splits, surge, tape
+from tidemark.operators import context, matching, ordered, ranges, splits, surge, tape
 
 
 def surge_scan(bars: DataFrame, trades: DataFrame, by: str, scan: str, window: int = 480, rise: float = 1.25, confirm_s: int = 300, target: float = 100.0) -> DataFrame:
@@ -62,10 +62,10 @@ def candidate_quality(anchors: DataFrame, grid: DataFrame, by: str, at: str, anc
     points = {"ls": a - local - 1, "le": a + after, "hs": history - prior, "he": history}
     for k, h in enumerate(horizons):
         points |= {f"e{k}": a - h - 1, f"s{k}": a - h - 1 - liquidity}
-    x = anchors.withColumn("_id", F.monotonically_increasing_id())
-    each = x.select("_id", by, F.explode(F.array(*(F.struct(F.lit(n).alias("n"), c.alias("p")) for n, c in points.items()))).alias("_x")).select("_id", by, F.col("_x.n").alias("_n"), F.col("_x.p").alias("_p"))
-    found = each.join(sums, [by, "_p"]).groupBy("_id").agg(*(F.max(F.when(F.col("_n") == n, F.struct("_o", "_c", "_q"))).alias(n) for n in points))
-    x = x.join(found, "_id", "left")
+    # what is looked up depends on key and anchor only, so these are its name: equal anchors share one lookup
+    each = anchors.select(by, anchor).distinct().select(by, anchor, F.explode(F.array(*(F.struct(F.lit(n).alias("n"), c.alias("p")) for n, c in points.items()))).alias("_x")).select(by, anchor, F.col("_x.n").alias("_n"), F.col("_x.p").alias("_p"))
+    found = each.join(sums, [by, "_p"]).groupBy(by, anchor).agg(*(F.max(F.when(F.col("_n") == n, F.struct("_o", "_c", "_q"))).alias(n) for n in points))
+    x = anchors.join(found, [by, anchor], "left")
     diff = lambda f, e, s: F.col(f"{e}.{f}") - F.col(f"{s}.{f}")
     share = diff("_o", "he", "hs") / prior
     full = reduce(lambda p, q: p & q, (F.coalesce(diff("_o", f"e{k}", f"s{k}") == liquidity, F.lit(False)) for k in range(len(horizons))))
@@ -82,7 +82,7 @@ def candidate_quality(anchors: DataFrame, grid: DataFrame, by: str, at: str, anc
     )
     late = F.col("reason").isin("pass", "below_entry_liquidity_floor")
     x = x.withColumn("reason", reason).withColumns({"observed_fraction": F.when(late, share), "minimum_liquidity": F.when(late, low)})
-    return x.drop("_id", *points)
+    return x.select(*anchors.columns, "reason", "observed_fraction", "minimum_liquidity")
 
 
 def matched_controls(events: DataFrame, grid: DataFrame, by: str, at: str, horizons: tuple[int, ...], prior: int, before: int, after: int, least: float, controls: int = 5, step_s: int = 60, liquidity: int = 5, observed: float = 0.98, offsets: tuple[int, ...] = (0, -15, 15, -30, 30, -45, 45, -60, 60)) -> tuple[DataFrame, DataFrame]:
@@ -124,19 +124,54 @@ def pseudo_window_audit(samples: DataFrame, bars: DataFrame, by: str, at: str, f
     return y.select("sample_id", share.alias("pseudo_window_observed_fraction"), crossed.alias("pseudo_window_crossing_detected"), F.col("gain").alias("pseudo_window_max_sequential_gain_pct"), (control & (F.coalesce(crossed, F.lit(True)) | (share < 0.99))).alias("pseudo_window_contaminated_control"))
 
 
-def baseline_context(samples: DataFrame, bars: DataFrame, by: str, at: str, offsets: tuple[int, ...], **options) -> DataFrame:
-    """The feature row of each sample at each offset before its baseline step, with the audit of its window; contaminated controls get that status.
+# Steps before the baseline and before the crossing at which a sample is looked at.
+BASELINE_OFFSETS = (14400, 10080, 7200, 4320, 2880, 1440, 720, 480, 360, 180, 60, 0)
+CROSS_HORIZONS = (15, 30, 60, 120, 180, 480)
 
-    samples has sample_id, by, sample_type, baseline and cross steps; options go to ``context.ten_day_context``.
+
+def baseline_outcomes(samples: DataFrame, bars: DataFrame, by: str, at: str, tree: DataFrame, ahead: int = 480) -> DataFrame:
+    """sample_id and the moves from its baseline: to the crossing and over the next ``ahead`` steps, against the baseline step's own low (gains) and close (falls).
+
+    A baseline step without a bar has no moves, only observed shares. _top is the highest high up to the crossing.
+    """
+    spans = {"baseline_to_cross": F.col("cross"), "next_8h_from_baseline": F.col("baseline") + ahead - 1}
+    each = samples.select("sample_id", by, "baseline", F.explode(F.array(*(F.struct(F.lit(k).alias("_k"), c.cast("long").alias("_z")) for k, c in spans.items()))).alias("_x")).select("sample_id", by, F.col("baseline").cast("long").alias("_a"), "_x.*")
+    found = ranges.fold_ranges(each, tree, ["sample_id", "_k"], by, "_a", "_z")
+    own = samples.select("sample_id", by, F.col("baseline").alias(at)).join(bars.select(by, at, F.col("low").alias("_low"), F.col("close").alias("_close")), [by, at]).select("sample_id", "_low", "_close")
+    x = each.join(found.select("sample_id", "_k", "high", "low", "n"), ["sample_id", "_k"], "left").join(own, "sample_id", "left")
+    from_low = F.when(F.col("_low") > 0, F.col("_low")).otherwise(F.col("_close"))
+    out = []
+    for k in spans:
+        of = lambda e: F.max(F.when(F.col("_k") == k, e))  # noqa: B023, E731
+        share = F.when(F.col("_z") >= F.col("_a"), F.coalesce("n", F.lit(0)) / (F.col("_z") - F.col("_a") + 1)).otherwise(0.0)
+        out += [of(share).alias(f"outcome_{k}_observed_fraction"), of(pct_change(from_low, F.col("high"))).alias(f"outcome_{k}_max_gain_from_baseline_minute_low_pct"), of(pct_change(F.col("_close"), F.col("low"))).alias(f"outcome_{k}_max_drawdown_from_baseline_minute_close_pct")]
+    return x.groupBy("sample_id").agg(*out, F.max(F.when(F.col("_k") == "baseline_to_cross", F.col("high"))).alias("_top"))
+
+
+def baseline_context(samples: DataFrame, bars: DataFrame, by: str, at: str, offsets: tuple[int, ...] = BASELINE_OFFSETS, horizons: tuple[int, ...] = CROSS_HORIZONS, ahead: int = 480, **options) -> DataFrame:
+    """The feature rows of each sample: one for each offset before its baseline and one for each horizon before its crossing, with the audit of its window and the moves after the baseline.
+
+    samples has sample_id, by, sample_type, baseline and cross steps; options go to
+    ``context.ten_day_context``. All rows of all samples are made in one pass over the same
+    blocks of bars. Rows before the baseline carry the outcomes, and a gain from the row's own
+    entry to the crossing; contaminated controls get that status whatever their rows' own.
     """
+    # Names of the alignments and stages.
+    kind = lambda name, stage, steps, before: F.struct(F.lit(name).alias("analysis_alignment"), F.lit(stage).alias("decision_stage"), F.lit(before).cast("int").alias("_before"), (F.col(steps) - before - 1).alias("_at"), F.col(steps).alias("anchor"))
+    looks = [kind("baseline_start", "pre_baseline" if o else "baseline_start", "baseline", o) for o in offsets] + [kind("pre_cross_snapshot", "pre_cross", "cross", h) for h in horizons]
+    each = samples.select("sample_id", by, F.inline(F.array(*looks))).withColumnRenamed("_at", at)
+    each = each.withColumn("_sample", F.col("sample_id")).withColumn("sample_id", F.struct(F.col("_sample").alias("sample"), F.col("analysis_alignment").alias("kind"), "_before"))
+    rows = context.ten_day_context(each, bars, by, at, **options).drop("sample_id").withColumnRenamed("_sample", "sample_id")
     audit = pseudo_window_audit(samples, bars, by, at, "baseline", "cross")
-    each = samples.select("*", F.explode(F.array(*map(F.lit, offsets))).alias("offset"))
-    each = each.select(F.concat_ws("@", "sample_id", "offset").alias("_key"), F.col("sample_id").alias("_sample"), "offset", by, (F.col("baseline") - F.col("offset") - 1).alias(at), F.col("baseline").alias("anchor"))
-    rows = context.ten_day_context(each.withColumnRenamed("_key", "sample_id"), bars, by, at, **options)
-    rows = rows.drop("sample_id").withColumnRenamed("_sample", "sample_id").join(audit, "sample_id")
-    stage = F.when(F.col("offset") == 0, "baseline_start").otherwise("pre_baseline")
+    moves = baseline_outcomes(samples, bars, by, at, ranges.blocks(bars, by, at), ahead)
+    rows = rows.join(audit, "sample_id").join(moves, "sample_id", "left")
+    early = F.col("analysis_alignment") == "baseline_start"
     status = F.when(F.col("pseudo_window_contaminated_control"), "contaminated_control").otherwise(F.col("feature_quality_status"))
-    return rows.withColumns({"decision_stage": stage, "feature_quality_status": status})
+    later = [c for c in moves.columns if c.startswith("outcome_")]
+    return rows.withColumns({
+        "baseline_snapshot_offset_minutes": F.when(early, F.col("_before")), "pre_cross_horizon_minutes": F.when(~early, F.col("_before")), "feature_quality_status": status,
+        "outcome_snapshot_to_cross_max_gain_pct": F.when(early, pct_change(F.col("entry_price"), F.col("_top"))), **{c: F.when(early, F.col(c)) for c in later},
+    }).drop("_before", "_top")
 
 
 def sellability_study(events: DataFrame, quotes: DataFrame, trades: DataFrame, by: str, window_s: int = 300, notional: float = 500.0, need_trade: bool = True) -> DataFrame:

@@ -4,10 +4,9 @@ A sample is (sample_id, key, step): the last complete bar before its decision. B
 row for each observed step (a minute, or any other unit) with open, high, low, close,
 quote_volume, trade_count and taker_quote; a step without a row is unobserved.
 
-Windows that end at a sample are nested, so every bar belongs to one ring (the smallest
-window that holds it) and every metric of a window is put together from its rings: sums
-and extremes add up, and the deepest fall is that of a ring or from an older ring's high to
-a newer ring's low. So each bar is handled once, whatever the number of windows.
+Sums, extremes, falls, returns and lines over a stretch of steps come from folds of ready
+blocks (``ranges``). Only exact percentiles of a sample's own minutes need the minutes
+themselves (``meet``).
 """
 
 from __future__ import annotations
@@ -19,7 +18,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import earlier_rate, interval_return, pct_change
+from tidemark.operators import ranges
 from tidemark.operators.features import adjusted_skew
+from tidemark.sources.shared import Scratch
 
 # Windows in minutes of the wide rows, of the narrower first version, and of reference assets.
 CONTEXT_WINDOWS = (15, 30, 60, 120, 180, 360, 480, 720, 1440, 2880, 4320, 7200, 10080, 14400)
@@ -82,60 +83,40 @@ def _per_day(slope: Column, per_day: float) -> Column:
     return F.expm1(slope * per_day) * 100
 
 
-def window_metrics(samples: DataFrame, bars: DataFrame, by: str, at: str, windows: list[int] = CONTEXT_WINDOWS, per_day: float = 1440.0, vol_share: float = 0.8, vol_least: int = 5, trends: bool = True) -> DataFrame:
+def window_metrics(samples: DataFrame, bars: DataFrame, by: str, at: str, windows: list[int] = CONTEXT_WINDOWS, per_day: float = 1440.0, vol_share: float = 0.8, vol_least: int = 5, trends: bool = True, tree: DataFrame | None = None) -> DataFrame:
     """sample_id, window and its metrics (the keys of NAMES), a row for each window of each sample that has its own bar.
 
-    Ratios with a zero or missing denominator are null. Realised volatility needs
-    ``vol_share`` of the window's closes and at least ``vol_least``.
+    Windows are nested, so the steps between two of them are one stretch, folded from ready
+    blocks of its key (``ranges``), and a window is the fold of its stretches: a sample
+    meets some tens of blocks a window, never its bars. Ratios with a zero or missing
+    denominator are null. Realised volatility needs ``vol_share`` of the window's closes and
+    at least ``vol_least``. ``tree`` is ``ranges.blocks`` of the bars, if there is one
+    already. The rows are a written table.
     """
     windows = sorted(windows)
-    entry = entries(samples, bars, by, at)
-    ring = sum(((F.col("_age") >= w).cast("int") for w in windows), F.lit(0))
-    x = meet(samples, bars, by, at, windows[-1]).withColumn("_ring", ring)
-    run = W.partitionBy("sample_id", "_ring").orderBy("_m").rowsBetween(W.unboundedPreceding, 0)
-    w = W.partitionBy("sample_id").orderBy("_m")
-    x = x.withColumns({"_old": F.lag("close").over(w), "_old_ring": F.lag("_ring").over(w), "_from_end": F.count("*").over(w.rowsBetween(0, W.unboundedFollowing))})
-    x = x.withColumns({"_hi": F.max("close").over(run), "_lo": F.min("close").over(run)})
-    close, inside = F.col("close"), F.col("_ring") < len(windows)
-    rings = x.where(inside).groupBy("sample_id", "_ring").agg(
-        F.count("*").alias("n"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        F.max_by("_m", F.struct("high", "_m")).alias("hi_at"),
-        F.max_by("_m", F.struct(-F.col("low"), "_m")).alias("lo_at"),
-        *(F.sum(c).alias(c) for c in ("quote_volume", "trade_count", "taker_quote")),
-        F.max("close").alias("cmax"),
-        F.min("close").alias("cmin"),
-        F.min(F.when(F.col("_hi") > 0, close / F.col("_hi") - 1)).alias("dd"),
-        F.max(F.when(F.col("_lo") > 0, close / F.col("_lo") - 1)).alias("ru"),
-    )
-    reach = F.explode(F.slice(F.array(*map(F.lit, windows)), F.col("_ring") + 1, len(windows))).alias("window")
-    older = W.partitionBy("sample_id", "window").orderBy(F.desc("_ring")).rowsBetween(W.unboundedPreceding, -1)
-    y = rings.select("*", reach).withColumns({"_max": F.max("cmax").over(older), "_min": F.min("cmin").over(older)})
-    sums = y.groupBy("sample_id", "window").agg(
-        F.sum("n").alias("n"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        F.max_by("hi_at", F.struct("high", "hi_at")).alias("hi_at"),
-        F.max_by("lo_at", F.struct(-F.col("low"), "lo_at")).alias("lo_at"),
-        *(F.sum(c).alias(c) for c in ("quote_volume", "trade_count", "taker_quote")),
-        F.min("cmin").alias("cmin"),
-        F.least(F.min("dd"), F.min(F.when(F.col("_max") > 0, F.col("cmin") / F.col("_max") - 1))).alias("dd"),
-        F.greatest(F.max("ru"), F.max(F.when(F.col("_min") > 0, F.col("cmax") / F.col("_min") - 1))).alias("ru"),
-    )
-    # a return belongs to the windows that hold its older close
-    r = F.log(close / F.col("_old"))
-    back = x.where((F.col("_old_ring") < len(windows)) & (F.col("_old") > 0) & (close > 0)).groupBy("sample_id", F.col("_old_ring").alias("_ring"))
-    back = back.agg(F.count("*").alias("nr"), F.sum(r).alias("s"), F.sum(r * r).alias("s2"), F.count(F.when(r > 0, 1)).alias("up"))
-    back = back.select("*", reach).groupBy("sample_id", "window").agg(*(F.sum(c).alias(c) for c in ("nr", "s", "s2", "up")))
-    lag = x.where(F.col("_age").isin(*windows)).select("sample_id", F.col("_age").alias("window"), F.col("close").alias("lag_close"))
-    frame = samples.sparkSession.createDataFrame([(int(v),) for v in windows], "window long")
-    out = entry.join(F.broadcast(frame)).join(sums.withColumn("window", F.col("window").cast("long")), ["sample_id", "window"], "left").join(back.withColumn("window", F.col("window").cast("long")), ["sample_id", "window"], "left").join(lag.withColumn("window", F.col("window").cast("long")), ["sample_id", "window"], "left")
-    if trends:
-        out = out.join(_window_trends(x.where(inside), windows, per_day), ["sample_id", "window"], "left")
-    else:
-        out = out.withColumns({"trend": F.lit(None).cast("double"), "trend_r2": F.lit(None).cast("double")})
-    return _finish(out.join(samples.select("sample_id", F.col(at).alias("_end")), "sample_id"), vol_share, vol_least)
+    with Scratch(samples.sparkSession, "windows") as scratch:
+        if tree is None:
+            tree = scratch.cut(ranges.blocks(bars, by, at, windows[-1]))
+        entry = entries(samples, bars, by, at)
+        own = scratch.cut(samples.select("sample_id", by, F.col(at).cast("long").alias("_end")).join(entry, "sample_id"))
+        wide = F.array(*(F.lit(w).cast("long") for w in windows))
+        folds = scratch.cut(_window_folds(own, tree, by, windows))
+        back = own.select("sample_id", by, "_end", F.explode(wide).alias("window"))
+        lag = back.withColumn(at, F.col("_end") - F.col("window")).join(bars.select(by, F.col(at).cast("long").alias(at), F.col("close").alias("lag_close")), [by, at]).select("sample_id", "window", "lag_close")
+        out = own.select("sample_id", "entry_price", "_end", F.explode(wide).alias("window")).join(folds, ["sample_id", "window"], "left").join(lag, ["sample_id", "window"], "left")
+        if trends:
+            out = _window_trends(out, own.select("sample_id", by, "_end"), bars, by, at, per_day, max(windows))
+        else:
+            out = out.withColumns({"trend": F.lit(None).cast("double"), "trend_r2": F.lit(None).cast("double")})
+        return scratch.keep(scratch.cut(_finish(out, vol_share, vol_least)))
+
+
+def _window_folds(own: DataFrame, tree: DataFrame, by: str, windows: list[int]) -> DataFrame:
+    """sample_id, window and the fold of each window that holds a bar: of the stretches between two windows first, then of those that make it up."""
+    rings = [F.struct(F.lit(i).alias("_ring"), (F.col("_end") - w + 1).alias("_low"), (F.col("_end") - (windows[i - 1] if i else 0)).alias("_high")) for i, w in enumerate(windows)]
+    folds = ranges.fold_ranges(own.select("sample_id", by, F.inline(F.array(*rings))), tree, ["sample_id", "_ring"], by, "_low", "_high", windows[-1])
+    reach = F.explode(F.slice(F.array(*(F.lit(w).cast("long") for w in windows)), F.col("_ring") + 1, len(windows))).alias("window")
+    return ranges.fold(folds.select("*", reach), ["sample_id", "window"], -F.col("_ring"))
 
 
 def _finish(out: DataFrame, vol_share: float, vol_least: int) -> DataFrame:
@@ -169,15 +150,27 @@ def _finish(out: DataFrame, vol_share: float, vol_least: int) -> DataFrame:
     )
 
 
-def _window_trends(x: DataFrame, windows: list[int], per_day: float, most: int = 600) -> DataFrame:
-    """sample_id, window, trend, trend_r2: each window keeps every stride-th of its bars, at most ``most``, before anything is exploded."""
-    part = W.partitionBy("sample_id")
-    sizes = x.withColumn("_sizes", F.array(*(F.count(F.when(F.col("_age") < w, 1)).over(part) for w in windows)))
-    # the newest bar, at age 0 or later, counts 1 from the end
-    each = F.transform(F.array(*map(F.lit, windows)), lambda w, i: F.struct(w.cast("long").alias("window"), (F.get("_sizes", i) - F.col("_from_end")).alias("i"), F.get("_sizes", i).alias("n")))
-    kept = F.filter(each, lambda s: (F.col("_age") < s["window"]) & (s["n"] >= 6) & (s["i"] % F.greatest(F.lit(1), F.ceil(s["n"] / most)) == 0))
-    y = sizes.where("close > 0").select("sample_id", F.log("close").alias("_y"), F.inline(kept)).withColumn("_x", F.col("i").cast("double"))
-    return y.groupBy("sample_id", "window").agg(_per_day(F.regr_slope("_y", "_x"), per_day).alias("trend"), F.when(F.max("_y") > F.min("_y"), F.regr_r2("_y", "_x")).alias("trend_r2"))
+def _window_trends(folds: DataFrame, own: DataFrame, bars: DataFrame, by: str, at: str, per_day: float, longest: int, most: int = 600) -> DataFrame:
+    """folds with trend and trend_r2 of each window's ln(close) over its row numbers, every stride-th row from its first so that at most ``most`` count.
+
+    Windows of up to ``most`` rows have their line from their fold. The rows of a thinned
+    one are looked up by their rank in the key: its last row is the sample's own bar, so the
+    others' ranks are known.
+    """
+    slope, r2 = ranges.line(F.col("n"), F.col("sy"), F.col("siy"), F.col("syy"))
+    some = F.col("n").between(6, most)
+    out = folds.withColumns({"trend": F.when(some, _per_day(slope, per_day)), "trend_r2": F.when(some & (F.col("cmax") > F.col("cmin")), r2)})
+    if longest <= most:
+        return out
+    rank = ranges.ranks(bars, by, at).join(bars.select(by, at, "close"), [by, at])
+    last = own.withColumnRenamed("_end", at).join(rank.select(by, at, "rank"), [by, at]).select("sample_id", by, "rank")
+    long = folds.where(F.col("n") > most).select("sample_id", "window", "n").join(last, "sample_id")
+    stride = F.ceil(F.col("n") / most)
+    thin = long.select("sample_id", "window", by, (F.col("rank") - F.col("n") + 1).alias("_first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, stride)).alias("_i"))
+    rows = thin.withColumn("rank", F.col("_first") + F.col("_i")).join(rank.where("close > 0").select(by, "rank", F.log("close").alias("_y")), [by, "rank"]).withColumn("_x", F.col("_i").cast("double"))
+    fits = rows.groupBy("sample_id", "window").agg(_per_day(F.regr_slope("_y", "_x"), per_day).alias("_t"), F.when(F.max("_y") > F.min("_y"), F.regr_r2("_y", "_x")).alias("_t2"))
+    out = out.join(fits, ["sample_id", "window"], "left")
+    return out.withColumns({"trend": F.coalesce("trend", "_t"), "trend_r2": F.coalesce("trend_r2", "_t2")}).drop("_t", "_t2")
 
 
 def widen(rows: DataFrame, windows: list[int], metrics: list[str] | None = None, names: dict[str, str] = NAMES) -> DataFrame:
@@ -187,16 +180,25 @@ def widen(rows: DataFrame, windows: list[int], metrics: list[str] | None = None,
     return held.select("sample_id", "entry_price", *(F.element_at("_w", F.lit(w).cast("long"))[m].alias(names[m].format(w)) for w in windows for m in metrics))
 
 
-def _coarse(x: DataFrame, size: int, name: str) -> DataFrame:
-    """Bars of the coarser unit of each sample, from its observed bars."""
-    return x.groupBy("sample_id", F.call_function("div", F.col("_m") - F.pmod("_m", F.lit(size)), F.lit(size)).alias(name)).agg(
-        F.min_by("open", "_m").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "_m").alias("close"), F.sum("quote_volume").alias("quote_volume"), F.sum("trade_count").alias("trades"), F.sum("taker_quote").alias("taker_quote"), F.count("*").alias("minutes")
-    )
+def _coarse(samples: DataFrame, bars: DataFrame, by: str, at: str, span: int, size: int, name: str, tree: DataFrame | None) -> DataFrame:
+    """Bars of the coarser unit of each sample's last ``span`` steps, from its observed bars: units inside are the key's own, those at the ends are folded."""
+    end = F.col(at).cast("long")
+    unit = lambda c: F.floor(c / F.lit(size)).cast("long")
+    each = samples.select("sample_id", by, end.alias("_end"), (end - span + 1).alias("_from"), F.explode(F.sequence(unit(end - span + 1), unit(end))).alias(name))
+    each = each.withColumns({"_low": F.greatest(F.col("_from"), F.col(name) * size), "_high": F.least(F.col("_end"), F.col(name) * size + size - 1)})
+    whole = F.col("_high") - F.col("_low") == size - 1
+    leaf = ranges.leaves(bars, at).withColumn(name, unit(F.col("_m")))
+    units = leaf.groupBy(by, name).agg(F.min_by("open", "_m").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("last", "_m").alias("last"), *(F.sum(c).alias(c) for c in ranges.SUMS), F.count("*").alias("n"))
+    out = ["sample_id", name, "open", "high", "low", F.col("last").alias("close"), "quote_volume", F.col("trade_count").alias("trades"), "taker_quote", F.col("n").alias("minutes")]
+    inside = each.where(whole).join(units, [by, name]).select(*out)
+    tree = ranges.blocks(bars, by, at, size) if tree is None else tree
+    ends = ranges.fold_ranges(each.where(~whole), tree, ["sample_id", name], by, "_low", "_high", size).select(*out)
+    return inside.unionByName(ends)
 
 
-def daily_context(samples: DataFrame, bars: DataFrame, by: str, at: str, span: int = 14400, day: int = 1440, full: int = 1430, days: int = 11) -> DataFrame:
+def daily_context(samples: DataFrame, bars: DataFrame, by: str, at: str, span: int = 14400, day: int = 1440, full: int = 1430, days: int = 11, tree: DataFrame | None = None) -> DataFrame:
     """sample_id and the shape of its last ``days`` calendar days with data: counts, trends of volume, close and range, up days, taker share."""
-    d = _coarse(meet(samples, bars, by, at, span - 1), day, "_day").withColumn("_k", F.row_number().over(W.partitionBy("sample_id").orderBy(F.desc("_day")))).where(F.col("_k") <= days)
+    d = _coarse(samples, bars, by, at, span, day, "_day", tree).withColumn("_k", F.row_number().over(W.partitionBy("sample_id").orderBy(F.desc("_day")))).where(F.col("_k") <= days)
     out = d.groupBy("sample_id").agg(
         F.count(F.when(F.col("minutes") >= full, 1)).alias("complete_daily_bars_in_context"),
         F.count("*").alias("calendar_days_with_data_in_context"),
@@ -225,10 +227,11 @@ def distribution(value: Column) -> dict[str, Column]:
     return out | {"max": F.max(value), "positive_fraction": F.avg(F.when(value > 0, 1.0).when(value.isNotNull(), 0.0))}
 
 
-def hourly_context(samples: DataFrame, bars: DataFrame, by: str, at: str, span: int = 14400, hour: int = 60, back: int = 24, least: int = 18) -> DataFrame:
+def hourly_context(samples: DataFrame, bars: DataFrame, by: str, at: str, span: int = 14400, hour: int = 60, back: int = 24, least: int = 18, tree: DataFrame | None = None) -> DataFrame:
     """sample_id and distributions of minute and hourly returns, hourly volume and trades, and distances to the prior 24-hour high."""
-    x = meet(samples, bars, by, at, span - 1)
-    h = _coarse(x, hour, "_h")
+    # exact percentiles of minute returns need the minutes; the closes are all that is met
+    x = meet(samples, bars.select(by, at, "close"), by, at, span - 1)
+    h = _coarse(samples, bars, by, at, span, hour, "_h", tree)
     w, wm = W.partitionBy("sample_id").orderBy("_h"), W.partitionBy("sample_id").orderBy("_m")
     prior = w.rowsBetween(-back, -1)
     h = h.withColumn("_prior", F.when(F.count("high").over(prior) >= least, F.max("high").over(prior)))
@@ -255,34 +258,31 @@ def hourly_context(samples: DataFrame, bars: DataFrame, by: str, at: str, span:
     return whole.join(held, "sample_id", "left")
 
 
-def same_time(samples: DataFrame, bars: DataFrame, by: str, at: str, lengths: tuple[int, ...] = (15, 60), day: int = 1440, back: int = 7) -> DataFrame:
+def same_time(samples: DataFrame, bars: DataFrame, by: str, at: str, lengths: tuple[int, ...] = (15, 60), day: int = 1440, back: int = 7, tree: DataFrame | None = None) -> DataFrame:
     """sample_id and, for each length, the median volume of the same clock time on the days before and the present volume against it; only fully observed stretches count."""
     k = F.explode(F.sequence(F.lit(0), F.lit(back))).alias("_k")
     ends = samples.select("sample_id", by, F.col(at).alias("_at"), k).select("sample_id", by, "_k", (F.col("_at") - F.col("_k") * day).alias(at))
-    one = ends.select(F.concat_ws(":", "sample_id", "_k").alias("sample_id"), by, at)
-    x = meet(one, bars.select(by, at, "quote_volume"), by, at, max(lengths) - 1)
-    full = [F.when(F.count(F.when(F.col("_age") < n, 1)) == n, F.sum(F.when(F.col("_age") < n, F.col("quote_volume")))).alias(f"_v{n}") for n in lengths]
-    v = x.groupBy("sample_id").agg(*full)
-    v = v.select(F.regexp_replace("sample_id", ":[0-9]+$", "").alias("_sid"), F.regexp_extract("sample_id", ":([0-9]+)$", 1).cast("int").alias("_k"), *(f"_v{n}" for n in lengths))
+    each = ends.select("sample_id", by, "_k", F.col(at).alias("_high"), F.explode(F.array(*(F.lit(n).cast("long") for n in lengths))).alias("_n")).withColumn("_low", F.col("_high") - F.col("_n") + 1)
+    tree = ranges.blocks(bars.select(by, at, "quote_volume"), by, at, max(lengths)) if tree is None else tree
+    found = ranges.fold_ranges(each, tree, ["sample_id", "_k", "_n"], by, "_low", "_high", max(lengths))
+    v = found.where("n = _n").groupBy("sample_id", "_k").agg(*(F.max(F.when(F.col("_n") == n, F.col("quote_volume"))).alias(f"_v{n}") for n in lengths))
     out = []
     for n in lengths:
         now, usual = F.max(F.when(F.col("_k") == 0, F.col(f"_v{n}"))), F.median(F.when(F.col("_k") > 0, F.col(f"_v{n}")))
         out += [usual.alias(f"quote_volume_{n}m_prior_7d_same_time_median"), F.when(usual > 0, now / usual).alias(f"quote_volume_{n}m_vs_prior_7d_same_time")]
-    found = v.groupBy("_sid").agg(*out)
-    ids = samples.select("sample_id", F.col("sample_id").cast("string").alias("_sid"))
-    return ids.join(found, "_sid", "left").drop("_sid")
+    return samples.select("sample_id").join(v.groupBy("sample_id").agg(*out), "sample_id", "left")
 
 
-def reference_context(samples: DataFrame, bars: DataFrame, by: str, at: str, references: dict, windows: tuple[int, ...] = REFERENCE_WINDOWS, vol_window: int = 1440) -> DataFrame:
+def reference_context(samples: DataFrame, bars: DataFrame, by: str, at: str, references: dict, windows: tuple[int, ...] = REFERENCE_WINDOWS, vol_window: int = 1440, tree: DataFrame | None = None) -> DataFrame:
     """sample_id and, for each reference asset (prefix -> key), its returns over the windows and its volatility; the market proxy is the mean of those there are."""
     ref = bars.where(F.col(by).isin(*references.values()))
     every = sorted({*windows, vol_window})
-    out = samples.select("sample_id")
-    for prefix, key in references.items():
-        own = samples.select("sample_id", F.lit(key).cast(bars.schema[by].dataType).alias(by), at)
-        rows = widen(window_metrics(own, ref, by, at, every, trends=False), every, ["ret", "realized_vol"])
-        keep = [F.col(f"ret_{w}m_pct").alias(f"{prefix}_ret_{w}m_pct") for w in windows] + [F.col(f"realized_vol_{vol_window}m_pct").alias(f"{prefix}_rv_{vol_window}m_pct")]
-        out = out.join(rows.select("sample_id", *keep), "sample_id", "left")
+    each = F.inline(F.array(*(F.struct(F.lit(p).alias("_prefix"), F.lit(k).cast(bars.schema[by].dataType).alias(by)) for p, k in references.items())))
+    own = samples.select("sample_id", at, each).select(F.struct("sample_id", "_prefix").alias("sample_id"), by, at)
+    rows = widen(window_metrics(own, ref, by, at, every, trends=False, tree=tree), every, ["ret", "realized_vol"])
+    got = [(f"ret_{w}m_pct", f"ret_{w}m_pct") for w in windows] + [(f"realized_vol_{vol_window}m_pct", f"rv_{vol_window}m_pct")]
+    columns = [F.max(F.when(F.col("_prefix") == p, F.col(c))).alias(f"{p}_{name}") for p in references for c, name in got]
+    out = samples.select("sample_id").join(rows.select("sample_id.sample_id", "sample_id._prefix", *(c for c, _ in got)).groupBy("sample_id").agg(*columns), "sample_id", "left")
     for w in windows:
         each = F.array_compact(F.array(*(F.col(f"{p}_ret_{w}m_pct") for p in references)))
         mean = F.aggregate(each, F.lit(0.0), lambda a, v: a + v) / F.size(each)
@@ -290,20 +290,20 @@ def reference_context(samples: DataFrame, bars: DataFrame, by: str, at: str, ref
     return out
 
 
-def outcome_context(samples: DataFrame, bars: DataFrame, by: str, start: str, spans: dict[str, Column], longest: int) -> DataFrame:
+def outcome_context(samples: DataFrame, bars: DataFrame, by: str, start: str, spans: dict[str, Column], longest: int, tree: DataFrame | None = None) -> DataFrame:
     """sample_id and, for each named span of steps from ``start`` (both ends inside), the largest gain and fall against entry_price and the observed share.
 
     spans gives each span's last step; none may lie more than ``longest`` steps after the start. Outcomes are never features.
     """
-    ends = samples.select("sample_id", by, F.col(start).alias("_start"), (F.col(start) + longest).alias("_last"), "entry_price", *(c.alias(f"_to_{k}") for k, c in spans.items()))
-    x = meet(ends.select("sample_id", by, "_last"), bars.select(by, F.col("step").alias("_last") if "step" in bars.columns else F.col(start).alias("_last"), "high", "low"), by, "_last", longest)
-    x = x.select("sample_id", "_m", "high", "low").join(ends.drop(by, "_last"), "sample_id")
+    step = "step" if "step" in bars.columns else start
+    each = samples.select("sample_id", by, "entry_price", F.col(start).cast("long").alias("_low"), F.explode(F.array(*(F.struct(F.lit(k).alias("_k"), c.cast("long").alias("_high")) for k, c in spans.items()))).alias("_x")).select("sample_id", by, "entry_price", "_low", "_x.*")
+    tree = ranges.blocks(bars.select(by, step, "high", "low"), by, step, longest) if tree is None else tree
+    found = ranges.fold_ranges(each, tree, ["sample_id", "_k"], by, "_low", "_high", longest)
+    x = each.join(found.select("sample_id", "_k", "high", "low", "n"), ["sample_id", "_k"], "left").withColumn("_length", F.col("_high") - F.col("_low") + 1)
     out = []
     for k in spans:
-        here = (F.col("_m") >= F.col("_start")) & (F.col("_m") <= F.col(f"_to_{k}"))
-        length = F.max(F.col(f"_to_{k}") - F.col("_start") + 1)
-        price = F.max("entry_price")
-        out += [pct_change(price, F.max(F.when(here, F.col("high")))).alias(f"outcome_{k}_max_gain_pct"), pct_change(price, F.min(F.when(here, F.col("low")))).alias(f"outcome_{k}_max_drawdown_pct"), F.when(length > 0, F.count(F.when(here, 1)) / length).otherwise(0.0).alias(f"outcome_{k}_observed_fraction")]
+        of = lambda e: F.max(F.when(F.col("_k") == k, e))  # noqa: B023, E731
+        out += [of(pct_change(F.col("entry_price"), F.col("high"))).alias(f"outcome_{k}_max_gain_pct"), of(pct_change(F.col("entry_price"), F.col("low"))).alias(f"outcome_{k}_max_drawdown_pct"), of(F.when(F.col("_length") > 0, F.coalesce("n", F.lit(0)) / F.col("_length")).otherwise(0.0)).alias(f"outcome_{k}_observed_fraction")]
     return samples.select("sample_id").join(x.groupBy("sample_id").agg(*out), "sample_id", "left").na.fill(0.0, [f"outcome_{k}_observed_fraction" for k in spans])
 
 
@@ -342,29 +342,37 @@ def ten_day_context(samples: DataFrame, bars: DataFrame, by: str, at: str, refer
     """The whole feature row of each sample (sample_id, key, step, anchor step and any other columns), with its quality status.
 
     A sample without its own bar has status missing_decision_bar and nulls. References map
-    a prefix to a key of the same bars.
+    a prefix to a key of the same bars. The blocks of the bars are made once, as a table, for
+    all parts of the row, and each part is one, so no plan grows with the number of parts.
     """
+    with Scratch(samples.sparkSession, "context") as scratch:
+        tree = scratch.cut(ranges.blocks(bars, by, at))
+        return scratch.keep(scratch.cut(_ten_days(samples, bars, tree, scratch.cut, by, at, references, windows, prior_days, day, hour, same, reference_windows, least_notional, liquidity, horizon)))
+
+
+def _ten_days(samples, bars, tree, cut, by, at, references, windows, prior_days, day, hour, same, reference_windows, least_notional, liquidity, horizon) -> DataFrame:
     span = day * prior_days
     keep = samples.columns
-    base = samples.join(entries(samples, bars, by, at), "sample_id", "left")
-    rows = base.join(widen(window_metrics(samples, bars, by, at, list(windows), per_day=day), list(windows)).drop("entry_price"), "sample_id", "left")
-    with_bar = samples.join(entries(samples, bars, by, at).select("sample_id"), "sample_id", "left_semi")
-    rows = rows.join(daily_context(with_bar, bars, by, at, span, day, math.floor(day * 1430 / 1440)), "sample_id", "left")
-    rows = rows.join(hourly_context(with_bar, bars, by, at, span, hour), "sample_id", "left")
-    rows = rows.join(same_time(with_bar, bars, by, at, same, day), "sample_id", "left")
-    seen = meet(with_bar, bars.select(by, at, "quote_volume"), by, at, span - 1).groupBy("sample_id").agg(F.count("*").alias("_seen"), F.when(F.count(F.when(F.col("_age") < liquidity, 1)) == liquidity, F.sum(F.when(F.col("_age") < liquidity, F.col("quote_volume")))).alias(f"entry_quote_volume_{liquidity}m"))
+    entry = entries(samples, bars, by, at)
+    base = cut(samples.join(entry, "sample_id", "left"))
+    with_bar = base.where("entry_price is not null").select(*keep)
+    rows = base.join(cut(widen(window_metrics(samples, bars, by, at, list(windows), per_day=day, tree=tree), list(windows)).drop("entry_price")), "sample_id", "left")
+    rows = rows.join(cut(daily_context(with_bar, bars, by, at, span, day, math.floor(day * 1430 / 1440), tree=tree)), "sample_id", "left")
+    rows = rows.join(cut(hourly_context(with_bar, bars, by, at, span, hour, tree=tree)), "sample_id", "left")
+    rows = rows.join(cut(same_time(with_bar, bars, by, at, same, day, tree=tree)), "sample_id", "left")
+    seen = cut(segment_sums(with_bar, bars, by, at, {f"entry_quote_volume_{liquidity}m": (0, liquidity, "quote_volume")}, {"_seen": (0, span)}, tree))
     first = bars.groupBy(by).agg(F.min(at).alias("_first"))
     rows = rows.join(seen, "sample_id", "left").join(first, by, "left")
     rows = derived(rows)
     if references:
-        rows = rows.join(reference_context(with_bar, bars, by, at, references, reference_windows, day), "sample_id", "left")
+        rows = rows.join(cut(reference_context(with_bar, bars, by, at, references, reference_windows, day, tree)), "sample_id", "left")
         for w in reference_windows:
             if w in windows:
                 rows = rows.withColumns({f"ret_{w}m_minus_{p}_pct_points": F.col(f"ret_{w}m_pct") - F.col(f"{p}_ret_{w}m_pct") for p in references} | {f"ret_{w}m_minus_market_proxy_pct_points": F.col(f"ret_{w}m_pct") - F.col(f"market_proxy_ret_{w}m_pct")})
     if "anchor" in keep:
         priced = base.where("entry_price is not null").withColumn("_from", F.col(at) + 1)
-        out = outcome_context(priced, bars.withColumnRenamed(at, "step"), by, "_from", {"to_anchor": F.least(F.col("anchor"), F.col("_from") + horizon - 1), "next_8h": F.col("_from") + horizon - 1}, horizon)
-        rows = rows.join(out, "sample_id", "left")
+        out = outcome_context(priced, bars.withColumnRenamed(at, "step"), by, "_from", {"to_anchor": F.least(F.col("anchor"), F.col("_from") + horizon - 1), "next_8h": F.col("_from") + horizon - 1}, horizon, tree)
+        rows = rows.join(cut(out), "sample_id", "left")
     pass_ = F.coalesce(F.col(f"entry_quote_volume_{liquidity}m") >= least_notional, F.lit(False))
     share = F.coalesce(F.col("_seen"), F.lit(0)) / span
     status = F.when(F.col("entry_price").isNull(), "missing_decision_bar").when((share >= 0.995) & pass_, "pass").when(share >= 0.98, "warning").otherwise("insufficient_history")
@@ -372,14 +380,19 @@ def ten_day_context(samples: DataFrame, bars: DataFrame, by: str, at: str, refer
     return rows.drop("_seen", "_first")
 
 
-def segment_sums(samples: DataFrame, bars: DataFrame, by: str, at: str, segments: dict[str, tuple[int, int, str]]) -> DataFrame:
-    """sample_id and, for each named (offset, length, column), the column's sum over the length steps that end ``offset`` steps before; null unless all are observed."""
-    span = max(o + n for o, n, _ in segments.values()) - 1
-    x = meet(samples, bars, by, at, span)
-    out = []
-    for name, (o, n, column) in segments.items():
-        here = F.col("_age").between(o, o + n - 1)
-        out.append(F.when(F.count(F.when(here, 1)) == n, F.sum(F.when(here, F.col(column)))).alias(name))
+def segment_sums(samples: DataFrame, bars: DataFrame, by: str, at: str, segments: dict[str, tuple[int, int, str]], counts: dict[str, tuple[int, int]] = {}, tree: DataFrame | None = None) -> DataFrame:
+    """sample_id and, for each named (offset, length, column), the column's sum over the length steps that end ``offset`` steps before; null unless all are observed.
+
+    ``counts`` names observed steps of (offset, length). Samples without a bar in any of them are missing.
+    """
+    every = sorted({(o, n) for o, n, _ in segments.values()} | set(counts.values()))
+    longest = max(n for _, n in every)
+    end = F.col(at).cast("long")
+    each = samples.select("sample_id", by, F.inline(F.array(*(F.struct(F.lit(i).alias("_k"), (end - o - n + 1).alias("_low"), (end - o).alias("_high")) for i, (o, n) in enumerate(every)))))
+    tree = ranges.blocks(bars, by, at, longest) if tree is None else tree
+    x = ranges.fold_ranges(each, tree, ["sample_id", "_k"], by, "_low", "_high", longest)
+    out = [F.max(F.when((F.col("_k") == every.index((o, n))) & (F.col("n") == n), F.col(column))).alias(name) for name, (o, n, column) in segments.items()]
+    out += [F.max(F.when(F.col("_k") == every.index(p), F.col("n"))).alias(name) for name, p in counts.items()]
     return x.groupBy("sample_id").agg(*out)
 
 

@@ -37,13 +37,19 @@ def _windows_sql(windows: list[int], least: int) -> str:
 
 
 LONG = ["entry_price", "observed_fraction", "ret", "range", "quote_volume", "trade_count", "average_trade_quote", "taker_buy_ratio", "realized_vol", "positive_return_fraction", "max_drawdown", "max_runup", "position_in_range", "close_vs_high", "close_vs_low", "trend_r2", "log_trend"]
-ROUNDED = ", ".join(f"round({c}, 5) AS {c}" for c in LONG)
+#: Means of prices with two digits often end in a 5 at the sixth digit exactly; engines add in different orders and so differ in the last bit of such ties. Both sides move them up by this before rounding.
+TIE = 1e-9
+ROUNDED = ", ".join(f"round({c} + {TIE}, 5) AS {c}" for c in LONG)
+
+
+def off_ties(df):
+    return df.select(*((F.col(c) + TIE).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 @query("a06_context_windows", f'WITH {_windows_sql(WINDOWS, 5)} SELECT sample_id, "window", since_high, since_low, {ROUNDED} FROM m')
 def a06(spark, sf):
     x = context.window_metrics(samples(spark, sf), bars(spark, sf), "symbol", "step", WINDOWS, per_day=DAY)
-    return rounded(x.withColumn("log_trend", F.log1p(F.col("trend") / 100)).drop("trend"), 5)
+    return rounded(off_ties(x.withColumn("log_trend", F.log1p(F.col("trend") / 100)).drop("trend")), 5)
 
 
 NARROW = [1, 5, 15, 30, 60]
@@ -82,7 +88,7 @@ def a08(spark, sf):
 
 def _dist(source: str, prefix: str) -> str:
     qs = ", ".join(f"round(quantile_cont(v, {q}), 5) AS {prefix}_{n}" for n, q in context.QUANTILES.items())
-    return f"SELECT sample_id, round(avg(v), 5) AS {prefix}_mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(v) ELSE 0 END, 5) AS {prefix}_std, round(CASE WHEN count(*) > 2 THEN CASE WHEN max(v) = min(v) THEN 0 ELSE skewness(v) END END, 5) + 0.0 AS {prefix}_skew, round(min(v), 5) AS {prefix}_min, {qs}, round(max(v), 5) AS {prefix}_max, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END), 5) AS {prefix}_positive_fraction FROM {source} WHERE v IS NOT NULL GROUP BY 1"
+    return f"SELECT sample_id, round(avg(v) + {TIE}, 5) AS {prefix}_mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(v) ELSE 0 END, 5) AS {prefix}_std, round(CASE WHEN count(*) > 2 THEN CASE WHEN max(v) = min(v) THEN 0 ELSE skewness(v) END END, 5) + 0.0 AS {prefix}_skew, round(min(v), 5) AS {prefix}_min, {qs}, round(max(v), 5) AS {prefix}_max, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END), 5) AS {prefix}_positive_fraction FROM {source} WHERE v IS NOT NULL GROUP BY 1"
 
 
 #: Four steps make a coarse bar here, and six coarse bars the prior high (at least four of them there).
@@ -97,7 +103,8 @@ HOURS = f"""h AS (SELECT sample_id, step // {COARSE} AS hour, max(high) AS high,
 @query("a09_hourly_distributions", f"WITH {ENTRY}, {DAYS}, {HOURS} SELECT * FROM hh LEFT JOIN d0 USING (sample_id) LEFT JOIN d1 USING (sample_id) LEFT JOIN d2 USING (sample_id) LEFT JOIN d3 USING (sample_id) LEFT JOIN d4 USING (sample_id)")
 def a09(spark, sf):
     s, b = samples(spark, sf), bars(spark, sf)
-    return rounded(context.hourly_context(s.join(context.entries(s, b, "symbol", "step"), "sample_id", "left_semi"), b, "symbol", "step", SPAN, COARSE, BACK, LEAST), 5)
+    x = context.hourly_context(s.join(context.entries(s, b, "symbol", "step"), "sample_id", "left_semi"), b, "symbol", "step", SPAN, COARSE, BACK, LEAST)
+    return rounded(x.withColumns({c: F.col(c) + TIE for c in x.columns if c.endswith("_mean")}), 5)
 
 
 SAME = f"""k AS (SELECT e.sample_id, e.symbol, e.step, k FROM e CROSS JOIN (SELECT unnest(range(0, 8)) AS k)), sv AS (SELECT k.sample_id, k.k, """ + ", ".join(f"CASE WHEN count(*) FILTER (b.step > k.step - k.k * {DAY} - {n}) = {n} THEN sum(b.quote_volume) FILTER (b.step > k.step - k.k * {DAY} - {n}) END AS v{n}" for n in (2, 4)) + f""" FROM k JOIN b ON b.symbol = k.symbol AND b.step <= k.step - k.k * {DAY} AND b.step > k.step - k.k * {DAY} - 4 GROUP BY 1, 2),

@@ -282,8 +282,7 @@ def j10(spark, sf):
 def x02(spark, sf):
     from tidemark.operators import cohorts
 
-    # the first sign-up of each group in eight days, counted from another day for each, is an event
-    e = ticks(spark, sf, "signup").groupBy((F.col("symbol") % 8).alias("symbol"), F.expr("(sec div 86400 + symbol % 8) div 8").alias("_w")).agg(F.min("seq").alias("event"), F.min_by("sec", "seq").alias("sec")).drop("_w")
+    e = ticks(spark, sf, "signup").select((F.col("symbol") % 8).alias("symbol"), F.col("seq").alias("event"), "sec")
     picks, _ = cohorts.matched_controls(e, _hour_grid(spark, sf), "symbol", "step", (1, 2), 24, 1, 1, 0.0, 5, 3600, 2, 0.5)
     return picks
 
@@ -303,14 +302,34 @@ def a33(spark, sf):
     return x.select("sample_id", F.round("pseudo_window_observed_fraction", 6).alias("observed"), F.col("pseudo_window_crossing_detected").alias("crossed"), F.round("pseudo_window_max_sequential_gain_pct", 4).alias("gain"), F.col("pseudo_window_contaminated_control").alias("contaminated"))
 
 
-@query("x04_baseline_context")
+#: The reference's offsets and horizons with hours for minutes and a shorter history.
+X04_OFFSETS, X04_HORIZONS = (240, 168, 120, 72, 48, 24, 12, 8, 6, 3, 1, 0), (1, 2, 3, 4, 6, 8)
+X04 = ["entry_price", "ret_24m_pct", "quote_volume_72m", "outcome_baseline_to_cross_observed_fraction", "outcome_baseline_to_cross_max_gain_from_baseline_minute_low_pct", "outcome_baseline_to_cross_max_drawdown_from_baseline_minute_close_pct", "outcome_next_8h_from_baseline_observed_fraction", "outcome_next_8h_from_baseline_max_gain_from_baseline_minute_low_pct", "outcome_next_8h_from_baseline_max_drawdown_from_baseline_minute_close_pct", "outcome_snapshot_to_cross_max_gain_pct"]
+
+
+@query(
+    "x04_baseline_context",
+    f"""WITH b AS (SELECT symbol % 8 AS symbol, sec // 3600 AS step, max(price) AS high, min(price) AS low, arg_max(price, (us, seq)) AS close, sum(price) AS quote_volume FROM ({TICKS}) WHERE price > 0 GROUP BY 1, 2), s AS (SELECT seq AS sample_id, symbol % 8 AS symbol, sec // 3600 - 6 AS baseline, sec // 3600 AS crossing, seq % 2 = 0 AS control FROM ({TICKS}) WHERE kind = 'signup'),
+    k AS (SELECT unnest({list(X04_OFFSETS)}) AS before_, TRUE AS early UNION ALL SELECT unnest({list(X04_HORIZONS)}), FALSE), r AS (SELECT s.*, early, before_, CASE WHEN early THEN baseline ELSE crossing END - before_ - 1 AS at_ FROM s CROSS JOIN k),
+    e AS (SELECT r.*, c.close AS entry_price, (c.close / l.close - 1) * 100 AS ret FROM r LEFT JOIN b c ON c.symbol = r.symbol AND c.step = r.at_ LEFT JOIN b l ON l.symbol = r.symbol AND l.step = r.at_ - 24),
+    v AS (SELECT r.sample_id, r.early, r.before_, sum(b.quote_volume) FILTER (b.step > at_ - 72) AS q, count(*) AS seen FROM r JOIN b ON b.symbol = r.symbol AND b.step <= at_ AND b.step > at_ - 240 GROUP BY 1, 2, 3),
+    x AS (SELECT s.sample_id, b.high, min(b.low) OVER (PARTITION BY s.sample_id ORDER BY b.step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM s JOIN b ON b.symbol = s.symbol AND b.step BETWEEN baseline AND crossing),
+    a AS (SELECT s.sample_id, control AND (n IS NULL OR g >= 25 OR n / 7 < 0.99) AS bad FROM s LEFT JOIN (SELECT sample_id, count(*) AS n, coalesce(max((high / base - 1) * 100), 0) AS g FROM x GROUP BY 1) USING (sample_id)),
+    m AS (SELECT s.sample_id, count(*) FILTER (b.step <= crossing) AS n7, max(b.high) FILTER (b.step <= crossing) AS top7, min(b.low) FILTER (b.step <= crossing) AS floor7, count(*) AS n8, max(b.high) AS top8, min(b.low) AS floor8, max(b.low) FILTER (b.step = baseline) AS low, max(b.close) FILTER (b.step = baseline) AS close FROM s JOIN b ON b.symbol = s.symbol AND b.step BETWEEN baseline AND baseline + 7 GROUP BY 1)
+    SELECT e.sample_id, CASE WHEN early THEN 'baseline_start' ELSE 'pre_cross_snapshot' END AS analysis_alignment, CASE WHEN NOT early THEN 'pre_cross' WHEN before_ = 0 THEN 'baseline_start' ELSE 'pre_baseline' END AS decision_stage, CASE WHEN early THEN before_ END AS baseline_snapshot_offset_minutes, CASE WHEN NOT early THEN before_ END AS pre_cross_horizon_minutes, a.bad AS pseudo_window_contaminated_control,
+    CASE WHEN a.bad THEN 'contaminated_control' WHEN entry_price IS NULL THEN 'missing_decision_bar' WHEN seen / 240 >= 0.995 THEN 'pass' WHEN seen / 240 >= 0.98 THEN 'warning' ELSE 'insufficient_history' END AS feature_quality_status,
+    round(entry_price, 5) AS entry_price, round(CASE WHEN entry_price IS NOT NULL THEN ret END, 5) AS ret_24m_pct, round(CASE WHEN entry_price IS NOT NULL THEN q END, 5) AS quote_volume_72m,
+    round(CASE WHEN early THEN coalesce(n7, 0) / 7 END, 5) AS outcome_baseline_to_cross_observed_fraction, round(CASE WHEN early THEN (top7 / low - 1) * 100 END, 5) AS outcome_baseline_to_cross_max_gain_from_baseline_minute_low_pct, round(CASE WHEN early THEN (floor7 / close - 1) * 100 END, 5) + 0.0 AS outcome_baseline_to_cross_max_drawdown_from_baseline_minute_close_pct,
+    round(CASE WHEN early THEN coalesce(n8, 0) / 8 END, 5) AS outcome_next_8h_from_baseline_observed_fraction, round(CASE WHEN early THEN (top8 / low - 1) * 100 END, 5) AS outcome_next_8h_from_baseline_max_gain_from_baseline_minute_low_pct, round(CASE WHEN early THEN (floor8 / close - 1) * 100 END, 5) + 0.0 AS outcome_next_8h_from_baseline_max_drawdown_from_baseline_minute_close_pct, round(CASE WHEN early THEN (top7 / entry_price - 1) * 100 END, 5) AS outcome_snapshot_to_cross_max_gain_pct
+    FROM e JOIN a USING (sample_id) LEFT JOIN v USING (sample_id, early, before_) LEFT JOIN m USING (sample_id)""",
+)
 def x04(spark, sf):
     from tidemark.operators import cohorts
     from tidemark.plans.features import COARSE, DAY, bars, samples
 
     s = samples(spark, sf).select("sample_id", "symbol", (F.col("step") - 6).alias("baseline"), F.col("step").alias("cross"), F.when(F.col("sample_id") % 2 == 0, "control").otherwise("event").alias("sample_type"))
-    x = cohorts.baseline_context(s, bars(spark, sf), "symbol", "step", (24, 0), windows=(24, 72), day=DAY, hour=COARSE, same=(2, 4), horizon=8, liquidity=1)
-    return rounded(x.select("sample_id", "offset", "decision_stage", "feature_quality_status", "entry_price", "ret_24m_pct", "quote_volume_72m", "pseudo_window_contaminated_control"), 5)
+    x = cohorts.baseline_context(s, bars(spark, sf), "symbol", "step", X04_OFFSETS, X04_HORIZONS, 8, windows=(24, 72), day=DAY, hour=COARSE, same=(2, 4), horizon=8, liquidity=1)
+    return rounded(x.select("sample_id", "analysis_alignment", "decision_stage", "baseline_snapshot_offset_minutes", "pre_cross_horizon_minutes", "pseudo_window_contaminated_control", "feature_quality_status", *X04), 5)
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.ordered import upsert
+from tidemark.sources.versions import Conflict, compact, current_version, delete_where, deltas_behind, insert_new, read_versioned, update_where, write_upsert  # noqa: F401
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -32,57 +32,6 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def current_version(spark: SparkSession, path: str) -> int | None:
-    """The newest complete version below a table's folder: the largest v=<n> whose write has committed."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    pattern = hadoop.Path(f"{path.rstrip('/')}/v=*/_SUCCESS")
-    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
-    versions = [int(f.getPath().getParent().getName()[2:]) for f in found or []]
-    return max(versions, default=None)
-
-
-def read_versioned(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version of a table."""
-    version = current_version(spark, path)
-    if version is None:
-        raise ValueError(f"no complete version below {path}")
-    return spark.read.parquet(f"{path.rstrip('/')}/v={version}")
-
-
-def write_upsert(df: DataFrame, path: str, keys: list[str], order: list | None = None) -> int:
-    """Merges df into the table at path as a new version, and returns its number.
-
-    Readers take the newest version whose write has committed (Spark's _SUCCESS mark, set
-    last), so a failure at any point leaves the table as it was; a replay merges the same
-    rows again. Of new rows with one key the last in ``order`` stays.
-    """
-    spark = df.sparkSession
-    version = current_version(spark, path)
-    merged = df if version is None else upsert(read_versioned(spark, path), df, keys, order)
-    if version is None:
-        merged = upsert(df.limit(0), df, keys, order)
-    merged.write.mode("overwrite").option("compression", "zstd").parquet(f"{path.rstrip('/')}/v={(version or 0) + 1}")
-    return (version or 0) + 1
-
-
-def rewrite(spark: SparkSession, path: str, change) -> int:
-    """A new version of the table at path, made by ``change`` (rows to rows), and its number; the old version stays for its readers."""
-    version = current_version(spark, path)
-    change(read_versioned(spark, path)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path.rstrip('/')}/v={version + 1}")
-    return version + 1
-
-
-def update_where(spark: SparkSession, path: str, where, values: dict) -> int:
-    """Sets columns of the rows that a predicate holds for (null counts as false)."""
-    hit = F.coalesce(where, F.lit(False))
-    return rewrite(spark, path, lambda df: df.withColumns({c: F.when(hit, v).otherwise(F.col(c)).cast(df.schema[c].dataType) for c, v in values.items()}))
-
-
-def delete_where(spark: SparkSession, path: str, where) -> int:
-    """Leaves out the rows that a predicate holds for (null counts as false)."""
-    return rewrite(spark, path, lambda df: df.where(~F.coalesce(where, F.lit(False))))
-
-
 def insert(df: DataFrame, path: str) -> None:
     """Appends rows; never replayed by the writer itself, as a replay would repeat them."""
     df.write.mode("append").option("compression", "zstd").parquet(path)
@@ -168,15 +117,13 @@ def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def guard_frozen(spark: SparkSession, path: str, name: str, digest: str) -> None:
-    """Records the digest of a frozen input under a name, or raises if a run recorded another: a resumed study must see the same universe."""
-    version = current_version(spark, path)
-    if version is not None:
-        seen = [r.digest for r in read_versioned(spark, path).where(F.col("name") == name).select("digest").collect()]
-        if seen:
-            if seen != [digest]:
-                raise ValueError(f"{name} changed since the study began")
-            return
-    write_upsert(spark.createDataFrame([(name, digest)], "name string, digest string"), path, ["name"])
+    """Records the digest of a frozen input under a name, or raises if a run recorded another: a resumed study must see the same universe.
+
+    Of runs that come at the same time one records its digest, and the others are held against it.
+    """
+    insert_new(spark.createDataFrame([(name, digest)], "name string, digest string"), path, ["name"])
+    if [r.digest for r in read_versioned(spark, path).where(F.col("name") == name).select("digest").collect()] != [digest]:
+        raise ValueError(f"{name} changed since the study began")
 
 
 def without_partial(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -27,9 +27,10 @@ def sessions(df: DataFrame, by: list[str], gap: str = "30 minutes", ts: str = "t
 
 
 def surges(bars: DataFrame, by: str = "symbol", window: int = 480, rise: float = 1.25) -> DataFrame:
-    """First rolling surge of each key and day on a stream of bars (symbol, minute, high, low), in order of minutes within a key.
+    """First rolling surge of each key and day on a stream of bars (symbol, minute, high, low), for input in order of minutes within a key only.
 
-    State for a key is a monotonic list of (minute, low), at most ``window`` entries, and
+    A bar that comes late is judged against newer lows, and a key's state stays for good:
+    where bars may be late or keys end, use ``surges_by_event_time``. State for a key is a monotonic list of (minute, low), at most ``window`` entries, and
     the last day that surged.
     """
 
@@ -59,8 +60,9 @@ def surges_by_event_time(bars: DataFrame, by: str = "symbol", ts: str = "ts", wi
 
     bars has ts (the minute as a timestamp, under a watermark), high and low. A bar waits in
     the state until the watermark has passed it, so late bars within the delay take their
-    place; later ones are dropped as the stream's own rule does. A key that has been quiet
-    for a window beyond the watermark leaves the state.
+    place; later ones are dropped as the stream's own rule does. A key leaves the state when
+    the watermark is a window beyond its last bar and beyond the day of its last surge: until
+    then a further bar of that day may come, and must not be a first surge again.
     """
 
     def step(key: tuple, frames, state: GroupState):
@@ -82,13 +84,13 @@ def surges_by_event_time(bars: DataFrame, by: str = "symbol", ts: str = "ts", wi
             while held and held[-1][1] >= low:
                 held.pop()
             held.append((minute, low))
-        newest = max([m for m, *_ in later] + [m for m, _ in held], default=None)
-        if newest is None or (not later and newest + window < mark):
+        ends = max([m + window + 1 for m, _ in held] + [(day + 1) * 1440])
+        if not later and ends <= mark:
             state.remove()
         else:
             state.update(([m for m, _ in held], [v for _, v in held], int(day), [m for m, *_ in later], [h for _, h, _ in later], [v for *_, v in later]))
-            # wake when the watermark passes the first waiting bar, or the window after the last one
-            wake = (min(m for m, *_ in later) + 1 if later else newest + window + 1) * 60_000
+            # wake when the watermark passes the first waiting bar, or all that the key may still need
+            wake = (min(m for m, *_ in later) + 1 if later else ends) * 60_000
             state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["symbol", "day", "minute", "high", "base_low", "base_minute"])
 
@@ -105,11 +107,17 @@ def idempotent_sink(path: str, keys: list[str]):
     return write
 
 
-def upsert_sink(path: str, keys: list[str], order: list[str]):
-    """A foreachBatch function that merges each epoch into a versioned table by deterministic keys: replays and rows repeated in later epochs leave one row."""
-    from tidemark.sources.writers import write_upsert
+def upsert_sink(path: str, keys: list[str], order: list[str], compact_after: int = 50):
+    """A foreachBatch function that adds each epoch to a versioned table by deterministic keys: replays and rows repeated in later epochs leave one row.
+
+    An epoch writes its own rows only; once ``compact_after`` deltas have come together, a
+    new base takes them in.
+    """
+    from tidemark.sources.versions import compact, deltas_behind, write_upsert
 
     def write(df: DataFrame, epoch: int) -> None:
         write_upsert(df, path, keys, order)
+        if deltas_behind(df.sparkSession, path) >= compact_after:
+            compact(df.sparkSession, path)
 
     return write
