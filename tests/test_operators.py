@@ -1,6 +1,7 @@
 """Operators on hand-made rows, and against loops in plain Python."""
 
 import io
+import math
 import random
 import uuid
 import zipfile
@@ -290,6 +291,23 @@ def test_bootstrap_and_randomisation_draw_as_often_as_the_reference(spark, sf):
     from tidemark.plans import cohort
 
     boot = evaluate.cluster_bootstrap(cohort.groups(spark, sf), "symbol", reps=10_000).first()
-    assert cohort.a20(spark, sf).first() == boot
+    assert tuple(cohort.a20(spark, sf).first()) == (round(boot.lo, 6), round(boot.hi, 6), boot.clusters)
     drawn = evaluate.randomisation(cohort.grouped(spark, sf), "grp", F.col("is_event"), F.col("rule"), reps=50_000).first()
     assert cohort.a21(spark, sf).first() == drawn
+
+
+def test_weighted_replicates_agree_with_drawing_clusters(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sums, sizes = rng.normal(0.3, 1.0, 250), rng.integers(1, 6, 250)
+    rows = [(f"c{i}", float(s / n)) for i, (s, n) in enumerate(zip(sums, sizes, strict=True)) for _ in range(n)] + [(None, 50.0)]
+    got = evaluate.cluster_bootstrap(spark.createDataFrame(rows, "c string, difference double"), "c", 4000).first()
+    values = [sums[p].sum() / sizes[p].sum() for p in rng.integers(0, 250, (4000, 250))]
+    lo, hi = np.quantile(values, [0.025, 0.975])
+    assert got.clusters == 250 and abs(got.lo - lo) < 0.1 * (hi - lo) and abs(got.hi - hi) < 0.1 * (hi - lo)
+    one = evaluate.cluster_bootstrap(spark.createDataFrame([("a", 1.0), ("a", 2.0)], "c string, difference double"), "c", 50).first()
+    assert (one.lo, one.hi, one.clusters) == (None, None, 1)
+    weights = [r.weight for r in evaluate.replicate_weights(spark.createDataFrame([(f"k{i}",) for i in range(40)], "c string"), 1000, 1).collect()]
+    shares = [weights.count(k) / len(weights) for k in range(5)]
+    assert len(weights) == 40_000 and all(abs(a - math.exp(-1) / math.factorial(k)) < 0.01 for k, a in enumerate(shares))

@@ -245,3 +245,107 @@ def test_routes(spark, tmp_path):
     sources = spark.createDataFrame([("a", "completed"), ("b", "completed"), ("c", "running")], "id string, status string")
     assert [routes.may_create(jobs, sources, s) for s in "abc"] == [True, False, False]
     assert {r.id: r.status for r in routes.retried(jobs, "j").collect()} == {"j": "queued", "k": "running"}
+
+
+def plain_controls(events, grid, splits, horizons, prior, before, after, least, controls, liquidity, observed):
+    """Picks and rejection counts by loops: anchors day by day, quality step by step, controls event by event."""
+    day = lambda sec: sec // 86400
+    offsets = (0, -15, 15, -30, 30, -45, 45, -60, 60)
+    tiers = [(0, True), (0, False), (15, True), (15, False), (30, None), (60, None)]
+    far = max(horizons)
+    rejected, candidates = {}, {}
+    for symbol, event, sec in events:
+        for d, split in splits.items():
+            for o in offsets:
+                anchor = d * 86400 + sec % 86400 + 60 * o
+                if splits.get(day(anchor)) != splits[day(sec)] or any(k == symbol and abs(anchor - at) < 86400 for k, _, at in events):
+                    continue
+                step, rows = anchor // 3600, grid[symbol]
+                at = lambda a, z: [rows.get(i) for i in range(a, z + 1)]  # noqa: B023, E731
+                local, history = at(step - max(far, before), step + after), at(step - far - prior, step - far - 1)
+                entries = [at(step - h - liquidity, step - h - 1) for h in horizons]
+                if local[0] is None or local[-1] is None:
+                    reason = "outside_loaded_range"
+                elif not all(r and r[0] for r in local):
+                    reason = "missing_local_minutes"
+                elif any(r[1] for r in local):
+                    reason = "near_25pct_crossing"
+                elif None in history or sum(r[0] for r in history) / prior < observed:
+                    reason = "insufficient_prior_history"
+                elif not all(r and r[0] for e in entries for r in e):
+                    reason = "missing_entry_liquidity"
+                else:
+                    reason = "below_entry_liquidity_floor" if min(sum(r[2] for r in e) for e in entries) < least else "pass"
+                if reason != "pass":
+                    rejected[event, reason] = rejected.get((event, reason), 0) + 1
+                    continue
+                same = (day(anchor) - day(sec)) % 7 == 0
+                apart = abs((anchor - sec + 43200) % 86400 - 43200) // 60
+                tier = next(i for i, (most, weekday) in enumerate(tiers) if apart <= most and weekday in (None, same))
+                tie = hashlib.sha256(f"{event}|{anchor}".encode()).hexdigest()
+                candidates.setdefault((symbol, event, sec), []).append((tier, 0 if same else 1, abs(day(anchor) - day(sec)), tie, step, day(anchor)))
+    picks, uses = set(), {}
+    for (symbol, event, _), rows in sorted(candidates.items(), key=lambda x: (x[0][2], x[0][1])):
+        days, mine = set(), []
+        for r in sorted(rows, key=lambda r: (uses.get((symbol, r[4]), 0) > 0, uses.get((symbol, r[4]), 0), *r[:4])):
+            if len(days) < controls and r[5] not in days:
+                days.add(r[5])
+                mine.append((symbol, event, r[4], len(days), uses.get((symbol, r[4]), 0)))
+        for m in mine:
+            uses[symbol, m[2]] = uses.get((symbol, m[2]), 0) + 1
+        picks |= set(mine)
+    return picks, rejected
+
+
+def test_matched_controls_equal_a_loop_for_any_layout(spark):
+    from tidemark.operators import cohorts, splits
+
+    rnd = random.Random(11)
+    first = 20_000 * 24
+    grid = {k: {first + i: (rnd.random() < 0.985, rnd.random() < 0.004, rnd.random() * 100) for i in range(24 * 24)} for k in (1, 2)}
+    events = [(k, 10 * k + i, (first + rnd.randrange(30, 24 * 22)) * 3600 + rnd.choice([0, 600, 1800])) for k in (1, 2) for i in range(7)]
+    counts = {}
+    for *_, sec in events:
+        counts[sec // 86400] = counts.get(sec // 86400, 0) + 1
+    of = {r.day: r.split for r in splits.chronological(spark.createDataFrame(list(counts.items()), "day long, n long"), "day", "n").collect()}
+    want, rejected = plain_controls(events, grid, of, (1, 2), 24, 1, 1, 60.0, 3, 2, 0.9)
+    e = spark.createDataFrame(events, "k long, event long, sec long")
+    g = spark.createDataFrame([(k, s, *r) for k, rows in grid.items() for s, r in rows.items()], "k long, step long, observed boolean, crossing boolean, quote_volume double")
+    for a, b in ((e, g), (e.repartition(5), g.repartition(7, "quote_volume"))):
+        picks, refused = cohorts.matched_controls(a, b, "k", "step", (1, 2), 24, 1, 1, 60.0, 3, 3600, 2, 0.9)
+        assert {tuple(r) for r in picks.collect()} == want and want
+        assert {(r.event, r.reason): r.n for r in refused.collect()} == rejected and len({r for _, r in rejected}) >= 3
+
+
+def test_baseline_rows_have_all_offsets_and_horizons(spark):
+    from tidemark.operators import cohorts
+
+    rnd = random.Random(5)
+    rows, price = [], 50.0
+    for m in range(900):
+        price *= 1 + rnd.gauss(0, 0.004)
+        if rnd.random() < 0.99 or m in (700, 640):
+            rows.append(("A", m, price, price * 1.003, price * 0.996, price * (1 + rnd.gauss(0, 0.001)), rnd.random() * 100, rnd.randint(1, 9), rnd.random() * 50))
+    bars = spark.createDataFrame(rows, "k string, m long, open double, high double, low double, close double, quote_volume double, trade_count long, taker_quote double")
+    samples = spark.createDataFrame([("s1", "A", 640, 700, "event"), ("s2", "A", 641, 660, "control")], "sample_id string, k string, baseline long, cross long, sample_type string")
+    offsets, horizons = (240, 60, 0), (15, 30)
+    got = cohorts.baseline_context(samples, bars, "k", "m", offsets, horizons, 100, windows=(24, 72), day=24, hour=4, same=(2, 4), horizon=8, liquidity=1).collect()
+    assert {(r.sample_id, r.baseline_snapshot_offset_minutes, r.pre_cross_horizon_minutes) for r in got} == {(s, o, h) for s in ("s1", "s2") for o, h in [(o, None) for o in offsets] + [(None, h) for h in horizons]}
+    by = {r[1]: r for r in rows}
+    for r in got:
+        base, cross = (640, 700) if r.sample_id == "s1" else (641, 660)
+        at = (base - r.baseline_snapshot_offset_minutes if r.pre_cross_horizon_minutes is None else cross - r.pre_cross_horizon_minutes) - 1
+        assert (r.entry_price is None) == (at not in by) and (at not in by or r.entry_price == by[at][5])
+        if at in by:
+            assert r.quote_volume_72m == pytest.approx(sum(by[m][6] for m in range(at - 71, at + 1) if m in by))
+        if r.pre_cross_horizon_minutes is not None:
+            assert r.decision_stage == "pre_cross" and r.outcome_baseline_to_cross_observed_fraction is None and r.outcome_snapshot_to_cross_max_gain_pct is None
+            continue
+        seg, ahead = ([by[m] for m in range(base, z + 1) if m in by] for z in (cross, base + 99))
+        assert r.decision_stage == ("baseline_start" if r.baseline_snapshot_offset_minutes == 0 else "pre_baseline")
+        assert r.outcome_baseline_to_cross_observed_fraction == pytest.approx(len(seg) / (cross - base + 1)) and r.outcome_next_8h_from_baseline_observed_fraction == pytest.approx(len(ahead) / 100)
+        if base in by:
+            assert r.outcome_baseline_to_cross_max_gain_from_baseline_minute_low_pct == pytest.approx((max(x[3] for x in seg) / by[base][4] - 1) * 100)
+            assert r.outcome_next_8h_from_baseline_max_drawdown_from_baseline_minute_close_pct == pytest.approx((min(x[4] for x in ahead) / by[base][5] - 1) * 100)
+        if at in by:
+            assert r.outcome_snapshot_to_cross_max_gain_pct == pytest.approx((max(x[3] for x in seg) / by[at][5] - 1) * 100)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: the seed of the draws.
 SEED = 20260726
 
 
@@ -50,25 +53,42 @@ def concentration(groups: DataFrame, key: str) -> DataFrame:
     return x.agg(top.alias("top_key"), F.try_divide(F.max("gain"), F.sum("gain")).alias("top_share"), F.count(F.when(F.col("gain") > 0, 1)).alias("keys"))
 
 
-def cluster_bootstrap(groups: DataFrame, cluster: str, reps: int = 10_000, seed: int = SEED) -> DataFrame:
-    """lo, hi: percentile interval of the mean difference when whole clusters are drawn again.
+#: Shares of Poisson(1) counts up to 0, 1, 2, ...: a cluster's weight in a replicate is how many of them its uniform value reaches.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12))
+#: Replicates whose uniform values come from one digest, 32 bits each.
+PER_DIGEST = 4
+
 
-    Clusters are summed in Spark first; the seeded draw runs over those sums in one
-    group, ordered by cluster so that it is the same on every cluster layout.
+def replicate_weights(sums: DataFrame, reps: int, seed: int) -> DataFrame:
+    """sums (c and others) with replicate and weight: how often each cluster is drawn in each replicate.
+
+    Weights are independent Poisson(1) counts, the distributed form of drawing clusters with
+    replacement: their sum is only about the number of clusters, and the mean divides by it.
+    They come from a digest of (seed, replicate, cluster), so they are the same for any layout
+    and each task makes its own.
     """
+    rounds = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // PER_DIGEST) - 1))).alias("_r"))
+    x = rounds.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "_r", "c"))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(PER_DIGEST - 1))))
+    u = F.conv(F.substring("_h", F.col("_k") * 8 + 1, F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+    x = x.withColumns({"replicate": F.col("_r") * PER_DIGEST + F.col("_k"), "_u": u}).where(F.col("replicate") < reps)
+    return x.withColumn("weight", sum((F.when(F.col("_u") >= t, 1).otherwise(0) for t in POISSON), F.lit(0))).drop("_r", "_h", "_k", "_u")
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("c")
-        s, n, rng = pdf.s.to_numpy(), pdf.n.to_numpy(), np.random.default_rng(seed)
-        out = np.empty(reps)
-        # Spark calls this for no group at all if there are no clusters
-        for k in range(reps):
-            pick = rng.integers(0, len(s), len(s))
-            out[k] = s[pick].sum() / n[pick].sum()
-        return pd.DataFrame([(float(np.quantile(out, 0.025)), float(np.quantile(out, 0.975)), len(s))], columns=["lo", "hi", "clusters"])
-
-    sums = groups.groupBy(F.col(cluster).cast("string").alias("c")).agg(F.sum("difference").alias("s"), F.count("*").cast("double").alias("n"))
-    return sums.groupBy().applyInPandas(draw, "lo double, hi double, clusters int")
+
+def cluster_bootstrap(groups: DataFrame, cluster: str, reps: int = 10_000, seed: int = SEED) -> DataFrame:
+    """lo, hi, clusters: percentile interval of the mean difference when whole clusters are drawn again.
+
+    Groups without a cluster stay out; below two clusters there is no interval. Clusters are
+    summed first, then weighted replicates are summed where their clusters lie; what is
+    brought together is a row for each replicate. Against drawing exactly as many clusters
+    with replacement the interval's ends differ by about one part in the number of clusters.
+    """
+    sums = groups.where(F.col(cluster).isNotNull()).groupBy(F.col(cluster).cast("string").alias("c")).agg(F.sum("difference").alias("s"), F.count("*").alias("n"))
+    drawn = replicate_weights(sums, reps, seed).where("weight > 0").groupBy("replicate").agg((F.sum(F.col("weight") * F.col("s")) / F.sum(F.col("weight") * F.col("n"))).alias("v"))
+    clusters = sums.agg(F.count("*").cast("int").alias("clusters"))
+    # one row a replicate, a number that is a parameter
+    ends = drawn.agg(F.percentile("v", F.lit(0.025)).alias("lo"), F.percentile("v", F.lit(0.975)).alias("hi"))
+    some = F.col("clusters") >= 2
+    return ends.join(F.broadcast(clusters)).select(F.when(some, F.col("lo")).alias("lo"), F.when(some, F.col("hi")).alias("hi"), "clusters")
 
 
 def randomisation(rows: DataFrame, group: str, is_event: Column, rule: Column, reps: int = 50_000, seed: int = SEED) -> DataFrame:

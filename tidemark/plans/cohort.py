@@ -112,9 +112,15 @@ def a19(spark, sf):
     return rounded(evaluate.concentration(groups(spark, sf), "symbol"))
 
 
-@query("a20_cluster_bootstrap")
+@query(
+    "a20_cluster_bootstrap",
+    f"""WITH c AS (SELECT CAST(symbol AS VARCHAR) AS c, sum(event_pass - control_rate) AS s, count(*) AS n FROM ({GROUPS}) WHERE symbol IS NOT NULL GROUP BY 1), h AS (SELECT c.*, r, md5('{evaluate.SEED}:' || r || ':' || c) AS h FROM c CROSS JOIN (SELECT unnest(range(0, {10_000 // evaluate.PER_DIGEST})) AS r)),
+    u AS (SELECT h.*, r * {evaluate.PER_DIGEST} + k AS replicate, CAST('0x' || substr(h, CAST(k * 8 + 1 AS BIGINT), 8) AS BIGINT) / 4294967296.0 AS u FROM h CROSS JOIN (SELECT unnest(range(0, {evaluate.PER_DIGEST})) AS k)),
+    w AS (SELECT s, n, replicate, {' + '.join(f'(u >= {t!r})::INT' for t in evaluate.POISSON)} AS w FROM u), v AS (SELECT sum(w * s) / sum(w * n) AS v FROM w WHERE w > 0 GROUP BY replicate)
+    SELECT round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi, (SELECT CAST(count(*) AS INTEGER) FROM c) AS clusters FROM v""",
+)
 def a20(spark, sf):
-    return evaluate.cluster_bootstrap(groups(spark, sf), "symbol")
+    return rounded(evaluate.cluster_bootstrap(groups(spark, sf), "symbol"))
 
 
 @query("a21_randomisation")

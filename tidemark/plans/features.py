@@ -148,4 +148,5 @@ X03 = ["entry_price", "ret_24m_pct", "max_drawdown_240m_pct", "quote_volume_72m"
 def x03(spark, sf):
     s = samples(spark, sf).withColumn("anchor", F.col("step") + 6)
     x = context.ten_day_context(s, bars(spark, sf), "symbol", "step", REFS, (24, 72, 240), 10, DAY, COARSE, (2, 4), REF_WINDOWS, horizon=8, liquidity=1)
+    x = x.withColumn("hourly_return_pct_10d_mean", F.col("hourly_return_pct_10d_mean") + TIE)
     return rounded(x.select("sample_id", *X03, "feature_quality_status"), 5)

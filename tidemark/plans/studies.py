@@ -280,9 +280,12 @@ def j10(spark, sf):
 
 @query("x02_matched_controls")
 def x02(spark, sf):
-    from tidemark.operators import cohorts
+    from tidemark.operators import cohorts, surge
+    from tidemark.plans.features import bars
 
-    e = ticks(spark, sf, "signup").select((F.col("symbol") % 8).alias("symbol"), F.col("seq").alias("event"), "sec")
+    # every first surge of a key and day is an event
+    e = surge.first_rolling_surge(bars(spark, sf), ["symbol"], "step", F.expr("step div 24"), 3, 300.0)
+    e = e.select("symbol", (F.col("step") * 100 + F.col("symbol")).alias("event"), (F.col("step") * 3600).alias("sec"))
     picks, _ = cohorts.matched_controls(e, _hour_grid(spark, sf), "symbol", "step", (1, 2), 24, 1, 1, 0.0, 5, 3600, 2, 0.5)
     return picks
 
