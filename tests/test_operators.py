@@ -311,3 +311,34 @@ def test_weighted_replicates_agree_with_drawing_clusters(spark):
     weights = [r.weight for r in evaluate.replicate_weights(spark.createDataFrame([(f"k{i}",) for i in range(40)], "c string"), 1000, 1).collect()]
     shares = [weights.count(k) / len(weights) for k in range(5)]
     assert len(weights) == 40_000 and all(abs(a - math.exp(-1) / math.factorial(k)) < 0.01 for k, a in enumerate(shares))
+
+
+def test_a_hot_key_is_split_by_time_without_changing_results(spark):
+    rnd = random.Random(8)
+    key = lambda: rnd.choice(["hot"] * 8 + ["cold", None])
+    left = spark.createDataFrame([(key(), rnd.randrange(3000), i) for i in range(300)], "k string, t long, id long")
+    right = spark.createDataFrame([(key(), rnd.randrange(0, 3000, 7), i, rnd.random()) for i in range(60)], "k string, t long, seq long, p double")
+    for options in ({}, {"strict": True}, {"tolerance": 40}):
+        get = lambda **o: sorted((str(r.k), r.t, r.id, r.r_t, r.r_p) for r in ordered.asof_join(left, right, ["k"], "t", ["p"], "seq", **options, **o).collect())  # noqa: B023, E731
+        assert get(width=50) == get() == get(width=10_000)
+    prices = left.withColumn("price", F.abs(F.xxhash64("id") % 100) + 1.0)
+    every = lambda **o: sorted(tuple(map(str, r)) for r in ordered.running_extremes(prices, ["k"], ["t", "id"], "price", **o).collect())
+    assert every(width=70) == every()
+
+
+def test_caliper_pairs_of_a_grid_equal_all_pairs(spark):
+    rnd = random.Random(12)
+    rows = [(i, i % 3, rnd.choice([None, 0.0, -3.0]) if i % 29 == 0 else math.exp(rnd.gauss(2, 1)), rnd.gauss(0, 5) if i % 31 else None) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, grp long, price double, volume double")
+    for most in (0.4, 1.5, float("inf")):
+        config = matching.MatchConfig(weights={"price": 2.0, "volume": 0.5}, ratios={"price": (0.5, 2.0)}, most_score=most)
+        got = {(r.event, r.control): r.score for r in matching.caliper_pairs(df, df, "grp", config).collect()}
+        scales = {r.grp: (r._s_price, r._s_volume) for r in matching.robust_scales(df, ["grp"], ["price", "volume"]).collect()}
+        want = {}
+        for e, g, p, v in rows:
+            for c, h, q, w in rows:
+                if e != c and g == h and None not in (p, v, q, w) and p != 0 and 0.5 <= q / p <= 2.0:
+                    score = math.sqrt(2 * ((q - p) / scales[g][0]) ** 2 + 0.5 * ((w - v) / scales[g][1]) ** 2)
+                    if score <= most:
+                        want[e, c] = score
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and want

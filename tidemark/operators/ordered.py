@@ -7,18 +7,43 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, values: list[str], seq: str, strict: bool = False, tolerance=None, prefix: str = "r_") -> DataFrame:
+def carried(rows: DataFrame, by: list[str], bucket: str, value: Column) -> DataFrame:
+    """by, bucket, _carry: for each bucket of a key the latest value (an aggregate over a bucket, null if it has none) of the buckets before it.
+
+    The ordered window runs over one row a bucket, whatever the rows of a key.
+    """
+    each = rows.groupBy(*by, bucket).agg(value.alias("_own"))
+    w = W.partitionBy(*by).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    return each.select(*by, bucket, F.last("_own", ignorenulls=True).over(w).alias("_carry"))
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, values: list[str], seq: str, strict: bool = False, tolerance=None, prefix: str = "r_", width: int | None = None) -> DataFrame:
     """Each left row with the latest right row of its key at or before its time (before, if strict).
 
     One union and one window: a single shuffle by key, no join, linear in the rows.
-    ``seq`` breaks ties among right rows of equal time (the largest wins).
+    ``seq`` breaks ties among right rows of equal time (the largest wins). With a ``width`` (of a
+    numeric time) a key is split into buckets of that width, which are windows of their own;
+    what stood at a bucket's start comes from the buckets before it. So a key with most of the
+    rows is spread over the cluster.
     """
     extra = [c for c in left.columns if c not in (*by, ts)]
     side = F.lit(0 if strict else 2)
     a = left.select(*by, ts, side.alias("_side"), F.lit(None).cast("long").alias("_seq"), F.struct(*extra).alias("_left") if extra else F.struct(F.lit(1).alias("_one")).alias("_left"), F.lit(None).cast(right.select(F.struct(ts, *values)).schema[0].dataType).alias("_right"))
     b = right.select(*by, ts, F.lit(1).alias("_side"), F.col(seq).cast("long").alias("_seq"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), F.struct(ts, *values).alias("_right"))
-    w = W.partitionBy(*by).orderBy(ts, "_side", "_seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    got = a.unionByName(b).withColumn("_right", F.last("_right", ignorenulls=True).over(w)).where("_left is not null")
+    both, keys = a.unionByName(b), [*by]
+    if width is not None:
+        both, keys = both.withColumn("_b", F.floor(F.col(ts) / width)), [*by, "_b"]
+    w = W.partitionBy(*keys).orderBy(ts, "_side", "_seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    got = both.withColumn("_here", F.last("_right", ignorenulls=True).over(w)).where("_left is not null")
+    if width is not None:
+        before = carried(both, by, "_b", F.max_by("_right", F.when(F.col("_right").isNotNull(), F.struct(ts, "_seq"))))
+        # null keys are keys of their own in a window, so they are here
+        same = F.col("_b") == F.col("_b2")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        before = before.withColumnsRenamed({c: f"_k_{c}" for c in by} | {"_b": "_b2"})
+        got = got.join(before, same, "left").withColumn("_here", F.coalesce("_here", "_carry"))
+    got = got.withColumn("_right", F.col("_here"))
     if tolerance is not None:
         got = got.withColumn("_right", F.when(F.col(ts) - F.col(f"_right.{ts}") <= tolerance, F.col("_right")))
     out = [F.col(f"_left.{c}").alias(c) for c in extra]
@@ -66,10 +91,25 @@ def dense_grid(rows: DataFrame, by: list[str], at: str, step: int) -> DataFrame:
     return grid.join(rows.withColumn("observed", F.lit(True)), [*by, at], "left").withColumn("observed", F.coalesce("observed", F.lit(False)))
 
 
-def running_extremes(rows: DataFrame, by: list[str], order: list[str], price: str) -> DataFrame:
-    """by, max_drawdown, max_runup: extremes of price against its running high and low."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+def running_extremes(rows: DataFrame, by: list[str], order: list[str], price: str, width: int | None = None) -> DataFrame:
+    """by, max_drawdown, max_runup: extremes of price against its running high and low.
+
+    With a ``width`` of the first order column (a number) a key is split into buckets that
+    are windows of their own, and the highs and lows of the buckets before are looked up.
+    """
+    keys = [*by]
+    if width is not None:
+        rows, keys = rows.withColumn("_b", F.floor(F.col(order[0]) / width)), [*by, "_b"]
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     x = rows.withColumn("_hi", F.max(price).over(w)).withColumn("_lo", F.min(price).over(w))
+    if width is not None:
+        each = rows.groupBy(*keys).agg(F.max(price).alias("_h"), F.min(price).alias("_l"))
+        older = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+        each = each.select(*keys, F.max("_h").over(older).alias("_h"), F.min("_l").over(older).alias("_l")).withColumnsRenamed({c: f"_k_{c}" for c in keys})
+        same = F.lit(True)
+        for c in keys:
+            same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        x = x.join(each, same, "left").withColumns({"_hi": F.greatest("_hi", "_h"), "_lo": F.least("_lo", "_l")})
     return x.groupBy(*by).agg(F.min(F.try_divide(F.col(price), F.col("_hi")) - 1).alias("max_drawdown"), F.max(F.try_divide(F.col(price), F.col("_lo")) - 1).alias("max_runup"))
 
 

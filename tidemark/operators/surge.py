@@ -18,11 +18,16 @@ def bars(ticks: DataFrame, by: list[str], bucket: Column, price: str, order: lis
 def first_rolling_surge(b: DataFrame, by: list[str], minute: str, day: Column, window: int = 480, rise: float = 1.25) -> DataFrame:
     """The first minute of each key and day whose high reaches ``rise`` times the lowest low of the window - 1 minutes before it.
 
-    Of equal lows the latest is the baseline. The look-back may begin on an earlier day.
+    Of equal lows the latest is the baseline. The look-back may begin on an earlier day. A
+    key's minutes are cut into stretches of four windows, each with the window before it
+    copied in, so a key with most of the bars is spread over the cluster.
     """
-    w = W.partitionBy(*by).orderBy(minute).rangeBetween(-(window - 1), -1)
+    size = 4 * window
+    stretch = lambda c: F.floor(c / F.lit(size))
+    b = b.withColumn("_c", F.explode(F.sequence(stretch(F.col(minute)), stretch(F.col(minute) + window - 1))))
+    w = W.partitionBy(*by, "_c").orderBy(minute).rangeBetween(-(window - 1), -1)
     base = F.min(F.struct(F.col("low").alias("l"), (-F.col(minute)).alias("m"))).over(w)
-    x = b.withColumn("_base", base).where(F.col("high") + EPSILON >= F.col("_base.l") * rise)
+    x = b.withColumn("_base", base).where((stretch(F.col(minute)) == F.col("_c")) & (F.col("high") + EPSILON >= F.col("_base.l") * rise))
     x = x.select(*by, day.alias("day"), minute, "high", F.col("_base.l").alias("base_low"), (-F.col("_base.m")).alias("base_minute"))
     first = F.min_by(F.struct(minute, "high", "base_low", "base_minute"), minute)
     return x.groupBy(*by, "day").agg(first.alias("_f")).select(*by, "day", "_f.*")

@@ -95,7 +95,7 @@ def p07(spark, sf):
 )
 def j14(spark, sf):
     t = ticks(spark, sf)
-    return ordered.asof_join(t.where("kind = 'purchase'").select("symbol", "us", "seq", "price"), t.where("kind = 'view'"), ["symbol"], "us", ["price"], "seq")
+    return ordered.asof_join(t.where("kind = 'purchase'").select("symbol", "us", "seq", "price"), t.where("kind = 'view'"), ["symbol"], "us", ["price"], "seq", width=DAY * 1_000_000)
 
 
 @query(
@@ -106,7 +106,7 @@ def j14(spark, sf):
 )
 def j16(spark, sf):
     t = ticks(spark, sf)
-    return ordered.asof_join(t.where("kind = 'purchase'").select("symbol", "us", "seq"), t.where("kind = 'view'"), ["symbol"], "us", ["price"], "seq", strict=True, tolerance=DAY * 1_000_000)
+    return ordered.asof_join(t.where("kind = 'purchase'").select("symbol", "us", "seq"), t.where("kind = 'view'"), ["symbol"], "us", ["price"], "seq", strict=True, tolerance=DAY * 1_000_000, width=DAY * 1_000_000)
 
 
 SPANS = f"SELECT symbol, sec AS start, sec + 3600 AS stop, price AS size, seq FROM ({TICKS}) WHERE kind = 'view'"
@@ -173,7 +173,7 @@ def j24(spark, sf):
     f"WITH x AS (SELECT symbol, price, max(price) OVER w AS hi, min(price) OVER w AS lo FROM ({TICKS}) WINDOW w AS (PARTITION BY symbol ORDER BY us, seq)) SELECT symbol, round(min(CASE WHEN hi <> 0 THEN price / hi END - 1), 6) AS max_drawdown, round(max(CASE WHEN lo <> 0 THEN price / lo END - 1), 6) AS max_runup FROM x GROUP BY 1",
 )
 def w03(spark, sf):
-    return rounded(ordered.running_extremes(ticks(spark, sf), ["symbol"], ["us", "seq"], "price"))
+    return rounded(ordered.running_extremes(ticks(spark, sf), ["symbol"], ["us", "seq"], "price", width=DAY * 1_000_000))
 
 
 @query(
