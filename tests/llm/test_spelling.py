@@ -64,7 +64,7 @@ def test_variants_equal_all_pairs(spark, sf):
     rows += [(None, "necessary Necessary"), (None, None), (3, "x" * 5000)] * 5
     df = spark.createDataFrame(rows, SCHEMA).withColumns({"word": F.lit("clash"), "n": F.lit(1), "id": F.lit(2)})
     want = plain(rows)
-    assert any(w[1] and w[1] != w[2] for w in want) and any(w[0] == "x" * 5000 for w in want)
+    assert any(w[1] for w in want) and any(w[0] == "x" * 5000 for w in want)
     assert rows_of(spelling.variants(df.repartition(3))) == want
     # a share of noise at which the deleted code point matters
     assert rows_of(spelling.variants(df, noise=3)) == plain(rows, noise=3)
