@@ -117,8 +117,14 @@ def pieces(ranges: DataFrame, tree: DataFrame, by: str, low: str, high: str, lon
 
 
 def fold_ranges(ranges: DataFrame, tree: DataFrame, ids: list[str], by: str, low: str, high: str, longest: int | None = None) -> DataFrame:
-    """ids and the fold of each range (ids, by, low, high; both ends inside) that holds a bar."""
-    return fold(pieces(ranges.select(*ids, by, low, high), tree, by, low, high, longest), ids, F.col("start"))
+    """ids and the fold of each range (ids, by, low, high; both ends inside) that holds a bar.
+
+    Ranges are few bytes that become many rows, so they are dealt by their first id before
+    they are cut; where the blocks are small enough to be broadcast, nothing is dealt again.
+    """
+    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ranges.select(*ids, by, low, high).repartition(tasks, ids[0])
+    return fold(pieces(dealt, tree, by, low, high, longest), ids, F.col("start"))
 
 
 def line(n: Column, sy: Column, siy: Column, syy: Column) -> tuple[Column, Column]:
