@@ -235,7 +235,7 @@ def entry_flags(levels: DataFrame, by: list[str], primary: float, opens: Column,
     return x.select(*by, flags.alias("quality_flags"), F.col("mechanically_purchasable").alias("purchase_feasible"), F.col("manually_actionable").alias("primary_actionable"))
 
 
-def simulate_scenarios(quotes: DataFrame, by: list[str], at: str, seq: str, entry_from: str, close: str, prior_close: str, notional: float = 500.0, stop_pct: float = 5.0, slips_bps: tuple[float, ...] = (0.0, 10.0), fractionable: bool = True, stale: float = 60.0, rise: float = 1.25) -> DataFrame:
+def simulate_scenarios(quotes: DataFrame, by: list[str], at: str, seq: str, entry_from: str, close: str, prior_close: str, notional: float = 500.0, stop_pct: float = 5.0, slips_bps: tuple[float, ...] = (0.0, 10.0), fractionable: bool | str = True, stale: float = 60.0, rise: float = 1.25) -> DataFrame:
     """by, slip_bps and the outcome of an order under each friction scenario.
 
     quotes has bid_price, bid_size_shares, ask_price, ask_size_shares, at in seconds (any
@@ -243,14 +243,16 @@ def simulate_scenarios(quotes: DataFrame, by: list[str], at: str, seq: str, entr
     enters at the first valid quote from the boundary on whose ask lies below the target
     and is deep enough; the entering quote may exit. It leaves at the first bid at the
     target or at or below the stop that is deep enough for all its shares; else at the
-    close, if the last deep enough bid is fresh.
+    close, if the last deep enough bid is fresh. fractionable may name a column; whole
+    shares are bought where it is false.
     """
     valid = (F.col("bid_price") > 0) & (F.col("ask_price") > 0) & (F.col("ask_price") >= F.col("bid_price"))
     x = quotes.where(valid & (F.col(at) <= F.col(close)) & (F.col(at) >= F.col(entry_from)))
     x = x.withColumn("slip_bps", F.explode(F.array(*(F.lit(float(s)) for s in sorted(set(slips_bps))))))
     keys, slip, target = [*by, "slip_bps"], F.col("slip_bps") / 10_000, F.col(prior_close) * rise
     fill = F.col("ask_price") * (1 + slip)
-    shares = F.lit(notional) / fill if fractionable else F.floor(F.lit(notional) / fill).cast("double")
+    part = F.col(fractionable) if isinstance(fractionable, str) else F.lit(fractionable)
+    shares = F.when(part, F.lit(notional) / fill).otherwise(F.floor(F.lit(notional) / fill).cast("double"))
     depth = F.col("ask_price") * F.col("ask_size_shares") + 1e-9
     can = (F.col("ask_price") < target) & (depth >= notional) & (shares > 0) & (depth >= shares * F.col("ask_price"))
     key = F.struct(at, seq)

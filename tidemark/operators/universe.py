@@ -58,16 +58,18 @@ def quality_status(observed: Column, liquid: Column, bar: Column) -> Column:
 
 
 def preopen_summary(ticks: DataFrame, by: list[str], second: str, order: list[str]) -> DataFrame:
-    """by, volume, median of each second's least spread (basis points), realised log volatility of last trades by second.
+    """by, volume, median over seconds of the least spread to the last quote's middle (basis points), realised log volatility of last trades by second, and counts of traded seconds, quotes and quoted seconds.
 
-    ticks has price and size for trades, bid and ask for quotes, null otherwise.
+    ticks has price and size for trades, bid and ask for quotes, null otherwise. A quote
+    counts with a positive bid and an ask that isn't below it.
     """
     from tidemark.operators.features import log_returns
 
-    bps = F.when(valid_both(F.col("bid"), F.col("ask")), F.col("ask") - F.col("bid")) / ((F.col("ask") + F.col("bid")) / 2) * 1e4
-    sec = ticks.groupBy(*by, second).agg(F.max_by("price", F.when(F.col("price").isNotNull(), F.struct(*order))).alias("last"), F.sum("size").alias("volume"), F.min(bps).alias("spread"))
+    key, quote = F.struct(*order), valid_both(F.col("bid"), F.col("ask"))
+    sec = ticks.groupBy(*by, second).agg(F.max_by("price", F.when(F.col("price").isNotNull(), key)).alias("last"), F.sum("size").alias("volume"), F.min(F.when(quote, F.col("ask") - F.col("bid"))).alias("_least"), F.max_by((F.col("ask") + F.col("bid")) / 2, F.when(quote, key)).alias("_mid"), F.count_if(quote).alias("_n"))
     vol = log_returns(sec.where("last is not null"), by, [second], "last").groupBy(*by).agg(F.sqrt(F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0))).alias("realized_vol"))
-    return sec.groupBy(*by).agg(F.sum("volume").alias("volume"), F.median("spread").alias("median_spread_bps")).join(vol, by, "left")
+    out = sec.groupBy(*by).agg(F.sum("volume").alias("volume"), F.median(F.col("_least") / F.col("_mid") * 1e4).alias("median_spread_bps"), F.count("last").alias("trade_seconds"), F.sum("_n").alias("quote_count"), F.count("_mid").alias("quote_seconds"))
+    return out.join(vol, by, "left")
 
 
 def action_dates(actions: DataFrame, keys: list[str], dates: list[str]) -> DataFrame:

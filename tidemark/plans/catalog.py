@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
 
 
 # the modules below register themselves
-from tidemark.plans import cohort, features, landed, market, more, rows, studies  # noqa: E402, F401
+from tidemark.plans import backtests, cohort, features, landed, market, more, rows, studies  # noqa: E402, F401

@@ -35,10 +35,10 @@ def p22(spark, sf):
 @query(
     "a03_preopen",
     f"""WITH t AS (SELECT symbol, sec // 3600 AS h, us, seq, CASE WHEN kind = 'purchase' THEN price END AS price, CASE WHEN kind = 'purchase' THEN seq % 9 END AS size, CASE WHEN kind = 'view' THEN price END AS bid, CASE WHEN kind = 'view' THEN price + seq % 4 END AS ask FROM ({TICKS})),
-    s AS (SELECT symbol, h, arg_max(price, (us, seq)) FILTER (price IS NOT NULL) AS last_, sum(size) AS volume, min(CASE WHEN bid > 0 AND ask > 0 AND ask >= bid THEN (ask - bid) / ((ask + bid) / 2) * 1e4 END) AS spread FROM t GROUP BY 1, 2),
+    s AS (SELECT symbol, h, arg_max(price, (us, seq)) FILTER (price IS NOT NULL) AS last_, sum(size) AS volume, min(ask - bid) FILTER (bid > 0 AND ask >= bid) / arg_max((ask + bid) / 2, (us, seq)) FILTER (bid > 0 AND ask >= bid) * 1e4 AS spread, count(*) FILTER (bid > 0 AND ask >= bid) AS quotes FROM t GROUP BY 1, 2),
     r AS (SELECT symbol, ln(last_ / lag(last_) OVER (PARTITION BY symbol ORDER BY h)) AS r FROM s WHERE last_ > 0), v AS (SELECT symbol, sqrt(coalesce(sum(r * r), 0)) AS rv FROM r GROUP BY 1),
-    g AS (SELECT symbol, CAST(sum(volume) AS BIGINT) AS volume, round(median(spread), 6) AS median_spread_bps FROM s GROUP BY 1)
-    SELECT symbol, volume, median_spread_bps, round(rv, 6) AS realized_vol FROM g LEFT JOIN v USING (symbol)""",
+    g AS (SELECT symbol, CAST(sum(volume) AS BIGINT) AS volume, round(median(spread), 6) AS median_spread_bps, count(last_) AS trade_seconds, CAST(sum(quotes) AS BIGINT) AS quote_count, count(spread) AS quote_seconds FROM s GROUP BY 1)
+    SELECT symbol, volume, median_spread_bps, trade_seconds, quote_count, quote_seconds, round(rv, 6) AS realized_vol FROM g LEFT JOIN v USING (symbol)""",
 )
 def a03(spark, sf):
     t, k = ticks(spark, sf), F.col("kind")

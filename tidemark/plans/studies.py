@@ -129,16 +129,6 @@ def a23(spark, sf):
     return x.select("strategy", "trigger_count", "selected_count", "entry_fill_count", "resolved_trade_count", "target_count", r("win_rate", 6), r("mean_return_pct", 6), r("median_return_pct", 6), r("total_pnl_usd", 2), r("profit_factor", 6), "market_days_with_resolved_trades", r("max_drawdown_usd", 2), "max_consecutive_losses", "max_consecutive_losing_days", r("pnl_without_top3_winners_usd", 2), r("total_pnl_0bps_each_side", 2), r("total_pnl_10bps_each_side", 2), "resolved_trades_10bps_each_side", r("unresolved_exit_rate", 6), "minimum_30_resolved_trades", "minimum_15_trading_days", "positive_primary_pnl", "profit_factor_at_least_1_25", "drawdown_within_5000", "maximum_10_consecutive_losses", "unresolved_exit_rate_at_most_1pct")
 
 
-@query("x10_backtest")
-def x10(spark, sf):
-    """The simulator's scenarios as the trades of one strategy, summarised with its gates."""
-    s = simulated(spark, sf)
-    one = s.where("slip_bps = 10").select(F.lit("midday").alias("strategy"), F.date_format(F.timestamp_seconds("entry_at"), "yyyy-MM-dd").alias("trade_date"), F.col("symbol").alias("rank"), "filled", "pnl_usd", "return_pct", "exit_reason", F.col("pnl_usd").alias("pnl_10bps"), "symbol")
-    none = s.where("slip_bps = 0").select("symbol", F.col("pnl_usd").alias("pnl_0bps"))
-    t = one.join(none, "symbol")
-    return rounded(evaluate.backtest_summary(t.select("strategy", F.lit(True).alias("selected")), t))
-
-
 # --- matched cohorts ------------------------------------------------------------------
 
 
