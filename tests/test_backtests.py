@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import pytest
 
-from tidemark.operators import backtest
+from tidemark.operators import backtest, tape
 from tidemark.sources.shared import Scratch
 
 D = dt.date
@@ -106,3 +106,42 @@ def test_empty_tape(spark, cut):
     none = {k: v.where("false") for k, v in m.items()}
     x = backtest.backtest(*(none[k] for k in ("daily", "bars", "trades", "quotes", "calendar", "assets")), reps=10, write=cut)
     assert [f.count() for f in x] == [0, 0, 0, 0]
+
+
+def assess(spark, events, quotes, trades, **options):
+    """Assessments of events (key, open, cross, threshold, session open, flags), times as UTC clocks of one day."""
+    d = D(2026, 4, 20)
+    at = lambda c: us(d, c) * 1000
+    e = spark.createDataFrame([(k, at(o), at(c), float(t), so, float(t), f) for k, o, c, t, so, f in events], "k string, open_ns long, cross_ns long, threshold double, session_open double, adjusted_threshold double, quality_flags array<string>")
+    q = spark.createDataFrame([(k, at(c), i, float(b), float(a), n) for i, (k, c, b, a, n) in enumerate(quotes)], "k string, at long, seq long, bid_price double, ask_price double, ask_size_shares long")
+    t = spark.createDataFrame([(k, at(c), i, float(p)) for i, (k, c, p) in enumerate(trades)], "k string, at long, seq long, price double")
+    return {r.k: r for r in tape.entry_assessment(e, q, t, ["k"], "at", "seq", **options).collect()}
+
+
+def test_entry_assessment_of_each_outcome(spark):
+    o = "13:30:0"
+    events = [("good", o, "13:31:0", 15, 10.0, None), ("gap", o, "13:31:0", 15, 15.0, ["old", "old"]), ("early", o, "13:29:0", 15, None, None), ("none", o, "13:31:0", 15, 10.0, None), ("dear", o, "13:31:0", 15, 10.0, None), ("bare", o, "13:31:0", 15, 10.0, None), ("brief", o, "13:30:20", 15, 10.0, None)]
+    q = lambda k: [(k, "13:30:5", 9.9, 10.0, 100), (k, "13:30:40", 10.4, 10.5, 100)]
+    quotes = [*q("good"), *q("gap"), *q("bare"), *q("brief"), ("early", "13:28:0", 9.9, 10.0, 100), ("dear", "13:30:5", 15.0, 15.0, 100)]
+    trades = [(k, "13:30:10", 10.0) for k in ("good", "gap", "brief", "none", "dear", "early")] + [("bare", "13:30:10", 9.99), ("bare", "13:30:5", 12.0)]
+    got = assess(spark, events, quotes, trades)
+    good = got["good"]
+    assert good.purchase_feasible and good.primary_actionable and good.exclusion_reason is None and good.quality_flags == []
+    assert (good.opportunity_seconds, good.first_entry_ask, good.first_entry_notional, good.seconds_entry_to_threshold, good.seconds_open_to_threshold) == (55.0, 10.0, 500.0, 50.0, 60.0)
+    assert (good.interval_count, good.regular_quote_count, good.regular_trade_count) == (2, 2, 1) and len(good.window_metrics) == 16
+    assert {k: r.exclusion_reason for k, r in got.items()} == {"good": None, "gap": "opened_at_or_above_threshold", "early": "threshold_at_or_before_open", "none": "no_displayed_subthreshold_ask_at_primary_notional", "dear": "no_displayed_subthreshold_ask_at_primary_notional", "bare": "no_confirmed_purchase_at_primary_notional", "brief": "manual_duration_or_edge_gate_not_met"}
+    assert got["gap"].quality_flags == ["old", "opened_at_or_above_adjusted_threshold"] and not got["gap"].purchase_feasible and got["brief"].purchase_feasible
+    assert "no_regular_session_quotes_before_threshold" in got["none"].quality_flags and got["none"].window_metrics is None
+    # bare: 13:30:10 is below the ask, 13:30:5 is at the interval's start and not after it
+    assert got["bare"].regular_trade_count == 1
+
+
+def test_entry_windows_start_at_the_london_clocks(spark):
+    events = [("a", "13:30:0", "19:0:0", 15, 10.0, None)]
+    quotes = [("a", "13:30:5", 9.9, 10.0, 100)]
+    trades = [("a", c, 10.0) for c in ("13:31:0", "16:0:4", "16:0:5", "18:30:0")]
+    m = {r.window: r for r in assess(spark, events, quotes, trades)["a"].window_metrics if r.level == 500.0}
+    d = D(2026, 4, 20)
+    # 14, 17 and 19 o'clock in London are 13, 16 and 18 UTC in April; the first lies before the open
+    assert {w: r.first_confirmed_at // 1000 for w, r in m.items()} == {"after_open": us(d, "13:31:0"), "preopen_1400_bst": us(d, "13:31:0"), "midday_1700_bst": us(d, "16:0:5"), "afternoon_1900_bst": us(d, "18:30:0")}
+    assert m["afternoon_1900_bst"].total_displayed_seconds == 3595.0

@@ -178,7 +178,15 @@ def entry_intervals(quotes: DataFrame, by: list[str], at: str, seq: str, opens:
     return x.where(ok & (F.col("ask_price") < F.col(threshold))).withColumn("notional", F.col("ask_price") * F.col("ask_size_shares")).where(F.col("notional") >= least).select(*by, "start", "stop", F.col("ask_price").alias("ask"), "notional", F.col(opens).alias("_open"), F.col(cross).alias("_cross"), F.col(threshold).alias("_threshold"))
 
 
-def entry_feasibility(quotes: DataFrame, trades: DataFrame, by: list[str], at: str, seq: str, opens: str, cross: str, threshold: str, levels: tuple[float, ...] = NOTIONAL_LEVELS, window_start: Column | None = None, delay_ns: int = 5_000_000_000, least_seconds: float = 30.0, least_edge_pct: float = 0.0, need_trade: bool = True) -> DataFrame:
+def confirming(trades: DataFrame, spans: DataFrame, by: list[str], at: str, seq: str) -> DataFrame:
+    """Trades with the entry interval (r_) that they come in: strictly after its start, no later than its end, before the crossing."""
+    # intervals of a key don't overlap, so the interval of a trade is the last that starts before it
+    last = spans.select(*by, F.col("start").alias(at), "stop", "ask", "_froms", F.col("start").alias("_s"), "_cross", F.lit(0).alias("_z"))
+    held = ordered.asof_join(trades.select(*by, at, seq, "price"), last, by, at, ["stop", "ask", "_froms", "_s", "_cross"], "_z", strict=True)
+    return held.where((F.col(at) < F.col("r__cross")) & (F.col(at) <= F.col("r_stop")))
+
+
+def entry_feasibility(quotes: DataFrame, trades: DataFrame, by: list[str], at: str, seq: str, opens: str, cross: str, threshold: str, levels: tuple[float, ...] = NOTIONAL_LEVELS, window_start: Column | None = None, windows: dict[str, Column] | None = None, delay_ns: int = 5_000_000_000, least_seconds: float = 30.0, least_edge_pct: float = 0.0, need_trade: bool = True) -> DataFrame:
     """by, level and the opportunities to buy below the threshold before the first trade at it.
 
     Quotes and trades have the key, at (ns) and seq; quotes also bid_price, ask_price and
@@ -186,16 +194,20 @@ def entry_feasibility(quotes: DataFrame, trades: DataFrame, by: list[str], at: s
     notional that lie within 2 ms form a segment; one of too little breaks it. A trade
     confirms an interval if it comes strictly after its start and no later than its end,
     after the reaction delay, at its ask or above. A segment is actionable if it lasts
-    ``least_seconds`` and its first confirmation with enough edge is there.
+    ``least_seconds`` and its first confirmation with enough edge is there. ``windows`` names
+    several starts (of _open, _cross and _threshold): all come from one pass over quotes
+    and trades, with their name in a column window.
     """
     spans = entry_intervals(quotes, by, at, seq, opens, cross, threshold, min(levels))
-    begin = F.greatest(F.col("_open"), window_start if window_start is not None else F.col("_open")) + delay_ns
-    spans = spans.withColumn("_from", begin)
-    w = W.partitionBy(*by).orderBy("start")
-    # intervals of a key don't overlap, so the interval of a trade is the last that starts before it
-    held = ordered.asof_join(trades.select(*by, at, seq, "price"), spans.select(*by, F.col("start").alias(at), "stop", "ask", "_from", F.col("start").alias("_s"), "_cross", F.lit(0).alias("_z")), by, at, ["stop", "ask", "_from", "_s", "_cross"], "_z", strict=True)
-    hits = held.where((F.col(at) < F.col("r__cross")) & (F.col(at) <= F.col("r_stop")) & (F.col(at) >= F.col("r__from")) & (F.col("price") + 1e-12 >= F.col("r_ask"))).groupBy(*by, F.col("r__s").alias("start")).agg(F.min(at).alias("confirm"))
-    x = spans.join(hits, [*by, "start"], "left").where(F.col("stop") > F.col("_from"))
+    starts = windows or {"after_open": window_start if window_start is not None else F.col("_open")}
+    spans = spans.withColumn("_froms", F.array(*(F.greatest(F.col("_open"), c) + delay_ns for c in starts.values())))
+    held = confirming(trades, spans, by, at, seq)
+    # a confirmation of each window from one pass over the trades
+    fits = F.col("price") + 1e-12 >= F.col("r_ask")
+    hits = held.groupBy(*by, F.col("r__s").alias("start")).agg(F.array(*(F.min(F.when(fits & (F.col(at) >= F.get("r__froms", F.lit(i))), F.col(at))) for i in range(len(starts)))).alias("_confirms"))
+    names = F.array(*(F.lit(n) for n in starts))
+    x = spans.join(hits, [*by, "start"], "left").select("*", F.posexplode("_froms").alias("_i", "_from")).withColumns({"confirm": F.get("_confirms", F.col("_i")), "window": F.get(names, F.col("_i"))}).drop("_froms", "_confirms", "_i").where(F.col("stop") > F.col("_from"))
+    by, base = [*by, "window"], by
     x = x.withColumn("level", F.explode(F.array(*(F.lit(float(v)) for v in levels))))
     w = W.partitionBy(*by, "level").orderBy("start")
     x = x.withColumns({"_ok": F.col("notional") + 1e-9 >= F.col("level"), "_s": F.greatest("start", "_from"), "_e": F.col("stop")})
@@ -217,13 +229,14 @@ def entry_feasibility(quotes: DataFrame, trades: DataFrame, by: list[str], at: s
         F.count("*").alias("segments"), F.sum("seconds").alias("total_displayed_seconds"), F.max("seconds").alias("max_contiguous_displayed_seconds"), F.max("notional").alias("max_displayed_ask_notional"), F.min("ask").alias("minimum_displayed_ask"),
         F.min_by("_m", F.col("_m.at")).alias("_m"), F.min_by("_a", F.col("_a.at")).alias("_a"), F.max("_threshold").alias("_threshold"), F.max("_cross").alias("_cross"), F.max("_from").alias("_from"),
     )
-    keys = quotes.select(*by).distinct().withColumn("level", F.explode(F.array(*(F.lit(float(v)) for v in levels))))
+    keys = quotes.select(*base).distinct().withColumn("window", F.explode(names)).withColumn("level", F.explode(F.array(*(F.lit(float(v)) for v in levels))))
     out = keys.join(out, [*by, "level"], "left")
-    return out.select(
+    got = out.select(
         *by, "level", F.col("segments").isNotNull().alias("displayed"), F.col("_m").isNotNull().alias("mechanically_purchasable"), F.col("_a").isNotNull().alias("manually_actionable"), F.coalesce("total_displayed_seconds", F.lit(0.0)).alias("total_displayed_seconds"), F.coalesce("max_contiguous_displayed_seconds", F.lit(0.0)).alias("max_contiguous_displayed_seconds"), F.coalesce("max_displayed_ask_notional", F.lit(0.0)).alias("max_displayed_ask_notional"), "minimum_displayed_ask",
         F.col("_m.at").alias("first_confirmed_at"), F.col("_m.ask").alias("first_confirmed_ask"), ((F.col("_threshold") / F.col("_m.ask") - 1) * 100).alias("first_confirmed_edge_pct"), F.col("_a.at").alias("first_actionable_at"), F.col("_a.ask").alias("first_actionable_ask"), F.col("_a.edge").alias("first_actionable_edge_pct"), F.col("_a.seconds").alias("first_actionable_segment_seconds"),
         ((F.col("_m.at") - F.col("_from")) / 1e9).alias("seconds_to_first_confirmed"), ((F.col("_cross") - F.col("_m.at")) / 1e9).alias("seconds_from_first_confirmed_to_threshold"),
     )
+    return got if windows else got.drop("window")
 
 
 def entry_flags(levels: DataFrame, by: list[str], primary: float, opens: Column, cross: Column, quotes: Column, trades: Column) -> DataFrame:
@@ -235,6 +248,55 @@ def entry_flags(levels: DataFrame, by: list[str], primary: float, opens: Column,
     return x.select(*by, flags.alias("quality_flags"), F.col("mechanically_purchasable").alias("purchase_feasible"), F.col("manually_actionable").alias("primary_actionable"))
 
 
+def london_windows() -> dict[str, Column]:
+    """Starts of the decision windows of an event: its open, and the snapshots of its London day, in nanoseconds."""
+    # Names and London times of the snapshots.
+    clocks = {"preopen_1400_bst": "14:00:00", "midday_1700_bst": "17:00:00", "afternoon_1900_bst": "19:00:00"}
+    day = F.to_date(F.from_utc_timestamp(F.timestamp_micros(F.expr("_open div 1000")), "Europe/London")).cast("string")
+    at = lambda c: F.unix_micros(F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", day, F.lit(c))), "Europe/London")) * 1000
+    return {"after_open": F.col("_open"), **{k: at(c) for k, c in clocks.items()}}
+
+
+def entry_assessment(events: DataFrame, quotes: DataFrame, trades: DataFrame, by: list[str], at: str, seq: str, primary: float = 500.0, **options) -> DataFrame:
+    """A row for each event: what of its entry was displayed, confirmed and actionable, why it is excluded, and all windows and levels.
+
+    events has the key, open_ns, cross_ns, threshold, session_open, adjusted_threshold and
+    quality_flags; quotes and trades the key and at (ns). An event that opened at its
+    adjusted threshold, or crossed no later than the open, is never feasible. window_metrics
+    holds the 16 rows of windows and levels of an event (empty without quotes); options go to
+    ``entry_feasibility``.
+    """
+    known = events.select(*by, "open_ns", "cross_ns", "threshold")
+    q = quotes.join(known, by)
+    cells = entry_feasibility(q, trades, by, at, seq, "open_ns", "cross_ns", "threshold", windows=london_windows(), **options)
+    rest = [c for c in cells.columns if c not in by]
+    mine = (F.col("window") == "after_open") & (F.col("level") == float(primary))
+    cells = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("window_metrics"), F.max(F.when(mine, F.struct(*rest))).alias("p"))
+    inside = (F.col(at) >= F.col("open_ns")) & (F.col(at) < F.col("cross_ns"))
+    seen = q.where(inside).groupBy(*by).agg(F.count("*").alias("regular_quote_count"))
+    spans = entry_intervals(q, by, at, seq, "open_ns", "cross_ns", "threshold", min(options.get("levels", NOTIONAL_LEVELS))).withColumn("_froms", F.array("_open"))
+    counts = spans.groupBy(*by).agg(F.count("*").alias("interval_count"))
+    traded = confirming(trades, spans, by, at, seq).groupBy(*by).agg(F.count("*").alias("regular_trade_count"))
+    x = events
+    for part in (cells, seen, counts, traded):
+        x = x.join(part, by, "left")
+    x = x.na.fill(0, ["regular_quote_count", "interval_count", "regular_trade_count"])
+    shown, bought, acted = (F.coalesce(f"p.{c}", F.lit(False)) for c in ("displayed", "mechanically_purchasable", "manually_actionable"))
+    gapped = F.coalesce(F.col("session_open") >= F.col("adjusted_threshold"), F.lit(False))
+    early = F.col("cross_ns") <= F.col("open_ns")
+    # Names of the flags and of the reasons for an exclusion.
+    flag = lambda when, name: F.when(when, F.lit(name))
+    ladder = F.when(~shown, "no_subthreshold_ask_at_primary_notional").when(~bought, "subthreshold_ask_not_trade_confirmed").when(~acted, "entry_opportunity_below_manual_duration_or_edge_gate")
+    flags = F.array(flag(gapped, "opened_at_or_above_adjusted_threshold"), flag(early, "threshold_reached_at_or_before_regular_open"), flag(F.col("regular_quote_count") == 0, "no_regular_session_quotes_before_threshold"), ladder)
+    actionable = acted & ~gapped & ~early
+    reason = F.when(actionable, F.lit(None).cast("string")).when(gapped, "opened_at_or_above_threshold").when(early, "threshold_at_or_before_open").when(~shown, "no_displayed_subthreshold_ask_at_primary_notional").when(~bought, "no_confirmed_purchase_at_primary_notional").otherwise("manual_duration_or_edge_gate_not_met")
+    return x.select(
+        *by, "open_ns", "cross_ns", F.col("threshold").alias("raw_threshold_price"), ((F.col("cross_ns") - F.col("open_ns")) / 1e9).alias("seconds_open_to_threshold"), (bought & ~gapped & ~early).alias("purchase_feasible"), actionable.alias("primary_actionable"),
+        F.col("p.first_actionable_at").alias("first_entry_at"), F.col("p.first_actionable_ask").alias("first_entry_ask"), F.when(F.col("p.first_actionable_ask").isNotNull(), float(primary)).alias("first_entry_notional"), F.col("p.first_actionable_edge_pct").alias("first_entry_gross_edge_pct"), F.col("p.first_actionable_segment_seconds").alias("opportunity_seconds"), F.col("p.seconds_from_first_confirmed_to_threshold").alias("seconds_entry_to_threshold"),
+        "interval_count", "regular_quote_count", "regular_trade_count", F.array_sort(F.array_distinct(F.array_compact(F.concat(F.coalesce("quality_flags", F.array().cast("array<string>")), flags)))).alias("quality_flags"), reason.alias("exclusion_reason"), "window_metrics",
+    )
+
+
 def simulate_scenarios(quotes: DataFrame, by: list[str], at: str, seq: str, entry_from: str, close: str, prior_close: str, notional: float = 500.0, stop_pct: float = 5.0, slips_bps: tuple[float, ...] = (0.0, 10.0), fractionable: bool | str = True, stale: float = 60.0, rise: float = 1.25) -> DataFrame:
     """by, slip_bps and the outcome of an order under each friction scenario.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import backtest
+from tidemark.operators import backtest, tape
 from tidemark.plans.catalog import query
 from tidemark.plans.tables import rounded, ticks
 from tidemark.sources.shared import Scratch
@@ -102,3 +102,63 @@ def x10_days(spark, sf):
 def x10_backtest(spark, sf):
     """The summary and gates of both strategies, with 10 000 draws of days."""
     return rounded(run(spark, sf, "summary"))
+
+
+def entry_events(m: dict):
+    """Events of the tape: days of eligible stocks with a trade at 1.25 of the prior close, with their open, crossing and session open."""
+    key, day = F.struct("at", "seq"), backtest.DAY_KEY
+    s = backtest.day_universe(m["daily"], m["calendar"], m["assets"]).where("eligible").select(*day, "open_at", "pre_from", "close_at", (F.col("prior_close") * 1.25).alias("threshold"))
+    t = m["trades"].join(s, day).where((F.col("at") >= F.col("pre_from")) & (F.col("at") < F.col("close_at")))
+    x = t.groupBy(*day).agg(F.min(F.when(F.col("price") >= F.col("threshold"), F.col("at"))).alias("cross"), F.min_by("price", F.when(F.col("at") >= F.col("open_at"), key)).alias("session_open"), F.max("open_at").alias("o"), F.max("threshold").alias("threshold")).where("cross is not null")
+    noted = F.when(F.col("symbol") % 4 == 1, F.array(F.lit("thin_tape"), F.lit("opened_at_or_above_adjusted_threshold")))
+    return x.select(*day, (F.col("o") * 1000).alias("open_ns"), (F.col("cross") * 1000).alias("cross_ns"), "threshold", "session_open", F.col("threshold").alias("adjusted_threshold"), noted.alias("quality_flags"))
+
+
+def assessed(spark, sf):
+    m = market(spark, sf)
+    ns = F.col("at") * 1000
+    with Scratch(spark, "entry") as s:
+        events = s.cut(entry_events(m))
+        x = tape.entry_assessment(events, m["quotes"].withColumn("at", ns), m["trades"].withColumn("at", ns), backtest.DAY_KEY, "at", "seq")
+        return s.keep(s.cut(x)).withColumn("trade_date", F.col("trade_date").cast("string"))
+
+
+LEVELS = "(SELECT unnest([100.0, 500.0, 1000.0, 5000.0])::DOUBLE AS level)"
+ENTRY = f"""{MARKET[:MARKET.index(",\n    act AS")]},
+    ev AS MATERIALIZED (SELECT symbol, d, (any_value(z) + 52200000000) * 1000 AS o, min(us) FILTER (price >= pc * 1.25) * 1000 AS c, any_value(pc) * 1.25 AS thr, arg_min(price, (us, seq)) FILTER (us >= z + 52200000000) AS so, any_value(z) * 1000 AS zn FROM ok JOIN t USING (symbol, d) WHERE us >= z + 9 * {HOUR} AND us < z + 21 * {HOUR} GROUP BY 1, 2 HAVING min(us) FILTER (price >= pc * 1.25) IS NOT NULL),
+    ins AS MATERIALIZED (SELECT symbol, d, us * 1000 AS a, coalesce(lead(us * 1000) OVER (PARTITION BY symbol, d ORDER BY us, seq), c) AS b, bid, ask, asz, o, c, thr, zn FROM q JOIN ev USING (symbol, d) WHERE us * 1000 >= o AND us * 1000 < c),
+    sp AS MATERIALIZED (SELECT *, ask * asz AS notional FROM ins WHERE b > a AND ask > 0 AND asz > 0 AND (bid <= 0 OR ask >= bid) AND ask < thr AND ask * asz >= 100),
+    hit AS MATERIALIZED (SELECT sp.symbol, sp.d, sp.a, t.us * 1000 AS at_, t.price + 1e-12 >= sp.ask AS fits FROM sp JOIN t ON t.symbol = sp.symbol AND t.d = sp.d AND t.us * 1000 > sp.a AND t.us * 1000 <= sp.b AND t.us * 1000 < sp.c),
+    wn AS MATERIALIZED (SELECT symbol, d, w.name AS win, greatest(o, CASE w.name WHEN 'after_open' THEN o ELSE zn + w.h * {HOUR} * 1000 END) + 5000000000 AS f FROM ev CROSS JOIN (SELECT unnest(['after_open', 'preopen_1400_bst', 'midday_1700_bst', 'afternoon_1900_bst']) AS name, unnest([0, 14, 17, 19]) AS h) w),
+    k AS MATERIALIZED (SELECT wn.symbol, wn.d, win, hit.a, min(at_) AS confirm FROM wn JOIN hit ON hit.symbol = wn.symbol AND hit.d = wn.d AND fits AND at_ >= f GROUP BY 1, 2, 3, 4),
+    cell AS MATERIALIZED (SELECT sp.symbol, sp.d, wn.win, l.level, sp.ask, sp.notional, sp.thr, sp.c, wn.f, greatest(sp.a, f) AS s, sp.b AS e, sp.a, k.confirm, notional + 1e-9 >= l.level AS fit FROM sp JOIN wn ON wn.symbol = sp.symbol AND wn.d = sp.d LEFT JOIN k ON k.symbol = sp.symbol AND k.d = sp.d AND k.win = wn.win AND k.a = sp.a CROSS JOIN {LEVELS} l WHERE sp.b > f),
+    runs AS MATERIALIZED (SELECT *, sum(CASE WHEN fit AND NOT coalesce(pf AND s - pe <= 2000000, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, d, win, level ORDER BY a ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, lag(fit) OVER v AS pf, lag(e) OVER v AS pe FROM cell WINDOW v AS (PARTITION BY symbol, d, win, level ORDER BY a))),
+    seg AS MATERIALIZED (SELECT symbol, d, win, level, i, (max(e) - min(s)) / 1e9 AS seconds, max(notional) AS notional, min(ask) AS ask, min(confirm) AS confirm, arg_min(ask, (confirm, s)) FILTER (confirm IS NOT NULL) AS cask, any_value(thr) AS thr, any_value(c) AS c, any_value(f) AS f FROM runs WHERE fit GROUP BY 1, 2, 3, 4, 5),
+    fin AS MATERIALIZED (SELECT symbol, d, win, level, sum(seconds) AS total, max(seconds) AS longest, max(notional) AS notional, min(ask) AS ask, min(confirm) AS confirm, arg_min(cask, confirm) FILTER (confirm IS NOT NULL) AS cask, min(confirm) FILTER (seconds + 1e-12 >= 30 AND (thr / cask - 1) * 100 + 1e-12 >= 0) AS act, arg_min({{'s': seconds, 'k': cask}}, confirm) FILTER (confirm IS NOT NULL AND seconds + 1e-12 >= 30) AS x, any_value(thr) AS thr, any_value(c) AS c, any_value(f) AS f FROM seg GROUP BY 1, 2, 3, 4)"""
+
+
+@query(
+    "x09_entry_assessment",
+    f"""WITH {ENTRY}, n AS (SELECT symbol, d, count(*) AS n FROM ins GROUP BY 1, 2), ni AS (SELECT symbol, d, count(*) AS n FROM sp GROUP BY 1, 2), nt AS (SELECT symbol, d, count(*) AS n FROM hit GROUP BY 1, 2),
+    r AS (SELECT ev.*, fin.total IS NOT NULL AS shown, fin.confirm IS NOT NULL AS bought, fin.act IS NOT NULL AS acted, coalesce(so >= ev.thr, FALSE) AS gapped, ev.c <= ev.o AS early, fin.act, fin.x, fin.confirm, coalesce(n.n, 0) AS nq, coalesce(ni.n, 0) AS ni, coalesce(nt.n, 0) AS nt FROM ev LEFT JOIN fin ON fin.symbol = ev.symbol AND fin.d = ev.d AND win = 'after_open' AND level = 500 LEFT JOIN n ON n.symbol = ev.symbol AND n.d = ev.d LEFT JOIN ni ON ni.symbol = ev.symbol AND ni.d = ev.d LEFT JOIN nt ON nt.symbol = ev.symbol AND nt.d = ev.d)
+    SELECT symbol, CAST(d AS VARCHAR) AS trade_date, o AS open_ns, c AS cross_ns, round(thr, 6) AS raw_threshold_price, round((c - o) / 1e9, 6) AS seconds_open_to_threshold, bought AND NOT gapped AND NOT early AS purchase_feasible, acted AND NOT gapped AND NOT early AS primary_actionable, act AS first_entry_at, CASE WHEN act IS NOT NULL THEN x.k END AS first_entry_ask, CASE WHEN act IS NOT NULL THEN 500.0::DOUBLE END AS first_entry_notional, CASE WHEN act IS NOT NULL THEN round((thr / x.k - 1) * 100, 4) END AS first_entry_gross_edge_pct, CASE WHEN act IS NOT NULL THEN round(x.s, 6) END AS opportunity_seconds, round((c - confirm) / 1e9, 6) AS seconds_entry_to_threshold, ni AS interval_count, nq AS regular_quote_count, nt AS regular_trade_count,
+    array_to_string(list_sort(list_distinct([y FOR y IN [CASE WHEN symbol % 4 = 1 THEN 'thin_tape' END, CASE WHEN gapped OR symbol % 4 = 1 THEN 'opened_at_or_above_adjusted_threshold' END, CASE WHEN early THEN 'threshold_reached_at_or_before_regular_open' END, CASE WHEN nq = 0 THEN 'no_regular_session_quotes_before_threshold' END, CASE WHEN NOT shown THEN 'no_subthreshold_ask_at_primary_notional' WHEN NOT bought THEN 'subthreshold_ask_not_trade_confirmed' WHEN NOT acted THEN 'entry_opportunity_below_manual_duration_or_edge_gate' END] IF y IS NOT NULL])), ',') AS quality_flags,
+    CASE WHEN acted AND NOT gapped AND NOT early THEN NULL WHEN gapped THEN 'opened_at_or_above_threshold' WHEN early THEN 'threshold_at_or_before_open' WHEN NOT shown THEN 'no_displayed_subthreshold_ask_at_primary_notional' WHEN NOT bought THEN 'no_confirmed_purchase_at_primary_notional' ELSE 'manual_duration_or_edge_gate_not_met' END AS exclusion_reason FROM r""",
+)
+def x09_assessment(spark, sf):
+    x = assessed(spark, sf).drop("window_metrics")
+    r = lambda c, d: F.round(c, d).alias(c)
+    short = {"raw_threshold_price": 6, "seconds_open_to_threshold": 6, "first_entry_gross_edge_pct": 4, "opportunity_seconds": 6, "seconds_entry_to_threshold": 6}
+    return x.select(*(r(c, short[c]) if c in short else F.array_join(c, ",").alias(c) if c == "quality_flags" else c for c in x.columns))
+
+
+@query(
+    "x09_entry_windows",
+    f"""WITH {ENTRY}, has AS (SELECT DISTINCT q.symbol, q.d FROM q JOIN ev USING (symbol, d))
+    SELECT h.symbol, CAST(h.d AS VARCHAR) AS trade_date, wn.win AS "window", l.level, fin.total IS NOT NULL AS displayed, fin.confirm IS NOT NULL AS mechanically_purchasable, fin.act IS NOT NULL AS manually_actionable, round(coalesce(total, 0), 6) AS total_displayed_seconds, round(coalesce(longest, 0), 6) AS max_contiguous_displayed_seconds, round(coalesce(notional, 0), 4) AS max_displayed_ask_notional, fin.ask AS minimum_displayed_ask, fin.confirm AS first_confirmed_at, fin.cask AS first_confirmed_ask, fin.act AS first_actionable_at, round((fin.confirm - fin.f) / 1e9, 6) AS seconds_to_first_confirmed
+    FROM has h JOIN wn USING (symbol, d) CROSS JOIN {LEVELS} l LEFT JOIN fin ON fin.symbol = h.symbol AND fin.d = h.d AND fin.win = wn.win AND fin.level = l.level""",
+)
+def x09_windows(spark, sf):
+    x = assessed(spark, sf).select("symbol", "trade_date", F.explode("window_metrics").alias("m")).select("symbol", "trade_date", "m.*")
+    r = lambda c, d: F.round(c, d).alias(c)
+    return x.select("symbol", "trade_date", "window", "level", "displayed", "mechanically_purchasable", "manually_actionable", r("total_displayed_seconds", 6), r("max_contiguous_displayed_seconds", 6), r("max_displayed_ask_notional", 4), "minimum_displayed_ask", "first_confirmed_at", "first_confirmed_ask", "first_actionable_at", r("seconds_to_first_confirmed", 6))

@@ -47,17 +47,6 @@ def t05(spark, sf):
     return x.select("symbol", "level", "displayed", "mechanically_purchasable", "manually_actionable", r("total_displayed_seconds", 3), r("max_contiguous_displayed_seconds", 3), r("max_displayed_ask_notional", 4), "minimum_displayed_ask", "first_confirmed_at", "first_confirmed_ask", r("first_confirmed_edge_pct", 4), "first_actionable_at", r("first_actionable_segment_seconds", 3))
 
 
-@query(
-    "x09_entry_assessment",
-    f"""WITH q AS (SELECT DISTINCT symbol % 40 AS symbol FROM ({TICKS}) WHERE kind = 'view'), n AS (SELECT symbol % 40 AS symbol, count(*) AS n FROM ({TICKS}) WHERE kind = 'view' AND us >= {OPEN} * 1000000::BIGINT AND us < ({CROSS} + symbol % 40) * 1000000::BIGINT GROUP BY 1)
-    SELECT symbol, coalesce(n, 0) AS regular_quote_count FROM q LEFT JOIN n USING (symbol)""",
-)
-def x09_counts(spark, sf):
-    q, _ = entry_inputs(spark, sf)
-    inside = (F.col("at") >= F.col("open_ns")) & (F.col("at") < F.col("cross_ns"))
-    return q.groupBy("symbol").agg(F.count_if(inside).alias("regular_quote_count"))
-
-
 @query("x09_entry_flags")
 def x09(spark, sf):
     q, t = entry_inputs(spark, sf)
