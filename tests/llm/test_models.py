@@ -158,6 +158,21 @@ MIT = """/* Permission is hereby granted, free of charge, to any person obtainin
 APACHE = "# Licensed under the Apache\n# License, Version 2.0 (the\n# \"License\"); you may not use\n# this file except in\n# compliance with the License."
 
 
+def test_licences_that_are_none_of_the_families():
+    model = licenses.Classifier()
+    strange = [
+        "Licensed under the Apache License, Version 1.1.", "SPDX-License-Identifier: Apache-1.1", "Licensed under the Mozilla Public License 1.1.", "Eclipse Public License - v 1.0", "Licensed under CC BY-NC-ND 4.0.", "Licensed under CC BY-NC-SA 2.5.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "Licensed under the BSD 4-Clause License.", "Licensed under the GNU General Public License, version 1.", "This program is not licensed under the Apache License, Version 2.0.", "It was never released under the MIT License.",
+        "Licensed under the Boost Software License 1.0.", "Fonts are under the SIL Open Font License.", "See the Artistic License for details.", "Permission to use, copy, modify and distribute this software for any purpose, without fee, and without a written agreement is granted, provided that this paragraph and the two paragraphs below appear in all copies.",
+        "Seats with a view are all rights reserved for members.", "He lost his license and was released on bail.", "The permit was granted free of charge to any person over sixty.", "The source of the gas was in the basement form of the house.", "Public license fees rose in general last year.", "The court found that the copyright notice was late.",
+    ]
+    assert {t: model.predict(t)[0] for t in strange if model.predict(t)[0] != "unknown"} == {}
+    # every notice still is of its own family, and versions that agree do not speak against it
+    assert [t for f, ts in licenses.TEMPLATES.items() for t in ts if model.predict(t)[0] != f] == []
+    fine = {"Licensed under the Apache License 2.0.": "Apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "Licensed under CC BY 3.0.": "CC-BY", "Licensed under the GNU Lesser General Public License, version 2.": "LGPL"}
+    assert {t: model.predict(t)[0] for t in fine} == fine
+
+
 def test_licences(spark, sf):
     model = licenses.Classifier()
     cases = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Licensed under CC BY-SA 4.0.": "CC-BY-SA", "GNU Lesser General Public License": "LGPL", "All rights reserved.": "proprietary", "Released under the MIT License.": "MIT", "Licensed under the BSD 2-Clause License.": "BSD-2-Clause", "SPDX-License-Identifier: ISC": "ISC", "The rights of workers were reserved.": "unknown", "My driving license": "unknown", "": "unknown"}

@@ -8,11 +8,12 @@ ordinary sentences as the unknown class; its temperature and the least confidenc
 calibrated on edits not trained on, so that strange units come out as unknown.
 
 The classifier scores every unit of every text, from running sums of its weights over the
-words. Where it finds a licence its families are taken in the order of their probability,
-and the first that a template confirms counts: the unit and one of the family's templates
-share at least ``CONFIRM`` of the template's word bigrams, of the bigrams of both, or, for a
-unit that lies inside a long template, of the unit's; and no family's template resembles the
-unit clearly more.
+words. Where it finds a licence only the most probable family counts, and only if a template
+confirms it: the unit and one of the family's templates share at least ``CONFIRM`` of the
+template's word bigrams, of the bigrams of both, or, for a unit that lies inside a long
+template, of the unit's; no family's and no foreign licence's template resembles the unit
+clearly more; and nothing in the unit contradicts the family: another version, other
+Creative Commons terms, another number of clauses, or a "not" before the grant.
 
 Defined cases: null and empty texts have no licence; a document with several families
 gives a row for each, with its first unit and their number; a window counts only where no
@@ -99,7 +100,7 @@ TEMPLATES = {
 }
 for _family in TEMPLATES:
     if _family not in ("BSD", "proprietary"):
-        TEMPLATES[_family].append(f"SPDX-License-Identifier: {_family}")
+        TEMPLATES[_family] += [f"SPDX-License-Identifier: {_family}{x}" for x in (("", "-only", "-or-later") if "GPL-" in _family else ("",))]
 FAMILIES = [*TEMPLATES, UNKNOWN]
 # Ordinary sentences, some with words that licences use too.
 ORDINARY = [
@@ -120,6 +121,24 @@ ORDINARY = [
     "The source of the river lies high in the mountains.",
     "Conditions on the road are bad without snow chains.",
 ]
+# Customary words of licences that are no family here.
+FOREIGN = [
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "This package is free software; you may redistribute it under the terms of the Artistic License 2.0.",
+    "Licensed under the zlib License.",
+    "Licensed under the PostgreSQL License.",
+]
+# Sentences of legal prose that grant no licence.
+LEGAL = [
+    "The judge released the driver under a bond and kept the license of the firm.",
+    "All rights of the tenants are reserved by the act, the lawyer said.",
+    "The council licensed two taxis under the new rules of the city.",
+    "A party to this contract may end it by written notice to the other.",
+]
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][0-9a-z]+)*")
 
 
@@ -127,6 +146,44 @@ def _tokens(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+_VERSIONED = re.compile(r"-(\d+)\.\d+$")
+_NAMED = re.compile(r"(?:apache|gpl|lgpl|agpl|mpl|epl)-v?(\d+(?:\.\d+)?)")
+# The terms of Creative Commons licences, by all their spellings.
+TERMS = {"nc": "nc", "noncommercial": "nc", "sa": "sa", "sharealike": "sa", "nd": "nd", "noderivatives": "nd", "noderivs": "nd"}
+
+
+# The words before "General Public" that name the GPL's flavours.
+FLAVOURS = {"lesser": "L", "library": "L", "affero": "A"}
+
+
+def _plain_version(text: str) -> str:
+    return text.removesuffix(".0")
+
+
+def contradicts(family: str, tokens: list[str]) -> bool:
+    """Whether a unit's words speak against a family: it names only other versions or flavours, other terms, another number of clauses, denies the grant, or reserves rights for someone."""
+    after = list(zip(tokens, tokens[1:], strict=False))
+    if any(a in ("not", "never") and b in ("licensed", "released", "covered", "distributed", "available") for a, b in after):
+        return True
+    if family == "proprietary" and ("reserved", "for") in after:
+        return True
+    if "GPL" in family:
+        kinds = {FLAVOURS.get(t, "") for t, pair in zip(tokens, after[1:], strict=False) if pair == ("general", "public")}
+        if kinds and family[: family.index("GPL")] not in kinds:
+            return True
+    own = _VERSIONED.search(family)
+    if own:
+        named = {_plain_version(b) for a, b in after if a in ("version", "v", "license", "licence") and re.fullmatch(r"\d+(?:\.\d+)?", b)}
+        named |= {_plain_version(m[1]) for m in map(_NAMED.match, tokens) if m}
+        return bool(named) and _plain_version(family.rpartition("-")[2]) not in named
+    parts = [t.split("-") for t in tokens]
+    if family.startswith("CC-BY"):
+        said = {TERMS[w] for p in parts if p[0] in ("by", "cc", "attribution", *TERMS) for w in p if w in TERMS}
+        return any(p[0] in ("by", "cc", "attribution") for p in parts) and said != {t.lower() for t in family.split("-")[2:]}
+    clauses = {p[0] for p in parts if p[-1] == "clause" and p[0].isdigit()}
+    return family.startswith("BSD-") and bool(clauses) and family.split("-")[1] not in clauses
+
+
 def _hash_words(tokens: list[str]) -> np.ndarray:
     """The same hashes that words.words gives for these words in a text."""
     if not tokens:
@@ -158,11 +215,12 @@ class Classifier:
 
     def __init__(self, copies: int = 24, seed: int = 5):
         rng = np.random.default_rng(seed)
+        plain = [*ORDINARY, *LEGAL, *FOREIGN]
         spare = [t for s in ORDINARY for t in _tokens(s)]
         texts, kinds = [], []
         draw = lambda n: [spare[i] for i in rng.integers(0, len(spare), n)]
         for k, family in enumerate(FAMILIES):
-            base = TEMPLATES.get(family, ORDINARY)
+            base = TEMPLATES.get(family, plain)
             for tokens in map(_tokens, base):
                 for c in range(copies if family != UNKNOWN else copies // 2):
                     edited = [t for t in tokens if c == 0 or rng.random() > 0.08]
@@ -183,7 +241,7 @@ class Classifier:
         slots = [np.concatenate(_slots(_hash_words(t))) for t in texts]
         # a slot that no notice uses tells nothing about families
         own = [_slots(_hash_words(_tokens(t))) for ts in TEMPLATES.values() for t in ts]
-        used = np.unique(np.concatenate([s for pair in own for s in pair] + [_slots(_hash_words(_tokens(t)))[0] for t in ORDINARY]))
+        used = np.unique(np.concatenate([s for pair in own for s in pair] + [_slots(_hash_words(_tokens(t)))[0] for t in plain]))
         place = np.full(1 << BITS, -1)
         place[used] = np.arange(len(used))
         x = np.zeros((len(texts), len(used)), np.float32)
@@ -206,23 +264,21 @@ class Classifier:
         self.weights = np.zeros((1 << BITS, len(FAMILIES)), np.float32)
         self.weights[used] = w
         self.used = place >= 0
-        self.grams = {f: [_pairs(t) for t in map(_tokens, ts)] for f, ts in TEMPLATES.items()}
+        self.grams = {f: [_pairs(t) for t in map(_tokens, ts)] for f, ts in (TEMPLATES | {UNKNOWN: FOREIGN}).items()}
 
     def probabilities(self, sums: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Of each family, from the summed weights of units of n features."""
         return _softmax((sums / np.sqrt(np.maximum(n, 1))[:, None] + self.bias) / self.scale)
 
     def confirm(self, p: np.ndarray, tokens: list[str]) -> tuple[str, float, float]:
-        """(family or unknown, confidence, similarity): the most probable family that a template confirms."""
+        """(family or unknown, confidence, similarity): the most probable family, if a template confirms it and nothing contradicts it."""
         own = _pairs(tokens)
         near = {f: max(_similar(own, g) for g in gs) for f, gs in self.grams.items()}
         best = max(near.values())
-        for k in np.argsort(-p):
-            family = FAMILIES[k]
-            if p[k] < 0.02:
-                break
-            if family != UNKNOWN and near[family] >= CONFIRM and near[family] >= best - CLEARLY:
-                return family, float(p[k]), near[family]
+        k = int(np.argmax(p))
+        family = FAMILIES[k]
+        if family != UNKNOWN and near[family] >= CONFIRM and near[family] >= best - CLEARLY and near[family] >= near[UNKNOWN] and not contradicts(family, tokens):
+            return family, float(p[k]), near[family]
         return UNKNOWN, float(p[-1]), best
 
     def predict(self, unit: str) -> tuple[str, float, float]:
