@@ -117,3 +117,45 @@ def test_runs_equal_the_whole_text(spark, sf):
     for k, text in enumerate(texts):
         x, y = plain_tokens(text, a, b)
         assert ids[ends[k] : ends[k + 1]].tolist() == [i for i, _ in x] + [i + len(sides.a_bytes) for i, _ in y]
+
+
+def test_a_row_a_document_has_the_pairs_of_its_links(spark, sf):
+    rows = [(i, t) for i, (_, t) in enumerate(ODD)] + [(r.doc_id + 1000, r.text) for r in documents(spark, sf).limit(25).collect()]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    sides = align.Sides(A, B)
+    found = align.aligned(df, A, B)
+    assert found.count() == len(rows)
+    pair = F.col("pair")
+    b_entries = len(sides.b_bytes)
+    got = found.select("doc_id", F.inline("links")).select("doc_id", F.expr(f"pair div {b_entries}").alias("a"), (pair % b_entries).alias("b"), "times")
+    tokens, name = align.token_table(df, A, B)
+    want = align.links(tokens, align.entry_lengths(spark, A, B)).join(tokens.select("row", "doc_id"), "row").groupBy("doc_id", "a", "b").count()
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    expected = key(want)
+    align.drop_tokens(spark, name)
+    assert key(got) == expected and len(expected) > 1000
+
+
+def test_no_token_is_a_row_of_the_query(spark, monkeypatch):
+    def rows(*_):
+        raise AssertionError("tokens became rows")
+
+    monkeypatch.setattr(align, "links", rows)
+    monkeypatch.setattr(align, "token_table", rows)
+    df = spark.createDataFrame([(1, "one two two three"), (2, None)], SCHEMA)
+    assert rows_of(align.align(df, A, B)) == plain_align([(1, "one two two three"), (2, None)])
+
+
+@pytest.mark.parametrize("kept", [0, 3, 10**6])
+def test_runs_are_kept_from_batch_to_batch_within_bounds(monkeypatch, kept):
+    monkeypatch.setattr(align, "KEPT", kept)
+    sides, fresh, batches, seen = align.Sides(A, B), align.Sides(A, B), ["one two three one", "two internationalization", "ab" * 40 + " three", "one  two", "", None, "x\u2581y one", "one two three one"], []
+    encode = sides._runs
+    sides._runs = lambda runs: seen.extend(runs) or encode(runs)
+    for text in batches:
+        fresh.young, fresh.older = {}, {}
+        assert sides.align([text, "three"]) == fresh.align([text, "three"])
+        assert len(sides.young) <= kept and len(sides.older) <= kept + 4
+        assert all(len(r) <= align.KEPT_LENGTH for r in [*sides.young, *sides.older])
+    if kept == 10**6:
+        assert len(seen) == len(set(seen))

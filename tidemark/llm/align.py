@@ -1,20 +1,24 @@
-"""Alignment of two tokenizers' tokens of the same text, as a relational plan.
-
-Tokens of both sides are rows (``posexplode``); their ends are windowed cumulative byte
-lengths; ends of the two sides meet by document and end, so a row stands for each
-different end. Where both sides end the text is cut, and the running count of cuts numbers
-the groups. Between two neighbouring ends lies exactly one overlap of an A and a B token,
-so the links are those rows, each with the next token of either side that ends there or
-later: a document of a and b tokens has fewer than a + b of them, even where one group
-spans all of it, and no group is multiplied out.
-
-The texts are dealt by document once, and the table of their tokens is bucketed so; explode,
-windows and the meeting of ends all keep that partitioning, and no token row is exchanged. Meeting is a grouping by (document, end) of the
-rows of both sides, which is the full equi-join on these keys without exchanges of its own.
-
-Corpus-wide counts of linked id pairs are grouped with partial sums. Pairs that hold at least
-one in ``HOT_PAIRS`` of all links, so at most that many, are broadcast; all others are
-joined by their ids, where no key can be hot.
+"""Alignment of two tokenizers' tokens of the same text.
+
+The ends of a side's tokens are cumulative byte lengths, and the ends of the two sides meet.
+Where both sides end the text is cut, and the cuts number the groups. Between two
+neighbouring ends lies exactly one overlap of an A and a B token, so each different end is
+a link, with the next token of either side that ends there or later: a document of a and b
+tokens has fewer than a + b of them, even where one group spans all of it, and no group is
+multiplied out.
+
+Both sides cut at a single blank between two other characters, so a text's groups and links
+are those of its runs between blanks, one after the other. The tasks that encode (``aligned``)
+let the ends of different runs meet once, keep the last runs' links and groups within bounds
+(``KEPT``), and put the documents together: a row a document, with its different id pairs
+and how often it links them. No token is a row there. ``token_table`` and ``links`` are the
+same alignment by rows, for whoever needs each link with its place: tokens are exploded,
+their ends are windowed sums that meet in a grouping by (document, end), and all of it keeps
+the table's buckets.
+
+Corpus-wide counts of linked id pairs are grouped from the documents' pairs with partial
+sums. Pairs that hold at least one in ``HOT_PAIRS`` of all links, so at most that many, are
+broadcast; all others are joined by their ids, where a document has one row for a pair.
 
 Defined cases: null and empty texts, and texts whose joined token bytes differ from blank +
 text (a character that a vocabulary rewrites), have no tokens: zeros, and '' for the digest.
@@ -25,6 +29,7 @@ Other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
@@ -41,6 +46,8 @@ from tidemark.llm import store, token_count, vocab
 BUCKET_ROWS, MOST_BUCKETS = 1000, 100_000
 #: Runs that are encoded at once.
 ENCODED = 4096
+#: Aligned runs that a worker's younger generation holds before it becomes the older, and the longest run kept: some 250 bytes each, 1 KB at most.
+KEPT, KEPT_LENGTH = 120_000, 24
 #: White space that is not a single blank between two other characters.
 _BESIDE = re.compile("^ | $|  |[\t\r\x0b\x0c]| \n|\n ")
 #: A pair of ids is broadcast if it holds at least one in so many of all links.
@@ -51,9 +58,9 @@ class Sides:
     """Both tokenizers with the bytes of each id: A a byte-level file of the tokenizers library, B a sentencepiece model.
 
     Neither goes on over a single blank between two other characters, so the texts of a batch
-    are cut there, each different run is encoded once, and nothing is held from batch to
-    batch. Texts with other white space beside blanks, or with characters beyond
-    ``vocab.PLAIN``, are encoded whole.
+    are cut there and each different run is encoded once. Texts with other white space beside
+    blanks, or with characters beyond ``vocab.PLAIN``, are encoded whole. ``encode`` holds
+    nothing from batch to batch; ``align`` keeps the last batches' runs, within bounds.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -74,6 +81,10 @@ class Sides:
         self.runs = token_count.shaped_as_expected(a_path) and not any("▁" in p.lstrip("▁") for p in pieces)
 
         self.ranked = self._ranked(a_path) if self.runs else None
+        self.size = [np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes)]
+        # an id as it stands in a group and at its end: entry 2 * id + whether the group ends
+        self.marks = [m for of, ends in ((self.a_bytes, "|"), (self.b_bytes, ";")) for i in range(len(of)) for m in (b"%d," % i, f"{i}{ends}".encode())]
+        self.young, self.older = {}, {}
 
     def _ranked(self, path: str):
         """A's own entries and merges as the faster encoder by ranks, where ids after the single bytes follow the merges' order; else None."""
@@ -100,12 +111,68 @@ class Sides:
     def _joined(ids, of: list[bytes], text: str) -> bool:
         return b"".join([of[i] for i in ids]) == f" {text}".encode()
 
+    def _cut(self, text: str | None) -> list[str] | None:
+        """The runs of a text that may be cut at its blanks, else None."""
+        return text.split(" ") if text and self.runs and vocab.PLAIN.fullmatch(text) and not _BESIDE.search(text) else None
+
+    def meet(self, units: list[tuple | None]) -> list[tuple]:
+        """(links, groups, n_a) of each unit's ids: a * B's entries + b of each overlap as 8 bytes, ``a1,a2|b1;`` of each group; () for None."""
+        own = [u for u in units if u is not None]
+        if not own:
+            return [()] * len(units)
+        n = [np.array([len(u[k]) for u in own], np.int64) for k in (0, 1)]
+        ids = [np.fromiter(chain.from_iterable([u[k] for u in own]), np.int64, int(n[k].sum())) for k in (0, 1)]
+        # the units stand one after the other, so both sides end where a unit does
+        a_end, b_end = (np.cumsum(self.size[k][ids[k]]) for k in (0, 1))
+        ends = np.sort(np.concatenate([a_end, b_end]), kind="stable")
+        ends = ends[np.append(ends[1:] != ends[:-1], True)]
+        at = [np.searchsorted(e, ends) for e in (a_end, b_end)]
+        both = (a_end[at[0]] == ends) & (b_end[at[1]] == ends)
+        links = (ids[0][at[0]] * len(self.b_bytes) + ids[1][at[1]]).tobytes()
+        # tokens of either side up to each cut; a group has its A ids, then its B ids
+        upto = [x[both] + 1 for x in at]
+        marks, base = np.empty(len(ids[0]) + len(ids[1]), np.int64), (0, 2 * len(self.a_bytes))
+        for k, others in ((0, np.append(0, upto[1][:-1])), (1, upto[0])):
+            last = np.zeros(len(ids[k]), np.int64)
+            last[upto[k] - 1] = 1
+            marks[np.arange(len(last)) + others[np.cumsum(last) - last]] = base[k] + 2 * ids[k] + last
+        shown = [self.marks[i] for i in marks.tolist()]
+        upto_unit = np.cumsum(n[0])
+        cut_link = np.append(0, np.searchsorted(ends, a_end[upto_unit - 1]) + 1) * 8
+        cut_link, cut_mark = cut_link.tolist(), np.append(0, upto_unit + np.cumsum(n[1])).tolist()
+        made = iter([(links[cut_link[i] : cut_link[i + 1]], b"".join(shown[cut_mark[i] : cut_mark[i + 1]]), len(own[i][0])) for i in range(len(own))])
+        return [next(made) if u is not None else () for u in units]
+
+    def align(self, texts: list[str | None]) -> list[tuple[list, list, int]]:
+        """(links of each unit, groups of each unit, n_a) of each text, as ``meet`` has them; empty where a text has no tokens."""
+        cut = [self._cut(t) for t in texts]
+        known, new = {}, []
+        for run in {r for runs in cut if runs for r in runs}:
+            value = self.young.get(run)
+            if value is None:
+                value = self.older.get(run)
+            if value is None:
+                new.append(run)
+            else:
+                known[run] = value
+        for i in range(0, len(new), ENCODED):
+            some = new[i : i + ENCODED]
+            known.update(zip(some, self.meet(self._runs(some)), strict=True))
+        self.young.update((r, v) for r, v in known.items() if len(r) <= KEPT_LENGTH)
+        if len(self.young) > KEPT:
+            self.young, self.older = {}, self.young
+        out = []
+        for text, runs in zip(texts, cut, strict=True):
+            units = [known[r] for r in runs] if runs is not None else self.meet([self._whole(text)]) if text else []
+            out.append(([], [], 0) if not all(units) else ([u[0] for u in units], [u[1] for u in units], sum([u[2] for u in units])))
+        return out
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ends, ids): A's ids of blank + text, then B's ids of text, counted on from A's, of each text in turn.
 
         A text has no ids where either's bytes are not those of blank + text, or there is no text.
         """
-        cut = [t.split(" ") if t and self.runs and vocab.PLAIN.fullmatch(t) and not _BESIDE.search(t) else None for t in texts]
+        cut = [self._cut(t) for t in texts]
         index: dict = {r: i for i, r in enumerate({r for runs in cut if runs for r in runs})}
         names, units = list(index), []
         for i in range(0, len(names), ENCODED):
@@ -188,41 +255,65 @@ def links(tokens: DataFrame, lengths: DataFrame) -> DataFrame:
     return met.select("row", "end", around("a_end").alias("a"), around("b_end").alias("b"), "a_end", "b_end", "cut", F.sum(F.col("cut").cast("long")).over(back).alias("group"))
 
 
-def pair_counts(linked: DataFrame) -> DataFrame:
-    """a, b, n, best: how many links hold a pair of ids, and whether no other pair of b has more."""
-    n = store.table(linked.groupBy("a", "b").agg(F.count("*").alias("n")), "align-pairs")
+def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, links (pair, times) of each row of docs: ``links`` has the different pairs, as a * B's entries + b."""
+    vocab.small_batches(docs.sparkSession)
+    pairs = pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int32())]))
+    names = ("n_a", "n_b", "n_groups", "n_links")
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in names), ("groups_sha256", pa.string()), ("links", pairs)])
+
+    def run(batches):
+        sides = vocab.worker_value(("sides", a_path, b_path), lambda: Sides(a_path, b_path))
+        many = len(sides.a_bytes) * len(sides.b_bytes)
+        for batch in batches:
+            found = sides.align(batch.column("text").to_pylist())
+            groups = [b"".join(g)[:-1] for _, g, _ in found]
+            flat = [b"".join(x) for x, _, _ in found]
+            n_a, n_links = np.array([n for *_, n in found], np.int64), np.array([len(x) // 8 for x in flat], np.int64)
+            n_groups = np.array([g.count(b"|") for g in groups], np.int64)
+            # an end is one of A, of B, or of both
+            n_b = n_links + n_groups - n_a
+            keys, times = np.unique(np.repeat(np.arange(len(found)), n_links) * many + np.frombuffer(b"".join(flat), np.int64), return_counts=True)
+            ends = np.searchsorted(keys, np.arange(len(found) + 1) * many).astype(np.int32)
+            each = pa.StructArray.from_arrays([pa.array(keys % many), pa.array(times.astype(np.int32))], fields=list(pairs.value_type))
+            digests = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
+            columns = [batch.column("row"), batch.column("doc_id"), *map(pa.array, (n_a, n_b, n_groups, n_links)), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(ends), each).cast(pairs)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = numbered.mapInArrow(run, f"row long, doc_id long, {', '.join(f'{c} long' for c in names)}, groups_sha256 string, links array<struct<pair: long, times: int>>")
+    # written, so row numbers are fixed and texts are encoded once
+    return store.table(made, "align-links")
+
+
+def pair_counts(each: DataFrame, b_entries: int) -> DataFrame:
+    """pair, n, best: how many links hold a pair of ids, and whether no other pair of its B id has more."""
+    n = store.table(each.groupBy("pair").agg(F.sum("times").alias("n")), "align-pairs")
+    b = F.col("pair") % b_entries
     # a row for each of B's entries at most
-    top = F.broadcast(n.groupBy("b").agg(F.max("n").alias("top")))
-    return store.table(n.join(top, "b").select("a", "b", "n", (F.col("n") == F.col("top")).alias("best")), "align-counts")
+    top = F.broadcast(n.groupBy(b.alias("b")).agg(F.max("n").alias("top")))
+    return store.table(n.withColumn("b", b).join(top, "b").select("pair", "n", (F.col("n") == F.col("top")).alias("best")), "align-counts")
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, hot: int = HOT_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row of docs."""
     with store.scope():
-        tokens, name = token_table(docs, a_path, b_path)
-        lengths = store.table(entry_lengths(docs.sparkSession, a_path, b_path), "align-entries")
-        linked = links(tokens, lengths)
-        counts = pair_counts(linked)
+        found = aligned(docs, a_path, b_path)
+        each = found.select("row", F.inline("links"))
+        counts = pair_counts(each, len(Sides(a_path, b_path).b_bytes))
         total = counts.agg(F.sum("n")).first()[0] or 0
         often = F.col("n") * hot >= total
-        known = linked.join(F.broadcast(counts.where(often)), ["a", "b"], "left")
-        mark = lambda c: F.expr(f"listagg({c}_end || if(cut, ';', ','), '') within group (order by end)").alias(c)
-        sums = [F.count("a_end").alias("n_a"), F.count("b_end").alias("n_b"), F.count_if("cut").alias("n_groups"), F.count("*").alias("n_links")]
-        rare = F.collect_list(F.when(F.col("n").isNull(), F.struct("a", "b")))
-        by_row = known.groupBy("row").agg(*sums, F.sum("n").alias("n"), F.count_if("best").alias("best"), rare.alias("rare"), mark("a"), mark("b"))
-        split = lambda c: F.split(F.rtrim(F.col(c), F.lit(";")), ";")
-        groups = F.array_join(F.zip_with(split("a"), split("b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
-        by_row = store.table(by_row.select("row", "n_a", "n_b", "n_groups", "n_links", "n", "best", "rare", F.sha2(groups, 256).alias("groups_sha256")), "align-rows")
-        seldom = by_row.select("row", F.inline("rare")).join(counts.where(~often), ["a", "b"]).groupBy("row").agg(F.sum("n").alias("more"), F.count_if("best").alias("more_best"))
-        out = tokens.select("row", "doc_id").join(by_row.drop("rare"), "row", "left").join(seldom, "row", "left")
+        summed = (F.sum(F.col("n") * F.col("times")).alias("n"), F.sum(F.when(F.col("best"), F.col("times"))).alias("best"))
+        # a row's broadcast pairs are summed at once, under null; each other pair stays a row
+        known = each.join(F.broadcast(counts.where(often)), "pair", "left").withColumn("pair", F.when(F.col("n").isNull(), F.col("pair")))
+        known = store.table(known.groupBy("row", "pair").agg(*summed, F.sum("times").alias("times")), "align-known")
+        seldom = known.where("pair is not null").select("row", "pair", "times").join(counts.where(~often), "pair").groupBy("row").agg(*summed)
+        sums = known.where("pair is null").select("row", "n", "best").union(seldom).groupBy("row").agg(F.sum("n").alias("n"), F.sum("best").alias("best"))
         count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-        out = out.select(
-            "doc_id", *(count(c).alias(c) for c in ("n_a", "n_b", "n_groups", "n_links")),
-            (count("best") + count("more_best")).alias("n_best"), (count("n") + count("more")).alias("count_sum"), F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"),
-        )
+        out = found.drop("links").join(sums, "row", "left")
+        out = out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", count("best").alias("n_best"), count("n").alias("count_sum"), "groups_sha256")
         out = store.table(out, "align-documents")
         store.keep(out)
-    drop_tokens(docs.sparkSession, name)
     return out
 
 
