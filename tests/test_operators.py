@@ -287,6 +287,24 @@ def test_greedy_match_has_all_customers_as_events(spark, sf):
     assert any(r[0] % 10 for r in got)
 
 
+def test_greedy_caliper_never_holds_all_pairs(spark, tmp_path, monkeypatch):
+    from tidemark.sources import shared
+
+    monkeypatch.setattr(shared, "folder", lambda spark: f"file://{tmp_path}")
+    rnd = random.Random(5)
+    c = spark.createDataFrame([(i, i % 2, rnd.uniform(100, 120), i % 6) for i in range(60)], "id long, grp long, price double, symbol long")
+    config = matching.MatchConfig(weights={"price": 1.0}, ratios={"price": (0.5, 2.0)}, most_score=9.0, controls=3, symbol_uses=4)
+    pairs = [tuple(r) for r in matching.caliper_pairs(c, c, "grp", config, carry=("symbol",)).select("grp", "event", "control", "symbol", "score").collect()]
+    rows, cut = [], shared.Scratch.cut
+    monkeypatch.setattr(shared.Scratch, "cut", lambda self, df: (out := cut(self, df), rows.append(out.count()))[0])
+    monkeypatch.setattr(matching, "MOST_PAIRS", 320)
+    monkeypatch.setattr(matching, "MOST_EVENTS", 25)
+    got = matching.greedy_caliper(c, c, "grp", config)
+    assert {tuple(r) for r in got.collect()} == plain_greedy(pairs, 3, 4)
+    assert max(rows) < len(pairs) / 4
+    assert len(list(tmp_path.glob("*.parquet"))) == 1
+
+
 def test_bootstrap_and_randomisation_draw_as_often_as_the_reference(spark, sf):
     from tidemark.plans import cohort
 
