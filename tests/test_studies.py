@@ -349,3 +349,24 @@ def test_baseline_rows_have_all_offsets_and_horizons(spark):
             assert r.outcome_next_8h_from_baseline_max_drawdown_from_baseline_minute_close_pct == pytest.approx((min(x[4] for x in ahead) / by[base][5] - 1) * 100)
         if at in by:
             assert r.outcome_snapshot_to_cross_max_gain_pct == pytest.approx((max(x[3] for x in seg) / by[at][5] - 1) * 100)
+
+
+def test_samples_of_one_step_share_their_row(spark, monkeypatch):
+    from tidemark.operators import context, ranges
+
+    rnd = random.Random(3)
+    rows = [(k, m, p := 50 + rnd.random(), p * 1.01, p * 0.99, p, rnd.random() * 100, 3, 1.0) for k in (1, 2) for m in range(300) if m != 280]
+    bars = spark.createDataFrame(rows, "k long, m long, open double, high double, low double, close double, quote_volume double, trade_count long, taker_quote double")
+    assert sorted(map(tuple, ranges.block_table(bars, "k", "m", lambda df: df).collect()), key=str) == sorted(map(tuple, ranges.blocks(bars, "k", "m").collect()), key=str)
+    samples = spark.createDataFrame([(i, 1 + i % 2, (270, 280, None)[i % 3], 272 + i) for i in range(18)], "sample_id long, k long, m long, anchor long")
+    seen, whole = [], context._ten_days
+    monkeypatch.setattr(context, "_ten_days", lambda places, *a: (seen.append(places.count()), whole(places, *a))[1])
+    got = {r.sample_id: r for r in context.ten_day_context(samples, bars, "k", "m", None, (24, 72), 10, 24, 4, (2, 4), (24,), horizon=8, liquidity=1).collect()}
+    assert seen == [6] and sorted(got) == list(range(18))
+    close = {(r[0], r[1]): r[5] for r in rows}
+    for i, r in got.items():
+        assert (r.k, r.m, r.anchor) == (1 + i % 2, (270, 280, None)[i % 3], 272 + i)
+        assert r.entry_price == close.get((r.k, r.m)) and (r.feature_quality_status == "missing_decision_bar") == (r.m != 270)
+        if r.m == 270:
+            top = max(x[3] for x in rows if x[0] == r.k and 271 <= x[1] <= min(r.anchor, 278))
+            assert r.outcome_to_anchor_max_gain_pct == pytest.approx((top / r.entry_price - 1) * 100)
