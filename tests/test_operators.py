@@ -1,5 +1,6 @@
 """Operators on hand-made rows, and against loops in plain Python."""
 
+import functools
 import io
 import math
 import random
@@ -118,6 +119,15 @@ def test_vwap_partial_fill(spark):
     assert r.reached and r.sold == 150 and r.vwap == pytest.approx(150 / (10 + 2.5))
 
 
+def test_vwap_target_reached_exactly(spark):
+    # the cents add up to the target, the doubles to the last bit below it
+    v = [79719.74, 45229.86, 110405.58, 88873.41, 111905.12, 63866.29]
+    df = spark.createDataFrame([(1, i, 10.0, x) for i, x in enumerate(v)], "k long, i long, p double, v double").coalesce(1)
+    assert functools.reduce(lambda a, b: a + b, v) < 500000 and sum(round(x * 100) for x in v) == 50_000_000
+    assert tape.vwap_to_target(df, ["k"], ["i"], "p", F.col("v"), 500000).first().reached
+    assert not tape.vwap_to_target(df, ["k"], ["i"], "p", F.col("v"), 500000.01).first().reached
+
+
 def test_greedy_match_equals_a_loop(spark):
     rnd = random.Random(7)
     pairs = [(e % 3, e, c, c % 4, round(rnd.random(), 3)) for e in range(12) for c in rnd.sample(range(20), 8)]

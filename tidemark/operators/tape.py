@@ -11,12 +11,16 @@ from tidemark.operators import ordered
 
 
 def vwap_to_target(tape: DataFrame, by: list[str], order: list[str], price: str, notional: Column, target: float) -> DataFrame:
-    """by, sold, vwap, hits: price reached when notional is taken in order until ``target`` (the last row in part)."""
+    """by, sold, vwap, rows_used, reached: price reached when notional is taken in order until ``target`` (the last row in part).
+
+    Whether it is reached allows for what a sum of doubles loses, a part in 10^12 of the
+    target: a fixed 1e-12 is less than the last bit of a target over some thousands.
+    """
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     x = tape.withColumn("_v", notional).withColumn("_before", F.coalesce(F.sum("_v").over(w), F.lit(0.0)))
     x = x.withColumn("_used", F.least(F.col("_v"), F.greatest(F.lit(0.0), F.lit(float(target)) - F.col("_before"))))
     x = x.groupBy(*by).agg(F.sum("_used").alias("sold"), F.try_divide(F.sum("_used"), F.sum(F.try_divide(F.col("_used"), F.col(price)))).alias("vwap"), F.count(F.when(F.col("_used") > 0, 1)).alias("rows_used"))
-    return x.withColumn("reached", F.col("sold") + 1e-12 >= target)
+    return x.withColumn("reached", F.col("sold") + max(1.0, abs(float(target))) * 1e-12 >= target)
 
 
 def second_rollup(ticks: DataFrame, by: list[str], at: str, unit: int, price: str, seq: str) -> DataFrame:
