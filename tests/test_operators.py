@@ -113,6 +113,17 @@ def test_simulator_stop_before_target_and_stale_close(spark):
     assert run([(1, 1, 1, 9.9, 10.0, 11.0), (1, 150, 2, 10.5, 10.6, 11.0)]).reason == "time"
 
 
+def test_opportunity_segments_do_not_depend_on_the_order_of_ties(spark):
+    rows = [(1, a, a + 10, size) for a in range(0, 60, 5) for size in (5.0, 200.0, 50.0)]
+    want = None
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        s = spark.createDataFrame(rows, "k long, a long, b long, size double").coalesce(1)
+        got = sorted(map(tuple, tape.opportunity_segments(s, ["k"], "a", "b", "size", [100.0, 10.0], 2).collect()))
+        want = want or got
+        assert got == want
+
+
 def test_vwap_partial_fill(spark):
     df = spark.createDataFrame([(1, 1, 10.0, 100.0), (1, 2, 20.0, 100.0)], "k long, i long, p double, v double")
     r = tape.vwap_to_target(df, ["k"], ["i"], "p", F.col("v"), 150.0).first()

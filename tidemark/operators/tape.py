@@ -56,12 +56,16 @@ def sellability(spans: DataFrame, trades: DataFrame, by: str, start: str, stop:
 
 
 def opportunity_segments(spans: DataFrame, by: list[str], start: str, stop: str, size: str, levels: list[float], gap: int) -> DataFrame:
-    """by, level, segments, total, longest: runs of spans whose size reaches a level, broken by gaps beyond ``gap`` or by thin spans."""
+    """by, level, segments, total, longest: runs of spans whose size reaches a level, broken by gaps beyond ``gap`` or by thin spans.
+
+    Spans of equal start and stop go by their size, so the runs never depend on how the rows lie.
+    """
     x = spans.withColumn("level", F.explode(F.array(*(F.lit(float(v)) for v in levels))))
     keys = [*by, "level"]
     w = W.partitionBy(*keys).orderBy(start, stop)
+    placed = W.partitionBy(*keys).orderBy(start, stop, size)
     ok = F.col(size) >= F.col("level")
-    x = x.withColumn("_ok", ok).withColumn("_broken", ~F.coalesce(F.lag("_ok").over(w), F.lit(False)) | (F.col(start) - F.lag(stop).over(w) > gap))
+    x = x.withColumn("_ok", ok).withColumn("_broken", ~F.coalesce(F.lag("_ok").over(placed), F.lit(False)) | (F.col(start) - F.lag(stop).over(placed) > gap))
     x = x.withColumn("_i", F.sum(F.when(F.col("_ok") & F.coalesce("_broken", F.lit(True)), 1).otherwise(0)).over(w)).where("_ok")
     each = x.groupBy(*keys, "_i").agg((F.max(stop) - F.min(start)).alias("d"), F.count("*").alias("spans"))
     return each.groupBy(*keys).agg(F.count("*").alias("segments"), F.sum("d").alias("total"), F.max("d").alias("longest"), F.sum("spans").alias("spans"))
